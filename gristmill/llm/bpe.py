@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import utf8
+from gristmill.llm.common import pieces, utf8
 
 LONG, CACHE = 64, 250_000
 NONE = 1 << 60
@@ -152,45 +152,53 @@ def _encoder(sent) -> Encoder:
     return _encoders[id(sent.value)]
 
 
-def _each(docs: DataFrame, column: str, keys: tuple[str, ...], bpe: ByteBPE, name: str, kind: str, work) -> DataFrame:
+def _each(docs: DataFrame, column: str, keys: tuple[str, ...], bpe: ByteBPE, fields: dict[str, tuple[str, pa.DataType]], work) -> DataFrame:
+    """``keys`` and ``fields`` of every row; ``work`` makes a field's values of a column."""
     sent = docs.sparkSession.sparkContext.broadcast(bpe)
     slim = docs.select(*keys, F.col(column).alias("_in"))
-    schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), f"`{name}` {kind}"])
+    schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` {kind}" for n, (kind, _) in fields.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(encoder, part.column(part.num_columns - 1))], names=[*keys, name])
+        for b in pieces(batches):
+            made = work(encoder, b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v, t) for v, (_, t) in zip(made, fields.values()))], names=[*keys, *fields])
 
     return slim.mapInArrow(run, schema)
 
 
+def _text(raw: bytes | None) -> str:
+    return (raw or b"").decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, bpe: ByteBPE, text: str = "text", keys: tuple[str, ...] = ("doc_id",), to: str = "ids") -> DataFrame:
     """``keys`` and ``to``: the token ids of each row's whole text, as binary
     (little-endian unsigned 32-bit). Null and empty texts have none; strings of
     special tokens in a text become these tokens. Rows stay as they are,
     repeated ones too; other columns are ignored."""
-
-    def work(encoder: Encoder, column: pa.Array) -> pa.Array:
-        return pa.array([encoder.encode((t or b"").decode("utf-8", "replace")) for t in utf8(column)], pa.binary())
-
-    return _each(docs.withColumn(text, F.col(text).cast("string")), text, keys, bpe, to, "binary", work)
+    work = lambda encoder, column: [[encoder.encode(_text(t)) for t in utf8(column)]]
+    return _each(docs.withColumn(text, F.col(text).cast("string")), text, keys, bpe, {to: ("binary", pa.binary())}, work)
 
 
 def decode(tokens: DataFrame, bpe: ByteBPE, ids: str = "ids", keys: tuple[str, ...] = ("doc_id",), to: str = "text") -> DataFrame:
     """``keys`` and ``to``: the text of each row's token ids, special tokens
     included; bytes that aren't UTF-8 become U+FFFD. Null ids give an empty text."""
+    work = lambda encoder, column: [[encoder.decode(np.frombuffer(x or b"", "<u4")) for x in column.to_pylist()]]
+    return _each(tokens, ids, keys, bpe, {to: ("string", pa.string())}, work)
+
+
+def round_trip(docs: DataFrame, bpe: ByteBPE, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys``, ``ids`` and ``decoded``: ``encode`` and ``decode`` in one pass of a task."""
 
-    def work(encoder: Encoder, column: pa.Array) -> pa.Array:
-        return pa.array([encoder.decode(np.frombuffer(x or b"", "<u4")) for x in column.to_pylist()], pa.string())
+    def work(encoder: Encoder, column: pa.Array) -> list[list]:
+        ids = [encoder.encode(_text(t)) for t in utf8(column)]
+        return [ids, [encoder.decode(np.frombuffer(x, "<u4")) for x in ids]]
 
-    return _each(tokens, ids, keys, bpe, to, "string", work)
+    return _each(docs.withColumn(text, F.col(text).cast("string")), text, keys, bpe, {"ids": ("binary", pa.binary()), "decoded": ("string", pa.string())}, work)
 
 
 def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
-    """The vocabulary at ``path`` (by default the box's public 50k byte-level file)."""
+    """The vocabulary at ``path`` (by default the public 50k byte-level file)."""
     import public_tokenizers
 
     return ByteBPE(path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN)
@@ -198,5 +206,5 @@ def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
 
 def digests(docs: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: n_tokens, and SHA-256 of the ids and of the decoded text."""
-    back = decode(encode(docs, bpe, text, (id_col,)), bpe, keys=(id_col, "ids"), to="decoded")
-    return back.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = round_trip(docs, bpe, text, (id_col,))
+    return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

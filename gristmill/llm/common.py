@@ -56,27 +56,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def rows(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """Rows of the named columns, batch after batch."""
+def pieces(batches: Iterable[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``most`` bytes (a row at least), so that a task
+    turns few texts into Python objects at a time."""
     for b in batches:
-        yield from zip(*(b.column(n).to_pylist() for n in names))
-
-
-def chunks(out: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most ``size`` of the rows ``out``."""
-    held: list[tuple] = []
-    for row in out:
-        held.append(row)
-        if len(held) >= size:
-            yield batch(held, schema)
-            held = []
-    if held:
-        yield batch(held, schema)
-
-
-def batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*held)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        size = max(1, most * b.num_rows // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM, utf8
+from gristmill.llm.common import ALNUM, pieces, utf8
 
 WINDOW, SAMPLE = 13, 8
-SHARD_WORDS, SHARD_BYTES, BLOCK_WORDS = 1 << 20, 1 << 25, 1 << 20
+SHARD_WORDS, SHARD_BYTES, BLOCK_WORDS = 1 << 20, 1 << 24, 1 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -218,7 +218,7 @@ def occurrences(
                 arrays = [*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(columns[-3], pa.int64()), pa.array(nested, span), pa.array(columns[-1], pa.list_(pa.int64()))]
                 return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_words", "spans", "items"])
 
-            for b in batches:
+            for b in pieces(batches):
                 kinds = [f.type for f in b.schema][:-1]
                 for *key, body in zip(*(c.to_pylist() for c in b.columns[:-1]), utf8(b.column(b.num_columns - 1))):
                     shard.add(tuple(key), body)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, landed, utf8
+from gristmill.llm.common import FOLD_CASE, landed, pieces, utf8
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Least words for the character test and for the word test.
@@ -110,11 +110,9 @@ def counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                columns = zip(*map(measure, utf8(part.column(part.num_columns - 1))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*b.schema.names[:-1], *names])
+        for b in pieces(batches):
+            columns = zip(*map(measure, utf8(b.column(b.num_columns - 1))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*b.schema.names[:-1], *names])
 
     return slim.mapInArrow(run, schema)
 
@@ -125,7 +123,7 @@ def references(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in pieces(batches):
             lang = b.column(0).to_pylist()
             both = np.hstack([np.asarray(b.column(k).flatten(), np.int64).reshape(b.num_rows, -1) for k in (1, 2)]) if b.num_rows else np.zeros((0, CLASSES + len(PLACE) + 1), np.int64)
             for name in {*lang}:
@@ -168,7 +166,7 @@ def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
     names = [*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             chars, words = (np.asarray(b.column(k).flatten(), np.int64).reshape(b.num_rows, -1) for k in ("chars", "words"))
@@ -189,10 +187,8 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     refs = list(references(landed(counts(docs, text, (), lang).select("_lang", "chars", "words"), "sums")).values())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield part.filter(pa.array(verdicts(utf8(part.column(text)), refs)))
+        for b in pieces(batches):
+            yield b.filter(pa.array(verdicts(utf8(b.column(text)), refs)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, cut, utf8
+from gristmill.llm.common import FOLD_CASE, cut, pieces, utf8
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 HALF = (1 << 31) - 1
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     schema = slim.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fp = np.fromiter(map(simhash, utf8(b.column(b.num_columns - 1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 

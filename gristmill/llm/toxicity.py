@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import labelled_sample, landed, utf8
+from gristmill.llm.common import labelled_sample, landed, pieces, utf8
 
 #: Most labelled rows a model is fitted on, most terms it keeps.
 SAMPLE, TERMS = 12_000, 5_000
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return model
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             toxic, clean = Counter(), Counter()
             for y, raw in zip(b.column(1).to_pylist(), utf8(b.column(0))):
                 (toxic if y > 0 else clean).update(_terms(fold(_text(raw))))
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in pieces(batches):
             x = [matcher.features(_text(raw)) for raw in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
@@ -170,7 +170,7 @@ def exceptions(rows: DataFrame, model: Model, least: int = 5) -> list[str]:
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in pieces(batches):
             toxic, clean = Counter(), Counter()
             for y, raw in zip(b.column(1).to_pylist(), utf8(b.column(0))):
                 folded = fold(_text(raw))
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in pieces(batches):
             found = [matcher.score(_text(raw)) for raw in utf8(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
@@ -208,7 +208,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([matcher.score(_text(raw)) < limit for raw in utf8(b.column(text))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
