@@ -155,7 +155,7 @@ def _encoder(sent) -> Encoder:
 def _each(docs: DataFrame, column: str, keys: tuple[str, ...], bpe: ByteBPE, fields: dict[str, tuple[str, pa.DataType]], work) -> DataFrame:
     """``keys`` and ``fields`` of every row; ``work`` makes a field's values of a column."""
     sent = docs.sparkSession.sparkContext.broadcast(bpe)
-    slim = docs.select(*keys, F.col(column).alias("_in"))
+    slim = docs.select(*keys, F.col(column).alias("__gm_in"))
     schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` {kind}" for n, (kind, _) in fields.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """What the operators share: shared-folder materialisation, byte-level words,
-Arrow helpers and the held-out rule of the labelled tables."""
+Arrow helpers and the held-out rule of the labelled tables. Column names that
+begin with ``__gm_`` are the operators' own."""
 
 from __future__ import annotations
 

@@ -201,7 +201,7 @@ def occurrences(
     repeat all keys merge into one. Null texts have no words; items without
     words or id are ignored; an empty benchmark hits nothing; other columns
     are ignored. Item ids must be integers."""
-    slim = docs.select(*keys, F.col(text).cast("string").alias("_text"))
+    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
     row = "n_words long, spans array<struct<start: long, end: long>>, items array<long>"
     schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), row])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -213,8 +213,8 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
     empty pages and pages without content. Truncated and malformed pages are
     read as far as they go; repeated rows stay; other columns are ignored."""
     model = model or fit(LABELLED)
-    slim = pages.select(*keys, F.col(html_col).cast("string").alias("_html"))
-    schema = slim.drop("_html").withColumn("text", F.lit("")).schema
+    slim = pages.select(*keys, F.col(html_col).cast("string").alias("__gm_html"))
+    schema = slim.drop("__gm_html").withColumn("text", F.lit("")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

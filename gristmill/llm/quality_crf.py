@@ -192,8 +192,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
     """``keys`` and ``score`` (0 to 1, higher is better) of every row. Texts
     without a line (null, empty, blank) get the score of the worst mean;
     repeated rows stay; other columns are ignored."""
-    slim = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    schema = slim.drop("_text").withColumn("score", F.lit(0.0)).schema
+    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
+    schema = slim.drop("__gm_text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

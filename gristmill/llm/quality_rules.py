@@ -104,7 +104,7 @@ def measure(text: bytes | None) -> tuple:
 
 def counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), lang: str = "lang") -> DataFrame:
     """``measure`` of every row, with ``keys`` and ``_lang``."""
-    slim = docs.select(*keys, F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
+    slim = docs.select(*keys, F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("__gm_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"])
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]

@@ -60,8 +60,8 @@ def simhash(text: bytes | None) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``fp``, the fingerprint as a signed 64-bit integer, of every
     row; one pass without a shuffle."""
-    slim = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    schema = slim.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
+    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
+    schema = slim.drop("__gm_text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -217,11 +217,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row left of each component: that with the least id
-    (of rows that repeat id and text, one)."""
-    key = [F.coalesce(F.col(id_col), F.lit(-1)).alias("_k1"), F.xxhash64(F.col(text)).alias("_k2")]
+    (of rows that repeat id and text, one; a row without an id only if no other
+    row of the component has one)."""
+    key = [F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).alias("__gm_k1"), F.xxhash64(F.col(text)).alias("__gm_k2")]
     keyed = docs.select("*", *key)
-    found = near_duplicates(keyed.select("_k1", "_k2", F.col(text).alias("_t")), "_t", "_k1", ("_k2",))
-    best = found.where("_k1 <=> component_id").groupBy("component_id").agg(F.min("_k2").alias("_k2")).withColumnRenamed("component_id", "_k1")
-    first = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1", "_k2"))
-    return keyed.join(best, ["_k1", "_k2"]).withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    found = near_duplicates(keyed.select("__gm_k1", "__gm_k2", F.col(text).alias("__gm_t")), "__gm_t", "__gm_k1", ("__gm_k2",))
+    best = found.where("__gm_k1 <=> component_id").groupBy("component_id").agg(F.min("__gm_k2").alias("__gm_k2")).withColumnRenamed("component_id", "__gm_k1")
+    first = F.row_number().over(Window.partitionBy("__gm_k1", "__gm_k2").orderBy("__gm_k1", "__gm_k2"))
+    return keyed.join(best, ["__gm_k1", "__gm_k2"]).withColumn("_n", first).where("__gm_n = 1").select(*docs.columns)
 

@@ -191,8 +191,8 @@ def exceptions(rows: DataFrame, model: Model, least: int = 5) -> list[str]:
 def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``score`` (0 to 1) of every row. Null and empty texts score
     as a text without terms; repeated rows stay; other columns are ignored."""
-    slim = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    schema = slim.drop("_text").withColumn("score", F.lit(0.0)).schema
+    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
+    schema = slim.drop("__gm_text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
