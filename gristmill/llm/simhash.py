@@ -224,5 +224,5 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     found = near_duplicates(keyed.select("__gm_k1", "__gm_k2", F.col(text).alias("__gm_t")), "__gm_t", "__gm_k1", ("__gm_k2",))
     best = found.where("__gm_k1 <=> component_id").groupBy("component_id").agg(F.min("__gm_k2").alias("__gm_k2")).withColumnRenamed("component_id", "__gm_k1")
     first = F.row_number().over(Window.partitionBy("__gm_k1", "__gm_k2").orderBy("__gm_k1", "__gm_k2"))
-    return keyed.join(best, ["__gm_k1", "__gm_k2"]).withColumn("_n", first).where("__gm_n = 1").select(*docs.columns)
+    return keyed.join(best, ["__gm_k1", "__gm_k2"]).withColumn("__gm_n", first).where("__gm_n = 1").select(*docs.columns)
 
