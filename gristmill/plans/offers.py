@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.functions.dates import parse_date
 from gristmill.functions.geo import in_region
 from gristmill.functions.url import normal_url
 from gristmill.functions.vector import dot, unit
-from gristmill.operators import dedup, evaluate, filters, observe, rank, store
+from gristmill.operators import dedup, evaluate, filters, models, observe, rank, store
 from gristmill.plans.registry import query
 from gristmill.sources import sinks
 from gristmill.sources.adapters import keyed_offers, offers, table
@@ -365,3 +366,29 @@ def match_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").join(keyed.select(F.col("ord").alias("doc_id"), "key"), "doc_id").withColumn("key", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("gone"), F.col("doc_id").cast("string"))).otherwise(F.col("key")))
     stored = keyed.groupBy("key").agg(F.min("ord").alias("_o")).select("key", F.when(F.col("_o") % 7 == 0, "x").otherwise(F.col("key")).alias("derived"))
     return evaluate.match_labels(labels, stored).select("doc_id", "status")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss '+0000'", "d/M/yyyy", "d MMMM yyyy", "MMM d, yyyy"]
+    at = F.col("o_orderdate").cast("timestamp")
+    text = F.coalesce(*(F.when(F.col("o_orderkey") % len(kinds) == k, F.date_format(at, f)) for k, f in enumerate(kinds)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("day"))
+
+
+@query()
+def encode_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all texts: those of the even documents are cached, the others are made."""
+    rows = offers(spark, sf_dir).withColumn("t", models.to_encode("title", "description"))
+    cache = models.encode_missing(rows.where("ord % 2 = 0"), spark.createDataFrame([], "hash string, model string, embedding array<float>"), "t")
+    return models.encode_missing(rows, cache, "t").select("hash", "model", F.size("embedding").alias("size"))
+
+
+@query(f"""WITH {OFFERS} SELECT ord, round(least(1, length(description) / 2000.0), 4) AS score, length(description) % 2 = 0 AS domain_match, 'master' AS level FROM offers""")
+def verdict_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by a stand-in judge, which says how long a text is; a third of them come from the memo."""
+    said = F.concat(F.lit('Well: {"score": '), F.round(F.length("description") / 2000.0, 4).cast("string"), F.lit(', "domain_match": '), (F.length("description") % 2 == 0).cast("string"), F.lit(', "level": " master "} done'))
+    rows = offers(spark, sf_dir).select("ord", tx.content_hash("title", "company", "location", "description").alias("hash"), models.memo_key("m", 1, F.lit("profile")).alias("memo_key"), said.alias("prompt"))
+    memo = rows.where("ord % 3 = 0").select("hash", "memo_key", F.col("prompt").alias("answer")).dropDuplicates(["hash", "memo_key"])
+    found = models.judge_missing(rows, memo, lambda prompts: prompts)
+    return found.select("ord", "verdict.score", "verdict.domain_match", "verdict.level")
