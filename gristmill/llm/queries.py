@@ -66,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe)
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license_scan.TEMPLATES.items()))
+_SHINGLES = "SELECT {0}, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT {0}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1}), unnest(range(0, greatest(0, len(w) - 4))) r(i)"
+
 #: Where SQL can express a query on whole tables.
 ORACLE: dict[str, str] = {
     "op2_warc": """
@@ -81,4 +85,34 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM k
     """,
+    "op7_license_scan": f"""
+        WITH templates(license, text) AS (VALUES {_TEMPLATES}), t AS (
+            SELECT DISTINCT license, s FROM ({_SHINGLES.format("license", "templates")})
+        ), n AS (
+            SELECT license, count(*) AS template_shingles FROM t GROUP BY license
+        ), d AS (
+            {_SHINGLES.format("doc_id", "documents")}
+        ), m AS (
+            SELECT doc_id, license, count(DISTINCT s) AS matched, min(i) AS first_word FROM d JOIN t USING (s) GROUP BY doc_id, license
+        )
+        SELECT doc_id, license, matched, template_shingles, matched / template_shingles AS containment, first_word
+        FROM m JOIN n USING (license) WHERE matched >= 0.8 * template_shingles
+    """,
+    "op9_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        phrases AS (
+            SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s FROM b, unnest(range(1, greatest(1, len(w) - 12) + 1)) r(i) WHERE len(w) > 0
+        ), places AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM phrases) k, unnest(range(1, greatest(1, len(w) - n + 2))) r(i)
+        ), found AS (
+            SELECT doc_id, i, p.n, item_id FROM places p JOIN phrases q ON p.s = q.s AND p.n = q.n
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM found), range(0, 13) x(j) WHERE j < n GROUP BY doc_id
+        ), own AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM found GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+    """,
 }
