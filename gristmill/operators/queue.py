@@ -69,10 +69,21 @@ def replay(events: DataFrame, by: str = "offer_id", order: str = "id") -> DataFr
     return found.select(by, f"_b.{order}", "_b._rest.*", "n_events")
 
 
-def running_state(events: DataFrame, value: str, by: str = "offer_id", order: str = "id") -> DataFrame:
-    """After each event, the state that a replay up to it would give."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("state", F.last(value, ignorenulls=True).over(w)).withColumn("n_so_far", F.count("*").over(w))
+def running_state(events: DataFrame, value: str, by: str = "offer_id", order: str = "id", stretch: int = 1 << 16) -> DataFrame:
+    """After each event, the state that a replay up to it would give, and the
+    number of events so far. ``order`` is a unique integer.
+
+    Events of one offer are taken in stretches of ``stretch`` ids, each a
+    window of its own; what the stretches before leave comes from one row for
+    each, so an offer with very many events is spread over tasks."""
+    part = events.withColumn("_part", F.floor(F.col(order) / stretch))
+    inner = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    told = F.col(value).isNotNull()
+    sums = part.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.max_by(F.when(told, F.col(value)), F.when(told, F.col(order))).alias("_last"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(by, "_part", F.sum("_n").over(before).alias("_n"), F.last("_last", ignorenulls=True).over(before).alias("_last"))
+    rows = part.withColumn("_state", F.last(value, ignorenulls=True).over(inner)).withColumn("_so_far", F.count("*").over(inner))
+    return rows.join(carried, [by, "_part"]).select(*events.columns, F.coalesce("_state", "_last").alias("state"), (F.col("_so_far") + F.coalesce("_n", F.lit(0))).alias("n_so_far"))
 
 
 def opinions(state: DataFrame, verdict: str = "verdict") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.columns import col
 from gristmill.functions.text import has_word
 from gristmill.functions.vector import dot
+from gristmill.session import cut
 
 #: Boosts of a group's word, of both together, and the part that a description alone counts.
 GROUP_BOOST, COMBO_BOOST, DESCRIPTION_PART = 0.05, 0.15, 0.4
@@ -99,10 +100,11 @@ def score_level(score: Column | str) -> Column:
 
 def ranked(rows: DataFrame, *order: Column, to: str = "rank", within: tuple[str, ...] = ()) -> DataFrame:
     """Position from 1. Without ``within`` the order is global: ranges of the
-    sort key get offsets from their counts, so no task sees all rows."""
+    sort key get offsets from their counts, so no task sees all rows. The sorted
+    rows are computed once (``cut``): counts and rows must see the same ranges."""
     if within:
         return rows.withColumn(to, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    part = rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    part = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = part.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_least"))
     before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     return part.join(F.broadcast(before.select("_p", "_least", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p").withColumn(to, (F.col("_before") + F.col("_i") - F.col("_least") + 1).cast("int")).drop("_p", "_i", "_before", "_least")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,14 @@ def session(name: str = "gristmill", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once, into the folder that the session names in
+    ``spark.checkpoint.dir`` and that all executors share; only where that is
+    unset (tests on one machine), into a local one. What follows sees the same
+    rows and partitions however often it reads them."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+    return df.checkpoint(eager=True)

@@ -191,6 +191,39 @@ def test_queue_rules(spark):
     assert queue.head(jobs).first()["id"] == 4
 
 
+def test_running_state_over_stretches(spark):
+    rnd = random.Random(0)
+    rows = [(k, rnd.choice("ab"), rnd.choice(["good", "bad", None])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, offer_id string, told string")
+    want, last, n = {}, {}, {}
+    for k, offer, told in rows:
+        last[offer] = told or last.get(offer)
+        n[offer] = n.get(offer, 0) + 1
+        want[k] = (last[offer], n[offer])
+    for stretch in (1, 7, 1 << 16):
+        assert {r["id"]: (r["state"], r["n_so_far"]) for r in queue.running_state(df, "told", stretch=stretch).collect()} == want
+
+
+def test_dates(spark):
+    from gristmill.functions.dates import parse_date
+
+    raw = ["2024-03-05T10:00:00.000Z", "Tue, 05 Mar 2024 10:00:00 +0000", "Tue, 05 Mar 2024 10:00:00 GMT", "5/3/2024", "March 5, 2024", "5 Mar 2024", "soon", None]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(parse_date("x").cast("string")).collect()]
+    assert found == ["2024-03-05"] * 6 + [None, None]
+
+
+def test_models_are_asked_once_for_each_content(spark):
+    from gristmill.operators import models
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "ord int, t string")
+    cache = models.encode_missing(rows.where("ord = 1"), spark.createDataFrame([], "hash string, model string, embedding array<float>"), "t")
+    assert models.encode_missing(rows, cache, "t").count() == 2
+    with pytest.raises(ValueError):
+        models.one_model(cache.unionByName(cache.withColumn("model", F.lit("other"))))
+    said = spark.createDataFrame([('ok {"score": 1.7, "level": " x "}',), ("none",)], "a string").select(models.coerce("a").alias("v")).collect()
+    assert said[0]["v"]["score"] == 1.0 and said[0]["v"]["level"] == "x" and said[1]["v"] is None
+
+
 def test_health_ladder(spark):
     rows = spark.createDataFrame([("a", 0, 0), ("b", 0, 0), ("c", 10, 0), ("d", 9, 0), ("e", 5, 2)], "source string, raw int, survivors int")
     incidents = spark.createDataFrame([("b", "blocked"), ("e", "timeout"), ("e", "blocked")], "source string, category string")
