@@ -6,10 +6,12 @@ Words are runs of letters and digits of the lower-cased text, shingles are
 ``CONTAINMENT`` or more stand in the document.
 
 Retrieval. Windows of ``WINDOW`` shingles start at every ``STRIDE``-th shingle
-of a document, and at every shingle of a template. A window has ``BANDS``
-bands of one MinHash each (the least shingle hash after exclusive-or with the
-band's number), so two windows of similarity s meet in a band with probability
-1 - (1 - s)^BANDS: 0.98 at 0.4, 0.996 at 0.5. A copy of a template with at least
+of a document, and at every shingle of a template. A window has ``BANDS`` bands
+of one MinHash each: under each of BANDS / 2 orders (shingle hashes after
+exclusive-or with the order's number), the least and the greatest. Either is
+shared by two windows of similarity s with probability s, and one that isn't
+makes the other likelier, so they meet in a band with probability
+1 - (1 - s)^BANDS at least: 0.98 at 0.4, 0.996 at 0.5. A copy of a template with at least
 ``WINDOW + STRIDE - 1`` shingles holds a whole window, which meets its twin in
 every band. Shorter templates are windows of one shingle, whose MinHash is the
 shingle itself: they are never missed.
@@ -64,29 +66,31 @@ def let(value: Column, body) -> Column:
 
 def shingles(text: str) -> Column:
     """Hashes of a text's shingles in order; none for a null text or one of fewer words."""
-    bare = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
     def hashed(words: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))
         return F.when(F.size(words) >= SHINGLE, each).otherwise(F.array().cast("array<long>"))
 
-    return let(F.split(bare, " "), hashed)
+    return let(words, hashed)
 
 
 def _masks() -> list[int]:
-    """A fixed 62-bit number for each band, from a multiplicative rule."""
-    return [(0x9E3779B97F4A7C15 * (j + 1)) % (1 << 62) for j in range(BANDS)]
+    """A fixed 62-bit number for each order, from a multiplicative rule."""
+    return [(0x9E3779B97F4A7C15 * j) % (1 << 62) for j in range(BANDS // 2)]
 
 
 def band_keys(h: Column, stride: int) -> Column:
-    """MinHash of every window and band: BANDS runs of one key for each window."""
+    """MinHashes of every window: two runs of one key a window for each order."""
 
-    def band(hashes: Column, mask: int) -> Column:
+    def bands(hashes: Column, mask: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW, F.lit(0)), F.lit(stride))
-        mixed = F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask)))
-        return let(mixed, lambda m: F.transform(starts, lambda i: F.array_min(F.slice(m, i + 1, WINDOW))))
+        windows = lambda m: F.transform(starts, lambda i: F.slice(m, i + 1, WINDOW))
+        both = lambda w: F.concat(F.transform(w, F.array_min), F.transform(w, F.array_max))
+        mixed = F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))) if mask else hashes
+        return let(mixed, lambda m: let(windows(m), both))
 
-    return let(h, lambda hashes: F.concat(*(band(hashes, mask) for mask in _masks())))
+    return let(h, lambda hashes: F.concat(*(bands(hashes, mask) for mask in _masks())))
 
 
 def template_keys(given: DataFrame) -> DataFrame:
@@ -107,8 +111,11 @@ def scan(docs: DataFrame, given: DataFrame | None = None, text: str = "text", id
     keys = template_keys(given if given is not None else templates(docs.sparkSession))
     small = keys.count() <= BROADCAST_ROWS
     hashed = docs.select(F.col(id_col).alias("_id"), shingles(text).alias("_h"))
-    spread = hashed.select("_id", F.size("_h").alias("_n"), F.posexplode(F.concat("_h", band_keys(F.col("_h"), STRIDE))).alias("_place", "key"))
-    hits = spread.join(F.broadcast(keys) if small else keys, "key").where((F.col("_place") >= F.col("_n")) == F.col("is_band"))
+    # The keys are a column before they are exploded, so that the explosion and the lookup compile into one loop. An
+    # outer explosion, since an inner one infers a filter on the array's size, which computes all hashes once more.
+    keyed = hashed.select("_id", F.size("_h").alias("_n"), F.concat("_h", band_keys(F.col("_h"), STRIDE)).alias("_keys"))
+    spread = keyed.select("_id", "_n", F.posexplode_outer("_keys").alias("_place", "key"))
+    hits = spread.join(F.broadcast(keys) if small else keys, "key").where(F.when(F.col("_place") >= F.col("_n"), F.col("is_band")).otherwise(~F.col("is_band")))
     found = hits.groupBy("_id", "license", "size").agg(
         F.count_distinct(F.when(~F.col("is_band"), F.col("key"))).alias("matched"),
         F.min(F.when(~F.col("is_band"), F.col("_place"))).cast("long").alias("first_word"),
