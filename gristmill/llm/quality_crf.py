@@ -171,20 +171,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [line_features(lines).astype(np.float32).tobytes() if (lines := lines_of(t)) else b"" for t in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], names=["x", "y"])
 
-    found = rows.where("part > 0").select("text", "y").mapInArrow(measured, "x binary, y int").toPandas()
-    y = (found["y"] > 0).astype(int)
-    if y.nunique() < 2:
+    found = rows.where("part > 0").select("text", "y").mapInArrow(measured, "x binary, y int").toArrow()
+    y = (found["y"].to_numpy() > 0).astype(int)
+    if len(np.unique(y)) < 2:
         return Model()
-    model = train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in found["x"]], y.tolist())
+    model = train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in found["x"].to_pylist()], y.tolist())
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             x = [model.summary(t) for t in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    rest = rows.where("part = 0").select("text", "y").mapInArrow(summed, "x array<double>, y int").toPandas()
-    if rest["y"].nunique() == 2:
-        model.curve = logistic(np.stack(rest["x"]), (rest["y"] > 0).to_numpy(float))
+    rest = rows.where("part = 0").select("text", "y").mapInArrow(summed, "x array<double>, y int").toArrow()
+    if len(rest["y"].unique()) == 2:
+        model.curve = logistic(np.array(rest["x"].to_pylist()), (rest["y"].to_numpy() > 0).astype(float))
     return model
 
 

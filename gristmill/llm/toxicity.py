@@ -148,9 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [matcher.features(_text(raw)) for raw in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    rest = rows.where(part == 0).select("text", "y").mapInArrow(measured, "x array<double>, y int").toPandas()
-    if rest["y"].nunique() == 2:
-        model.curve = logistic(np.stack(rest["x"]), (rest["y"] > 0).to_numpy(float))
+    rest = rows.where(part == 0).select("text", "y").mapInArrow(measured, "x array<double>, y int").toArrow()
+    if len(rest["y"].unique()) == 2:
+        model.curve = logistic(np.array(rest["x"].to_pylist()), (rest["y"].to_numpy() > 0).astype(float))
     return model
 
 
