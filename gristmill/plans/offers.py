@@ -10,7 +10,7 @@ from gristmill.functions.dates import parse_date
 from gristmill.functions.geo import in_region
 from gristmill.functions.url import normal_url
 from gristmill.functions.vector import dot, unit
-from gristmill.operators import dedup, evaluate, filters, models, observe, rank, store
+from gristmill.operators import dedup, evaluate, filters, models, observe, rank, report, store
 from gristmill.plans.registry import query
 from gristmill.sources import sinks
 from gristmill.sources.adapters import keyed_offers, offers, table
@@ -392,3 +392,21 @@ def verdict_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     memo = rows.where("ord % 3 = 0").select("hash", "memo_key", F.col("prompt").alias("answer")).dropDuplicates(["hash", "memo_key"])
     found = models.judge_missing(rows, memo, lambda prompts: prompts)
     return found.select("ord", "verdict.score", "verdict.domain_match", "verdict.level")
+
+
+@query(f"""WITH {JUDGED}, f AS (SELECT j.ord, j.rank, CASE WHEN j.rank <= 30 THEN 0.5 * j.score + 0.5 * (1 - l.toxic) ELSE j.score END AS final FROM judged j JOIN labels l ON l.doc_id = j.ord)
+    SELECT ord, rank, round(final, 6) AS final, row_number() OVER (ORDER BY final DESC, ord) AS new_rank FROM f""")
+def verify_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir).withColumn("verdict_score", (1 - F.col("toxic")).cast("double"))
+    return report.verify_shortlist(rows, 30).select("ord", "rank", F.round("final", 6).alias("final"), "new_rank")
+
+
+@query(f"WITH {OFFERS}, {BOOSTED}, {SIMS.format(MAX_SIM)} SELECT count(*) AS total, count(*) FILTER (sims >= 0.2) AS verified, count(*) FILTER (ord % 4 = 0) AS new, count(*) FILTER (combo) AS combo FROM sims JOIN scored USING (ord)")
+def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counters(_boosted(spark, sf_dir), F.col("sims") >= 0.2, F.col("ord") % 4 == 0, F.col("combo"))
+
+
+@query(f"""WITH {JUDGED} SELECT rank, '' || (CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 137)) || '…' ELSE text END) || ' [a, b, c]' AS line FROM judged JOIN documents ON doc_id = ord WHERE rank <= 40""")
+def cli_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir).where("rank <= 40").withColumns({"reason": F.col("text"), "flags": F.array(*map(F.lit, "abcd")), "title": F.lit("")})
+    return report.listing(rows).select("rank", "line")

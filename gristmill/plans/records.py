@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.columns import json_or_null
 from gristmill.functions.geo import haversine
-from gristmill.operators import filters, geo, market, observe, queue, store
+from gristmill.operators import filters, geo, market, observe, queue, report, store
 from gristmill.plans.registry import query
 from gristmill.sources.adapters import jobs, journal, places, run_links, table
 from gristmill.streaming import state
@@ -268,3 +268,35 @@ def feedback_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL")
 def pace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_to_end(state.pace_windows(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "7 days", "40 days"), "complete")
+
+
+@query(f"""WITH {JOBS}, l AS (SELECT offer_id, id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, id DESC) = 1), p AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS position FROM jobs WHERE status = 'pending')
+    SELECT c_custkey AS offer_id, coalesce(status, 'none') AS status, position, c_acctbal < 0 AS text_missing FROM customer LEFT JOIN l ON offer_id = c_custkey LEFT JOIN p USING (id)""")
+def job_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("offer_id"), "c_acctbal")
+    return report.job_board(people, jobs(spark, sf_dir), people.where("c_acctbal >= 0"))
+
+
+@query("""WITH o AS (SELECT user_id AS key, max(CAST(ts AS DATE)) AS seen FROM events GROUP BY user_id), t AS (SELECT * FROM o WHERE key % 3 <> 0)
+    SELECT seen, count(*) AS n, count(*) FILTER (key % 3 = 0) AS without_text, count(*) FILTER (key % 3 = 0 AND seen = (SELECT max(seen) FROM o)) AS recoverable FROM o GROUP BY seen""")
+def last_seen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max(F.to_date("ts")).alias("seen"))
+    return report.last_seen_counts(seen, seen.where("key % 3 <> 0"), "key", "seen")
+
+
+@query("""WITH c AS (SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS s FROM events), f AS (SELECT event_type, min(event_id) AS first_id FROM c GROUP BY event_type)
+    SELECT event_type, round(max(CASE WHEN event_id = first_id THEN s END), 6) AS first, round(avg(CASE WHEN event_id <> first_id THEN s END), 1) AS mean_rest, count(*) FILTER (s IS NULL) AS failures FROM c JOIN f USING (event_type) GROUP BY event_type""")
+def call_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select("event_type", "event_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("s"))
+    return report.timings(calls, "event_type", "event_id", "s").select("event_type", F.round("first", 6).alias("first"), F.round("mean_rest", 1).alias("mean_rest"), "failures")
+
+
+@query(f"WITH {PLACES} SELECT round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM places")
+def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.centroid(places(spark, sf_dir)).select(F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("SELECT c_custkey, 1000 + c_custkey AS total, c_name AS words, CASE WHEN c_mktsegment = 'X' THEN c_name ELSE c_mktsegment || ' OR \"a b\"' END AS expression FROM customer".replace("c_name AS words", "array_to_string(regexp_extract_all(c_name, '[a-zA-Z0-9]{2,}'), ',') AS words"))
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = report.header_total(F.concat(F.lit("offers 0-149/"), (F.col("c_custkey") + 1000).cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", total.alias("total"), report.keywords("c_name").alias("words"), report.or_expression(F.array("c_mktsegment", F.lit("a b"))).alias("expression"))
