@@ -224,6 +224,30 @@ def test_models_are_asked_once_for_each_content(spark):
     assert said[0]["v"]["score"] == 1.0 and said[0]["v"]["level"] == "x" and said[1]["v"] is None
 
 
+def test_report_views(spark):
+    from gristmill.operators import report
+
+    rows = spark.createDataFrame([(1, 0.12345, None, ["a"], ["a", "b"])], "ord int, score double, title string, title_families array<string>, families array<string>")
+    assert report.snapshot(rows, "ord", "score", "title").first()["json"] == '{"ord":1,"score":0.123,"title":null}'
+    assert rows.select(report.in_family("b"), report.in_family("b", wide=True)).first()[:] == (False, True)
+    assert report.config_fingerprint({"a": 1, "b": 2}) == report.config_fingerprint({"b": 2, "a": 1})
+    assert one(spark, sinks.short_value("x"), "y" * 60) == "y" * 57 + "…"
+    shown = spark.createDataFrame([(1, "t", "r" * 150, list("abcd")), (2, "t", None, None)], "rank int, title string, reason string, flags array<string>")
+    assert [len(r["line"]) for r in report.listing(shown).orderBy("rank").collect()] == [138 + len(" [a, b, c]"), 0]
+    assert [r[0] for r in spark.createDataFrame([(6, "2027-01"), (3, "2027-05"), (None, None)], "m int, s string").select(rank.soft_signals("m", "s", "2027-01")).collect()] == pytest.approx([0.05, -0.02, 0.0])
+
+
+def test_merges_and_outcomes(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "ord int, source string")
+    assert [tuple(r) for r in dedup.merged_away(before, before.where("ord <> 2"), "ord", "source").collect()] == [("a", 1)]
+    terms = spark.createDataFrame([("Data", "x", 1), ("data", "y", 2)], "term string, family string, ord int")
+    assert dedup.distinct_terms(terms, "term", "family", "ord").first()[1:] == ("Data", ["x", "y"])
+    offers = spark.createDataFrame([(k,) for k in "abcd"], "key string")
+    texts = spark.createDataFrame([("a", "t")], "key string, text string")
+    fetched = spark.createDataFrame([("b", "t"), ("c", " ")], "key string, text string")
+    assert {r["outcome"]: r["n"] for r in store.backfill(offers, texts, fetched).collect()} == {"present": 1, "filled": 1, "empty": 1, "failed": 1}
+
+
 def test_health_ladder(spark):
     rows = spark.createDataFrame([("a", 0, 0), ("b", 0, 0), ("c", 10, 0), ("d", 9, 0), ("e", 5, 2)], "source string, raw int, survivors int")
     incidents = spark.createDataFrame([("b", "blocked"), ("e", "timeout"), ("e", "blocked")], "source string, category string")
