@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,7 @@ class Shard:
 
     def add(self, key: tuple, text: bytes | None) -> None:
         found = words(text)
-        get = self.phrases.number.get
-        ids = np.fromiter((get(w, 1) for w in found), np.int64, len(found))
+        ids = np.fromiter(map(self.phrases.number.get, found, repeat(1)), np.int64, len(found))
         edge = np.flatnonzero(np.diff(np.r_[False, ids > 1, False]))
         for start, end in edge.reshape(-1, 2):
             if end - start >= self.phrases.shortest:
