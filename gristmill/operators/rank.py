@@ -130,19 +130,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     spark, out = rows.sparkSession, None
     blocks = max(1, -(-queries.count() // most))
     for part in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == part).select(key, vector).toPandas()
-        if some.empty:
+        some = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(blocks)) == part)).select(key, vector).toArrow()
+        if not some.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((some[key].to_numpy(), np.stack(some[vector]).astype(float)))
+        sent = spark.sparkContext.broadcast((some[key].to_numpy(), np.array(some[vector].to_pylist(), float)))
 
         def near(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names, wanted = sent.value
             for b in batches:
                 if b.empty:
                     continue
-                s = wanted @ np.stack(b[vector]).astype(float).T
-                order = np.lexsort((np.broadcast_to(b[key].to_numpy(), s.shape), -s.round(9)), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), key: b[key].to_numpy()[order].ravel(), "similarity": np.take_along_axis(s, order, 1).round(9).ravel()})
+                ids, matrix = b[key].to_numpy(), np.stack(b[vector]).astype(float).T
+                for at in range(0, len(names), 256):
+                    s = wanted[at : at + 256] @ matrix
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s.round(9)), axis=1)[:, :k]
+                    yield pd.DataFrame({"query": np.repeat(names[at : at + 256], order.shape[1]), key: ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).round(9).ravel()})
 
         found = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(near, f"query long, {key} long, similarity double")
         out = found if out is None else out.unionAll(found)
