@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_rows")))
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_least", "_rows")
-    named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.sum("_rows").alias("group_rows"))
+    # Computed once and apart: a join whose sides both come straight from a shuffle can be split where a component is large.
+    named = cut(rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.sum("_rows").alias("group_rows")))
     classes = rooted.select("fp", "_root").join(named, "_root").drop("_root")
     # A fingerprint that very many rows share makes this join skewed; adaptive execution splits its partition.
     return prints.join(classes, "fp").select(id_col, *[k for k in keys if k != id_col], "fp", "component_id", "group_rows")
