@@ -40,11 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def landed(df: DataFrame, tag: str) -> DataFrame:
+def landed(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """As ``cut``, as a Parquet table: columnar, so later readers of a few
     columns read only those."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/gristmill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

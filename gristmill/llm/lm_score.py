@@ -6,12 +6,17 @@ those of all documents. A document's score is its mean loss per token under
 the target model less that under the background model: the lower, the more it
 reads like the target.
 
-Counts are sums over all documents, added up in tasks before the shuffle. The
-model sent to the tasks is bounded: the ``VOCABULARY`` commonest words (the
-rest are one unknown word) and the ``BIGRAMS`` commonest pairs (the rest back
-off to the word alone), each cut at a count that the counts of counts give. At
-least one target row in two passes is read by its id from a sample of at most
-``TARGET_ROWS`` ids, so that side of the join may be broadcast.
+Nothing is cut by ``score_all``. Words are numbers there: the ``VOCABULARY``
+commonest by rank, all others by 62 bits of their XXH64. Counts of ranked words
+and of pairs that are frequent in a sample are exact sums, broadcast; frequent
+keys thus stay out of the shuffle. Every other (document, pair, n) is shuffled
+once, by its rare word or else by the pair, and meets there all other rows of
+that word and pair, so its exact counts are known. A pair that occurs once needs
+no answer: its document has already taken that count; only the others return.
+
+``fit`` and ``score`` are the bounded form, a model small enough to be sent
+whole: words outside ``vocabulary`` are one unknown word and pairs outside
+``bigrams`` back off to the word alone. No registered query uses it.
 """
 
 from __future__ import annotations
@@ -23,12 +28,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import ALNUM, held_out, landed, pieces, utf8
 
-VOCABULARY, BIGRAMS, TARGET_ROWS = 1 << 16, 1 << 20, 20_000
+VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
 #: Weight of the pair's own estimate against the word's; what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 UNKNOWN, START = 0, 1
@@ -44,23 +50,29 @@ def ids_of(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
     return np.concatenate([[START], np.fromiter(map(number.get, found, repeat(UNKNOWN)), np.int64, len(found))])
 
 
-def targets(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id) of at most ``most`` labelled documents of good quality that
-    aren't toxic and aren't held out, chosen by the hash of their id."""
+def targets(labels: DataFrame) -> DataFrame:
+    """(doc_id) of at most 20,000 labelled documents of good quality that aren't toxic and
+    aren't held out."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~held_out() & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000)
 
 
-def commonest(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of ``counted`` with the greatest ``n``, at most ``most``: ties at
-    the limit stay out together. The limit comes from the counts of counts,
-    summed up to ``most`` on the driver."""
+def least_common(counted: DataFrame, n: str, most: int) -> int | None:
+    """The least ``n`` of the at most ``most`` rows with the greatest ``n`` (none
+    if they are too many): ties at the limit stay out together. It comes from
+    the counts of counts, summed up to ``most`` on the driver."""
     total, limit = 0, None
     for r in counted.groupBy(n).count().orderBy(F.desc(n)).toLocalIterator():
         total += r["count"]
         if total > most:
             break
         limit = r[n]
+    return limit
+
+
+def commonest(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counted`` with the greatest ``n``, at most ``most``."""
+    limit = least_common(counted, n, most)
     return counted.where(F.col(n) >= limit) if limit is not None else counted.limit(0)
 
 
@@ -105,9 +117,8 @@ class Model:
         return n, sums / np.maximum(n, 1)[:, None]
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
-    """The two models. ``target_ids`` has at most TARGET_ROWS rows."""
-    spark = docs.sparkSession
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word, as a table in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -123,9 +134,18 @@ def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bi
                     held.clear()
         yield out()
 
-    counted = landed(docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return landed(docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+def ranks(counted: DataFrame, vocabulary: int) -> dict[bytes, int]:
+    """Numbers from 2 on of the commonest words, fewer than ``vocabulary``."""
     kept = commonest(counted, "n", vocabulary - 2).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    number = {w: k + 2 for k, w in enumerate(kept["word"].to_pylist())}
+    return {w: k + 2 for k, w in enumerate(kept["word"].to_pylist())}
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
+    """The two models, bounded by ``vocabulary`` and ``bigrams``."""
+    spark = docs.sparkSession
+    number = ranks(word_counts(docs), vocabulary)
     size, sent = len(number) + 2, spark.sparkContext.broadcast(number)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +166,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bi
         if held:
             yield out()
 
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(target_ids.withColumn("t", F.lit(True))), "doc_id", "left")
+    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(target_ids.withColumn("t", F.lit(True)), "doc_id", "left")
     summed = landed(marked.select("text", F.coalesce("t", F.lit(False)).alias("t")).mapInArrow(pairs, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "bigrams")
     word, context = np.zeros((size, 2)), np.zeros((size, 2))
     for counts, by in ((word, F.pmod("key", F.lit(size))), (context, F.floor(F.col("key") / size))):
@@ -173,3 +193,186 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*keys, "n_tokens", "target_loss", "background_loss"])
 
     return slim.mapInArrow(run, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word before and word of every token; ``ids`` is the last column."""
+    ids = batch.column(batch.num_columns - 1)
+    flat, size = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum(size) - size] = True
+    at = np.flatnonzero(~first)
+    return np.repeat(np.arange(len(size)), size)[at], flat[at - 1], flat[at]
+
+
+def _numbered(docs: DataFrame, target_ids: DataFrame, number: dict[bytes, int]) -> DataFrame:
+    """doc_id, ``t`` (1 for a target), ``row`` and ``ids`` (word numbers after a
+    start mark) of every row. As the table is written, ``row`` stays the same."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)
+    # Written first, so that the planner knows its size and broadcasts it only when it is small.
+    marks = landed(target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "targets").withColumn("t", F.lit(1).cast("long"))
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("__gm_text")).join(marks, "doc_id", "left")
+    slim = slim.select("doc_id", F.coalesce("t", F.lit(0).cast("long")).alias("t"), F.monotonically_increasing_id().alias("row"), "__gm_text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            every = []
+            for raw in utf8(b.column(3)):
+                ids = ids_of(raw, sent.value)
+                if len(rare := np.flatnonzero(ids == UNKNOWN)):
+                    found = words(raw)
+                    ids[rare] = [VOCABULARY + (xxhash.xxh64_intdigest(found[k - 1]) >> 2) for k in rare.tolist()]
+                every.append(ids)
+            ends = np.cumsum([0, *map(len, every)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every)))], names=["doc_id", "t", "row", "ids"])
+
+    return landed(slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, row long, ids array<long>"), "tokens", compression="zstd")
+
+
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words as themselves (wt, wn) and before another (ct, cn), in targets and in all rows."""
+    names, ranked = ["id", "wt", "wn", "ct", "cn"], np.zeros((4, VOCABULARY), np.int64)
+    for b in pieces(batches):
+        owner, before, now = _tokens(b)
+        mark = b.column(0).to_numpy(zero_copy_only=False)[owner]
+        for k, ids in ((0, now), (2, before)):
+            near = ids < VOCABULARY
+            ranked[k] += np.bincount(ids[near & (mark == 1)], minlength=VOCABULARY)
+            ranked[k + 1] += np.bincount(ids[near], minlength=VOCABULARY)
+            far, at = np.unique(ids[~near], return_inverse=True)
+            found = np.zeros((4, len(far)), np.int64)
+            found[k], found[k + 1] = np.bincount(at, mark[~near], len(far)), np.bincount(at, minlength=len(far))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (far, *found)], names=names)
+    held = np.flatnonzero(ranked.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held, *ranked[:, held])], names=names)
+
+
+def _ranked_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        _, before, now = _tokens(b)
+        near = (before < VOCABULARY) & (now < VOCABULARY)
+        yield pa.RecordBatch.from_arrays([pa.array(before[near] * VOCABULARY + now[near])], names=["key"])
+
+
+def _places(known: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Place of each pair in ``known`` (sorted keys), or -1."""
+    out = np.full(len(now), -1)
+    if len(known):
+        at = np.flatnonzero((before < VOCABULARY) & (now < VOCABULARY))
+        want = before[at] * VOCABULARY + now[at]
+        place = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        hit = known[place] == want
+        out[at[hit]] = place[hit]
+    return out
+
+
+def score_all(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
+    """doc_id, ``n_tokens``, ``target_loss`` and ``background_loss`` (means over
+    tokens) and ``score``, their difference, of every row of ``docs``, under
+    models that count all its words and pairs. ``vocabulary`` (at most
+    VOCABULARY) and ``bigrams`` bound what is broadcast and don't change results.
+    Texts without a word have null losses and score; repeated rows stay."""
+    context = docs.sparkSession.sparkContext
+    words_counted = word_counts(docs)
+    size = words_counted.count() + 2
+    rows = _numbered(docs, target_ids, ranks(words_counted, vocabulary))
+    counted = landed(rows.select("t", "ids").mapInArrow(_counts, "id long, wt long, wn long, ct long, cn long").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("wt", "wn", "ct", "cn"))), "counts")
+    sums = counted.agg(F.sum("wt"), F.sum("wn")).first()
+    whole = np.array([n or 0 for n in sums]) + ADDED * size
+    near = counted.where(F.col("id") < VOCABULARY)
+    table = near.toArrow()
+    ranked = np.zeros((4, VOCABULARY), np.int64)
+    ranked[:, table["id"].to_numpy()] = [table[c].to_numpy() for c in ("wt", "wn", "ct", "cn")]
+    alone, before_n = (ranked[:2] + ADDED) / whole[:, None], ranked[2:]
+
+    # Frequent pairs are looked for in a sixteenth of the rows and then counted in all.
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(16)) == 0).select("ids").mapInArrow(_ranked_pairs, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = np.sort(commonest(landed(sample, "sample"), "n", bigrams).select("key").toArrow()["key"].to_numpy())
+    keys_sent = context.broadcast(keys)
+
+    def count_known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = keys_sent.value
+        held = np.zeros((2, len(known)), np.int64)
+        for b in pieces(batches):
+            owner, before, now = _tokens(b)
+            place = _places(known, before, now)
+            mark = b.column(0).to_numpy(zero_copy_only=False)[owner] == 1
+            held[0] += np.bincount(place[(place >= 0) & mark], minlength=len(known))
+            held[1] += np.bincount(place[place >= 0], minlength=len(known))
+        at = np.flatnonzero(held[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0][at]), pa.array(held[1][at])], names=["at", "t", "n"])
+
+    frequent = np.zeros((2, len(keys)), np.int64)
+    if len(keys):
+        table = rows.select("t", "ids").mapInArrow(count_known, "at long, t long, n long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
+        frequent[:, table["at"].to_numpy()] = [table["t"].to_numpy(), table["n"].to_numpy()]
+    sent = context.broadcast((frequent, alone, before_n))
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each row over frequent pairs, and over other pairs of ranked words as if they occurred only here."""
+        known, (pair, alone, before_n) = keys_sent.value, sent.value
+        for b in pieces(batches):
+            owner, before, now = _tokens(b)
+            n_tokens, target = np.bincount(owner, minlength=b.num_rows), b.column(1).to_numpy(zero_copy_only=False)[owner]
+            near = np.flatnonzero((before < VOCABULARY) & (now < VOCABULARY))
+            owner, before, now, target = owner[near], before[near], now[near], target[near]
+            place, out = _places(known, before, now), []
+            for m, once in ((0, target), (1, np.ones(len(now)))):
+                n = np.where(place >= 0, pair[m][place], once) if len(known) else once
+                seen = before_n[m][before]
+                p = np.where(seen > 0, PAIR_WEIGHT * n / np.maximum(seen, 1) + (1 - PAIR_WEIGHT) * alone[m][now], alone[m][now])
+                out.append(np.bincount(owner, -np.log(p), b.num_rows).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n_tokens), *map(pa.array, out)], names=["row", "doc_id", "n_tokens", "lt", "ln"])
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other pairs of each row: ``rt`` (row, and t in the last bit), ``m`` occurrences, and (k1, k2, o): both in one, 0, 0
+        of ranked words; word, -1, before where the word isn't ranked; before, -2, word where the one before isn't. Pairs of two
+        that aren't ranked take the last form, and are counted for their word by a row with o < 0."""
+        for b in pieces(batches):
+            owner, before, now = _tokens(b)
+            cold = np.flatnonzero(_places(keys_sent.value, before, now) < 0)
+            order = cold[np.lexsort((now[cold], before[cold], owner[cold]))]
+            owner, before, now = owner[order], before[order], now[order]
+            start = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (before[1:] != before[:-1]) | (now[1:] != now[:-1])])) if len(owner) else np.zeros(0, np.int64)
+            m, owner, before, now = np.diff(start, append=len(owner)), owner[start], before[start], now[start]
+            rt = (b.column(1).to_numpy(zero_copy_only=False) << 1 | b.column(0).to_numpy(zero_copy_only=False))[owner]
+            far_b, far_w = before >= VOCABULARY, now >= VOCABULARY
+            k1 = np.where(far_b, before, np.where(far_w, now, before * VOCABULARY + now))
+            k2 = np.where(far_b, -2, np.where(far_w, -1, 0))
+            o = np.where(far_b, now, np.where(far_w, before, 0))
+            two = far_b & far_w
+            columns = [np.concatenate(x) for x in ((rt, rt[two]), (k1, now[two]), (k2, np.full(two.sum(), -1)), (o, -1 - before[two]), (m, m[two]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["rt", "k1", "k2", "o", "m"])
+
+    # Lets Spark's cleaner delete the shuffle files of the tables that are written.
+    context._jvm.System.gc()
+    cold = rows.select("t", "row", "ids").mapInArrow(spread, "rt long, k1 long, k2 long, o long, m long").repartition("k1", "k2")
+    group, pair, t = Window.partitionBy("k1", "k2"), Window.partitionBy("k1", "k2", "o"), F.col("rt").bitwiseAND(F.lit(1)) * F.col("m")
+    # The finer window first: its order serves the other too, so rows are sorted once.
+    answers = cold.select("*", F.sum("m").over(pair).alias("pn"), F.sum(t).over(pair).alias("pt")).select("*", F.sum("m").over(group).alias("gn"), F.sum(t).over(group).alias("gt"))
+    answers = landed(answers.where("o >= 0 AND (k2 < 0 OR pn > 1)"), "answers", compression="zstd")
+    context._jvm.System.gc()
+    b = F.when(F.col("k2") == 0, F.shiftright("k1", 16)).when(F.col("k2") == -1, F.col("o")).otherwise(F.col("k1"))
+    w = F.when(F.col("k2") == 0, F.col("k1").bitwiseAND(F.lit(VOCABULARY - 1))).when(F.col("k2") == -1, F.col("k1")).otherwise(F.col("o"))
+    named = answers.withColumn("b", b).withColumn("w", w)
+    of_word = counted.select(F.col("id").alias("w"), "wt", "wn")
+    two = (F.col("k2") == -2) & (F.col("w") >= VOCABULARY)
+    named = named.where(~two).join(F.broadcast(of_word.where(F.col("w") < VOCABULARY)), "w", "left").unionByName(named.where(two).join(of_word.where(F.col("w") >= VOCABULARY), "w", "left"))
+    named = named.join(F.broadcast(near.select(F.col("id").alias("b"), "ct", "cn")), "b", "left")
+
+    def loss(x: str, m: int, n: Column) -> Column:
+        word = F.when(F.col("k2") == -1, F.col(f"g{x}")).otherwise(F.col(f"w{x}"))
+        seen = F.when(F.col("k2") == -2, F.col(f"g{x}")).otherwise(F.col(f"c{x}"))
+        alone = (word + F.lit(ADDED)) / F.lit(float(whole[m]))
+        return -F.log(F.when(seen > 0, F.lit(PAIR_WEIGHT) * n / F.when(seen > 0, seen) + F.lit(1 - PAIR_WEIGHT) * alone).otherwise(alone))
+
+    def change(x: str, m: int, once: Column) -> Column:
+        taken = F.when(F.col("k2") >= 0, loss(x, m, once)).otherwise(F.lit(0.0))
+        return F.col("m") * (loss(x, m, F.col(f"p{x}")) - taken)
+
+    kind = docs.schema["doc_id"].dataType
+    back = named.select(F.shiftright("rt", 1).alias("row"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), change("t", 0, F.col("rt").bitwiseAND(F.lit(1))).alias("lt"), change("n", 1, F.lit(1)).alias("ln"))
+    first = rows.select("doc_id", "t", "row", "ids").mapInArrow(own, f"row long, doc_id {kind.simpleString()}, n_tokens long, lt double, ln double")
+    summed = first.unionAll(back).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("ln").alias("ln"))
+    mean = [F.when(F.col("n_tokens") > 0, F.col(x) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias(name) for x, name in (("lt", "target_loss"), ("ln", "background_loss"))]
+    return summed.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))

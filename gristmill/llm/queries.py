@@ -48,7 +48,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, lm_score.targets(table(spark, sf_dir, "labels"))))
+    return lm_score.score_all(docs, lm_score.targets(table(spark, sf_dir, "labels")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

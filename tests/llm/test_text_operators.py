@@ -287,6 +287,34 @@ def test_lm_scores_match_brute_force(spark):
     assert lm_score.score(frame(spark, []).limit(0), lm_score.fit(docs.limit(0), ids.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary, bigrams", [(1 << 16, 1 << 20), (6, 5), (2, 0)])
+def test_lm_scores_cut_nothing(spark, vocabulary, bigrams):
+    rnd = random.Random(18)
+    rows = [*((k, prose(rnd, rnd.randint(1, 30)) + f" only{k} twice{k // 2}") for k in range(40)), (100, None), (101, ""), (0, "the mill"), (None, "sack of flour"), (None, "")]
+    target = range(20)
+    pairs, word, context = (defaultdict(lambda: [0, 0]) for _ in range(3))
+    tokens = [["", *(w.decode() for w in lm_score.words((t or "").encode()))] for _, t in rows]
+    for (k, _), x in zip(rows, tokens):
+        for a, b in zip(x, x[1:]):
+            for table, key in ((pairs, (a, b)), (word, b), (context, a)):
+                table[key][0] += k in target
+                table[key][1] += 1
+    size = len(word) + 2
+
+    def loss(x, m):
+        out = []
+        for a, b in zip(x, x[1:]):
+            alone = (word[b][m] + 0.5) / (sum(v[m] for v in word.values()) + 0.5 * size)
+            out.append(-math.log(0.6 * pairs[a, b][m] / context[a][m] + 0.4 * alone if context[a][m] else alone))
+        return sum(out) / len(out) if out else math.nan
+
+    ids = spark.createDataFrame([(k,) for k in target], "doc_id long")
+    found = lm_score.score_all(frame(spark, rows), ids, vocabulary, bigrams).collect()
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], *(math.nan if r[c] is None else r[c] for c in ("target_loss", "background_loss"))) for r in found)
+    want = sorted((k or -1, len(x) - 1, loss(x, 0), loss(x, 1)) for (k, _), x in zip(rows, tokens))
+    assert np.allclose(got, want, equal_nan=True, rtol=1e-9)
+
+
 # Decontamination
 
 
