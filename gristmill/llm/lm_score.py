@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import ALNUM, held_out, landed, pieces, utf8
 
-VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
+VOCABULARY, BIGRAMS, MARKS = 1 << 16, 1 << 20, 1 << 20
 #: Weight of the pair's own estimate against the word's; what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 UNKNOWN, START = 0, 1
@@ -51,10 +51,10 @@ def ids_of(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
 
 
 def targets(labels: DataFrame) -> DataFrame:
-    """(doc_id) of at most 20,000 labelled documents of good quality that aren't toxic and
+    """(doc_id) of all labelled documents of good quality that aren't toxic and
     aren't held out."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~held_out() & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000)
+    return good.select("doc_id").distinct()
 
 
 def least_common(counted: DataFrame, n: str, most: int) -> int | None:
@@ -209,8 +209,10 @@ def _numbered(docs: DataFrame, target_ids: DataFrame, number: dict[bytes, int])
     """doc_id, ``t`` (1 for a target), ``row`` and ``ids`` (word numbers after a
     start mark) of every row. As the table is written, ``row`` stays the same."""
     sent = docs.sparkSession.sparkContext.broadcast(number)
-    # Written first, so that the planner knows its size and broadcasts it only when it is small.
+    # Broadcast up to MARKS ids; more are joined by a shuffle.
     marks = landed(target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "targets").withColumn("t", F.lit(1).cast("long"))
+    if marks.count() <= MARKS:
+        marks = F.broadcast(marks)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("__gm_text")).join(marks, "doc_id", "left")
     slim = slim.select("doc_id", F.coalesce("t", F.lit(0).cast("long")).alias("t"), F.monotonically_increasing_id().alias("row"), "__gm_text")
 

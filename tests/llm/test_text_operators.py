@@ -315,6 +315,13 @@ def test_lm_scores_cut_nothing(spark, vocabulary, bigrams):
     assert np.allclose(got, want, equal_nan=True, rtol=1e-9)
 
 
+def test_all_target_documents_count(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    from gristmill.llm.common import held_out
+
+    assert lm_score.targets(labels).count() == labels.where(~held_out()).count() > 20_000
+
+
 # Decontamination
 
 
