@@ -15,9 +15,9 @@ is closed at ``SHARD_WORDS`` indexed words or ``SHARD_BYTES`` of text, which
 bounds a task's memory.
 
 The documents aren't shuffled. The benchmark is taken in blocks of about
-``BLOCK_WORDS`` words, each sent to the tasks on its own; with one block (the
-usual case) a row's result is final in its task, with more the spans of a row
-are merged by its key.
+``BLOCK_WORDS`` words, each sent to the tasks on its own. With several blocks the
+rows pass through them in turn and carry what was found so far, so a row is
+final in its tasks and nothing is grouped by a key, whatever the sizes.
 """
 
 from __future__ import annotations
@@ -197,48 +197,56 @@ def occurrences(
     """``keys``, ``n_words``, ``spans`` (merged half-open word ranges that
     occurrences cover) and ``items`` (sorted ids of items with an occurrence).
 
-    One row per row of ``docs``; with a benchmark of several blocks, rows that
-    repeat all keys merge into one. Null texts have no words; items without
+    One row per row of ``docs``, also where rows repeat all keys. Null texts have no words; items without
     words or id are ignored; an empty benchmark hits nothing; other columns
     are ignored. Item ids must be integers."""
-    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
     row = "n_words long, spans array<struct<start: long, end: long>>, items array<long>"
-    schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), row])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    found, texts = docs.select(*keys, F.col(text).cast("string").alias("__gm_text")), "__gm_text string, "
+    schema = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys)
 
-    def search(phrases: Phrases) -> DataFrame:
+    def search(before: DataFrame, phrases: Phrases, first: bool, last: bool) -> DataFrame:
+        """``before`` with what the phrases hit added; the text stays for the next block, and goes after the last."""
         sent = docs.sparkSession.sparkContext.broadcast(phrases)
+        n_keys = len(keys)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, kinds = Shard(sent.value), None
+            shard, kinds, held = Shard(sent.value), None, []
 
             def close() -> pa.RecordBatch:
                 columns = list(zip(*shard.results()))
-                nested = [[{"start": a, "end": b} for a, b in s] for s in columns[-2]]
-                arrays = [*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(columns[-3], pa.int64()), pa.array(nested, span), pa.array(columns[-1], pa.list_(pa.int64()))]
-                return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_words", "spans", "items"])
+                spans, items = columns[-2], columns[-1]
+                if not first:
+                    spans = [merged([*s, *((x["start"], x["end"]) for x in old[1])]) for s, old in zip(spans, held)]
+                    items = [sorted({*i, *old[2]}) for i, old in zip(items, held)]
+                nested = [[{"start": a, "end": b} for a, b in s] for s in spans]
+                body = [] if last else [pa.array([old[0] for old in held], pa.binary()).cast(kinds[n_keys])]
+                arrays = [*(pa.array(c, t) for c, t in zip(columns[:n_keys], kinds)), *body, pa.array(columns[-3], pa.int64()), pa.array(nested, span), pa.array(items, pa.list_(pa.int64()))]
+                return pa.RecordBatch.from_arrays(arrays, names=[*keys, *([] if last else ["__gm_text"]), "n_words", "spans", "items"])
 
             for b in pieces(batches):
-                kinds = [f.type for f in b.schema][:-1]
-                for *key, body in zip(*(c.to_pylist() for c in b.columns[:-1]), utf8(b.column(b.num_columns - 1))):
+                kinds = [f.type for f in b.schema]
+                bodies = utf8(b.column(n_keys))
+                old = zip(bodies, *((b.column("spans").to_pylist(), b.column("items").to_pylist()) if not first else ()))
+                for *key, body, past in zip(*(c.to_pylist() for c in b.columns[:n_keys]), bodies, old):
                     shard.add(tuple(key), body)
+                    if not (first and last):
+                        held.append(past)
                     if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES or len(shard.rows) >= 20_000:
                         yield close()
-                        shard = Shard(sent.value)
+                        shard, held = Shard(sent.value), []
             if shard.rows:
                 yield close()
 
-        return slim.mapInArrow(run, schema)
-
-    found = [search(p) for p in _blocks(benchmark, item, item_text, block_words)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    grouped = every.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    union = F.udf(lambda s: merged((x["start"], x["end"]) for x in s), "array<struct<start: long, end: long>>")
-    return grouped.withColumn("spans", union("spans"))
+        return before.mapInArrow(run, f"{schema}, {'' if last else texts}{row}")
+
+    blocks = iter(_blocks(benchmark, item, item_text, block_words))
+    phrases, first = next(blocks), True
+    while phrases is not None:
+        more = next(blocks, None)
+        found = search(found, phrases, first, more is None)
+        phrases, first = more, False
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

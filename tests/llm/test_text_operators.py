@@ -355,6 +355,24 @@ def test_decontamination_matches_brute_force(spark, block, monkeypatch):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in found.collect()), key=str) == hits(docs, items)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 10])
+def test_rows_with_repeated_or_no_id_stay_apart(spark, block):
+    rnd = random.Random(10)
+    items = [(k, prose(rnd, 14)) for k in range(12)]
+    docs = [(i, f"{prose(rnd, n)} qqq {items[k][1]} zzz") for i in (None, 1, 2) for n, k in ((5, 0), (9, 1), (700, 2))] + [(None, None), (None, ""), (1, items[3][1]), (1, items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(frame(spark, docs), bench, block_words=block).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in found), key=str) == hits(docs, items)
+
+
+def test_removal_keeps_repeated_rows_with_several_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, prose(random.Random(k), 14)) for k in range(12)], "item_id long, text string")
+    blocks = decontaminate._blocks
+    monkeypatch.setattr(decontaminate, "_blocks", lambda b, i, t, _: blocks(b, i, t, 10))
+    docs = frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, None), (2, prose(random.Random(3), 14))])
+    assert sorted((r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()), key=str) == [1, 1, None, None]
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "a b"), (1, "a b")])
