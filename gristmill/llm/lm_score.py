@@ -6,17 +6,18 @@ those of all documents. A document's score is its mean loss per token under
 the target model less that under the background model: the lower, the more it
 reads like the target.
 
-Nothing is cut by ``score_all``. Words are numbers there: the ``VOCABULARY``
-commonest by rank, all others by 62 bits of their XXH64. Counts of ranked words
-and of pairs that are frequent in a sample are exact sums, broadcast; frequent
-keys thus stay out of the shuffle. Every other (document, pair, n) is shuffled
-once, by its rare word or else by the pair, and meets there all other rows of
-that word and pair, so its exact counts are known. A pair that occurs once needs
-no answer: its document has already taken that count; only the others return.
-
-``fit`` and ``score`` are the bounded form, a model small enough to be sent
-whole: words outside ``vocabulary`` are one unknown word and pairs outside
-``bigrams`` back off to the word alone. No registered query uses it.
+Nothing is cut: all words and pairs of all documents count. Words and pairs
+that are frequent in a sample of the rows are numbered, counted exactly over
+all rows and broadcast, which keeps hot keys out of the shuffle; which ones
+they are changes costs, not results. Every other (document, pair) is one
+message of 20 bytes. Messages are shuffled once, packed as arrays in buckets of
+about ``BUCKET`` messages, by their rare word or else by the pair, and meet
+there all other messages of that word and pair, so exact counts are known. A
+pair of numbered words that occurs once needs no answer: its document has
+already taken that count. Of two rare words in a row, the first one's bucket
+knows the pair and the context, and a join brings in the second one's count.
+
+The number of buckets grows with the input, so memory in a task doesn't.
 """
 
 from __future__ import annotations
@@ -29,27 +30,27 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import ALNUM, held_out, landed, pieces, utf8
 
-VOCABULARY, BIGRAMS, MARKS = 1 << 16, 1 << 20, 1 << 20
+#: Most words that are numbered, most pairs of them that are counted apart; these bound what is broadcast, not what counts.
+VOCABULARY, BIGRAMS = 1 << 17, 1 << 18
+#: Target ids are broadcast up to so many; tokens a task takes together, messages of a bucket, and every how manieth row is in the sample.
+MARKS, CHUNK, BUCKET, SAMPLE = 1 << 20, 1 << 19, 1 << 20, 16
 #: Weight of the pair's own estimate against the word's; what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 UNKNOWN, START = 0, 1
 
+#: Kinds of packed rows: a document's own sums; messages of a pair of numbered words, of a rare word before another, of a rare word itself.
+OWN, PAIR, BEFORE, WORD = range(4)
+
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ALNUM).split()
 
 
-def ids_of(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
-    """Word numbers after a start mark; UNKNOWN for words outside the vocabulary."""
-    found = words(text)
-    return np.concatenate([[START], np.fromiter(map(number.get, found, repeat(UNKNOWN)), np.int64, len(found))])
-
-
 def targets(labels: DataFrame) -> DataFrame:
     """(doc_id) of all labelled documents of good quality that aren't toxic and
     aren't held out."""
@@ -57,324 +58,347 @@ def targets(labels: DataFrame) -> DataFrame:
     return good.select("doc_id").distinct()
 
 
-def least_common(counted: DataFrame, n: str, most: int) -> int | None:
-    """The least ``n`` of the at most ``most`` rows with the greatest ``n`` (none
-    if they are too many): ties at the limit stay out together. It comes from
-    the counts of counts, summed up to ``most`` on the driver."""
+def commonest(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counted`` with the greatest ``n``, at most ``most``; ties at
+    the limit stay out together. The limit comes from the counts of counts,
+    summed up to ``most`` on the driver."""
     total, limit = 0, None
-    for r in counted.groupBy(n).count().orderBy(F.desc(n)).toLocalIterator():
+    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         total += r["count"]
         if total > most:
             break
-        limit = r[n]
-    return limit
+        limit = r["n"]
+    return counted.where(F.col("n") >= limit) if limit is not None else counted.limit(0)
 
 
-def commonest(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of ``counted`` with the greatest ``n``, at most ``most``."""
-    limit = least_common(counted, n, most)
-    return counted.where(F.col(n) >= limit) if limit is not None else counted.limit(0)
+def numbered(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
+    """A start mark and the text's words: their numbers, or of rare words VOCABULARY and 62 bits of their XXH64."""
+    found = words(text)
+    ids = np.empty(len(found) + 1, np.int64)
+    ids[0] = START
+    ids[1:] = np.fromiter(map(number.get, found, repeat(UNKNOWN)), np.int64, len(found))
+    if len(rare := np.flatnonzero(ids == UNKNOWN)):
+        ids[rare] = [VOCABULARY + (xxhash.xxh64_intdigest(found[k - 1]) >> 2) for k in rare.tolist()]
+    return ids
 
 
 @dataclass
-class Model:
-    """number: of each word; key, pair: sorted bigrams and their counts
-    [target, background]; word, context: counts [target, background] by number."""
-
-    number: dict[bytes, int]
-    word: np.ndarray
-    context: np.ndarray
-    key: np.ndarray
-    pair: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.alone = (self.word + ADDED) / (self.word.sum(axis=0) + ADDED * len(self.word))
-        self.known = self.context > 0
-        self.scale = PAIR_WEIGHT / np.maximum(self.context, 1)
-
-    def losses(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """[token, model]: negative log probability of each token after the one
-        before it, under the target and the background model."""
-        alone = self.alone[now]
-        mixed = (1 - PAIR_WEIGHT) * alone
-        if len(self.key):
-            want = before * len(self.word) + now
-            at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            seen = np.flatnonzero(self.key[at] == want)
-            mixed[seen] += self.scale[before[seen]] * self.pair[at[seen]]
-        return -np.log(np.where(self.known[before], mixed, alone))
-
-    def means(self, texts: list[bytes | None], step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and [text, model] the mean loss of a token; texts are taken together, ``step`` tokens at a time."""
-        ids = [ids_of(t, self.number) for t in texts]
+class Chunk:
+    """Some rows together: of each row its id, number, target mark and tokens;
+    of each token its row's place, the word before it and the word."""
+
+    doc: list
+    row: np.ndarray
+    target: np.ndarray
+    tokens: np.ndarray
+    owner: np.ndarray
+    before: np.ndarray
+    now: np.ndarray
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], number: dict[bytes, int]) -> Iterator[Chunk]:
+    """Rows of (doc_id, t, row, text), about CHUNK tokens at a time."""
+    held: list[tuple] = []
+    size = 0
+
+    def chunk() -> Chunk:
+        doc, t, row, ids = zip(*held)
         n = np.array([len(x) - 1 for x in ids], np.int64)
-        before, now, owner = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids]), np.repeat(np.arange(len(ids)), n)
-        sums = np.zeros((len(ids), 2))
-        for k in range(0, len(now), step):
-            loss = self.losses(before[k : k + step], now[k : k + step])
-            for m in (0, 1):
-                sums[:, m] += np.bincount(owner[k : k + step], loss[:, m], len(ids))
-        return n, sums / np.maximum(n, 1)[:, None]
+        before, now = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
+        return Chunk(list(doc), np.array(row, np.int64), np.array(t, np.int64), n, np.repeat(np.arange(len(n)), n), before, now)
 
+    for b in pieces(batches):
+        for doc, t, row, raw in zip(*(b.column(k).to_pylist() for k in range(3)), utf8(b.column(3))):
+            held.append((doc, t, row, numbered(raw, number)))
+            size += len(held[-1][3])
+            if size >= CHUNK:
+                yield chunk()
+                held, size = [], 0
+    if held:
+        yield chunk()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of every word, as a table in the shared folder."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+def _places(known: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Place of each pair in ``known`` (sorted keys), or -1."""
+    out = np.full(len(now), -1)
+    if len(known):
+        at = np.flatnonzero((before < VOCABULARY) & (now < VOCABULARY))
+        want = before[at] * VOCABULARY + now[at]
+        place = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        hit = known[place] == want
+        out[at[hit]] = place[hit]
+    return out
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-        for b in pieces(batches):
-            for raw in utf8(b.column(0)):
-                held.update(words(raw))
-                if len(held) > 500_000:
-                    yield out()
-                    held.clear()
-        yield out()
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins in sorted arrays."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
-    return landed(docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
-def ranks(counted: DataFrame, vocabulary: int) -> dict[bytes, int]:
-    """Numbers from 2 on of the commonest words, fewer than ``vocabulary``."""
-    kept = commonest(counted, "n", vocabulary - 2).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return {w: k + 2 for k, w in enumerate(kept["word"].to_pylist())}
+@dataclass
+class Counts:
+    """What is broadcast: exact counts [target, all] of numbered words (each as
+    itself and before another) and of known pairs, and the words' share."""
 
+    alone: np.ndarray
+    context: np.ndarray
+    known: np.ndarray
+    pair: np.ndarray
+    whole: np.ndarray
 
-def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
-    """The two models, bounded by ``vocabulary`` and ``bigrams``."""
-    spark = docs.sparkSession
-    number = ranks(word_counts(docs), vocabulary)
-    size, sent = len(number) + 2, spark.sparkContext.broadcast(number)
+    def loss(self, m: int, pair: np.ndarray, context: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        mixed = PAIR_WEIGHT * pair / np.maximum(context, 1) + (1 - PAIR_WEIGHT) * alone
+        return -np.log(np.where(context > 0, mixed, alone))
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size_held = [], 0
 
-        def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(n * (key & 1)), pa.array(n)], names=["key", "t", "n"])
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, t, row, text): ``t`` is 1 for a target, ``row`` a number of its own."""
+    marks = landed(target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "targets").withColumn("t", F.lit(1).cast("long"))
+    small = marks.count() <= MARKS
+    both = docs.select("doc_id", F.col("text").cast("string").alias("__gm_text")).join(F.broadcast(marks) if small else marks, "doc_id", "left")
+    rows = both.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("t", F.lit(0).cast("long")).alias("t"), F.monotonically_increasing_id().alias("row"), "__gm_text")
+    # Shuffled rows may come in another order when a task runs again, so they are written first.
+    return rows if small else landed(rows, "marked")
 
-        for b in pieces(batches):
-            for raw, target in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-                ids = ids_of(raw, sent.value)
-                held.append((ids[:-1] * size + ids[1:]) << 1 | int(target))
-                size_held += len(ids)
-                if size_held > 1 << 21:
-                    yield out()
-                    held, size_held = [], 0
-        if held:
-            yield out()
-
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(target_ids.withColumn("t", F.lit(True)), "doc_id", "left")
-    summed = landed(marked.select("text", F.coalesce("t", F.lit(False)).alias("t")).mapInArrow(pairs, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "bigrams")
-    word, context = np.zeros((size, 2)), np.zeros((size, 2))
-    for counts, by in ((word, F.pmod("key", F.lit(size))), (context, F.floor(F.col("key") / size))):
-        found = summed.groupBy(by.cast("long").alias("k")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
-        counts[found["k"].to_numpy()] = np.stack([found["t"].to_numpy(), found["n"].to_numpy()], axis=1)
-    best = commonest(summed, "n", bigrams).toArrow()
-    order = np.argsort(best["key"].to_numpy())
-    return Model(number, word, context, best["key"].to_numpy()[order], np.stack([best["t"].to_numpy()[order], best["n"].to_numpy()[order]], axis=1).astype(np.float32))
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, ``n_tokens``, ``target_loss`` and ``background_loss`` (means over
-    tokens) and ``score``, their difference, of every row. Texts without a word
-    (null, empty) have null losses and score; repeated rows stay; other columns
-    are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]), "n_tokens long, target_loss double, background_loss double"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(rows: DataFrame, vocabulary: int, bigrams: int, sample: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers (from 2 on) of words and sorted keys of pairs that are frequent in every ``sample``-th row."""
+    some = landed(rows.where(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0).select("__gm_text"), "sample")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            n, means = sent.value.means(utf8(b.column(b.num_columns - 1)))
-            arrays = [pa.array(n), *(pa.array(means[:, m], mask=n == 0) for m in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*keys, "n_tokens", "target_loss", "background_loss"])
+            held = Counter(w for raw in utf8(b.column(0)) for w in words(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["key", "n"])
 
-    return slim.mapInArrow(run, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    counted = landed(some.mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    found = commonest(counted, min(vocabulary, VOCABULARY) - 2).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+    number = {w: k + 2 for k, w in enumerate(found["key"].to_pylist())}
 
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            every = [numbered(raw, number) for raw in utf8(b.column(0))]
+            before, now = np.concatenate([x[:-1] for x in every]), np.concatenate([x[1:] for x in every])
+            near = (before < VOCABULARY) & (now < VOCABULARY)
+            key, n = np.unique(before[near] * VOCABULARY + now[near], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word before and word of every token; ``ids`` is the last column."""
-    ids = batch.column(batch.num_columns - 1)
-    flat, size = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False)
-    first = np.zeros(len(flat), bool)
-    first[np.cumsum(size) - size] = True
-    at = np.flatnonzero(~first)
-    return np.repeat(np.arange(len(size)), size)[at], flat[at - 1], flat[at]
+    counted = landed(some.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "pairs")
+    return number, np.sort(commonest(counted, bigrams).toArrow()["key"].to_numpy())
 
 
-def _numbered(docs: DataFrame, target_ids: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """doc_id, ``t`` (1 for a target), ``row`` and ``ids`` (word numbers after a
-    start mark) of every row. As the table is written, ``row`` stays the same."""
-    sent = docs.sparkSession.sparkContext.broadcast(number)
-    # Broadcast up to MARKS ids; more are joined by a shuffle.
-    marks = landed(target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "targets").withColumn("t", F.lit(1).cast("long"))
-    if marks.count() <= MARKS:
-        marks = F.broadcast(marks)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("__gm_text")).join(marks, "doc_id", "left")
-    slim = slim.select("doc_id", F.coalesce("t", F.lit(0).cast("long")).alias("t"), F.monotonically_increasing_id().alias("row"), "__gm_text")
+def _count(rows: DataFrame, number: dict[bytes, int], known: np.ndarray) -> Counts:
+    """Exact counts of numbered words and known pairs over all rows; of rare words, how many there are."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((number, known))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            every = []
-            for raw in utf8(b.column(3)):
-                ids = ids_of(raw, sent.value)
-                if len(rare := np.flatnonzero(ids == UNKNOWN)):
-                    found = words(raw)
-                    ids[rare] = [VOCABULARY + (xxhash.xxh64_intdigest(found[k - 1]) >> 2) for k in rare.tolist()]
-                every.append(ids)
-            ends = np.cumsum([0, *map(len, every)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every)))], names=["doc_id", "t", "row", "ids"])
-
-    return landed(slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, row long, ids array<long>"), "tokens", compression="zstd")
-
-
-def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words as themselves (wt, wn) and before another (ct, cn), in targets and in all rows."""
-    names, ranked = ["id", "wt", "wn", "ct", "cn"], np.zeros((4, VOCABULARY), np.int64)
-    for b in pieces(batches):
-        owner, before, now = _tokens(b)
-        mark = b.column(0).to_numpy(zero_copy_only=False)[owner]
-        for k, ids in ((0, now), (2, before)):
-            near = ids < VOCABULARY
-            ranked[k] += np.bincount(ids[near & (mark == 1)], minlength=VOCABULARY)
-            ranked[k + 1] += np.bincount(ids[near], minlength=VOCABULARY)
-            far, at = np.unique(ids[~near], return_inverse=True)
-            found = np.zeros((4, len(far)), np.int64)
-            found[k], found[k + 1] = np.bincount(at, mark[~near], len(far)), np.bincount(at, minlength=len(far))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (far, *found)], names=names)
-    held = np.flatnonzero(ranked.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held, *ranked[:, held])], names=names)
-
-
-def _ranked_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        _, before, now = _tokens(b)
-        near = (before < VOCABULARY) & (now < VOCABULARY)
-        yield pa.RecordBatch.from_arrays([pa.array(before[near] * VOCABULARY + now[near])], names=["key"])
-
+        number, known = sent.value
+        held = np.zeros((4, VOCABULARY), np.int64)
+        pair = np.zeros((2, len(known)), np.int64)
+
+        def out(kind: int, at: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), *map(pa.array, columns)], names=["kind", "id", "wt", "wn", "ct", "cn"])
+
+        for c in _chunks(batches, number):
+            mark = c.target[c.owner] == 1
+            for k, ids in ((0, c.now), (2, c.before)):
+                near = ids < VOCABULARY
+                held[k] += np.bincount(ids[near & mark], minlength=VOCABULARY)
+                held[k + 1] += np.bincount(ids[near], minlength=VOCABULARY)
+            rare, n = np.unique(c.now[c.now >= VOCABULARY], return_inverse=True)
+            place = _places(known, c.before, c.now)
+            pair[0] += np.bincount(place[(place >= 0) & mark], minlength=len(known))
+            pair[1] += np.bincount(place[place >= 0], minlength=len(known))
+            none = np.zeros(len(rare), np.int64)
+            far = c.now >= VOCABULARY
+            yield out(2, rare, np.bincount(n, mark[far], len(rare)).astype(np.int64), np.bincount(n, minlength=len(rare)), none, none)
+        at = np.flatnonzero(held.any(axis=0))
+        yield out(0, at, *held[:, at])
+        at = np.flatnonzero(pair[1])
+        yield out(1, at, *pair[:, at], *np.zeros((2, len(at)), np.int64))
+
+    sums = [F.sum(c).alias(c) for c in ("wt", "wn", "ct", "cn")]
+    counted = landed(rows.mapInArrow(run, "kind long, id long, wt long, wn long, ct long, cn long").groupBy("kind", "id").agg(*sums), "counts", compression="zstd")
+    whole = {r["kind"]: r for r in counted.groupBy("kind").agg(F.count("*").alias("n"), *sums[:2]).collect()}
+    near = counted.where("kind < 2").toArrow()
+    kind, at = near["kind"].to_numpy(), near["id"].to_numpy()
+    columns = np.array([near[c].to_numpy() for c in ("wt", "wn", "ct", "cn")]).reshape(4, -1)
+    word, pair = np.zeros((4, VOCABULARY), np.int64), np.zeros((2, len(known)), np.int64)
+    word[:, at[kind == 0]] = columns[:, kind == 0]
+    pair[:, at[kind == 1]] = columns[:2, kind == 1]
+    # The vocabulary is every different word, the start mark and one unknown word.
+    size = int((word[1] > 0).sum()) + (whole[2]["n"] if 2 in whole else 0) + 2
+    total = np.array([sum(whole[k][c] for k in (0, 2) if k in whole) for c in ("wt", "wn")], float) + ADDED * size
+    return Counts((word[:2] + ADDED) / total[:, None], word[2:], known, pair, total)
+
+
+def _pack(kind: int, buckets: int, key: np.ndarray, other: np.ndarray, row: np.ndarray) -> pa.RecordBatch | None:
+    """Messages (key, other, row) of a chunk as arrays by bucket, equal ones together with how often they occur."""
+    if not len(key):
+        return None
+    order = np.lexsort((row, other, key))
+    key, other, row = key[order], other[order], row[order]
+    start = _starts(key, other, row)
+    m, key, other, row = np.diff(start, append=len(key)), key[start], other[start], row[start]
+    mixed = (key.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    start = _starts(bucket)
+    ends = pa.array(np.append(start, len(bucket)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key, other, row, m)]
+    return _packed(kind, bucket[start], lists=lists)
+
+
+def _packed(kind: int, bucket: np.ndarray, own: list | None = None, lists: list | None = None) -> pa.RecordBatch:
+    n = len(bucket)
+    own = own or [pa.nulls(n, pa.int64()), pa.nulls(n, DOC), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
+    lists = lists or [pa.nulls(n, pa.list_(pa.int64()))] * 4
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), pa.array(bucket), *own, *lists], names=["kind", "bucket", "row", "doc_id", "n_tokens", "lt", "ln", "k", "o", "r", "m"])
+
+
+DOC = pa.string()
+
+
+def _messages(rows: DataFrame, number: dict[bytes, int], counts: Counts, buckets: int) -> DataFrame:
+    """Each row's own sums (over known pairs, and over other pairs of numbered
+    words as if they occurred only here), and its messages in buckets. A
+    message's last number is the row, and the target mark in its last bit."""
+    sent = rows.sparkSession.sparkContext.broadcast((number, counts))
 
-def _places(known: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Place of each pair in ``known`` (sorted keys), or -1."""
-    out = np.full(len(now), -1)
-    if len(known):
-        at = np.flatnonzero((before < VOCABULARY) & (now < VOCABULARY))
-        want = before[at] * VOCABULARY + now[at]
-        place = np.minimum(np.searchsorted(known, want), len(known) - 1)
-        hit = known[place] == want
-        out[at[hit]] = place[hit]
-    return out
-
-
-def score_all(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, counts = sent.value
+        for c in _chunks(batches, number):
+            place, sums = _places(counts.known, c.before, c.now), []
+            near = (c.before < VOCABULARY) & (c.now < VOCABULARY)
+            owner, before, now, at = c.owner[near], c.before[near], c.now[near], place[near]
+            for m, once in ((0, c.target[owner]), (1, np.ones(len(owner), np.int64))):
+                n = np.where(at >= 0, counts.pair[m][at], once) if len(counts.known) else once
+                loss = counts.loss(m, n, counts.context[m][before], counts.alone[m][now])
+                sums.append(np.bincount(owner, loss, len(c.doc)).astype(np.float64))
+            own = [pa.array(c.row), pa.array(c.doc, pa.string()), pa.array(c.tokens), *map(pa.array, sums)]
+            yield _packed(OWN, c.row % buckets, own=own)
+            cold = place < 0
+            owner, before, now = c.owner[cold], c.before[cold], c.now[cold]
+            rt = (c.row << 1 | c.target)[owner]
+            far_b, far_w = before >= VOCABULARY, now >= VOCABULARY
+            near, two, late = ~far_b & ~far_w, far_b & far_w, far_w & ~far_b
+            none = np.full(two.sum(), -1)
+            made = (
+                _pack(PAIR, buckets, before[near] * VOCABULARY + now[near], np.zeros(near.sum(), np.int64), rt[near]),
+                _pack(BEFORE, buckets, before[far_b], now[far_b], rt[far_b]),
+                # Of two rare words, the second is only counted in its own bucket.
+                _pack(WORD, buckets, np.concatenate([now[late], now[two]]), np.concatenate([before[late], none]), np.concatenate([rt[late], rt[two] & 1])),
+            )
+            yield from (b for b in made if b is not None)
+
+    return rows.mapInArrow(run, "kind long, bucket long, row long, doc_id string, n_tokens long, lt double, ln double, k array<long>, o array<long>, r array<long>, m array<long>")
+
+
+ANSWER = "row long, doc_id string, n_tokens long, lt double, ln double, word long, m long, p0 long, p1 long, c0 long, c1 long"
+
+
+def _answer(batches: Iterable[pa.RecordBatch], counts: Counts) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: its documents' own sums as they are; what the exact counts
+    change of each row's sums; and for two rare words in a row (word, m, counts
+    of pair and context), to be joined with rows that hold only a word's counts."""
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    held: dict[int, list[list[np.ndarray]]] = {PAIR: [], BEFORE: [], WORD: []}
+
+    def out(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        kinds = {"doc_id": pa.string(), "lt": pa.float64(), "ln": pa.float64()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
+
+    def changes(row: np.ndarray, m: np.ndarray, change: list[np.ndarray]) -> pa.RecordBatch:
+        every, at = np.unique(row >> 1, return_inverse=True)
+        return out(len(every), row=every, lt=np.bincount(at, m * change[0], len(every)), ln=np.bincount(at, m * change[1], len(every)))
+
+    for b in batches:
+        kind = b.column(0).to_numpy()
+        own = b.filter(pa.array(kind == OWN))
+        if own.num_rows:
+            none = [pa.nulls(own.num_rows, pa.int64())] * (len(names) - 5)
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names[:5]), *none], names=names)
+        for k in held:
+            some = b.filter(pa.array(kind == k))
+            if some.num_rows:
+                held[k].append([some.column(c).flatten().to_numpy() for c in ("k", "o", "r", "m")])
+
+    def taken(kind: int) -> tuple[np.ndarray, ...]:
+        """The bucket's messages of a kind, sorted by key and other."""
+        k, o, r, m = (np.concatenate(x) for x in zip(*held[kind]))
+        held[kind].clear()
+        order = np.lexsort((o, k))
+        return k[order], o[order], r[order], m[order]
+
+    def summed(start: np.ndarray, r: np.ndarray, m: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """[target, all] sums of runs, and the run of each message."""
+        return [np.add.reduceat(x, start) for x in (m * (r & 1), m)], np.repeat(np.arange(len(start)), np.diff(start, append=len(m)))
+
+    if held[PAIR]:
+        k, _, r, m = taken(PAIR)
+        n, at = summed(_starts(k), r, m)
+        again = n[1][at] > 1
+        k, r, m, at = k[again], r[again], m[again], at[again]
+        before, now = k // VOCABULARY, k % VOCABULARY
+        change = [counts.loss(x, n[x][at], counts.context[x][before], counts.alone[x][now]) - counts.loss(x, once, counts.context[x][before], counts.alone[x][now]) for x, once in ((0, r & 1), (1, np.ones(len(r), np.int64)))]
+        yield changes(r, m, change)
+    if held[BEFORE]:
+        k, o, r, m = taken(BEFORE)
+        (context, of), (n, at) = summed(_starts(k), r, m), summed(_starts(k, o), r, m)
+        near = o < VOCABULARY
+        loss = [counts.loss(x, n[x][at[near]], context[x][of[near]], counts.alone[x][o[near]]) for x in (0, 1)]
+        yield changes(r[near], m[near], loss)
+        far = ~near
+        yield out(int(far.sum()), row=r[far] >> 1, word=o[far], m=m[far], p0=n[0][at[far]], p1=n[1][at[far]], c0=context[0][of[far]], c1=context[1][of[far]])
+    if held[WORD]:
+        k, o, r, m = taken(WORD)
+        start = _starts(k)
+        (word, of), (n, at) = summed(start, r, m), summed(_starts(k, o), r, m)
+        near = o >= 0
+        loss = [counts.loss(x, n[x][at[near]], counts.context[x][o[near]], (word[x][of[near]] + ADDED) / counts.whole[x]) for x in (0, 1)]
+        yield changes(r[near], m[near], loss)
+        asked = o[start] < 0
+        yield out(int(asked.sum()), word=k[start][asked], c0=word[0][asked], c1=word[1][asked])
+
+
+def score_all(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, ``n_tokens``, ``target_loss`` and ``background_loss`` (means over
     tokens) and ``score``, their difference, of every row of ``docs``, under
-    models that count all its words and pairs. ``vocabulary`` (at most
-    VOCABULARY) and ``bigrams`` bound what is broadcast and don't change results.
-    Texts without a word have null losses and score; repeated rows stay."""
+    models that count all its words and pairs. ``vocabulary`` and ``bigrams``
+    bound what is broadcast, ``sample`` says of how many rows one is looked at
+    to choose it; none of them changes results.
+
+    Texts without a word (null, empty) have null losses and score. Repeated
+    rows and rows without an id stay rows of their own; a target id that
+    repeats counts once, and all rows with that id are targets. An empty table
+    gives an empty one; other columns are ignored. ``docs`` should be a table:
+    rows are numbered as they are read."""
     context = docs.sparkSession.sparkContext
-    words_counted = word_counts(docs)
-    size = words_counted.count() + 2
-    rows = _numbered(docs, target_ids, ranks(words_counted, vocabulary))
-    counted = landed(rows.select("t", "ids").mapInArrow(_counts, "id long, wt long, wn long, ct long, cn long").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("wt", "wn", "ct", "cn"))), "counts")
-    sums = counted.agg(F.sum("wt"), F.sum("wn")).first()
-    whole = np.array([n or 0 for n in sums]) + ADDED * size
-    near = counted.where(F.col("id") < VOCABULARY)
-    table = near.toArrow()
-    ranked = np.zeros((4, VOCABULARY), np.int64)
-    ranked[:, table["id"].to_numpy()] = [table[c].to_numpy() for c in ("wt", "wn", "ct", "cn")]
-    alone, before_n = (ranked[:2] + ADDED) / whole[:, None], ranked[2:]
-
-    # Frequent pairs are looked for in a sixteenth of the rows and then counted in all.
-    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(16)) == 0).select("ids").mapInArrow(_ranked_pairs, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = np.sort(commonest(landed(sample, "sample"), "n", bigrams).select("key").toArrow()["key"].to_numpy())
-    keys_sent = context.broadcast(keys)
-
-    def count_known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keys_sent.value
-        held = np.zeros((2, len(known)), np.int64)
-        for b in pieces(batches):
-            owner, before, now = _tokens(b)
-            place = _places(known, before, now)
-            mark = b.column(0).to_numpy(zero_copy_only=False)[owner] == 1
-            held[0] += np.bincount(place[(place >= 0) & mark], minlength=len(known))
-            held[1] += np.bincount(place[place >= 0], minlength=len(known))
-        at = np.flatnonzero(held[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0][at]), pa.array(held[1][at])], names=["at", "t", "n"])
-
-    frequent = np.zeros((2, len(keys)), np.int64)
-    if len(keys):
-        table = rows.select("t", "ids").mapInArrow(count_known, "at long, t long, n long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
-        frequent[:, table["at"].to_numpy()] = [table["t"].to_numpy(), table["n"].to_numpy()]
-    sent = context.broadcast((frequent, alone, before_n))
-
-    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each row over frequent pairs, and over other pairs of ranked words as if they occurred only here."""
-        known, (pair, alone, before_n) = keys_sent.value, sent.value
-        for b in pieces(batches):
-            owner, before, now = _tokens(b)
-            n_tokens, target = np.bincount(owner, minlength=b.num_rows), b.column(1).to_numpy(zero_copy_only=False)[owner]
-            near = np.flatnonzero((before < VOCABULARY) & (now < VOCABULARY))
-            owner, before, now, target = owner[near], before[near], now[near], target[near]
-            place, out = _places(known, before, now), []
-            for m, once in ((0, target), (1, np.ones(len(now)))):
-                n = np.where(place >= 0, pair[m][place], once) if len(known) else once
-                seen = before_n[m][before]
-                p = np.where(seen > 0, PAIR_WEIGHT * n / np.maximum(seen, 1) + (1 - PAIR_WEIGHT) * alone[m][now], alone[m][now])
-                out.append(np.bincount(owner, -np.log(p), b.num_rows).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n_tokens), *map(pa.array, out)], names=["row", "doc_id", "n_tokens", "lt", "ln"])
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other pairs of each row: ``rt`` (row, and t in the last bit), ``m`` occurrences, and (k1, k2, o): both in one, 0, 0
-        of ranked words; word, -1, before where the word isn't ranked; before, -2, word where the one before isn't. Pairs of two
-        that aren't ranked take the last form, and are counted for their word by a row with o < 0."""
-        for b in pieces(batches):
-            owner, before, now = _tokens(b)
-            cold = np.flatnonzero(_places(keys_sent.value, before, now) < 0)
-            order = cold[np.lexsort((now[cold], before[cold], owner[cold]))]
-            owner, before, now = owner[order], before[order], now[order]
-            start = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (before[1:] != before[:-1]) | (now[1:] != now[:-1])])) if len(owner) else np.zeros(0, np.int64)
-            m, owner, before, now = np.diff(start, append=len(owner)), owner[start], before[start], now[start]
-            rt = (b.column(1).to_numpy(zero_copy_only=False) << 1 | b.column(0).to_numpy(zero_copy_only=False))[owner]
-            far_b, far_w = before >= VOCABULARY, now >= VOCABULARY
-            k1 = np.where(far_b, before, np.where(far_w, now, before * VOCABULARY + now))
-            k2 = np.where(far_b, -2, np.where(far_w, -1, 0))
-            o = np.where(far_b, now, np.where(far_w, before, 0))
-            two = far_b & far_w
-            columns = [np.concatenate(x) for x in ((rt, rt[two]), (k1, now[two]), (k2, np.full(two.sum(), -1)), (o, -1 - before[two]), (m, m[two]))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["rt", "k1", "k2", "o", "m"])
-
-    # Lets Spark's cleaner delete the shuffle files of the tables that are written.
-    context._jvm.System.gc()
-    cold = rows.select("t", "row", "ids").mapInArrow(spread, "rt long, k1 long, k2 long, o long, m long").repartition("k1", "k2")
-    group, pair, t = Window.partitionBy("k1", "k2"), Window.partitionBy("k1", "k2", "o"), F.col("rt").bitwiseAND(F.lit(1)) * F.col("m")
-    # The finer window first: its order serves the other too, so rows are sorted once.
-    answers = cold.select("*", F.sum("m").over(pair).alias("pn"), F.sum(t).over(pair).alias("pt")).select("*", F.sum("m").over(group).alias("gn"), F.sum(t).over(group).alias("gt"))
-    answers = landed(answers.where("o >= 0 AND (k2 < 0 OR pn > 1)"), "answers", compression="zstd")
-    context._jvm.System.gc()
-    b = F.when(F.col("k2") == 0, F.shiftright("k1", 16)).when(F.col("k2") == -1, F.col("o")).otherwise(F.col("k1"))
-    w = F.when(F.col("k2") == 0, F.col("k1").bitwiseAND(F.lit(VOCABULARY - 1))).when(F.col("k2") == -1, F.col("k1")).otherwise(F.col("o"))
-    named = answers.withColumn("b", b).withColumn("w", w)
-    of_word = counted.select(F.col("id").alias("w"), "wt", "wn")
-    two = (F.col("k2") == -2) & (F.col("w") >= VOCABULARY)
-    named = named.where(~two).join(F.broadcast(of_word.where(F.col("w") < VOCABULARY)), "w", "left").unionByName(named.where(two).join(of_word.where(F.col("w") >= VOCABULARY), "w", "left"))
-    named = named.join(F.broadcast(near.select(F.col("id").alias("b"), "ct", "cn")), "b", "left")
-
-    def loss(x: str, m: int, n: Column) -> Column:
-        word = F.when(F.col("k2") == -1, F.col(f"g{x}")).otherwise(F.col(f"w{x}"))
-        seen = F.when(F.col("k2") == -2, F.col(f"g{x}")).otherwise(F.col(f"c{x}"))
-        alone = (word + F.lit(ADDED)) / F.lit(float(whole[m]))
-        return -F.log(F.when(seen > 0, F.lit(PAIR_WEIGHT) * n / F.when(seen > 0, seen) + F.lit(1 - PAIR_WEIGHT) * alone).otherwise(alone))
-
-    def change(x: str, m: int, once: Column) -> Column:
-        taken = F.when(F.col("k2") >= 0, loss(x, m, once)).otherwise(F.lit(0.0))
-        return F.col("m") * (loss(x, m, F.col(f"p{x}")) - taken)
-
-    kind = docs.schema["doc_id"].dataType
-    back = named.select(F.shiftright("rt", 1).alias("row"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), change("t", 0, F.col("rt").bitwiseAND(F.lit(1))).alias("lt"), change("n", 1, F.lit(1)).alias("ln"))
-    first = rows.select("doc_id", "t", "row", "ids").mapInArrow(own, f"row long, doc_id {kind.simpleString()}, n_tokens long, lt double, ln double")
-    summed = first.unionAll(back).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("ln").alias("ln"))
+    rows = _marked(docs, target_ids)
+    number, known = _frequent(rows, vocabulary, bigrams, sample)
+    counts = _count(rows, number, known)
+    cold = int(counts.whole[1]) - int(counts.pair[1].sum())
+    buckets = max(1, -(-cold // BUCKET))
+    sent = context.broadcast(counts)
+    dealt = _messages(rows, number, counts, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
+    answers = landed(dealt.mapInArrow(lambda batches: _answer(batches, sent.value), ANSWER), "answers", compression="zstd")
+
+    asked = answers.where("m IS NOT NULL").select("row", "word", "m", "p0", "p1", "c0", "c1")
+    found = answers.where("word IS NOT NULL AND m IS NULL").select("word", F.col("c0").alias("w0"), F.col("c1").alias("w1"))
+
+    def loss(x: int) -> Column:
+        alone = (F.col(f"w{x}") + F.lit(ADDED)) / F.lit(float(counts.whole[x]))
+        seen = F.col(f"c{x}")
+        return F.col("m") * -F.log(F.when(seen > 0, F.lit(PAIR_WEIGHT) * F.col(f"p{x}") / F.when(seen > 0, seen) + F.lit(1 - PAIR_WEIGHT) * alone).otherwise(alone))
+
+    late = asked.join(found, "word").select("row", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), loss(0).alias("lt"), loss(1).alias("ln"))
+    both = answers.where("word IS NULL").select("row", "doc_id", "n_tokens", "lt", "ln").unionAll(late)
+    summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("lt").alias("lt"), F.sum("ln").alias("ln"))
     mean = [F.when(F.col("n_tokens") > 0, F.col(x) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias(name) for x, name in (("lt", "target_loss"), ("ln", "background_loss"))]
-    return summed.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    kind = docs.schema["doc_id"].dataType
+    return summed.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -250,47 +250,11 @@ def test_license_scan(spark):
 # Language models
 
 
-def test_lm_scores_match_brute_force(spark):
-    rnd = random.Random(8)
-    rows = [*((k, prose(rnd, rnd.randint(1, 30))) for k in range(40)), (100, None), (101, ""), (102, "unseen words only"), (0, "the mill")]
-    docs = frame(spark, rows)
-    ids = spark.createDataFrame([(k,) for k in range(0, 20)], "doc_id long")
-    model = lm_score.fit(docs, ids, vocabulary=12, bigrams=60)
-    counts = Counter(w for _, t in rows for w in lm_score.words((t or "").encode()))
-    assert len(model.number) <= 10 and all(counts[w] >= max(c for v, c in counts.items() if v not in model.number) for w in model.number)
-    pairs, word, context = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for k, t in rows:
-        x = lm_score.ids_of((t or "").encode(), model.number).tolist()
-        for a, b in zip(x, x[1:]):
-            for table, key in ((pairs, (a, b)), (word, b), (context, a)):
-                table[key][0] += k < 20 and k is not None
-                table[key][1] += 1
-    size = len(model.word)
-    top = sorted((n[1] for n in pairs.values()), reverse=True)
-    limit = min(c for c in set(top) if sum(x >= c for x in top) <= 60)
-
-    def loss(t, m):
-        x, out = lm_score.ids_of((t or "").encode(), model.number).tolist(), []
-        for a, b in zip(x, x[1:]):
-            alone = (word[b][m] + 0.5) / (sum(v[m] for v in word.values()) + 0.5 * size)
-            c = pairs[a, b][m] if pairs[a, b][1] >= limit else 0
-            out.append(-math.log(0.6 * c / context[a][m] + 0.4 * alone if context[a][m] else alone))
-        return sum(out) / len(out) if out else None
-
-    for r in lm_score.score(docs, model).collect():
-        t = dict(rows)[r["doc_id"]] if r["doc_id"] else None
-        if r["doc_id"] == 0:
-            continue
-        for m, name in enumerate(("target_loss", "background_loss")):
-            want = loss(t, m)
-            assert r[name] is want is None or math.isclose(r[name], want, rel_tol=1e-5), (r, want)
-    assert lm_score.score(frame(spark, []).limit(0), lm_score.fit(docs.limit(0), ids.limit(0))).count() == 0
-
-
-@pytest.mark.parametrize("vocabulary, bigrams", [(1 << 16, 1 << 20), (6, 5), (2, 0)])
-def test_lm_scores_cut_nothing(spark, vocabulary, bigrams):
+@pytest.mark.parametrize("vocabulary, bigrams, sample, bucket", [(1 << 16, 1 << 20, 1, 1 << 20), (1 << 16, 1 << 20, 16, 30), (6, 5, 1, 50), (8, 0, 1, 1 << 20), (2, 0, 1, 7)])
+def test_lm_scores_cut_nothing(spark, monkeypatch, vocabulary, bigrams, sample, bucket):
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
     rnd = random.Random(18)
-    rows = [*((k, prose(rnd, rnd.randint(1, 30)) + f" only{k} twice{k // 2}") for k in range(40)), (100, None), (101, ""), (0, "the mill"), (None, "sack of flour"), (None, "")]
+    rows = [*((k, prose(rnd, rnd.randint(1, 30)) + f" only{k} twice{k // 2}") for k in range(40)), (100, None), (101, ""), (0, "the mill"), (None, "sack of flour"), (None, ""), (200, "ab cd ab cd ab cd " * 400), (201, "new1 new2 new3"), (202, "new1 new2 new3")]
     target = range(20)
     pairs, word, context = (defaultdict(lambda: [0, 0]) for _ in range(3))
     tokens = [["", *(w.decode() for w in lm_score.words((t or "").encode()))] for _, t in rows]
@@ -309,10 +273,11 @@ def test_lm_scores_cut_nothing(spark, vocabulary, bigrams):
         return sum(out) / len(out) if out else math.nan
 
     ids = spark.createDataFrame([(k,) for k in target], "doc_id long")
-    found = lm_score.score_all(frame(spark, rows), ids, vocabulary, bigrams).collect()
+    found = lm_score.score_all(frame(spark, rows), ids, vocabulary, bigrams, sample).collect()
     got = sorted((r["doc_id"] or -1, r["n_tokens"], *(math.nan if r[c] is None else r[c] for c in ("target_loss", "background_loss"))) for r in found)
     want = sorted((k or -1, len(x) - 1, loss(x, 0), loss(x, 1)) for (k, _), x in zip(rows, tokens))
     assert np.allclose(got, want, equal_nan=True, rtol=1e-9)
+    assert lm_score.score_all(frame(spark, []).limit(0), ids, vocabulary, bigrams, sample).count() == 0
 
 
 def test_all_target_documents_count(spark):
