@@ -11,7 +11,9 @@ and return them as rows: a task that runs again adds files nobody lists.
 Reader. Archives are cut into byte ranges. A task looks for the gzip magic in
 its range, validates each candidate by decoding the start of the member (it
 must open a WARC header), and owns the records that start inside the range; it
-reads on past the end of the range to finish its last record.
+reads on past the end of the range to finish its last record. There are as many
+tasks as ranges (``MOST_TASKS`` at most): ranges are rows of a few bytes, by
+whose size adaptive execution would read all in one task.
 
 Both use Arrow's file systems, which serve local and shared paths, HDFS, S3
 and GCS by the URI of the folder.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import landed, pieces, shared_dir
 
-REVISIT_BYTES, ARCHIVE_BYTES, SPLIT_BYTES = 1000, 64 << 20, 8 << 20
+REVISIT_BYTES, ARCHIVE_BYTES, SPLIT_BYTES, MOST_TASKS = 1000, 64 << 20, 8 << 20, 50_000
 MAGIC, HEAD, STEP = b"\x1f\x8b\x08", 1 << 12, 1 << 18
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,8 +138,9 @@ class Range:
         self.data += self.file.read(min(STEP, self.size - at))
         return True
 
-    def records(self) -> Iterator[tuple[int, bytes]]:
-        """(offset, record) of every member that starts in the range and opens a WARC header."""
+    def records(self) -> Iterator[tuple[int, bytes | None]]:
+        """(offset, record) of every member that starts in the range and opens a
+        WARC header; no record where the archive ends before the member does."""
         at = 0
         while (at := self.data.find(MAGIC, at)) >= 0 and self.base + at < self.end:
             found = self.decode(at)
@@ -147,7 +150,7 @@ class Range:
             yield self.base + at, found[0]
             at += found[1]
 
-    def decode(self, at: int) -> tuple[bytes, int] | None:
+    def decode(self, at: int) -> tuple[bytes | None, int] | None:
         """The record of the member at a candidate, and the member's length; None if it isn't one."""
         z, got, used = zlib.decompressobj(31), [], 0
         try:
@@ -155,7 +158,7 @@ class Range:
                 piece = self.data[at + used : at + used + (HEAD if not used else STEP)]
                 if not piece:
                     if not self.more():
-                        return None
+                        return (None, used) if b"".join(got).startswith(b"WARC/1.") else None
                     continue
                 got.append(z.decompress(piece))
                 used += len(piece)
@@ -167,14 +170,15 @@ class Range:
         return (whole, used - len(z.unused_data)) if whole.startswith(b"WARC/1.") else None
 
 
+DAMAGED = "damaged"
 FIELD = re.compile(rb"^([\w-]+):[ \t]*(.*?)\r?$", re.M)
 
 
 def parse(raw: bytes) -> tuple | None:
     """page_id, url, type, payload size and digest, refers_to and payload of a
     response or revisit; a revisit takes size and digest from its headers. None
-    for other kinds of records, and for a response whose payload doesn't have
-    the digest its header gives."""
+    for other kinds of records. A response whose payload doesn't have the digest
+    its header gives is ``DAMAGED``: size and digest are those found."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     get = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(head)}
     kind = get.get("warc-type")
@@ -184,9 +188,8 @@ def parse(raw: bytes) -> tuple | None:
     http, _, payload = block.partition(b"\r\n\r\n")
     told = base64.b32decode(get["warc-payload-digest"].partition(":")[2]).hex()
     if kind == "response":
-        if hashlib.sha1(payload).hexdigest() != told:
-            return None
-        size = len(payload)
+        size, found = len(payload), hashlib.sha1(payload).hexdigest()
+        kind, told = (kind if found == told else DAMAGED), found
     else:
         size, payload = int(next(v for k, v in FIELD.findall(http) if k.lower() == b"content-length")), None
     number = lambda k: int(get[k]) if k in get else None
@@ -197,9 +200,12 @@ def parse(raw: bytes) -> tuple | None:
 def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of the archives in (archive, bytes): page_id, url,
     record_type, payload_bytes, payload_digest, refers_to, payload (null for
-    revisits), archive and offset. Ranges are dealt to tasks by hash."""
+    revisits), archive and offset. Nothing is dropped in silence: a record with
+    a wrong digest, or one that the archive's end cuts off (then without page_id
+    and payload), comes as ``DAMAGED``."""
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
-    ranges = archives.select("archive", "bytes", start.alias("start")).repartition("archive", "start")
+    n = archives.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
+    ranges = archives.select("archive", "bytes", start.alias("start")).repartition(min(int(n), MOST_TASKS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -208,10 +214,10 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool
                 store, path = fs.FileSystem.from_uri(archive)
                 with store.open_input_file(path) as file:
                     for offset, raw in Range(file, start, start + split_bytes, total).records():
-                        if (row := parse(raw)) is None:
+                        if (row := parse(raw) if raw is not None else (None, None, DAMAGED, *[None] * 4)) is None:
                             continue
                         held.append((*row[:-1], row[-1] if with_payload else None, archive, offset))
-                        size += len(raw) if with_payload else 200
+                        size += len(raw or b"") if with_payload else 200
                         if size > 1 << 23:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), RECORD)], schema=RECORD)
                             held, size = [], 0

@@ -27,7 +27,8 @@ def pages():
     return [(1, "http://a/é b\nc", "x" * 1200), (2, "u", "x" * 1200), (3, "u", "x" * 1200), (4, "u", "short"), (5, "u", "short"), (6, None, None), (7, "u", ""), (8, "u", big), (9, "u", big), (9, "u", big), (None, "u", "y" * 2000), (10, "u", "y" * 2000)]
 
 
-def test_warc_round_trip_over_small_ranges(spark, tmp_path):
+def test_warc_round_trip_over_small_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 16)
     rows = pages()
     archives = warc.write(frame(spark, rows), str(tmp_path / "w"), archive_bytes=20_000)
     listed = archives.collect()
@@ -52,9 +53,23 @@ def test_magic_inside_a_member_is_not_a_record():
     stored = warc.member(warc.record(1, "u", inner + warc.MAGIC * 50, hashlib.sha1(inner + warc.MAGIC * 50).hexdigest(), None), level=0)
     data = b"junk" + stored + inner + warc.member(warc.record(2, "u", b"z", hashlib.sha1(b"z").hexdigest(), None)) + stored[:200]
     for split in (50, 333, len(data)):
-        got = [o for s in range(0, len(data), split) for o, _ in warc.Range(io.BytesIO(data), s, s + split, len(data)).records()]
-        assert got == [4, 4 + len(stored) + len(inner)]
-    assert warc.parse(warc.record(3, "u", b"ab", hashlib.sha1(b"ac").hexdigest(), None)) is None
+        got = [(o, raw is not None) for s in range(0, len(data), split) for o, raw in warc.Range(io.BytesIO(data), s, s + split, len(data)).records()]
+        assert got == [(4, True), (4 + len(stored) + len(inner), True), (len(data) - 200, False)]
+    assert warc.parse(warc.record(3, "u", b"ab", hashlib.sha1(b"ac").hexdigest(), None))[2:5] == (warc.DAMAGED, 2, hashlib.sha1(b"ab").hexdigest())
+
+
+def test_archives_are_read_by_many_tasks_and_damage_is_reported(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(k, "u", "".join(rnd.choice("abcdef") for _ in range(3000))) for k in range(60)]
+    archives = warc.write(frame(spark, rows), str(tmp_path / "w"), archive_bytes=20_000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    found = warc.read(archives, split_bytes=4096).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 60 and len({r["task"] for r in found}) > 4
+    one = archives.first()
+    path = Path(one["archive"])
+    path.write_bytes(path.read_bytes()[:-50])
+    found = warc.read(archives.where(F.col("archive") == one["archive"]).withColumn("bytes", F.col("bytes") - 50)).collect()
+    assert [r["record_type"] for r in found].count(warc.DAMAGED) == 1 and len(found) == one["records"]
 
 
 def test_marginals_match_enumeration():
