@@ -8,6 +8,10 @@ it is far, by Jensen-Shannon distance, from every reference: its characters
 beyond ``CHAR_LIMIT`` or its words beyond ``WORD_LIMIT``; each test is made
 only from a minimum length on. Repetition and length rules come first.
 
+A text for which there is no reference (its letters are mostly of another
+script, or its language is named but not among the known ones) isn't judged by
+distance.
+
 One pass reads the texts and leaves short rows of counts in the shared
 folder; the references are sums of these (at most ``len(COMMON) + 1`` rows of
 fixed width, so they may go to the driver); a second pass over the counts
@@ -102,12 +106,18 @@ def measure(text: bytes | None) -> tuple:
     )
 
 
+#: What ``counts`` adds; the prefix keeps the columns apart from those of any table.
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OWN = "__gm_"
+
+
 def counts(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), lang: str = "lang") -> DataFrame:
-    """``measure`` of every row, with ``keys`` and ``_lang``."""
-    slim = docs.select(*keys, F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("__gm_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"])
+    """``keys`` of every row, and as columns that begin with OWN its language and what ``measure`` gives."""
+    kept = [F.col(k) for k in keys]
+    slim = docs.select(*kept, F.col(lang).cast("string").alias(f"{OWN}lang"), F.col(text).cast("string").alias(f"{OWN}text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]), *(f"{OWN}{f} long" for f in FIELDS), f"{OWN}chars array<int>, {OWN}words array<int>"])
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
+    names = [OWN + f for f in (*FIELDS, "chars", "words")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -132,8 +142,9 @@ def references(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             cells = [(name, k, int(v)) for name, row in total.items() for k, v in enumerate(row)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], names=["lang", "cell", "n"])
 
-    known = F.when(F.col("_lang").isin(*COMMON), F.col("_lang")).otherwise("")
-    found = counted.select(known.alias("lang"), "chars", "words").mapInArrow(sums, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
+    lang = F.col(f"{OWN}lang")
+    known = F.when(lang.isin(*COMMON), lang).otherwise("")
+    found = counted.select(known.alias("lang"), f"{OWN}chars", f"{OWN}words").mapInArrow(sums, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     out = {lang: np.zeros(CLASSES + len(PLACE) + 1) for lang in {r["lang"] for r in found}}
     for r in found:
         out[r["lang"]][r["cell"]] = r["n"]
@@ -153,49 +164,53 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(d, 0)), 0.0)
 
 
-def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), lang: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: ``keys``, the five counts, ``char_distance``
-    and ``word_distance`` (to the nearest reference), ``base_failed`` and ``kept``.
+def distances(b: pa.RecordBatch, refs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each row, the distance of its characters and of its words from the
+    nearest reference; NaN where there is none for them: for characters and
+    words of a text whose letters are mostly not Latin, and for words of a
+    language that is named but not known."""
+    chars, words = (np.asarray(b.column(OWN + k).flatten(), np.int64).reshape(b.num_rows, -1) for k in ("chars", "words"))
+    char, word = (np.min([js_distance(x, r[k]) for r in refs], axis=0) for k, x in enumerate((chars, words)))
+    foreign = 2 * chars[:, 5] > chars[:, [0, 1, 5]].sum(axis=1)
+    unknown = np.array([x is not None and x not in COMMON for x in b.column(f"{OWN}lang").to_pylist()], bool)
+    return [np.where(foreign, np.nan, char), np.where(foreign | unknown, np.nan, word)]
 
-    Null texts have no words and fail the base rules, as empty ones do. A null
-    or unknown language counts towards the reference of all texts only; rows
-    are compared with every reference, so a wrong language does no harm.
-    Repeated rows stay; an empty input gives an empty result."""
-    counted = landed(counts(docs, text, keys, lang), "counts")
+
+def _judged(counted: DataFrame) -> DataFrame:
+    """``counted`` with both distances (null where nothing is known to compare with), ``base_failed`` and ``kept``."""
     refs = list(references(counted).values())
-    names = [*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    fields = [f for f in counted.columns if f not in (f"{OWN}chars", f"{OWN}words")]
+    schema = ", ".join([*(f"`{f}` {counted.schema[f].dataType.simpleString()}" for f in fields), f"{OWN}char_distance double, {OWN}word_distance double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            if not b.num_rows:
-                continue
-            chars, words = (np.asarray(b.column(k).flatten(), np.int64).reshape(b.num_rows, -1) for k in ("chars", "words"))
-            near = [np.min([js_distance(x, r[k]) for r in refs], axis=0) for k, x in enumerate((chars, words))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *map(pa.array, near)], names=[*names, "char_distance", "word_distance"])
+            if b.num_rows:
+                far = [pa.array(x, pa.float64(), from_pandas=True) for x in distances(b, refs)]
+                yield pa.RecordBatch.from_arrays([*(b.column(f) for f in fields), *far], names=[*fields, f"{OWN}char_distance", f"{OWN}word_distance"])
 
-    slim = counted.select(*names, "chars", "words")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-2]), "char_distance double, word_distance double"])
-    n = F.col("n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * n)
-    far = ((n >= CHAR_GUARD) & (F.col("char_distance") > CHAR_LIMIT)) | ((n >= WORD_GUARD) & (F.col("word_distance") > WORD_LIMIT))
-    return slim.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    n, char, word = (F.col(OWN + c) for c in ("n_words", "char_distance", "word_distance"))
+    failed = (n < MIN_WORDS) | (100 * F.col(f"{OWN}n_repeat_words") > REPEAT_PERCENT * n)
+    far = ((n >= CHAR_GUARD) & F.coalesce(char > CHAR_LIMIT, F.lit(False))) | ((n >= WORD_GUARD) & F.coalesce(word > WORD_LIMIT, F.lit(False)))
+    return counted.mapInArrow(run, schema).withColumn(f"{OWN}base_failed", failed).withColumn(f"{OWN}kept", ~failed & ~far)
 
 
-def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. The
-    texts pass once more, in place, beside the references; nothing is joined."""
-    refs = list(references(landed(counts(docs, text, (), lang).select("_lang", "chars", "words"), "sums")).values())
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            yield b.filter(pa.array(verdicts(utf8(b.column(text)), refs)))
+def judge(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), lang: str = "lang") -> DataFrame:
+    """One row per row of ``docs``: ``keys``, the five counts, ``char_distance``
+    and ``word_distance`` (to the nearest reference), ``base_failed`` and ``kept``.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null texts have no words and fail the base rules, as empty ones do. A null
+    language counts towards the reference of all texts only; rows are compared
+    with every reference, so a wrong one among the known languages does no harm.
+    A text in another script, or the words of a language named but not known,
+    have nothing to be compared with: the distance is null and rejects nothing.
+    Very long texts are counted whole. Repeated rows stay; an empty input gives
+    an empty result; other columns are ignored."""
+    found = _judged(landed(counts(docs, text, keys, lang), "counts"))
+    return found.select(*keys, *(F.col(OWN + c).alias(c) for c in (*FIELDS, "char_distance", "word_distance", "base_failed", "kept")))
 
 
-def verdicts(texts: list[bytes | None], refs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Whether each text is kept, as ``judge`` says."""
-    m = [measure(t) for t in texts]
-    n, repeat = (np.array([x[k] for x in m], np.int64) for k in (0, 4))
-    char, word = (np.min([js_distance(np.array([x[k] for x in m]), r[k - 5]) for r in refs], axis=0) for k in (5, 6))
-    return ~((n < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n) | ((n >= CHAR_GUARD) & (char > CHAR_LIMIT)) | ((n >= WORD_GUARD) & (word > WORD_LIMIT)))
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns: these
+    are written beside the counts, so each text is measured once and nothing is joined."""
+    found = _judged(landed(counts(docs, text, tuple(docs.columns), lang), "counted", compression="zstd"))
+    return found.where(f"{OWN}kept").select(*docs.columns)
