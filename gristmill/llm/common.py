@@ -72,15 +72,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Longer texts aren't fitted on (they are scored), so that rows bound the bytes of a sample.
+FIT_BYTES = 1 << 18
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled rows outside the held-out
-    part, chosen by the hash of their id. ``most`` bounds what is broadcast
-    and what a model is fitted on. A repeated id counts once, with its
-    greatest label; rows without an id or a label are left out."""
+    part, chosen by the hash of their id, with texts of at most FIT_BYTES: both
+    bound what a model is fitted on, ``most`` what is broadcast. A repeated id
+    counts once, with its greatest label and least text; rows without an id or
+    a label are left out."""
     picked = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
+    return found.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

@@ -3,15 +3,16 @@
 Texts are folded first: Unicode compatibility forms, lower case, look-alike
 letters of other scripts, digits and signs that stand for letters. Terms are
 whole words or word beginnings; each has a weight, the log odds of its
-document frequency in toxic against other texts. A term inside an exception
-phrase doesn't count. Weights add up over a text, are normalised by its
-length, and a logistic curve turns both into a score.
+document frequency in toxic against other texts. A term that begins inside an
+exception phrase doesn't count. The weights of a text add up and are divided
+by its length; a logistic curve over that, and nothing else, is the score.
 
 What is learned. Terms, exception phrases and the curve come from at most
 ``SAMPLE`` labelled rows (chosen by hash; never held-out ones); two thirds of
 them give the terms, the others the curve. So the model is of bounded size and
-may be broadcast. Without usable labels the fixed base lexicon stands alone.
-Every whole text is scored where it is read, without a shuffle.
+may be broadcast; ``terms`` limits it further, by default it doesn't. Without
+usable labels the fixed base lexicon stands alone. Every whole text is scored
+where it is read, without a shuffle, in time that grows with its length alone.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import labelled_sample, landed, pieces, utf8
 
-#: Most labelled rows a model is fitted on, most terms it keeps.
-SAMPLE, TERMS = 12_000, 5_000
+#: Most labelled rows a model is fitted on.
+SAMPLE = 12_000
 #: Least toxic documents with a term, least log odds, lengths of word beginnings.
 LEAST_DOCS, LEAST_ODDS, STEMS = 6, 2.5, range(4, 9)
 BASE_WEIGHT = 5.0
@@ -58,11 +59,11 @@ def fold(text: str) -> str:
 
 @dataclass
 class Model:
-    """weights: by term, " word " or " beginning"; exceptions: phrases; curve: constant and factors of ``features``."""
+    """weights: by term, " word " or " beginning"; exceptions: phrases; curve: constant and factor of ``density``."""
 
     weights: dict[str, float] = field(default_factory=lambda: {f" {w} ": BASE_WEIGHT for w in BASE})
     exceptions: list[str] = field(default_factory=lambda: [f" {p} " for p in HARMLESS])
-    curve: list[float] = field(default_factory=lambda: [-4.0, 0.9, 0.3, 0.0])
+    curve: list[float] = field(default_factory=lambda: [-4.0, 1.5])
 
 
 class Matcher:
@@ -75,7 +76,9 @@ class Matcher:
         self.auto.make_automaton()
 
     def matches(self, folded: str) -> dict[int, float]:
-        """The greatest weight of the terms that begin at each place, without those inside an exception phrase."""
+        """The greatest weight of the terms that begin at each place, without
+        those that begin inside an exception phrase: one sweep over both in the
+        order of their places."""
         found, void = {}, []
         for end, (size, weight) in self.auto.iter(folded):
             start = end - size + 1
@@ -83,20 +86,25 @@ class Matcher:
                 found[start] = max(weight, found.get(start, 0.0))
             else:
                 void.append((start, end))
-        for start, end in void:
-            for at in [x for x in found if start <= x < end]:
-                del found[at]
-        return found
-
-    def features(self, text: str) -> list[float]:
-        """Summed weight, on a log scale; summed weight in a hundred words, on a log scale; weight of the heaviest term."""
+        if not void:
+            return found
+        void.sort()
+        left, k, reach = {}, 0, -1
+        for at in sorted(found):
+            while k < len(void) and void[k][0] <= at:
+                reach = max(reach, void[k][1])
+                k += 1
+            if at >= reach:
+                left[at] = found[at]
+        return left
+
+    def density(self, text: str) -> float:
+        """Summed weight in a hundred words (and some more, so that a short text needs more than a hint), on a log scale."""
         folded = fold(text)
-        found = self.matches(folded).values()
-        total = sum(found)
-        return [math.log1p(total), math.log1p(100 * total / (folded.count(" ") + 20)), max(found, default=0.0)]
+        return math.log1p(100 * sum(self.matches(folded).values()) / (folded.count(" ") + 20))
 
     def score(self, text: str) -> float:
-        z = self.model.curve[0] + sum(a * x for a, x in zip(self.model.curve[1:], self.features(text)))
+        z = self.model.curve[0] + self.model.curve[1] * self.density(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -119,8 +127,14 @@ def _terms(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled rows; the base model if they lack one of the two classes."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int | None = None) -> Model:
+    """A model from at most ``sample`` labelled rows; the base model if they
+    lack one of the two classes. ``terms`` limits learned terms and exception
+    phrases, each; None takes all that the sample supports, whose number the
+    sample bounds (each stands in LEAST_DOCS of its texts or more).
+
+    Null texts count as empty ones; of rows that repeat an id one is used;
+    labels that are null, held out or without a document are left out."""
     rows = landed(labelled_sample(docs, labels, "toxic", sample), "toxic")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
     size = rows.where(part > 0).agg(F.count_if(F.col("y") > 0).alias("t"), F.count_if(F.col("y") <= 0).alias("c")).first()
@@ -138,19 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     odds = F.log((F.col("t") + 0.5) / (size["t"] + 1)) - F.log((F.col("c") + 0.5) / (size["c"] + 1))
     counted = rows.where(part > 0).select("text", "y").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    best = counted.where(f"t >= {LEAST_DOCS}").withColumn("w", odds).where(f"w >= {LEAST_ODDS}").orderBy(F.desc(F.col("t") * F.col("w")), "term").limit(TERMS).collect()
-    model.weights |= {r["term"]: r["w"] for r in _general(best)}
-    model.exceptions += exceptions(rows.where(part > 0), model)
+    best = counted.where(f"t >= {LEAST_DOCS}").withColumn("w", odds).where(f"w >= {LEAST_ODDS}").orderBy(F.desc(F.col("t") * F.col("w")), "term")
+    model.weights |= {r["term"]: r["w"] for r in _general((best.limit(terms) if terms is not None else best).collect())}
+    model.exceptions += exceptions(rows.where(part > 0), model, most=terms)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for b in pieces(batches):
-            x = [matcher.features(_text(raw)) for raw in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            x = [matcher.density(_text(raw)) for raw in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], names=["x", "y"])
 
-    rest = rows.where(part == 0).select("text", "y").mapInArrow(measured, "x array<double>, y int").toArrow()
+    rest = rows.where(part == 0).select("text", "y").mapInArrow(measured, "x double, y int").toArrow()
     if len(rest["y"].unique()) == 2:
-        model.curve = logistic(np.array(rest["x"].to_pylist()), (rest["y"].to_numpy() > 0).astype(float))
+        model.curve = logistic(rest["x"].to_numpy()[:, None], (rest["y"].to_numpy() > 0).astype(float))
     return model
 
 
@@ -164,7 +178,7 @@ def _general(found: list) -> list:
     return [r for r in found if r["term"].endswith(" ") or r["t"] >= 1.3 * longer.get(r["term"], 0)]
 
 
-def exceptions(rows: DataFrame, model: Model, least: int = 5) -> list[str]:
+def exceptions(rows: DataFrame, model: Model, least: int = 5, most: int | None = None) -> list[str]:
     """Pairs of a term's word and a neighbour that stand in ``least`` or more
     texts that aren't toxic and in none that is."""
 
@@ -176,8 +190,9 @@ def exceptions(rows: DataFrame, model: Model, least: int = 5) -> list[str]:
                 folded = fold(_text(raw))
                 found = set()
                 for at in matcher.matches(folded):
-                    word = folded[at + 1 : folded.index(" ", at + 1)]
-                    before, after = folded[:at].rpartition(" ")[2], folded[at + len(word) + 2 :].partition(" ")[0]
+                    end = folded.index(" ", at + 1)
+                    word, before = folded[at + 1 : end], folded[folded.rfind(" ", 0, at) + 1 : at]
+                    after = folded[end + 1 : folded.find(" ", end + 1)] if end + 1 < len(folded) else ""
                     found |= {f" {before} {word} "} if before else set()
                     found |= {f" {word} {after} "} if after else set()
                 (toxic if y > 0 else clean).update(found)
@@ -185,12 +200,14 @@ def exceptions(rows: DataFrame, model: Model, least: int = 5) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (toxic, clean))], names=["pair", "t", "c"])
 
     counted = rows.select("text", "y").mapInArrow(pairs, "pair string, t long, c long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    return [r["pair"] for r in counted.where(f"t = 0 AND c >= {least}").orderBy(F.desc("c"), "pair").limit(TERMS).collect()]
+    best = counted.where(f"t = 0 AND c >= {least}").orderBy(F.desc("c"), "pair")
+    return [r["pair"] for r in (best.limit(most) if most is not None else best).collect()]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``score`` (0 to 1) of every row. Null and empty texts score
-    as a text without terms; repeated rows stay; other columns are ignored."""
+    as a text without terms; very long ones are scored whole; repeated rows
+    stay; an empty table gives an empty one; other columns are ignored."""
     slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
     schema = slim.drop("__gm_text").withColumn("score", F.lit(0.0)).schema
 
