@@ -7,19 +7,22 @@ Words are runs of letters and digits of the lower-cased text, shingles are
 
 Retrieval. Windows of ``WINDOW`` shingles start at every ``STRIDE``-th shingle
 of a document, and at every shingle of a template. A window has ``BANDS`` bands
-of one MinHash each: under each of BANDS / 2 orders (shingle hashes after
-exclusive-or with the order's number), the least and the greatest. Either is
-shared by two windows of similarity s with probability s, and one that isn't
-makes the other likelier, so they meet in a band with probability
-1 - (1 - s)^BANDS at least: 0.98 at 0.4, 0.996 at 0.5. A copy of a template with at least
-``WINDOW + STRIDE - 1`` shingles holds a whole window, which meets its twin in
-every band. Shorter templates are windows of one shingle, whose MinHash is the
-shingle itself: they are never missed.
-
-Cost. Each document is one row; its hashes and band minima are exploded into
-(place, key) and looked up in the templates' keys, a table of fixed size that
-is broadcast while it has at most ``BROADCAST_ROWS`` rows and joined by a
-shuffle beyond. Only keys that hit leave the scan; no text is shuffled.
+of one MinHash each: under each of BANDS / 2 orders (the shingle's hash, hashed
+again with the order's number), the least and the greatest. Either is shared by
+two windows of similarity s with probability s, so they meet in a band with
+probability 1 - (1 - s)^BANDS or so: 0.98 at 0.4, 0.996 at 0.5; a test measures
+it. A copy of a template with at least ``WINDOW + STRIDE - 1`` shingles holds a
+whole window, which meets its twin in every band. Templates with fewer have
+windows of ``SMALL`` shingles, in documents one after the other, whose least and
+greatest under one order are both of its shingles: they are never missed.
+
+Verification. Only retrieved (document, template) pairs go on: the shingles of
+these documents are counted in the template, exactly.
+
+Cost. Each document is one row; its band keys are exploded and looked up in the
+templates' keys, a table of fixed size that is broadcast while it has at most
+``BROADCAST_ROWS`` rows and joined by a shuffle beyond. Only keys that hit leave
+the scan; no text is shuffled unless very many pairs are retrieved.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import landed
+
 SHINGLE, CONTAINMENT = 5, 0.8
 WINDOW, STRIDE, BANDS = 8, 4, 8
-SHORT = WINDOW + STRIDE - 1
+SHORT, SMALL = WINDOW + STRIDE - 1, 2
 BROADCAST_ROWS = 200_000
 
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
@@ -46,6 +51,10 @@ TEMPLATES = {
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-3-clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
@@ -75,52 +84,61 @@ def shingles(text: str) -> Column:
     return let(words, hashed)
 
 
-def _masks() -> list[int]:
-    """A fixed 62-bit number for each order, from a multiplicative rule."""
-    return [(0x9E3779B97F4A7C15 * j) % (1 << 62) for j in range(BANDS // 2)]
-
+def band_keys(h: Column, stride: int, window: int = WINDOW, orders: range = range(1, BANDS // 2 + 1)) -> Column:
+    """MinHashes of every window: two runs of one key a window for each order. Order 0 is that of the hashes themselves."""
 
-def band_keys(h: Column, stride: int) -> Column:
-    """MinHashes of every window: two runs of one key a window for each order."""
-
-    def bands(hashes: Column, mask: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW, F.lit(0)), F.lit(stride))
-        windows = lambda m: F.transform(starts, lambda i: F.slice(m, i + 1, WINDOW))
+    def bands(hashes: Column, order: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - window, F.lit(0)), F.lit(stride))
+        windows = lambda m: F.transform(starts, lambda i: F.slice(m, i + 1, window))
         both = lambda w: F.concat(F.transform(w, F.array_min), F.transform(w, F.array_max))
-        mixed = F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))) if mask else hashes
+        mixed = F.transform(hashes, lambda x: F.xxhash64(x, F.lit(order))) if order else hashes
         return let(mixed, lambda m: let(windows(m), both))
 
-    return let(h, lambda hashes: F.concat(*(bands(hashes, mask) for mask in _masks())))
+    return let(h, lambda hashes: F.concat(*(bands(hashes, order) for order in orders)))
 
 
-def template_keys(given: DataFrame) -> DataFrame:
-    """(key, license, size, is_band): keys of every template with a shingle. size: its different shingles."""
-    hashed = given.select("license", shingles("text").alias("h")).where(F.size("h") > 0).withColumn("size", F.size(F.array_distinct("h")))
-    own = hashed.select(F.explode(F.array_distinct("h")).alias("key"), "license", "size", F.lit(False).alias("is_band"))
-    band = hashed.where(F.col("size") >= SHORT).select(F.explode(F.array_distinct(band_keys(F.col("h"), 1))).alias("key"), "license", "size", F.lit(True).alias("is_band"))
-    return own.unionAll(band)
+def small_keys(h: Column, stride: int) -> Column:
+    """``band_keys`` of small windows under one order; the last one reaches back, so that no shingle is left out."""
+    whole = band_keys(h, stride, SMALL, range(1))
+    return F.when(F.size(h) % SMALL == 1, F.concat(whole, F.slice(h, -1, 1))).otherwise(whole) if stride > 1 else whole
 
 
-def scan(docs: DataFrame, given: DataFrame | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, license, matched, template_shingles, containment, first_word): one
-    row for each document and template that it contains to CONTAINMENT or more.
+def template_shingles(given: DataFrame) -> DataFrame:
+    """(license, h, size): shingles of every template that has one. size: its different shingles."""
+    return given.select("license", shingles("text").alias("h")).where(F.size("h") > 0).withColumn("size", F.size(F.array_distinct("h")))
+
+
+def template_keys(hashed: DataFrame) -> DataFrame:
+    """(key, license): band keys of the templates' windows."""
+    key = F.when(F.col("size") < SHORT, small_keys(F.col("h"), 1)).otherwise(band_keys(F.col("h"), 1))
+    return hashed.select(F.explode(F.array_distinct(key)).alias("key"), "license")
 
-    Null, empty and very short texts match nothing. Rows that repeat an id
-    count as one document. An empty table of documents or templates gives no
-    row; other columns are ignored."""
-    keys = template_keys(given if given is not None else templates(docs.sparkSession))
+
+def retrieve(docs: DataFrame, keys: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(_id, license): pairs of which a band's key is shared, once each."""
     small = keys.count() <= BROADCAST_ROWS
-    hashed = docs.select(F.col(id_col).alias("_id"), shingles(text).alias("_h"))
+    h = shingles(text)
+    both = let(h, lambda x: F.concat(band_keys(x, STRIDE), small_keys(x, SMALL)))
     # The keys are a column before they are exploded, so that the explosion and the lookup compile into one loop. An
     # outer explosion, since an inner one infers a filter on the array's size, which computes all hashes once more.
-    keyed = hashed.select("_id", F.size("_h").alias("_n"), F.concat("_h", band_keys(F.col("_h"), STRIDE)).alias("_keys"))
-    spread = keyed.select("_id", "_n", F.posexplode_outer("_keys").alias("_place", "key"))
-    hits = spread.join(F.broadcast(keys) if small else keys, "key").where(F.when(F.col("_place") >= F.col("_n"), F.col("is_band")).otherwise(~F.col("is_band")))
-    found = hits.groupBy("_id", "license", "size").agg(
-        F.count_distinct(F.when(~F.col("is_band"), F.col("key"))).alias("matched"),
-        F.min(F.when(~F.col("is_band"), F.col("_place"))).cast("long").alias("first_word"),
-        F.bool_or("is_band").alias("retrieved"),
-    )
-    return found.where((F.col("retrieved") | (F.col("size") < SHORT)) & (F.col("matched") >= CONTAINMENT * F.col("size"))).select(
+    spread = docs.select(F.col(id_col).alias("_id"), both.alias("_keys")).select("_id", F.explode_outer("_keys").alias("key"))
+    return spread.join(F.broadcast(keys) if small else keys, "key").select("_id", "license").distinct()
+
+
+def scan(docs: DataFrame, given: DataFrame | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, license, matched, template_shingles, containment, first_word): one
+    row for each document and template that it contains to CONTAINMENT or more.
+
+    Null, empty and very short texts match nothing; very long ones are scanned
+    whole. Rows that repeat an id, or have none, count as one document. An empty
+    table of documents or templates gives no row; other columns are ignored."""
+    hashed = template_shingles(given if given is not None else templates(docs.sparkSession))
+    found = landed(retrieve(docs, template_keys(hashed), text, id_col), "retrieved")
+    small = found.count() <= BROADCAST_ROWS
+    own = hashed.select(F.col("license").alias("_of"), "size", F.explode(F.array_distinct("h")).alias("key"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text"))
+    pairs = texts.join(F.broadcast(found) if small else found, F.expr("_doc <=> _id")).select("_id", "license", F.posexplode(shingles("_text")).alias("_place", "key"))
+    matched = pairs.join(own, (pairs["key"] == own["key"]) & (F.col("license") == F.col("_of"))).groupBy("_id", "license", "size").agg(F.count_distinct(pairs["key"]).alias("matched"), F.min("_place").cast("long").alias("first_word"))
+    return matched.where(F.col("matched") >= CONTAINMENT * F.col("size")).select(
         F.col("_id").alias(id_col), "license", "matched", F.col("size").cast("long").alias("template_shingles"), (F.col("matched") / F.col("size")).alias("containment"), "first_word"
     )
