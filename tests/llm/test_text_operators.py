@@ -111,13 +111,60 @@ def test_anchors_are_all_code_words_in_reach():
     assert len(again) == len(anchor)  # each is a code word: its only anchor is itself
 
 
-def test_one_of_each_group_stays(spark):
-    rows = odd_rows()
-    kept = simhash.one_of_each(frame(spark, rows))
-    assert set(kept.columns) == {"doc_id", "text", "lang", "source", *EXTRA}
-    found = sorted((r["doc_id"] for r in kept.collect()), key=str)
-    components = {r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
-    assert found == sorted(components, key=str)
+def edited(rnd, text, n):
+    """The text with n of its words replaced."""
+    w = text.split()
+    for at in rnd.sample(range(len(w)), n):
+        w[at] = f"new{rnd.randrange(10**6)}"
+    return " ".join(w)
+
+
+def brute_classes(rows):
+    """Least id (None last) of each row's class, by comparing all texts; and the links between different texts."""
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = [tuple(re.findall(r"[^\x20\x09-\x0D]+", fold(t))) for _, t in rows]
+    sets = {w: {w[k : k + 5] for k in range(len(w) - 4)} or {w} for w in words}
+    parent = {w: w for w in sets}
+
+    def find(w):
+        while parent[w] != w:
+            w = parent[w]
+        return w
+
+    links, every = 0, list(sets)
+    for i, a in enumerate(every):
+        for b in every[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links += 1
+                parent[find(a)] = find(b)
+    least = defaultdict(list)
+    for (i, _), w in zip(rows, words):
+        least[find(w)].append(i)
+    return [min((x for x in least[find(w)] if x is not None), default=None) for w in words], links
+
+
+def test_one_of_each_class_stays(spark, monkeypatch):
+    rnd = random.Random(21)
+    rows = odd_rows() + [(None, "only here"), (None, "Only  here")]
+    bases = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(60, 300))) for _ in range(25)]
+    for k, base in enumerate(bases):
+        rows += [(1000 + 10 * k + j, edited(rnd, base, round(j * len(base.split()) / 110))) for j in range(6)]
+    # A cluster of many near copies, and pairs just beyond the limit.
+    rows += [(5000 + k, edited(rnd, bases[0], 1)) for k in range(120)]
+    classes, links = brute_classes(rows)
+    assert links > 6_000
+    for hot in (20_000, 3):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        found = sorted(((r["doc_id"], r["class_id"]) for r in simhash.near_copies(frame(spark, rows)).collect()), key=str)
+        want = sorted(((i, c) for (i, _), c in zip(rows, classes)), key=str)
+        assert sum(a == b for a, b in zip(found, want)) >= 0.98 * len(want)
+        kept = simhash.one_of_each(frame(spark, rows))
+        assert set(kept.columns) == {"doc_id", "text", "lang", "source", *EXTRA}
+        ids = [r["doc_id"] for r in kept.collect()]
+        assert len(ids) <= 1.02 * len({*classes}) and set(classes) <= {*ids} | {None} and len(ids) == len({*ids})
+    assert simhash.one_of_each(frame(spark, []).limit(0)).count() == 0
+    texts = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert simhash.one_of_each(texts).count() == len(ids)
 
 
 # Quality rules
@@ -135,6 +182,49 @@ def base_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(again)
 
 
+def brute_verdicts(rows):
+    """``kept`` of rows of (text, lang), from the rules as they are stated, without numpy."""
+    hists = []
+    for t, _ in rows:
+        chars, words = Counter(), Counter(re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", t or "").lower().split() if t else [])
+        for c in t or "":
+            sign = next((f"sign {k}" for k, signs in enumerate(quality_rules.SIGNS) if c.encode() in [bytes([x]) for x in signs]), None)
+            chars[sign or ("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "blank" if c in " \t" else "end" if c in "\r\n" else "wide" if ord(c) > 127 else "rest")] += 1
+        common = {w: n for w, n in words.items() if w in quality_rules.VOCABULARY}
+        hists.append((chars, Counter(common) + Counter({None: words.total() - sum(common.values())})))
+    groups = defaultdict(lambda: (Counter(), Counter()))
+    for (_, lang), h in zip(rows, hists):
+        for name in {lang, "all"} & {"all", *quality_rules.COMMON}:
+            for k in (0, 1):
+                groups[name][k].update(h[k])
+
+    def distance(p, q):
+        a, b, d = p.total(), q.total(), 0.0
+        for x in p.keys() | q.keys():
+            u, v = p[x] / a, q[x] / b
+            d += sum(z * math.log2(2 * z / (u + v)) for z in (u, v) if z) / 2
+        return math.sqrt(max(d, 0))
+
+    out = []
+    for (t, lang), (chars, words) in zip(rows, hists):
+        n, _, _, _, again = base_counts(t)
+        foreign = 2 * chars["wide"] > chars["lower"] + chars["upper"] + chars["wide"]
+        far = n >= 50 and not foreign and min(distance(chars, g[0]) for g in groups.values()) > 0.30
+        far |= n >= 100 and not foreign and (lang is None or lang in quality_rules.COMMON) and min(distance(words, g[1]) for g in groups.values()) > 0.37
+        out.append(not (n < 20 or 100 * again > 30 * n or far))
+    return out
+
+
+def test_texts_without_a_reference_are_not_rejected(spark):
+    rnd = random.Random(12)
+    odd = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(150))
+    rows = [(k, " ".join(rnd.choice([*quality_rules.COMMON["en"], "mill", "river"]) for _ in range(120)), "en") for k in range(30)] + [(40, "река мельница стена насос поле ночь утро совет " * 4 + " ".join("слово" + "абвгд"[k % 5] * (k // 5 + 1) for k in range(120)), "en"), (41, odd, "xx"), (42, odd, "en"), (43, odd, None), (44, odd, ""), (None, odd, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert found[40]["kept"] and found[40]["char_distance"] is None and found[41]["kept"] and not found[42]["kept"] and not found[43]["kept"]
+    assert [found[i]["kept"] for i, _, _ in rows[:-1]] == brute_verdicts([r[1:] for r in rows])[:-1]
+
+
 def test_quality_counts_and_verdict(spark):
     rnd = random.Random(2)
     rows = [*odd_rows(), (20, "x y\nx y\n\n \nx y #1 $% <a>\n" + prose(rnd, 8) + "\n" + prose(rnd, 40)), (21, " ".join(["a b c d e f g h"] * 3) + " i j"), (22, prose(rnd, 200)), (23, " ".join(f"{w}$$$***" for w in prose(rnd, 200).split()))]
@@ -144,7 +234,10 @@ def test_quality_counts_and_verdict(spark):
     assert sorted((r["doc_id"] or -1, *(r[f] for f in fields)) for r in found) == sorted((i or -1, *base_counts(t)) for i, t in rows)
     by = {r["doc_id"]: r for r in found}
     assert by[21]["base_failed"] and not by[21]["kept"] and by[1]["base_failed"] and by[22]["kept"] and not by[23]["kept"] and not by[23]["base_failed"]
+    verdicts = brute_verdicts([(t, "en") for _, t in rows])
+    assert sorted((r["doc_id"] or -1, r["kept"]) for r in found) == sorted((i or -1, v) for (i, _), v in zip(rows, verdicts))
     kept = quality_rules.keep_good(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in found if r["kept"])
     assert quality_rules.judge(frame(spark, []).limit(0)).count() == 0 and quality_rules.keep_good(frame(spark, []).limit(0)).count() == 0
 
@@ -183,6 +276,42 @@ def test_toxicity_learns_folds_and_excepts(spark):
     kept = toxicity.keep_clean(frame(spark, rows), model)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 7] and kept.columns == frame(spark, rows).columns
     assert toxicity.fit(docs, labels.limit(0)).weights == toxicity.Model().weights
+    assert len(toxicity.fit(docs, labels, terms=3).weights) <= len(toxicity.Model().weights) + 3
+    assert toxicity.score(docs.limit(0), model).count() == toxicity.keep_clean(docs.limit(0), model).count() == 0
+
+
+def brute_toxicity(text, model):
+    """A score by looking at every place for every term and phrase."""
+    folded = toxicity.fold(text)
+    places = lambda term: [k for k in range(len(folded)) if folded.startswith(term, k)]
+    inside = {x for phrase in model.exceptions for k in places(phrase) for x in range(k, k + len(phrase) - 1)}
+    best = {}
+    for term, weight in model.weights.items():
+        for k in places(term):
+            if k not in inside:
+                best[k] = max(weight, best.get(k, 0))
+    x = math.log1p(100 * sum(best.values()) / (folded.count(" ") + 20))
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * x)))
+
+
+def test_toxicity_matches_brute_force(spark):
+    rnd = random.Random(14)
+    model = toxicity.Model({" gronk": 2.5, " gronker ": 4.0, " trash ": 3.0, " can ": 1.0, " mill": 0.5}, [" trash can ", " can mill ", " the gronk "], [-3.0, 0.8])
+    terms = ["gronk", "gronker", "gronkers", "trash", "can", "tr4sh", "trаsh", "mills", "mill", "the", "$trash", "a!b", "GRONK", "n0"]
+    rows = [(k, rnd.choice([" ", "  ", "\n", ". "]).join(rnd.choice(terms) for _ in range(rnd.randint(0, 60)))) for k in range(60)] + [(100, None), (101, ""), (102, "trash can mill " * 500)]
+    for r in toxicity.score(frame(spark, rows), model).collect():
+        assert math.isclose(r["score"], brute_toxicity(dict(rows)[r["doc_id"]] or "", model), rel_tol=1e-9)
+
+
+def test_exceptions_take_linear_time():
+    import time
+
+    matcher, spent = toxicity.Matcher(toxicity.Model()), []
+    for n in (5_000, 40_000):
+        start = time.process_time()
+        matcher.score("trash can " * n)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 30 * spent[0] + 0.1
 
 
 def test_no_held_out_label_is_read(spark):
@@ -231,6 +360,40 @@ def test_line_marginals_and_gradient_match_enumeration():
             pairs[a, b] += weight(y) / total
     assert np.allclose(move, np.array([[0, 0], [0, 3]]) - pairs)
 
+    def less_clean(w):
+        """Log probability that not all lines are good, and HOLD times that of all being bad, under emission w."""
+        m = quality_crf.Model(w, model.move)
+        e = x @ w
+        weights = [math.exp(sum(v * s for v, s in zip(e, y)) + sum(m.move[a, b] for a, b in zip(y, y[1:]))) for y in every]
+        return math.log(1 - weights[-1] / sum(weights)) + quality_crf.HOLD * math.log(weights[0] / sum(weights))
+
+    slope, _ = quality_crf.gradient(model, x[None], np.array([0]), np.ones((1, 4), bool))
+    for k in range(3):
+        step = np.zeros(quality_crf.WIDTH)
+        step[k] = 1e-5
+        assert math.isclose(slope[k], (less_clean(model.emission + step) - less_clean(model.emission - step)) / 2e-5, rel_tol=1e-4)
+
+
+def test_sound_lines_of_bad_documents_stay_good(spark):
+    rnd = random.Random(16)
+    rows, labels = [], []
+    for k in range(400):
+        lines = [(prose(rnd, 12).capitalize() + ".", True) for _ in range(rnd.randint(4, 9))]
+        if k % 2:
+            at = rnd.randrange(len(lines))
+            lines[at : at + 2] = [(f"{prose(rnd, 10).upper()} $$$ ##", False)] * 2
+        rows.append((k, "\n".join(t for t, _ in lines)))
+        labels.append((k, int(k % 2 == 0), 0))
+    model = quality_crf.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), hold=0.0)
+    right, total = 0, 0
+    for k, text in rows[1::2]:
+        lines = quality_crf.lines_of(text.encode())
+        p = model.marginals(quality_crf.line_features(lines))
+        assert all(x < 0.5 for x, line in zip(p, lines) if b"$$$" in line)
+        right, total = right + sum((x > 0.5) == (b"$$$" not in line) for x, line in zip(p, lines)), total + len(lines)
+    # A sound line beside a bad one may look bad.
+    assert right > 0.8 * total, right / total
+
 
 # Licenses
 
@@ -245,6 +408,40 @@ def test_license_scan(spark):
     assert set(by) == {(4, "mit"), (5, "mit-text"), (6, "mit-text"), (9, "cc-by-nc-4.0")}
     assert by[5, "mit-text"]["containment"] == 1.0 and 0.8 <= by[6, "mit-text"]["containment"] < 1 and by[4, "mit"]["first_word"] == 50
     assert license_scan.scan(frame(spark, []).limit(0)).count() == 0
+    assert license_scan.scan(frame(spark, rows), license_scan.templates(spark).limit(0)).count() == 0
+
+
+def test_windows_meet_as_often_as_the_bands_promise(spark):
+    rnd = random.Random(13)
+    rows = []
+    for shared in (4, 5, 6, 8):  # of 8 shingles: similarity 1/3, 0.455, 0.6, 1
+        for _ in range(1500):
+            same = [rnd.getrandbits(63) for _ in range(shared)]
+            a, b = (same + [rnd.getrandbits(63) - (1 << 62) for _ in range(8 - shared)] for _ in range(2))
+            rnd.shuffle(b)
+            rows.append((shared, a, b))
+    df = spark.createDataFrame(rows, "shared int, a array<long>, b array<long>")
+    met = F.arrays_overlap(license_scan.band_keys(F.col("a"), 1), license_scan.band_keys(F.col("b"), 1))
+    for r in df.groupBy("shared").agg(F.avg(met.cast("int")).alias("p")).collect():
+        similarity = r["shared"] / (16 - r["shared"])
+        assert r["p"] >= 1 - (1 - similarity) ** license_scan.BANDS - 0.02, (similarity, r["p"])
+
+
+def test_worn_copies_are_retrieved_and_verified(spark):
+    rnd = random.Random(15)
+    rows, want = [], set()
+    for k in range(120):
+        name = rnd.choice(sorted(license_scan.TEMPLATES))
+        words = license_scan.TEMPLATES[name].split()
+        for at in rnd.sample(range(len(words)), len(words) // 60 + (len(words) > 40)):
+            words[at] = "zzz"
+        rows.append((k, f"{prose(rnd, rnd.randint(0, 40))} . {' '.join(words)} . {prose(rnd, 30)}"))
+    shingled = lambda t: [tuple(w[k : k + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for k in range(len(w) - 4)]
+    for k, text in rows:
+        own = set(shingled(text))
+        want |= {(k, n) for n, t in license_scan.TEMPLATES.items() if len(own & set(shingled(t))) >= 0.8 * len(set(shingled(t)))}
+    found = {(r["doc_id"], r["license"]) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert found <= want and len(found) >= 0.98 * len(want) > 60
 
 
 # Language models
