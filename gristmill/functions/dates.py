@@ -17,3 +17,13 @@ def parse_date(text: Column | str) -> Column:
     s = F.trim(col(text))
     bare = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")
     return F.coalesce(F.try_to_timestamp(s), *(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS)).cast("date")
+
+
+#: The ages in days that a source accepts.
+WINDOWS = [1, 3, 7, 14, 31]
+
+
+def allowed_window(days: Column | str) -> Column:
+    """The least of WINDOWS that covers so many days, else the greatest."""
+    wide = F.filter(F.array(*map(F.lit, WINDOWS)), lambda w: w >= col(days))
+    return F.coalesce(F.array_min(wide), F.lit(WINDOWS[-1]))

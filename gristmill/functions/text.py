@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from gristmill.functions.columns import col
 
 EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: Month names in two languages, without accents.
 MONTHS = {"january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12, "janvier": 1, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12}
 
 
@@ -36,12 +37,24 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+#: Fixed value: tags that end a line of text; any other tag leaves nothing.
+LINE_END = r"(?i)<\s*(br|/p|/div|/li)\s*/?\s*>"
+
+
+def bare_html(text: Column | str) -> Column:
+    """Text without tags; those that end a line become spaces."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), LINE_END, " "), "<[^>]+>", "")
+
+
+def squeeze(text: Column | str) -> Column:
+    """Runs of spaces, tabs and no-break spaces as one space, trimmed; line ends stay."""
+    return F.regexp_replace(F.regexp_replace(col(text), "[ \t\u00a0]+", " "), EDGE, "")
+
+
 def strip_html(text: Column | str, entities: bool = True) -> Column:
-    """Ends of blocks become spaces, tags go, references are decoded, blanks collapse."""
-    bare = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?is)<(script|style)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)", " ")
-    bare = F.regexp_replace(bare, r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol)\b[^>]*>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "")
-    return F.trim(F.regexp_replace(unescape(bare) if entities else bare, r"[\s ]+", " "))
+    """Readable text of HTML: without tags, references decoded, blanks collapsed."""
+    bare = bare_html(text)
+    return squeeze(unescape(bare) if entities else bare)
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -56,25 +69,33 @@ def unaccent(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(col(text), accented, plain), r"\p{M}+", "")
 
 
+def _gender_marker() -> str:
+    """The pairs h/f, m/f and m/w in either order, with a slash or a
+    hyphen, and d, n or x before or after; in brackets or not, as words of their own."""
+    pair = "|".join(rf"{a}\s*[/-]\s*{b}" for a, b in ("hf", "fh", "mf", "fm", "mw", "wm"))
+    return rf"[(\[]?\s*\b(?:[dnx]\s*[/-]\s*)?(?:{pair})(?:\s*[/-]\s*[dnx])?\b\s*[)\]]?"
+
+
+GENDER = _gender_marker()
+
+
 def normal_title(title: Column | str) -> Column:
     """Lower case without accents or gender markers, words joined by single spaces."""
-    low = F.lower(unaccent(title))
-    ungendered = F.regexp_replace(low, r"(^|[^a-z0-9])[hfmwdx](\s*[/|]\s*[hfmwdx])+([^a-z0-9]|$)", " ")
-    return F.trim(F.regexp_replace(ungendered, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(unaccent(title)), GENDER, " "), "[^a-z0-9]+", " "))
 
 
 def presentable_title(title: Column | str) -> Column:
     """Without gender marker and duration, separators tidied; never empty when the title isn't."""
-    short = F.regexp_replace(col(title), r"(?i)[(\[]?\b[hfmwdx](\s*[/|]\s*[hfmwdx])+\b[)\]]?", " ")
+    short = F.regexp_replace(col(title), f"(?i){GENDER}", " ")
     short = F.regexp_replace(short, r"(?i)[-,(]?\s*\b\d{1,2}\s*(months?|mois|weeks?|semaines?)\b\)?", " ")
     short = F.regexp_replace(F.regexp_replace(short, r"\s+", " "), r"^[\s,;:|–-]+|[\s,;:|–-]+$", "")
     return F.coalesce(F.nullif(short, F.lit("")), F.trim(col(title)))
 
 
 def city_key(location: Column | str) -> Column:
-    """First comma segment, lower case without accents; all parts of Paris are one city."""
-    first = F.trim(F.lower(unaccent(F.split_part(F.coalesce(col(location), F.lit("")), F.lit(","), F.lit(1)))))
-    return F.when(first.startswith("paris"), F.lit("paris")).otherwise(first)
+    """Words of the first comma segment, lower case without accents; from the word Paris on, all is Paris."""
+    first = F.lower(unaccent(F.split_part(F.coalesce(col(location), F.lit("")), F.lit(","), F.lit(1))))
+    return F.trim(F.regexp_replace(F.regexp_replace(first, "[^a-z0-9]+", " "), r"\bparis\b.*", "paris"))
 
 
 def slug(text: Column | str) -> Column:
@@ -86,18 +107,35 @@ def word_form(text: Column | str) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(unaccent(F.coalesce(col(text), F.lit("")))), r"[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def has_word(text: Column | str, words: list[str]) -> Column:
-    """Whole-word test for any of the words or phrases, without regard to case or accents."""
-    form = word_form(text)
+def form_has(form: Column | str, words: list[str]) -> Column:
+    """Whole-word test for any of the words or phrases in a ``word_form`` that is at hand."""
     found = F.lit(False)
     for w in words:
-        found = found | form.contains(f" {w} ")
+        found = found | col(form).contains(f" {w} ")
     return found
 
 
+def has_word(text: Column | str, words: list[str]) -> Column:
+    """Whole-word test for any of the words or phrases, without regard to case or
+    accents. The form is made once for all words: an expression that is named
+    several times is computed several times, an element of a lambda isn't."""
+    return F.exists(F.array(word_form(text)), lambda form: form_has(form, words))
+
+
 def families(text: Column | str, terms: dict[str, list[str]]) -> Column:
     """Names of the families of which a term occurs, in the given order."""
-    return F.array_compact(F.array(*(F.when(has_word(text, words), F.lit(name)) for name, words in terms.items())))
+    names = F.transform(F.array(word_form(text)), lambda form: F.array_compact(F.array(*(F.when(form_has(form, words), F.lit(name)) for name, words in terms.items()))))
+    return F.flatten(names)
+
+
+def families_or(text: Column | str, terms: dict[str, list[str]], fallback: str = "terme_non_retrouve") -> Column:
+    """``families``, or the fallback label alone where no term occurs."""
+    return F.transform(F.array(families(text, terms)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback))))[0]
+
+
+def ordered_tags(tags: Column | str) -> Column:
+    """Trimmed tags without blanks, each where it came first; none for null."""
+    return F.coalesce(F.array_distinct(F.filter(F.transform(col(tags), lambda t: F.regexp_replace(t, EDGE, "")), lambda t: t != "")), F.array().cast("array<string>"))
 
 
 def window_from(text: Column | str, marker: str, size: int = 600) -> Column:
@@ -106,35 +144,49 @@ def window_from(text: Column | str, marker: str, size: int = 600) -> Column:
     return F.substr(col(text), F.greatest(at, F.lit(1)), F.lit(size))
 
 
+#: One or two numbers before months, in either language, and a number before weeks.
+IN_MONTHS = [r"(\d{1,2})\s*(?:à|-|/|a)?\s*(\d{1,2})?\s*mois", r"(\d{1,2})\s*(?:to|-|/)?\s*(\d{1,2})?\s*month"]
+IN_WEEKS = r"(\d{1,2})\s*semaines?"
+MONTH_YEAR = "(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+(20\d\d)"
+NUMERIC = r"\b(20\d\d)[-/](0?[1-9]|1[0-2])\b|\b(0?[1-9]|1[0-2])[-/](20\d\d)\b"
+
+
 def duration_months(text: Column | str) -> Column:
     """The longest duration of 1 to 24 months named; else the first one in weeks, at least a month; else null."""
-    low = F.lower(unaccent(text))
-    months = F.transform(F.regexp_extract_all(low, F.lit(r"(\d{1,2})\s*(?:months?|mois)(?:[^a-z]|$)"), F.lit(1)), lambda x: x.cast("int"))
-    weeks = F.nullif(F.regexp_extract(low, r"(\d{1,3})\s*(?:weeks?|semaines?)(?:[^a-z]|$)", 1), F.lit("")).cast("int")
-    longest = F.array_max(F.filter(months, lambda m: (m >= 1) & (m <= 24)))
-    return F.coalesce(longest, F.when(weeks.between(1, 104), F.greatest(F.lit(1), F.bround(weeks / F.lit(4.33)).cast("int"))))
+    low = F.lower(col(text))
+    found = F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(g)) for p in IN_MONTHS for g in (1, 2)))
+    longest = F.array_max(F.filter(F.transform(found, lambda x: F.nullif(x, F.lit("")).cast("int")), lambda m: m.between(1, 24)))
+    weeks = F.nullif(F.regexp_extract(low, IN_WEEKS, 1), F.lit("")).cast("int")
+    return F.coalesce(longest, F.when(weeks >= 1, F.greatest(F.lit(1), F.bround(weeks / F.lit(4.33)).cast("int"))))
 
 
 def start_month(text: Column | str) -> Column:
-    """``YYYY-MM`` of the first month name with a year, else of a numeric date."""
+    """``YYYY-MM`` of the first month name with a year, else of the first numeric date (year first or last)."""
     low = F.lower(unaccent(text))
-    named = F.regexp_extract(low, r"\b(" + "|".join(MONTHS) + r")\s+(20\d\d)\b", 1)
-    year = F.regexp_extract(low, r"\b(" + "|".join(MONTHS) + r")\s+(20\d\d)\b", 2)
+    part = lambda pattern, g: F.nullif(F.regexp_extract(low, pattern, g), F.lit(""))
     month = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
-    number, then = F.regexp_extract(low, r"\b(0?[1-9]|1[0-2])/(20\d\d)\b", 1), F.regexp_extract(low, r"\b(0?[1-9]|1[0-2])/(20\d\d)\b", 2)
-    iso = F.regexp_extract(low, r"\b(20\d\d-(?:0[1-9]|1[0-2]))\b", 1)
+    number = F.coalesce(part(NUMERIC, 2), part(NUMERIC, 3))
     return F.coalesce(
-        F.when(named != "", F.concat(year, F.lit("-"), F.lpad(F.try_element_at(month, named).cast("string"), 2, "0"))),
-        F.when(number != "", F.concat(then, F.lit("-"), F.lpad(number, 2, "0"))),
-        F.nullif(iso, F.lit("")),
+        F.concat(part(MONTH_YEAR, 2), F.lit("-"), F.lpad(F.try_element_at(month, part(MONTH_YEAR, 1)).cast("string"), 2, "0")),
+        F.concat(F.coalesce(part(NUMERIC, 1), part(NUMERIC, 4)), F.lit("-"), F.lpad(number, 2, "0")),
     )
 
 
+#: Levels, and what in a free text stands for each, in the order they are tried.
+LEVELS = {"senior": ["senior", "confirme", "expert"], "junior": ["junior", "debutant", "jeune diplome"], "stage": ["stag", "etudiant", "intern", "student"]}
+UNKNOWN_LEVEL = "inconnu"
+
+
 def level(text: Column | str) -> Column:
-    """A seniority or study level as one of four values."""
-    low = F.lower(unaccent(F.coalesce(col(text), F.lit(""))))
-    any_of = lambda *words: F.array_max(F.array(*(low.contains(w) for w in words)))
-    return F.when(any_of("phd", "doctor"), "doctorate").when(any_of("master", "bac+5", "engineer"), "master").when(any_of("bachelor", "licence", "bac+3"), "bachelor").otherwise("unknown")
+    """A free level as one of LEVELS or UNKNOWN_LEVEL."""
+    low = F.trim(F.lower(unaccent(F.coalesce(col(text), F.lit("")))))
+    out = F.lit(UNKNOWN_LEVEL)
+    for name, signs in reversed(LEVELS.items()):
+        found = F.lit(False)
+        for sign in signs:
+            found = found | low.contains(sign)
+        out = F.when(found, name).otherwise(out)
+    return F.when(low.isin(*LEVELS, UNKNOWN_LEVEL), low).otherwise(out)
 
 
 def mask_secrets(text: Column | str) -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
+from gristmill.functions.geo import segments
 from gristmill.functions.text import city_key, normal_title, unaccent
+from gristmill.session import cut
 
 #: Vectors in a block of the pairwise search; a task holds two blocks.
 BLOCK = 2048
@@ -26,28 +26,42 @@ def richness(description="description", salary="salary", posted="posted_at") ->
     return F.length(F.coalesce(col(description), F.lit(""))) + F.when(filled(salary), 100).otherwise(0) + F.when(filled(posted), 30).otherwise(0)
 
 
+#: Fixed value: a number before an h that isn't part of a time of day or of a decimal.
+HOURS = r"(?<![\d,.])(\d{1,2})\s?[hH](?:\b|/|\s|$)(?!\d{2}\b)"
+
+
 def hours_in_title(title="title") -> Column:
     """Weekly hours named in a title, 1 to 40, as a sorted set."""
-    found = F.regexp_extract_all(F.lower(col(title)), F.lit(r"(?<!\d)(\d{1,2})\s?h(?![a-z])"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(col(title), F.lit("")), F.lit(HOURS), F.lit(1))
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("int")), lambda h: h.between(1, 40))))
 
 
-def mergeable_identity(title="title", company="company", location="location") -> Column:
-    """struct<company, city, hours>; null (never merged) without a company or a city."""
-    name = F.regexp_replace(F.lower(unaccent(F.coalesce(col(company), F.lit("")))), "[^a-z0-9]+", "")
-    city = city_key(location)
+def mergeable_identity(title="title", company="company", location="location", commune: Column | str | None = None) -> Column:
+    """struct<company, city, hours>; null (never merged) without a company or a
+    city. The city is the code in ``commune`` (see ``geo.resolve_commune``) where
+    it is known, else the first segment of the location."""
+    name = F.trim(F.regexp_replace(F.lower(unaccent(F.coalesce(col(company), F.lit("")))), "[^a-z0-9]+", " "))
+    first = F.coalesce(F.get(segments(location), F.lit(0)), F.lit(""))
+    city = F.coalesce(col(commune), first) if commune is not None else first
     return F.when((name != "") & (city != ""), F.struct(name.alias("company"), city.alias("city"), hours_in_title(title).alias("hours")))
 
 
 def keep_richest(offers: DataFrame, key: str = "key", rich: str = "richness", order: str = "ord", gather: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the richest, the earliest on a tie, with the number
     of rows it stands for and the sorted union of the ``gather`` columns of all.
-    A maximum of structs, combined before the shuffle; no window, no sort."""
+
+    Which row stays is found on key, order and richness alone, as one number
+    that a hash aggregate holds: the richness above the place in the order, so
+    no text is sorted. ``order`` is a unique integer from 0 to 2^40, richness is under
+    2^22 (a greater one counts as that). Other columns come back by a join."""
     rest = [c for c in offers.columns if c not in (key, rich, order, *gather)]
-    best = F.max(F.struct(F.col(rich), (-F.col(order)).alias("_first"), F.struct(order, *rest).alias("_row"))).alias("_best")
+    rank = F.shiftleft(F.least(F.col(rich), F.lit((1 << 22) - 1)).cast("long"), 40) + (F.lit((1 << 40) - 1) - F.col(order))
     unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in gather]
-    found = offers.groupBy(key).agg(best, F.count("*").alias("copies"), *unions)
-    return found.select(key, *(F.col(f"_best._row.{c}").alias(c) for c in (order, *rest)), F.col(f"_best.{rich}").alias(rich), "copies", *gather)
+    best = offers.select(key, rank.alias("_rank"), *gather).groupBy(key).agg(F.max("_rank").alias("_rank"), F.count("*").alias("copies"), *unions)
+    place = (F.lit((1 << 40) - 1) - F.col("_rank").bitwiseAND(F.lit((1 << 40) - 1))).alias(order)
+    if not rest:
+        return best.select(key, place.cast(offers.schema[order].dataType), F.shiftright("_rank", 40).cast(offers.schema[rich].dataType).alias(rich), "copies", *gather)
+    return offers.select(order, *rest, rich).join(best.select(key, place, "copies", *gather), order).select(key, order, *rest, rich, "copies", *gather)
 
 
 def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -79,25 +93,43 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str =
     return spread.groupBy(guard, "_i", "_j").applyInPandas(match, f"guard {types[guard]}, a {types[key]}, b {types[key]}, similarity double")
 
 
+def clusters(edges: DataFrame) -> DataFrame:
+    """(node, root): every end of an edge (a, b) and the least node it reaches.
+    Nodes take the least root around them, then their root's root, until nothing
+    changes; each round is written (``cut``)."""
+    both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct())
+    now = cut(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("root")))
+    while True:
+        near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        step = now.join(near, "node").select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
+        jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("_next")), "root", "left")
+        then = cut(jump.select("node", "_old", F.least("root", F.coalesce("_next", "root")).alias("root")))
+        if then.where("root <> _old").isEmpty():
+            return then.select("node", "root")
+        now = then.select("node", "root")
+
+
 def fuzzy_survivors(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", rich: str = "richness", vector: str = "embedding") -> DataFrame:
     """(key, representative) of every row. In order of ``key``, a row joins the
     first kept row of equal guard that it resembles; if it is richer, it takes
     that row's place. Rows without a guard or vector stand alone.
 
-    Similarities come from ``similar_pairs``; the ordered pass runs for each
-    guard over the rows that have a partner only, without their vectors."""
+    Similarities come from ``similar_pairs``. The rule is sequential, but only
+    among rows that resemble each other over any number of steps: each such
+    cluster is one group, and a guard is as many groups as it has clusters. A
+    group holds keys and numbers, no vector or text."""
     with_vector = rows.where(F.col(guard).isNotNull() & F.col(vector).isNotNull())
-    pairs = similar_pairs(with_vector, least, key, guard, vector)
-    ends = pairs.select(guard, F.explode(F.array("a", "b")).alias(key)).distinct()
-    slim = ends.join(rows.select(key, rich), key)
-    edges = pairs.groupBy("guard", F.col("b").alias(key)).agg(F.collect_list("a").alias("_near")).drop("guard")
-    joined = slim.join(edges, key, "left")
+    pairs = cut(similar_pairs(with_vector, least, key, guard, vector).select("a", "b"))
+    roots = clusters(pairs)
+    slim = roots.join(rows.select(F.col(key).alias("node"), F.col(rich).alias("_rich")), "node")
+    edges = pairs.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("_near"))
+    joined = slim.join(edges, "node", "left")
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        wealth = dict(zip(group[key], group[rich]))
+        group = group.sort_values("node")
+        wealth = dict(zip(group["node"], group["_rich"]))
         near: dict = {k: set() for k in wealth}
-        for k, found in zip(group[key], group["_near"]):
+        for k, found in zip(group["node"], group["_near"]):
             for other in found if found is not None else ():
                 near[k].add(other)
                 near[other].add(k)
@@ -113,7 +145,7 @@ def fuzzy_survivors(rows: DataFrame, least: float, key: str = "ord", guard: str
         return pd.DataFrame({key: list(slot), "representative": [kept[i] for i in slot.values()]})
 
     kind = dict(rows.dtypes)[key]
-    found = joined.groupBy(guard).applyInPandas(resolve, f"{key} {kind}, representative {kind}")
+    found = joined.groupBy("root").applyInPandas(resolve, f"{key} {kind}, representative {kind}")
     return rows.select(key).join(found, key, "left").withColumn("representative", F.coalesce("representative", key))
 
 

@@ -11,13 +11,15 @@ from gristmill.operators.rank import ranked
 def metrics(ranking: DataFrame, k: int, rank: str = "rank", relevant: str = "relevant") -> DataFrame:
     """One row: precision_at_k, dcg, ndcg_at_k, median_rank of the relevant and
     negatives_in_top of a ranking from 1. Nothing relevant: nDCG 0, median
-    null; k of 0 or an empty ranking: precision 0."""
+    null; k of 0 or an empty ranking: precision 0. The median is picked by its
+    place among the relevant, so no task holds all ranks."""
     r, hit = F.col(rank), (F.col(relevant) > 0).cast("int")
     gain = F.lit(1.0) / F.log2(r + 1)
     found = ranking.agg(
         F.sum(F.when(r <= k, hit)).alias("hits"), F.count("*").alias("n"), F.sum(F.when((r <= k) & (hit > 0), gain)).alias("dcg"), F.sum(hit).alias("positives"),
-        F.median(F.when(hit > 0, r)).alias("median_rank"), F.count_if((r <= k) & (hit == 0)).alias("negatives_in_top"),
+        F.count_if((r <= k) & (hit == 0)).alias("negatives_in_top"),
     )
+    found = found.join(F.broadcast(middle(ranking.where(hit > 0), rank, "median_rank")))
     ideal = F.aggregate(F.when(F.coalesce("positives", F.lit(0)) > 0, F.sequence(F.lit(1), F.least(F.lit(k).cast("long"), "positives").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1.0))
     return found.select(
         F.coalesce(F.try_divide(F.coalesce("hits", F.lit(0)), F.least(F.lit(k).cast("long"), "n")), F.lit(0.0)).alias("precision_at_k"),
@@ -26,6 +28,13 @@ def metrics(ranking: DataFrame, k: int, rank: str = "rank", relevant: str = "rel
     )
 
 
+def middle(rows: DataFrame, value: str, to: str) -> DataFrame:
+    """One row: the median of a column, as the mean of the one or two values in the middle of a global order."""
+    placed = ranked(rows.where(F.col(value).isNotNull()).select(value), F.asc(value), to="_at")
+    half = placed.agg(F.count("*").alias("_n")).select(((F.col("_n") + 1) / 2).cast("long").alias("_a"), (F.col("_n") / 2).cast("long").alias("_b"))
+    return placed.join(F.broadcast(half), (F.col("_at") == F.col("_a")) | (F.col("_at") == F.col("_b") + 1)).agg(F.avg(value).alias(to))
+
+
 def breakdown(corpus: DataFrame, limit: int = 600) -> DataFrame:
     """Labels by source and by length of text, and in all: grouping sets, one shuffle."""
     corpus = corpus.withColumn("bucket", F.when(F.length("text") > limit, "long").otherwise("short")).withColumn("_n", F.length("text"))

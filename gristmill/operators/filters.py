@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
-from gristmill.functions.text import has_word
+from gristmill.functions.text import form_has, has_word, word_form
 
 
 def age_days(posted: Column | str, today: Column | str) -> Column:
@@ -33,8 +33,9 @@ def reject_reasons(offers: DataFrame, wanted: list[str], unwanted: list[str], re
     current = fresh("posted_at", F.lit(today).cast("date"), days)
     if exempt:
         current = current | F.col("company").isin(*exempt)
-    rules = {"off_topic": has_word("title", wanted), "excluded": ~has_word("title", unwanted), "off_region": F.col("location").isin(*regions), "too_old": current}
-    return offers.withColumn("reason", first_reason(**rules))
+    form = F.col("_form")
+    rules = {"off_topic": form_has(form, wanted), "excluded": ~form_has(form, unwanted), "off_region": F.col("location").isin(*regions), "too_old": current}
+    return offers.withColumn("_form", word_form("title")).withColumn("reason", first_reason(**rules)).drop("_form")
 
 
 def soft_flag(offers: DataFrame, name: str, when: Column) -> DataFrame:

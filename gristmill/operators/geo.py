@@ -5,27 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.geo import cited_departments, haversine, in_traffic, place_name, segments, travel_minutes
-from gristmill.functions.text import city_key
+from gristmill.functions.geo import ILE_DE_FRANCE, Region, cited_departments, haversine, in_region, in_traffic, plain, refined_code, segments, travel_minutes, variants, without_article
+from gristmill.functions.columns import col
+from gristmill.functions.text import has_word
 
 ORIGINS = 1000
 
 
-def resolve_commune(offers: DataFrame, communes: DataFrame, key: str = "ord", location: str = "location", centre: tuple[float, float] | None = None) -> DataFrame:
-    """(key, code) of each offer: the first segment of its location that names a
-    commune. Of communes with one name, one in a cited department comes first,
-    then the nearest to the centre, then the least code; null if none matches."""
-    named = communes.select("code", "department", place_name("name").alias("name"), *(["lon", "lat"] if centre else []))
-    parts = offers.select(key, cited_departments(location).alias("_cited"), F.posexplode(segments(location)).alias("_pos", "name"))
+def named_communes(communes: DataFrame, *more: str) -> DataFrame:
+    """(name, code, more) of every commune under its comparable name, and under that without its article."""
+    name = plain("name")
+    return communes.select(F.explode(F.array_distinct(F.array(name, without_article(name)))).alias("name"), "code", *more)
+
+
+def resolve_commune(offers: DataFrame, communes: DataFrame, key: str = "ord", location: str = "location", centre: tuple[float, float] | None = None, departments: dict[str, str] | None = None) -> DataFrame:
+    """(key, code) of each offer: the first segment of its location, in its truest
+    form, that names a commune. Of communes with one name, those in a cited
+    department come first, then the nearest to the centre, then the least code;
+    Paris gives its district where that is named; null if none matches."""
+    named = named_communes(communes, "department", *(["lon", "lat"] if centre else []))
+    forms = F.flatten(F.transform(segments(location), variants))
+    parts = offers.select(key, location, cited_departments(location, departments).alias("_cited"), F.posexplode(forms).alias("_pos", "name"))
     away = haversine("lon", "lat", F.lit(centre[0]), F.lit(centre[1])) if centre else F.lit(0.0)
     found = parts.join(named, "name").withColumn("_far", away)
     best = F.min(F.struct("_pos", (~F.array_contains("_cited", F.col("department"))).alias("_other"), "_far", "code"))
-    return offers.select(key).join(found.groupBy(key).agg(best.alias("_b")).select(key, "_b.code"), key, "left")
+    codes = found.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.code").alias("code"))
+    return offers.select(key, location).join(codes, key, "left").select(key, refined_code(F.col("code").cast("string"), location).alias("code") if communes.schema["code"].dataType.simpleString() == "string" else F.col("code"))
 
 
 def canonical_city(offers: DataFrame, codes: DataFrame, key: str = "ord", location: str = "location") -> DataFrame:
     """``offers`` with ``city``: the commune's code, else the first segment."""
-    return offers.join(codes, key, "left").withColumn("city", F.coalesce(F.col("code"), city_key(location))).drop("code")
+    return offers.join(codes, key, "left").withColumn("city", F.coalesce(F.col("code").cast("string"), F.get(segments(location), F.lit(0)), F.lit(""))).drop("code")
+
+
+def region_decision(offers: DataFrame, communes: DataFrame, key: str = "ord", location: str = "location", title: str | None = None, foreign_titles: list[str] = (), foreign: list[str] = (), region: Region = ILE_DE_FRANCE) -> DataFrame:
+    """``offers`` with ``inside``. A foreign word in the title or a foreign
+    substring in the location decides first; then ``in_region``, for which the
+    parts of all locations meet the communes' names in one semi join."""
+    named = named_communes(communes).select("name").distinct()
+    parts = offers.select(key, F.explode(segments(location)).alias("name"))
+    known = parts.join(named, "name", "left_semi").select(key).distinct().withColumn("_commune", F.lit(True))
+    low = F.lower(F.coalesce(col(location), F.lit("")))
+    outside = F.lit(False)
+    for word in foreign:
+        outside = outside | low.contains(word)
+    if title and foreign_titles:
+        outside = outside | has_word(title, list(foreign_titles))
+    inside = F.when(outside, False).otherwise(in_region(location, F.col("_commune"), region))
+    return offers.join(known, key, "left").withColumn("inside", inside).drop("_commune")
 
 
 def travel(places: DataFrame, origins: DataFrame, measured: DataFrame | None = None, key: str = "place") -> DataFrame:

@@ -46,3 +46,20 @@ def reading(niches: DataFrame, by: str, flow_col: str, stock_col: str, tension_c
 def renewal(runs: DataFrame, last: int) -> DataFrame:
     """The last runs in order, with the share of new rows."""
     return runs.orderBy(F.desc("run")).limit(last).withColumn("new_share", share("n_new", "n")).orderBy("run")
+
+
+def latest_tension(rows: DataFrame, code: str, period: str, kind: str, value: str, main: str) -> DataFrame:
+    """(code, period, main, details) of every code at its latest period alone, so
+    that years don't mix: the value of the main kind (null if it wasn't measured)
+    and the other kinds with their values, greatest first, unknown ones last."""
+    last = rows.groupBy(code).agg(F.max(period).alias(period))
+    other = F.struct(F.col(value).isNull().alias("unknown"), (-F.coalesce(F.col(value), F.lit(0.0))).alias("order"), F.col(kind).alias("kind"), F.col(value).alias("value"))
+    found = rows.join(last, [code, period]).groupBy(code, period).agg(F.max(F.when(F.col(kind) == main, F.col(value))).alias("main"), F.array_sort(F.collect_list(F.when(F.col(kind) != main, other))).alias("_d"))
+    return found.select(code, period, "main", F.transform("_d", lambda d: F.struct(d["kind"].alias("kind"), d["value"].alias("value"))).alias("details"))
+
+
+def territory_codes(asked: DataFrame, territories: DataFrame, label: str = "label") -> DataFrame:
+    """``asked`` with the code of the territory whose label is the same but for case and a circumflex on the I."""
+    same = lambda c: F.translate(F.upper(c), "Î", "I")
+    known = territories.groupBy(same(label).alias("_label")).agg(F.min("code").alias("code"))
+    return asked.withColumn("_label", same(label)).join(known, "_label", "left").drop("_label")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col, json_inside
+from gristmill.functions.text import level
 
 VERDICT = "score double, domain_match boolean, level string, months int, reason string, flags array<string>"
 
@@ -93,8 +94,8 @@ def judge_missing(shortlist: DataFrame, memo: DataFrame, judge: Callable[[list[s
 
 
 def coerce(answer: Column | str) -> Column:
-    """A verdict from a model's answer: score within 0 and 1, blanks as empty text; null if there is no JSON object."""
+    """A verdict from a model's answer: score within 0 and 1, the level as one of the ladder, blanks as empty text; null if there is no JSON object."""
     v = json_inside(answer, VERDICT)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v["score"]))
-    made = F.struct(score.alias("score"), v["domain_match"].alias("domain_match"), F.coalesce(F.trim(v["level"]), F.lit("")).alias("level"), v["months"].alias("months"), F.coalesce(F.trim(v["reason"]), F.lit("")).alias("reason"), F.coalesce(v["flags"], F.array().cast("array<string>")).alias("flags"))
+    made = F.struct(score.alias("score"), v["domain_match"].alias("domain_match"), level(v["level"]).alias("level"), v["months"].alias("months"), F.coalesce(F.trim(v["reason"]), F.lit("")).alias("reason"), F.coalesce(v["flags"], F.array().cast("array<string>")).alias("flags"))
     return F.when(v["score"].isNotNull(), made)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STERILE_FROM = 10
@@ -53,3 +53,26 @@ def family_counts(rows: DataFrame, families: str, survivor: str) -> DataFrame:
 def source_counts(rows: DataFrame, links: str) -> DataFrame:
     """Rows by source over the different sources of each row's links, most first."""
     return rows.select(F.explode(F.array_distinct(F.transform(links, lambda x: x["source"]))).alias("source")).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
+
+
+def run_report(sources: DataFrame, families: DataFrame, incidents: DataFrame, perimeter: str) -> DataFrame:
+    """(json): one text for a run: every source's funnel with its rejects and
+    incidents, and the families, in the order of their names."""
+    told = incidents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("categorie"), "detail"))).alias("incidents"))
+    none = F.array().cast("array<struct<categorie:string,detail:string>>")
+    line = F.struct(
+        F.col("source").alias("nom"), F.col("raw").alias("brut"), F.col("normalised").alias("normalisees"), F.col("survivors").alias("survivantes"), F.col("merged").alias("fusions"), F.col("retained").alias("retenues"),
+        F.map_from_entries("rejects").alias("rejets"), F.coalesce("incidents", none).alias("incidents"),
+    )
+    # A map has no order, so lists are sorted by their names alone.
+    lines = sources.join(told, "source", "left").groupBy().agg(F.collect_list(F.struct("source", line.alias("line"))).alias("_l"))
+    first = lines.select(F.transform(by_name_of("_l", "source"), lambda x: x["line"]).alias("sources"))
+    family = F.struct(F.col("family").alias("nom"), F.col("raw").alias("brut"), F.col("survivors").alias("survivantes"))
+    second = families.groupBy().agg(F.array_sort(F.collect_list(family)).alias("familles"))
+    return first.join(F.broadcast(second)).select(F.to_json(F.struct(F.lit(perimeter).alias("perimetre"), "sources", "familles")).alias("json"))
+
+
+def by_name_of(column: str, name: str) -> Column:
+    """An array of structs in the order of one of their fields."""
+    order = lambda x, y: F.when(x[name] < y[name], -1).when(x[name] > y[name], 1).otherwise(0)
+    return F.array_sort(column, order)

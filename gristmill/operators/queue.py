@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.filters import require
 from gristmill.operators.rank import ranked
 
 MAX_ATTEMPTS = 3
@@ -40,11 +41,12 @@ def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["offer_hash"]).join(active, "offer_hash", "left_anti")
 
 
-def validate(requests: DataFrame, offers: DataFrame, texts: DataFrame) -> DataFrame:
-    """``requests`` with ``outcome``: unknown offer, missing text, or accepted."""
+def validate(requests: DataFrame, offers: DataFrame, texts: DataFrame, master: bool | Column = True) -> DataFrame:
+    """``requests`` with ``outcome``: unknown offer, missing text, invalid master
+    document (``master`` says whether it is valid, for all or by row), or accepted."""
     known = offers.select("offer_id", F.lit(True).alias("_known")).distinct()
     texted = texts.select("offer_id", F.lit(True).alias("_text")).distinct()
-    outcome = F.when(F.col("_known").isNull(), "OFFER_NOT_FOUND").when(F.col("_text").isNull(), "TEXT_MISSING").otherwise("ACCEPTED")
+    outcome = F.when(F.col("_known").isNull(), "OFFER_NOT_FOUND").when(F.col("_text").isNull(), "TEXT_MISSING").when(~(master if isinstance(master, Column) else F.lit(master)), "MASTER_INVALID").otherwise("ACCEPTED")
     return requests.join(known, "offer_id", "left").join(texted, "offer_id", "left").withColumn("outcome", outcome).drop("_known", "_text")
 
 
@@ -57,6 +59,16 @@ def illegal_moves(events: DataFrame) -> DataFrame:
     return events.withColumn("_from", before).where(~allowed.otherwise(False)).withColumnRenamed("_from", "previous")
 
 
+def moved(jobs: DataFrame, moves: DataFrame) -> DataFrame:
+    """``jobs`` after ``moves`` (id, to), one a job; an error that names them if a move isn't allowed from the job's state."""
+    both = jobs.join(moves.select("id", "to"), "id", "left")
+    allowed = F.lit(False)
+    for state, then in NEXT.items():
+        allowed = allowed | ((F.col("status") == state) & F.col("to").isin(*then))
+    checked = require(both, F.col("to").isNull() | allowed, "id", "illegal transition of job")
+    return checked.withColumn("status", F.coalesce("to", "status")).select(*jobs.columns)
+
+
 def repoint(children: DataFrame, moves: DataFrame, key: str) -> DataFrame:
     """Children of keys that have moved, under their new key."""
     return children.join(moves.select(F.col("old").alias(key), "new"), key, "left").withColumn(key, F.coalesce("new", key)).drop("new")
@@ -71,19 +83,18 @@ def replay(events: DataFrame, by: str = "offer_id", order: str = "id") -> DataFr
 
 def running_state(events: DataFrame, value: str, by: str = "offer_id", order: str = "id", stretch: int = 1 << 16) -> DataFrame:
     """After each event, the state that a replay up to it would give, and the
-    number of events so far. ``order`` is a unique integer.
+    number of events so far. The event is the state: one that takes an opinion
+    back leaves none. ``order`` is a unique integer.
 
     Events of one offer are taken in stretches of ``stretch`` ids, each a
-    window of its own; what the stretches before leave comes from one row for
+    window of its own; the number of events before comes from one row for
     each, so an offer with very many events is spread over tasks."""
     part = events.withColumn("_part", F.floor(F.col(order) / stretch))
     inner = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    told = F.col(value).isNotNull()
-    sums = part.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.max_by(F.when(told, F.col(value)), F.when(told, F.col(order))).alias("_last"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(by, "_part", F.sum("_n").over(before).alias("_n"), F.last("_last", ignorenulls=True).over(before).alias("_last"))
-    rows = part.withColumn("_state", F.last(value, ignorenulls=True).over(inner)).withColumn("_so_far", F.count("*").over(inner))
-    return rows.join(carried, [by, "_part"]).select(*events.columns, F.coalesce("_state", "_last").alias("state"), (F.col("_so_far") + F.coalesce("_n", F.lit(0))).alias("n_so_far"))
+    carried = part.groupBy(by, "_part").agg(F.count("*").alias("_n")).select(by, "_part", F.sum("_n").over(before).alias("_n"))
+    rows = part.withColumn("_so_far", F.count("*").over(inner))
+    return rows.join(carried, [by, "_part"]).select(*events.columns, F.col(value).alias("state"), (F.col("_so_far") + F.coalesce("_n", F.lit(0))).alias("n_so_far"))
 
 
 def opinions(state: DataFrame, verdict: str = "verdict") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
-from gristmill.functions.text import has_word
+from gristmill.functions.text import form_has, word_form
 from gristmill.functions.vector import dot
 from gristmill.session import cut
 
@@ -39,23 +39,28 @@ def profile_similarity(offers: DataFrame, profiles: DataFrame, how: str = "max",
 
 def normalised(rows: DataFrame, column: str = "sims", how: str = "minmax", to: str = "norm") -> DataFrame:
     """The column over its global range or spread (0 where that is tiny); one
-    aggregate row is broadcast."""
+    aggregate row is broadcast. ``rows`` are read twice, so they should be
+    computed before (``cut``) where that is dear."""
     v = F.col(column)
     low, span = (F.min(v), F.max(v) - F.min(v)) if how == "minmax" else (F.avg(v), F.stddev_pop(v))
     stats = rows.agg(low.alias("_low"), span.alias("_span"))
-    return rows.join(F.broadcast(stats)).withColumn(to, F.when(F.col("_span") > TINY, (v - F.col("_low")) / F.col("_span")).otherwise(0.0)).drop("_low", "_span")
+    return rows.join(F.broadcast(stats)).withColumn(to, F.when(F.col("_span") > TINY, (v - F.col("_low")) / F.col("_span")).when(v.isNotNull(), 0.0)).drop("_low", "_span")
 
 
 def boosts(offers: DataFrame, first: list[str], second: list[str], tags: tuple[str, str, str] = ("A", "B", "A+B")) -> DataFrame:
     """``boost`` and ``tags`` from two groups of words: full in the title, a part
-    in the description; the combination needs both, one of them in the title."""
-    in_title = [has_word("title", words) for words in (first, second)]
-    in_text = [has_word("description", words) for words in (first, second)]
+    in the description; the combination needs both, one of them in the title.
+    The forms of both texts are made once, as columns that are tested and dropped."""
+    forms = offers.withColumns({"_title_form": word_form("title"), "_text_form": word_form("description")})
+    found = {f"_{c}{k}": form_has(f"_{c}_form", words) for c in ("title", "text") for k, words in enumerate((first, second))}
+    rows = forms.withColumns(found).drop("_title_form", "_text_form")
+    in_title, in_text = ([F.col(f"_{c}{k}") for k in (0, 1)] for c in ("title", "text"))
     part = [F.when(t, GROUP_BOOST).when(d, GROUP_BOOST * DESCRIPTION_PART).otherwise(0.0) for t, d in zip(in_title, in_text)]
     has = [t | d for t, d in zip(in_title, in_text)]
     combo = has[0] & has[1] & (in_title[0] | in_title[1])
     named = F.array_compact(F.array(F.when(has[0], tags[0]), F.when(has[1], tags[1]), F.when(combo, tags[2])))
-    return offers.withColumn("boost", part[0] + part[1] + F.when(combo, COMBO_BOOST).otherwise(0.0)).withColumn("tags", named).withColumn("combo", combo)
+    made = {"boost": part[0] + part[1] + F.when(combo, COMBO_BOOST).otherwise(0.0), "tags": named, "combo": combo}
+    return rows.withColumns(made).drop(*found)
 
 
 def soft_signals(months: Column | str, start: Column | str, target: str) -> Column:
@@ -67,10 +72,11 @@ def soft_signals(months: Column | str, start: Column | str, target: str) -> Colu
 
 def compose(offers: DataFrame, mode: str, soft: Column | None = None) -> DataFrame:
     """``score`` from ``sims`` (and ``norm``), ``boost`` and a soft signal; in
-    lexicographic mode the tier (``tier``) orders before the score."""
+    lexicographic mode the tier (``tier``) orders before the score. An offer
+    whose similarity isn't known has no score, and comes last of its tier."""
     extra = F.col("boost") + (soft if soft is not None else F.lit(0.0))
     score = {
-        "additive": F.least(F.lit(1.0), F.col("sims") + extra) if "sims" in offers.columns else None,
+        "additive": F.when(F.col("sims").isNotNull(), F.least(F.lit(1.0), F.col("sims") + extra)) if "sims" in offers.columns else None,
         "additive_norm": F.col("norm") + extra if "norm" in offers.columns else None,
         "multiplicative": F.col("sims") * (1 + extra),
         "lexicographic": F.col("sims"),
@@ -90,8 +96,20 @@ def blend(offers: DataFrame, verdict: str = "verdict_score", weight: float = 0.5
     return offers.withColumn("final", F.coalesce((1 - weight) * F.col("score") + weight * F.col(verdict), F.col("score")))
 
 
+#: Fixed value: the flag of a support occupation whose domain is only its company's.
+SUPPORT_FLAG = "métier support (juridique/RH/marketing…) : le domaine IA/cyber vient de l'entreprise, pas du poste"
+
+
+def support_rule(offers: DataFrame, support: Column, domain: str = "domain_match", flags: str = "flags") -> DataFrame:
+    """A support occupation is off the domain, whatever the verdict says; the flag is added where that changes it."""
+    changes = support & ~F.coalesce(~F.col(domain), F.lit(False))
+    return offers.withColumns({flags: F.when(changes, F.concat(F.coalesce(flags, F.array().cast("array<string>")), F.array(F.lit(SUPPORT_FLAG)))).otherwise(F.col(flags)), domain: F.when(support, False).otherwise(F.col(domain))})
+
+
 def capped(score: Column | str, apprenticeship: Column, off_domain: Column) -> Column:
-    return F.when(apprenticeship, F.least(col(score), F.lit(0.2))).when(off_domain, F.least(col(score), F.lit(0.3))).otherwise(col(score))
+    """The score, at most 0.2 for an apprenticeship and 0.3 off the domain."""
+    most = lambda x: F.when(col(score) > x, x).otherwise(col(score))
+    return F.when(apprenticeship, most(0.2)).when(off_domain, most(0.3)).otherwise(col(score))
 
 
 def score_level(score: Column | str) -> Column:
@@ -119,8 +137,8 @@ def spread_sample(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """A fixed order that doesn't follow the key."""
-    return rows.withColumn("shuffle_key", F.xxhash64(F.col(key), F.lit(seed))).orderBy("shuffle_key", key)
+    """A fixed order that doesn't follow the key: that of the SHA-256 of key and seed."""
+    return rows.withColumn("shuffle_key", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)).orderBy("shuffle_key", key)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 20_000) -> DataFrame:
@@ -137,14 +155,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
 
         def near(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names, wanted = sent.value
+            best_s, best_id = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
             for b in batches:
                 if b.empty:
                     continue
                 ids, matrix = b[key].to_numpy(), np.stack(b[vector]).astype(float).T
+                now_s, now_id = [], []
                 for at in range(0, len(names), 256):
-                    s = wanted[at : at + 256] @ matrix
-                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s.round(9)), axis=1)[:, :k]
-                    yield pd.DataFrame({"query": np.repeat(names[at : at + 256], order.shape[1]), key: ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).round(9).ravel()})
+                    s = np.hstack([best_s[at : at + 256], (wanted[at : at + 256] @ matrix).round(9)])
+                    every = np.hstack([best_id[at : at + 256], np.broadcast_to(ids, (len(s), len(ids)))])
+                    order = np.lexsort((every, -s), axis=1)[:, :k]
+                    now_s.append(np.take_along_axis(s, order, 1))
+                    now_id.append(np.take_along_axis(every, order, 1))
+                best_s, best_id = np.vstack(now_s), np.vstack(now_id)
+            yield pd.DataFrame({"query": np.repeat(names, best_s.shape[1]), key: best_id.ravel(), "similarity": best_s.ravel()})
 
         found = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(near, f"query long, {key} long, similarity double")
         out = found if out is None else out.unionAll(found)

@@ -4,6 +4,8 @@ rewrite into a new version."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,23 @@ def with_links(offers: DataFrame, links: DataFrame) -> DataFrame:
     return offers.join(nested, "key")
 
 
+def displayable(offers: DataFrame, links: DataFrame, run: int, day: str) -> DataFrame:
+    """Offers seen in a run that have a link, with their links. If no offer notes
+    this run at all, it is older than these notes: then those last seen on its day."""
+    noted = offers.agg(F.coalesce(F.bool_or(F.col("last_run") == run), F.lit(False)).alias("_noted"))
+    both = offers.join(F.broadcast(noted))
+    seen = F.when(F.col("_noted"), F.col("last_run") == run).otherwise(F.col("last_seen") == F.lit(day).cast("date"))
+    return with_links(both.where(seen).drop("_noted"), links)
+
+
+def seen_from_runs(runs: DataFrame, key: str = "key", day: str = "day") -> DataFrame:
+    """What ``upsert_seen`` gives after all runs of (key, day), one a day, in one
+    pass; a run's number is its day's, counted from 1970."""
+    number = lambda c: F.unix_date(c).cast("int")
+    found = runs.select(key, day).distinct().groupBy(key).agg(F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.count("*").cast("int").alias("days_seen"))
+    return found.withColumns({"first_run": number("first_seen"), "last_run": number("last_seen")})
+
+
 def backfill(offers: DataFrame, texts: DataFrame, fetched: DataFrame, key: str = "key") -> DataFrame:
     """(outcome, n) of filling in missing texts: present, filled, empty or failed."""
     joined = offers.select(key).join(texts.select(key, F.lit(True).alias("_has")), key, "left").join(fetched.select(key, F.col("text").alias("_text"), F.lit(True).alias("_got")), key, "left")
@@ -83,11 +102,27 @@ def table_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return both.select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def fingerprint(rows: DataFrame, key: str) -> DataFrame:
-    """One SHA-256 of a table, of its column names and rows in key order. Rows
-    are hashed where they are; groups by a prefix of the key's hash bring
-    together bounded lists of hashes."""
-    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(rows.columns)]
-    hashed = rows.select(F.col(key).cast("string").alias("k"), F.sha2(F.concat_ws("|", *cells), 256).alias("h")).withColumn("part", F.substr("h", F.lit(1), F.lit(2)))
-    parts = hashed.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ","), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ","), 256).alias("fingerprint"))
+#: A fingerprint's lists of hashes: about so many a group.
+GROUP = 4096
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """(fingerprint): one SHA-256 of a table, of its column names and its rows,
+    whatever their order and partitions.
+
+    A row is hashed where it is: each cell as its length, a colon and its text,
+    a null as a hyphen, so no two rows read alike. Equal keys are ordered by their
+    hash. Rows meet in groups by the hash, of which there are as many as keep a group at
+    about GROUP hashes, and groups meet in turn until one is left."""
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in sorted(rows.columns)]
+    names = "".join(f"{len(c)}:{c}" for c in sorted(rows.columns))
+    level = rows.select(F.sha2(F.concat(*cells), 256).alias("h"))
+    digits = max(0, math.ceil(math.log(max(1, rows.count()) / GROUP, 16)))
+    while True:
+        groups = level.groupBy(F.substr("h", F.lit(1), F.lit(digits)).alias("part")) if digits else level.groupBy(F.lit("").alias("part"))
+        level = groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("_h")).select(F.concat("part", "_h").alias("h"))
+        if not digits:
+            break
+        digits = max(0, digits - 3)
+    told = level.agg(F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)).alias("h"))
+    return told.select(F.sha2(F.concat(F.lit(names), F.lit("|"), "h"), 256).alias("fingerprint"))

@@ -26,14 +26,23 @@ def session(name: str = "gristmill", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names
+    it in ``spark.checkpoint.dir``. Where that is unset a local folder is taken,
+    but only if all runs on this machine; on a cluster that is an error."""
+    jsc = spark.sparkContext._jsc.sc()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if jsc.getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-"))
+    return (named or jsc.getCheckpointDir().get()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once, into the folder that the session names in
-    ``spark.checkpoint.dir`` and that all executors share; only where that is
-    unset (tests on one machine), into a local one. What follows sees the same
-    rows and partitions however often it reads them."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-"))
+    """Computes ``df`` once, into the shared folder. What follows sees the same
+    rows and partitions however often it reads them, and lost executors lose nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -13,13 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str, vectors: bool = False, labels: bool = False) -> DataFrame:
-    """documents as offers: the first line is the title, the source the company, the language the location."""
+    """documents as offers: the first line is the title, the source the company,
+    the language the location. With ``vectors``, an offer without one stays, with nulls."""
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("company"), F.col("lang").alias("location"), F.col("text").alias("description"),
         F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int")).alias("posted_at"), F.lit("").alias("salary"),
     )
     if vectors:
-        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").alias("topic")), "ord")
+        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").alias("topic")), "ord", "left")
     if labels:
         rows = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic"), "ord")
     return rows
@@ -54,3 +55,20 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("place"), F.col("c_nationkey").alias("nation"), (F.lit(2.0) + F.pmod("c_custkey", F.lit(97)) / 100.0).alias("lon"), (F.lit(48.4) + F.pmod("c_custkey", F.lit(89)) / 100.0).alias("lat")
     )
+
+
+#: Fixed value: where labels come from that don't say so.
+DEFAULT_PROVENANCE = "corpus_aveugle"
+LABEL = "cle string, pertinent int, etiquete_le string, title string, company string, url string, provenance string"
+
+
+def label_rows(rows: DataFrame, json: str = "json") -> DataFrame:
+    """Labels from landed JSON, a label a row: (key, relevant, labelled, title, company, url, provenance), blanks for what is missing."""
+    r = F.from_json(F.col(json), LABEL)
+    text = lambda c: F.coalesce(F.col(f"_r.{c}"), F.lit(""))
+    return rows.select(r.alias("_r")).select(F.col("_r.cle").alias("key"), F.col("_r.pertinent").alias("relevant"), text("etiquete_le").alias("labelled"), text("title").alias("title"), text("company").alias("company"), text("url").alias("url"), F.coalesce("_r.provenance", F.lit(DEFAULT_PROVENANCE)).alias("provenance"))
+
+
+def overlaid(base: dict, local: dict) -> dict:
+    """A configuration with a local one laid over it: blocks key by key one level deep, all else as a whole."""
+    return base | {k: base[k] | v if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in local.items()}

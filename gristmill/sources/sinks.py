@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from gristmill.operators.rank import ranked
 from gristmill.operators.store import fingerprint
 
-CSV_COLUMNS = ["rank", "score", "title", "company", "location", "salary", "posted_at", "source", "url", "tags", "flags"]
+#: The export's columns in order, and those that come from a verdict.
+CSV_COLUMNS = ["rang", "score", "match", "nouvelle", "title", "company", "location", "source", "posted_at", "duree_mois", "date_debut", "salary", "score_llm", "pertinent", "niveau", "est_alternance", "drapeaux_rouges", "justification", "url", "description"]
+VERDICT_COLUMNS = CSV_COLUMNS[12:18]
 
 
 def csv_rows(offers: DataFrame, order: str = "ord") -> DataFrame:
-    """The export's columns: rank from 1, score to four decimals, lists joined by " | ", blanks for missing."""
+    """The export's columns: rank from 1, scores to four decimals, tags between
+    spaces and flags between bars, oui and non for what is true and false, blanks
+    for what is missing. ``tags``, ``new``, ``months``, ``start`` and a struct
+    ``verdict`` (score, relevant, level, apprenticeship, flags, reason) are optional."""
     placed = ranked(offers, F.desc("score"), F.asc(order))
     have = set(placed.columns)
-    lists = {n for n, t in placed.dtypes if t.startswith("array")}
-    cell = lambda c: F.concat_ws(" | ", c) if c in lists else F.round("score", 4).cast("string") if c == "score" else F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
-    return placed.select(F.col("rank"), *(cell(c).alias(c) for c in CSV_COLUMNS[1:]))
+    get = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    yes = lambda c, no: F.when(c, "oui").when(~c, no).otherwise("")
+    told = {
+        "rang": F.col("rank"), "score": F.round("score", 4).cast("string"), "match": F.concat_ws(" ", "tags") if "tags" in have else F.lit(""), "nouvelle": yes(F.col("new"), "") if "new" in have else F.lit(""),
+        "duree_mois": get("months"), "date_debut": get("start"),
+    }
+    if "verdict" in have:
+        v = F.col("verdict")
+        cells = [F.round(v["score"], 4).cast("string"), yes(v["relevant"], "non"), v["level"], yes(v["apprenticeship"], "non"), F.concat_ws(" | ", v["flags"]), v["reason"]]
+        told |= {c: F.when(v.isNotNull(), F.coalesce(x, F.lit(""))).otherwise("") for c, x in zip(VERDICT_COLUMNS, cells)}
+    return placed.select(*(told.get(c, get(c)).alias(c) for c in CSV_COLUMNS))
 
 
 def write_csv(offers: DataFrame, path: str, order: str = "ord") -> None:
@@ -29,10 +42,10 @@ def write_stable_json(rows: DataFrame, path: str, key: str) -> None:
     rows.select(*sorted(rows.columns)).orderBy(key).write.mode("overwrite").json(path)
 
 
-def freeze(rows: DataFrame, path: str, key: str) -> DataFrame:
+def freeze(rows: DataFrame, path: str) -> DataFrame:
     """A versioned snapshot beside a manifest row (rows, fingerprint)."""
     rows.write.mode("errorifexists").parquet(f"{path}/data")
-    manifest = rows.agg(F.count("*").alias("rows")).join(F.broadcast(fingerprint(rows, key)))
+    manifest = rows.agg(F.count("*").alias("rows")).join(F.broadcast(fingerprint(rows)))
     manifest.write.mode("errorifexists").json(f"{path}/manifest")
     return manifest
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gristmill.operators.store import upsert_seen
 
 
 def feedback_state(events: DataFrame, by: str = "offer_id", order: str = "id") -> DataFrame:
-    """Running replay: the event with the greatest id of each offer, and how many there were (update or complete mode)."""
+    """Running replay: the event with the greatest id of each offer, and how many there were (update mode)."""
     rest = [c for c in events.columns if c not in (by, order)]
     found = events.groupBy(by).agg(F.max(F.struct(order, *rest)).alias("_b"), F.count("*").alias("n_events"))
     return found.select(by, "_b.*", "n_events")
@@ -25,6 +26,24 @@ def pace_windows(events: DataFrame, by: str, at: str, size: str, delay: str) ->
     return events.withWatermark(at, delay).groupBy(F.window(at, size), by).agg(F.count("*").alias("n")).select(by, F.col("window.start").alias("start"), "n")
 
 
+def run_to_table(stream: DataFrame, folder: str, *keys: str) -> DataFrame:
+    """Runs a stream in update mode over all that is there, and returns the last
+    row of each key. Each micro-batch is written by the tasks under its number, so
+    one that comes again writes the same folder again; state and progress lie in
+    the same shared folder. Nothing is collected."""
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/gm_batch={number}")
+
+    running = stream.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    schema = StructType([*stream.schema, StructField("gm_batch", IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{folder}/batches")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "gm_batch").alias("_last")).select(*keys, "_last.*")
+
+
 def upsert_runs(spark: SparkSession, folder: str, key: str, fields: tuple[str, ...], day: str = "day"):
     """A function for ``foreachBatch``: each micro-batch is a run that is merged
     into the newest version of the table under ``folder``. A batch that comes

@@ -24,21 +24,29 @@ def one(spark, expr, value, kind="string"):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("Développeur (H/F) à Lyon", "developpeur a lyon"), ("Data Engineer - m/w/d", "data engineer"), ("F/H Chef", "chef"), ("", ""), ("Ingénieur  Réseau", "ingenieur reseau")],
+    [("Développeur (H/F) à Lyon", "developpeur a lyon"), ("Data Engineer - m/w/d", "data engineer"), ("F/H Chef", "chef"), ("Chef RH F/H", "chef rh"), ("Freshfields", "freshfields"), ("", ""), ("Ingénieur  Réseau", "ingenieur reseau")],
 )
 def test_normal_title(spark, raw, want):
     assert one(spark, tx.normal_title("x"), raw) == want
 
 
+def test_every_gender_marker_goes(spark):
+    marks = "(H/F) (h/f) H/F H-F H - F [H/F] (F/H) (M/F) F/M (W/M) M/W (H/F/D) H/F/N (M/W/D) (f/m/d) (x/f/m) (X/F/M)".split(" ")
+    rows = spark.createDataFrame([(f"Ingénieur données {m}",) for m in ["", *" ".join(marks).replace("H - F", "H-F").split(" ")] if m != "-" and m not in "HF"], "x string")
+    assert {r[0] for r in rows.select(tx.normal_title("x")).collect()} == {"ingenieur donnees"}
+    assert one(spark, tx.normal_title("x"), "Analyste M&A - H / F (stage)") == "analyste m a stage"
+
+
 @pytest.mark.parametrize(
     "f, raw, want",
     [
         (tx.clean, None, ""), (tx.clean, "  au00e9b  ", "aéb"), (tx.repair_escapes, "Hu002FF", "H/F"), (tx.city_key, "Paris 12e, France", "paris"), (tx.city_key, "Évry, 91", "evry"),
         (tx.slug, "Élève & Co", "eleve_co"), (tx.word_form, "L'Été", " l ete "), (tx.presentable_title, "Stage data (H/F) - 6 mois", "Stage data"), (tx.presentable_title, "(H/F)", "(H/F)"),
-        (tx.comment, "  ", None), (tx.level, "Bac+5", "master"), (tx.level, None, "unknown"), (tx.mask_secrets, "GET /x?api_key=abc&q=1", "GET /x?api_key=***&q=1"), (tx.escape_html, '<a b="c">&', "&lt;a b=&quot;c&quot;&gt;&amp;"),
-        (tx.strip_html, "<p>a&amp;b</p><script>x<y</script>c<br>d", "a&b c d"), (tx.strip_html, None, ""),
-        (tx.duration_months, "4 à 6 mois, 24 mois, 36 mois", 24), (tx.duration_months, "stage de 26 semaines", 6), (tx.duration_months, "rien", None),
-        (tx.start_month, "dès février 2027 puis 03/2026", "2027-02"), (tx.start_month, "on 3/2026", "2026-03"), (tx.start_month, "soon", None),
+        (tx.comment, "  ", None), (tx.level, "Bac+5", "inconnu"), (tx.level, None, "inconnu"), (tx.level, "Confirmé", "senior"), (tx.level, "jeune diplômé", "junior"), (tx.level, "Stagiaire", "stage"), (tx.level, " Senior ", "senior"), (tx.level, "student", "stage"),
+        (tx.city_key, "Parisot", "parisot"), (tx.city_key, "Saint-Denis, 93", "saint denis"), (tx.city_key, "Grand Paris Sud", "grand paris"), (tx.city_key, None, ""), (tx.mask_secrets, "GET /x?api_key=abc&q=1", "GET /x?api_key=***&q=1"), (tx.escape_html, '<a b="c">&', "&lt;a b=&quot;c&quot;&gt;&amp;"),
+        (tx.strip_html, "<p>a&amp;b</p><script>x<y</script>c<br/>d", "a&b xc d"), (tx.strip_html, "a\n <li>b</li>\u00a0 c", "a\n b c"), (tx.strip_html, None, ""),
+        (tx.duration_months, "4 à 6 mois, 24 mois, 36 mois", 24), (tx.duration_months, "stage de 26 semaines", 6), (tx.duration_months, "rien", None), (tx.duration_months, "6-month internship", 6), (tx.duration_months, "4 à 6 mois", 6), (tx.duration_months, "30 mois", None), (tx.duration_months, None, None),
+        (tx.start_month, "dès février 2027 puis 03/2026", "2027-02"), (tx.start_month, "on 3/2026", "2026-03"), (tx.start_month, "soon", None), (tx.start_month, "01-2027", "2027-01"), (tx.start_month, "2027/1 ou 2026-05", "2027-01"), (tx.start_month, "2026-09 then 03/2027", "2026-09"), (tx.start_month, "12/2026, janvier 2027", "2027-01"),
     ],
 )
 def test_text(spark, f, raw, want):
@@ -47,6 +55,7 @@ def test_text(spark, f, raw, want):
 
 def test_urls(spark):
     assert one(spark, normal_url("x"), "HTTPS://Ex.Com/A/?b=2&utm_source=z&a=&ref=q#top") == "https://ex.com/A?a=&b=2"
+    assert one(spark, normal_url("x"), "https://e.com/?q=a+b&z=%C3%A9&y&q=~*") == "https://e.com?q=a+b&q=~%2A&y=&z=%C3%A9"
     assert one(spark, normal_url("x"), "http://e.com/") == "http://e.com"
 
 
@@ -62,10 +71,32 @@ def test_columns(spark):
 
 
 def test_geo_functions(spark):
-    assert one(spark, gf.segments("x"), "St-Denis 93200, Île-de-France / Paris CEDEX 12") == ["saint denis", "ile de france", "paris"]
-    assert one(spark, gf.cited_departments("x"), "Massy (91), 75012 Paris") == ["91", "75"]
-    assert one(spark, gf.in_region("x", ["paris"], ["75"], ["texas"]), None)
-    assert not one(spark, gf.in_region("x", ["paris"], ["75"], ["texas"]), "Paris, Texas")
+    assert one(spark, gf.segments("x"), "St-Denis 93200, Île-de-France / Paris CEDEX 12") == ["st denis", "ile de france", "paris cedex 12"]
+    assert one(spark, gf.segments("x"), "Orly, Val-de-Marne - Paris | 75 - Paris 8e Arrondissement") == ["orly", "val de marne paris", "val de marne", "paris", "75"]
+    assert one(spark, gf.segments("x"), None) == []
+    assert one(spark, gf.variants(F.col("x")), "st maur cedex 2") == ["st maur cedex 2", "saint maur cedex 2", "saint maur"]
+    assert one(spark, gf.cited_departments("x", {"yonne": "89"}), "92 - SURESNES, 977 – Gustavia / l'Yonne") == ["92", "97", "89"]
+    assert one(spark, gf.paris_district("x"), "Paris 12e") == 12 and one(spark, gf.paris_district("x"), "3ème arrondissement") == 3 and one(spark, gf.paris_district("x"), "Paris 25") is None
+    inside = {"": True, None: True, "Paris, TX": False, "75 - Paris": True, "X, A8, FR": True, "Lucé, CVL, FR": False, "Ile-de-France": True, "Rennes, Bretagne": False, "Orly, Val-de-Marne": True, "La Défense": True, "Lyon": False, "33 - X": False}
+    for place, want in inside.items():
+        assert one(spark, gf.in_region("x"), place) is want, place
+    assert one(spark, gf.in_region("x", F.lit(True)), "Massy") and not one(spark, gf.in_region("x", F.lit(True)), "Massy, CA")
+    lists = [(["Rome", " Paris "], "Paris"), (["", "Rome"], "Rome"), ([" "], ""), (None, "")]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x, _ in lists], "x array<string>").select(gf.preferred_location("x")).collect()] == [w for _, w in lists]
+
+
+def test_region_by_communes(spark):
+    rows = spark.createDataFrame([(1, "Les Lilas 93260", "t"), (2, "lilas", "t"), (3, "Lilas, TX", "t"), (4, "Lilas", "Poste au Canada"), (5, "Berlin", "t"), (6, None, None)], "ord int, location string, title string")
+    communes = spark.createDataFrame([("93045", "Les Lilas", "93")], "code string, name string, department string")
+    found = {r["ord"]: r["inside"] for r in geo.region_decision(rows, communes, title="title", foreign_titles=["canada"], foreign=["berlin"]).collect()}
+    assert found == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_homonyms_take_the_cited_department_then_the_nearest(spark):
+    communes = spark.createDataFrame([("77433", "Saint-Mard", "77", 2.7, 49.0), ("02682", "Saint-Mard", "02", 3.6, 49.4), ("75056", "Paris", "75", 2.35, 48.85)], "code string, name string, department string, lon double, lat double")
+    rows = spark.createDataFrame([(1, "02 - ST MARD"), (2, "Saint-Mard"), (3, "PARIS 11"), (4, "Nowhere"), (5, None)], "ord int, location string")
+    for centre, near in (((2.3, 48.8), "77433"), ((3.6, 49.4), "02682")):
+        assert {r["ord"]: r["code"] for r in geo.resolve_commune(rows, communes, centre=centre).collect()} == {1: "02682", 2: near, 3: "75111", 4: None, 5: None}
 
 
 def test_filters_give_the_first_reason_and_unknown_dates_fail(spark):
@@ -119,6 +150,10 @@ def test_hours_and_identity(spark):
     assert one(spark, dedup.hours_in_title("x"), "Serveur 35h ou 20 h, 99h, 12hp") == [20, 35]
     rows = spark.createDataFrame([("t", None, "paris"), ("t", "Acme", "")], "title string, company string, location string")
     assert [r[0] for r in rows.select(dedup.mergeable_identity()).collect()] == [None, None]
+    for title, want in {"8h30": [], "7,5h": [], "CDI 10H": [10], "24H / SEMAINE": [24], "19h": [19], None: [], "41h": []}.items():
+        assert one(spark, dedup.hours_in_title("x"), title) == want, title
+    told = spark.createDataFrame([("t 10h", "L'Oréal SA", "92 - Clichy", "92024"), ("t", "x", "Clichy, 92", None)], "title string, company string, location string, code string")
+    assert [tuple(r[0]) for r in told.select(dedup.mergeable_identity(commune="code")).collect()] == [("l oreal sa", "92024", [10]), ("x", "clichy", [])]
 
 
 def test_native_merge_and_migration(spark):
@@ -177,8 +212,18 @@ def test_store_helpers(spark):
     assert sorted(r["text"] for r in store.last_write(t([(1, "a", 1), (2, "b", 1)]), t([(2, "c", 2)]), "key").collect()) == ["a", "c"]
     assert sorted(r["text"] for r in store.append_missing(t([(1, "a", 1)]), t([(1, "z", 2), (3, "d", 2)]), "key").collect()) == ["a", "d"]
     one_way, other = t([(1, None, 1), (2, "", 1)]), t([(2, "", 1), (1, None, 1)])
-    assert store.fingerprint(one_way, "key").first() == store.fingerprint(other, "key").first()
-    assert store.fingerprint(one_way, "key").first() != store.fingerprint(t([(1, "", 1), (2, None, 1)]), "key").first()
+    assert store.fingerprint(one_way).first() == store.fingerprint(other).first()
+    assert store.fingerprint(one_way).first() != store.fingerprint(t([(1, "", 1), (2, None, 1)])).first()
+
+
+def test_fingerprints_tell_tables_apart(spark, monkeypatch):
+    t = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    for group in (4096, 2):
+        monkeypatch.setattr(store, "GROUP", group)
+        tables = [[], [(None, "x")], [("\\N", "x")], [("-", "x")], [("x|b=y", "z")], [("x", "y|b=z")], [("x", "y"), ("x", "y")], [("x", "y")], [("1:x", "y")], *([(str(k), str(k % 7)) for k in range(n)] for n in (30, 31))]
+        marks = [store.fingerprint(t(rows)).first()[0] for rows in tables]
+        assert len(set(marks)) == len(marks) and all(len(m) == 64 for m in marks)
+        assert store.fingerprint(t(tables[-1][::-1]).repartition(3)).first()[0] == marks[-1]
 
 
 def test_queue_rules(spark):
@@ -197,11 +242,77 @@ def test_running_state_over_stretches(spark):
     df = spark.createDataFrame(rows, "id long, offer_id string, told string")
     want, last, n = {}, {}, {}
     for k, offer, told in rows:
-        last[offer] = told or last.get(offer)
+        last[offer] = told
         n[offer] = n.get(offer, 0) + 1
         want[k] = (last[offer], n[offer])
     for stretch in (1, 7, 1 << 16):
         assert {r["id"]: (r["state"], r["n_so_far"]) for r in queue.running_state(df, "told", stretch=stretch).collect()} == want
+    final = {r["offer_id"]: r["told"] for r in queue.replay(df).collect()}
+    assert final == {offer: told for _, offer, told in rows}
+
+
+def test_moves_of_the_queue(spark):
+    jobs = spark.createDataFrame([(1, "pending"), (2, "running"), (3, "done")], "id int, status string")
+    moves = lambda *m: spark.createDataFrame(list(m), "id int, to string")
+    assert {r["id"]: r["status"] for r in queue.moved(jobs, moves((1, "running"), (2, "done"))).collect()} == {1: "running", 2: "done", 3: "done"}
+    with pytest.raises(ValueError, match="3"):
+        queue.moved(jobs, moves((3, "running")))
+    requests = spark.createDataFrame([(k,) for k in (1, 2, 3)], "offer_id int")
+    known, texts = requests.where("offer_id < 3"), requests.where("offer_id = 1")
+    assert {r["offer_id"]: r["outcome"] for r in queue.validate(requests, known, texts, False).collect()} == {1: "MASTER_INVALID", 2: "TEXT_MISSING", 3: "OFFER_NOT_FOUND"}
+    assert queue.validate(requests, known, texts).where("outcome = 'ACCEPTED'").count() == 1
+
+
+def test_displayable_offers_of_a_run(spark):
+    rows = spark.createDataFrame([("a", 5, "2024-01-02"), ("b", 4, "2024-01-02"), ("c", 5, "2024-01-01")], "key string, last_run int, seen string").withColumn("last_seen", F.to_date("seen"))
+    links = spark.createDataFrame([("a", "s", "l", 1), ("b", "s", "m", 1)], "key string, source string, link string, first_seen int")
+    get = lambda run: sorted(r["key"] for r in store.displayable(rows, links, run, "2024-01-02").collect())
+    assert get(5) == ["a"] and get(4) == ["b"] and get(9) == ["a", "b"]
+    runs = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-03"), ("a", "2024-01-03"), ("b", "2024-01-02")], "key string, d string").withColumn("day", F.to_date("d"))
+    assert sorted((r["key"], str(r["first_seen"]), str(r["last_seen"]), r["days_seen"]) for r in store.seen_from_runs(runs).collect()) == [("a", "2024-01-01", "2024-01-03", 2), ("b", "2024-01-02", "2024-01-02", 1)]
+
+
+def test_support_occupations_are_off_the_domain(spark):
+    rows = spark.createDataFrame([(1, True, ["x"], True), (2, False, ["x"], True), (3, None, None, True), (4, True, ["x"], False)], "ord int, domain_match boolean, flags array<string>, support boolean")
+    found = {r["ord"]: (r["domain_match"], len(r["flags"] or [])) for r in rank.support_rule(rows, F.col("support")).collect()}
+    assert found == {1: (False, 2), 2: (False, 1), 3: (False, 1), 4: (True, 1)}
+    assert [one(spark, rank.capped("x", F.lit(a), F.lit(b)), 0.9, "double") for a, b in ((True, True), (False, True), (False, False))] == [0.2, 0.3, 0.9]
+    assert one(spark, rank.capped("x", F.lit(True), F.lit(True)), None, "double") is None
+
+
+def test_tension_is_read_at_the_latest_period(spark):
+    rows = spark.createDataFrame([("c", "2023", "M", 1.0), ("c", "2024", "M", 2.0), ("c", "2024", "x", None), ("c", "2024", "y", 0.5), ("c", "2024", "z", 0.7), ("d", "2022", "y", 1.0)], "code string, period string, kind string, v double")
+    found = {r["code"]: (r["period"], r["main"], [d["kind"] for d in r["details"]]) for r in market.latest_tension(rows, "code", "period", "kind", "v", "M").collect()}
+    assert found == {"c": ("2024", 2.0, ["z", "y", "x"]), "d": ("2022", None, ["y"])}
+    named = market.territory_codes(spark.createDataFrame([("Île-de-France",), ("x",)], "label string"), spark.createDataFrame([("11", "ILE-DE-FRANCE")], "code string, label string"))
+    assert {r["label"]: r["code"] for r in named.collect()} == {"Île-de-France": "11", "x": None}
+
+
+def test_tags_labels_and_settings(spark):
+    from gristmill.functions.dates import allowed_window
+    from gristmill.sources.adapters import label_rows, overlaid
+
+    tags = spark.createDataFrame([([" b ", "a", None, "", "b"],), (None,)], "x array<string>")
+    assert [r[0] for r in tags.select(tx.ordered_tags("x")).collect()] == [["b", "a"], []]
+    assert [one(spark, tx.families_or("x", {"d": ["data"], "c": ["cyber"]}), t) for t in ("Data, cyber", "rien", None)] == [["d", "c"], ["terme_non_retrouve"], ["terme_non_retrouve"]]
+    assert [one(spark, allowed_window("x"), n, "int") for n in (0, 7, 10, 21, 99)] == [1, 7, 14, 31, 31]
+    label = label_rows(spark.createDataFrame([('{"cle": "k", "pertinent": 1}',), ('{"cle": "l", "pertinent": 0, "provenance": "p"}',)], "json string")).collect()
+    assert [(r["key"], r["relevant"], r["provenance"], r["title"]) for r in label] == [("k", 1, "corpus_aveugle", ""), ("l", 0, "p", "")]
+    assert overlaid({"a": {"x": 1, "y": 2}, "b": [1], "c": 1}, {"a": {"y": 3}, "b": [2], "d": {"z": 0}}) == {"a": {"x": 1, "y": 3}, "b": [2], "c": 1, "d": {"z": 0}}
+
+
+def test_rows_without_a_vector_come_last(spark):
+    rows = spark.createDataFrame([(1, None, 0.2, False), (2, 0.5, 0.0, False), (3, 0.95, 0.2, True)], "ord int, sims double, boost double, combo boolean")
+    assert [(r["ord"], r["score"]) for r in rank.top(rank.compose(rows, "additive"), 5).orderBy("rank").collect()] == [(3, 1.0), (2, 0.5), (1, None)]
+
+
+def test_run_report(spark):
+    tagged = spark.createDataFrame([("a", True, None, False), ("a", True, "too_old", False), ("b", False, None, False)], "source string, normalised boolean, reason string, merged boolean")
+    families = spark.createDataFrame([("f", 3, 1)], "family string, raw int, survivors int")
+    incidents = spark.createDataFrame([("b", "http", "HTTP 500")], "source string, category string, detail string")
+    told = json.loads(observe.run_report(observe.funnel(tagged), families, incidents, "p").first()["json"])
+    assert told["perimetre"] == "p" and [s["nom"] for s in told["sources"]] == ["a", "b"] and told["sources"][0]["rejets"] == {"too_old": 1}
+    assert told["sources"][1]["incidents"] == [{"categorie": "http", "detail": "HTTP 500"}] and told["familles"] == [{"nom": "f", "brut": 3, "survivantes": 1}]
 
 
 def test_dates(spark):
@@ -221,7 +332,7 @@ def test_models_are_asked_once_for_each_content(spark):
     with pytest.raises(ValueError):
         models.one_model(cache.unionByName(cache.withColumn("model", F.lit("other"))))
     said = spark.createDataFrame([('ok {"score": 1.7, "level": " x "}',), ("none",)], "a string").select(models.coerce("a").alias("v")).collect()
-    assert said[0]["v"]["score"] == 1.0 and said[0]["v"]["level"] == "x" and said[1]["v"] is None
+    assert said[0]["v"]["score"] == 1.0 and said[0]["v"]["level"] == "inconnu" and said[1]["v"] is None
 
 
 def test_report_views(spark):
@@ -273,7 +384,7 @@ RAW = {
     "adzuna": {"title": "A", "company": {"display_name": "C"}, "location": {"display_name": "L"}, "redirect_url": "u", "salary_min": 0, "salary_max": 900.7},
     "careerjet": {"title": "<b>A</b> &amp; B", "company": "", "locations": "L", "description": "d", "url": "u", "salary": "s"},
     "france_travail": {"id": "1", "intitule": "A &amp; <b>", "entreprise": {}, "lieuTravail": {"libelle": "75 - Paris"}, "origineOffre": {"urlOrigine": "u"}},
-    "free_work": {"id": 3, "slug": "sl", "title": "A", "job": {"nameForContributionSlug": "dev"}, "location": {"label": "", "adminLevel1": "IDF"}, "createdAt": "2024"},
+    "free_work": {"id": 3, "slug": "sl", "applicationUrl": " ", "title": "A", "job": {"nameForContributionSlug": "dev"}, "location": {"label": "", "adminLevel1": "IDF"}, "createdAt": "2024"},
     "jobspy": {"title": "A", "job_url": "u", "site": "", "min_amount": 5, "max_amount": 7, "currency": "USD"},
     "jooble": {"title": "A", "snippet": "<p>x</p>y", "link": "u", "salary": ""},
     "greenhouse": {"id": 4, "title": "A", "content": "&lt;p&gt;x&lt;/p&gt;", "absolute_url": "u", "location": {"name": "L"}},
@@ -284,19 +395,31 @@ RAW = {
 
 def test_every_source_normalises_and_bad_rows_are_kept_aside(spark):
     rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in RAW.items()], "source string, json string")
-    found = {r["source"]: r for r in normalize.normalise_all(rows).collect()}
-    assert len(found) == 9 and found["adzuna"]["salary"] == "up to 900 €" and found["careerjet"]["title"] == "A & B" and found["france_travail"]["title"] == "A & <b>"
-    assert found["free_work"]["url"] == "https://www.free-work.com/jobs/dev/sl" and found["free_work"]["location"] == "IDF" and found["jobspy:unknown"]["salary"] == "5 - 7 USD"
-    assert found["greenhouse"]["description"] == "x" and found["lever"]["posted_at"] == "2023-11-14T22:13:20Z" and found["lever"]["native_key"] == "id:5" and found["jooble"]["native_key"].startswith("content:")
+    found = {r["source"]: r for r in normalize.normalise_all(rows)[0].collect()}
+    assert len(found) == 9 and found["adzuna"]["salary"] == "jusqu'à 900 €" and found["careerjet"]["title"] == "A & B" and found["france_travail"]["title"] == "A & <b>"
+    assert found["free_work"]["url"] == "https://www.free-work.com/fr/tech-it/dev/job-mission/sl" and found["free_work"]["location"] == "IDF" and found["jobspy:inconnu"]["salary"] == "5 - 7 USD"
+    assert found["greenhouse"]["description"] == "x" and found["lever"]["posted_at"] == "2023-11-14T22:13:20+00:00" and found["lever"]["native_key"] == "id:5" and found["jooble"]["native_key"] == "url:u" and found["careerjet"]["native_key"].startswith("contenu:")
     bad = spark.createDataFrame([('{"title": "x"}',), ("{oops",), ('{"link": "u"}',)], "json string")
     offers, rejects = normalize.normalise(bad, "jooble")
     assert offers.count() == 0 and sorted(r["reason"] for r in rejects.collect()) == ["no title", "no url", "unparsable"]
+    mixed = spark.createDataFrame([("nobody", "{}", "f"), ("ashby", json.dumps(RAW["ashby"] | {"isListed": False}), "f"), ("ashby", json.dumps(RAW["ashby"]), "g"), (None, None, None)], "source string, json string, family string")
+    offers, rejects = normalize.normalise_all(mixed)
+    assert [r["family"] for r in offers.collect()] == ["g"] and sorted(r["reason"] for r in rejects.collect()) == ["not listed", "unknown source", "unknown source"]
+    boards = {
+        "greenhouse": RAW["greenhouse"] | {"location": {"name": "Berlin; Rome"}, "offices": [{"name": "Paris", "location": None}]},
+        "lever": RAW["lever"] | {"categories": {"location": "Rome", "allLocations": ["Rome", "Île-de-France"]}},
+        "ashby": RAW["ashby"] | {"location": "Remote", "address": {"postalAddress": {"addressLocality": "Lille", "addressCountry": "France"}}},
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in boards.items()], "source string, json string")
+    assert {r["source"]: r["location"] for r in normalize.normalise_all(rows)[0].collect()} == {"greenhouse": "Paris", "lever": "Île-de-France", "ashby": "Lille, France"}
+    wrapped = spark.createDataFrame([(json.dumps({"hydra:member": [RAW["free_work"]] * 2}),), (json.dumps([RAW["free_work"]]),), (json.dumps(RAW["free_work"]),)], "json string")
+    assert normalize.normalise(normalize.unwrapped(wrapped), "free_work")[0].count() == 4
 
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.123456, "t", ["a", "b"]), (2, 0.5, None, [])], "ord int, score double, title string, tags array<string>")
     sinks.write_csv(rows, str(tmp_path / "csv"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("rank").collect()
-    assert back[0]["score"] == "0.5" and back[1]["score"] == "0.1235" and back[1]["tags"] == "a | b"
-    sinks.freeze(rows, str(tmp_path / "frozen"), "ord")
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("rang").collect()
+    assert len(back[0]) == 20 and back[0]["score"] == "0.5" and back[1]["score"] == "0.1235" and back[1]["match"] == "a b"
+    sinks.freeze(rows, str(tmp_path / "frozen"))
     assert spark.read.json(str(tmp_path / "frozen/manifest")).first()["rows"] == 2

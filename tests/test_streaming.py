@@ -13,10 +13,9 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         rows.where(F.col("id") % 3 == (part + 1) % 3).coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = state.feedback_state(stream).writeStream.format("memory").queryName("fb").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
+    found = state.run_to_table(state.feedback_state(stream), str(tmp_path / "out"), "offer_id")
     want = sorted(tuple(r) for r in replay(rows).select("offer_id", "id", "verdict", "n_events").collect())
-    assert sorted(tuple(r) for r in spark.table("fb").select("offer_id", "id", "verdict", "n_events").collect()) == want
+    assert sorted(tuple(r) for r in found.select("offer_id", "id", "verdict", "n_events").collect()) == want
 
 
 def test_runs_upsert_by_micro_batch(spark, tmp_path):
