@@ -127,7 +127,11 @@ class Phrases:
         by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for phrase in owners:
             by_length[len(phrase)].append(phrase)
-        self.groups = [(np.array(p, np.int64), [sorted(owners[x]) for x in p]) for _, p in sorted(by_length.items())]
+        #: Of each length: the phrases, and their owners one after the other with where each phrase's begin.
+        self.groups = []
+        for _, p in sorted(by_length.items()):
+            every = [sorted(owners[x]) for x in p]
+            self.groups.append((np.array(p, np.int32), np.cumsum([0, *map(len, every)]), np.array([x for own in every for x in own], np.int64)))
         self.shortest = min(by_length, default=WINDOW)
 
 
@@ -158,7 +162,7 @@ class Shard:
         if self.pieces:
             index = FMIndex(np.concatenate(self.pieces))
             starts = np.cumsum([0, *map(len, self.pieces)])[:-1]
-            for phrase, owners in self.phrases.groups:
+            for phrase, first, owners in self.phrases.groups:
                 lo, hi = index.search(phrase)
                 which = np.repeat(np.arange(len(lo)), hi - lo)
                 if not len(which):
@@ -168,7 +172,7 @@ class Shard:
                 for w, p, k in zip(which.tolist(), piece.tolist(), (at - starts[piece]).tolist()):
                     row, offset = self.origin[p]
                     spans[row].append((offset + k, offset + k + phrase.shape[1]))
-                    items[row].update(owners[w])
+                    items[row].update(owners[first[w] : first[w + 1]].tolist())
         for row, (key, n) in enumerate(self.rows):
             yield (*key, n, merged(spans.get(row, [])), sorted(items.get(row, ())))
 
