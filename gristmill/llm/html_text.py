@@ -8,8 +8,9 @@ downward from the root; the blocks of nodes that are content with probability
 ``LIMIT`` or more form the text. The weights are fitted to labelled pages by
 gradient steps on the likelihood, whose expectations are the same marginals.
 
-Labelled pages: ``LABELLED`` holds small pages written for this purpose, in
-which ``y=1`` or ``y=0`` on an element labels it and what is inside. Pages of
+Labelled pages: ``LABELLED`` holds small pages written for this purpose, some
+by hand and some by a rule over common kinds of layout, in which ``y=1`` or
+``y=0`` on an element labels it and what is inside. Pages of
 one's own can be given to ``fit`` in the same form. Pages are independent of
 each other: every task works on the pages it reads, without a shuffle.
 """
@@ -228,6 +229,34 @@ _LONG = "The river had risen in the night, and by morning the lower fields were
 _MORE = "It took the council three weeks to agree on repairs; in the meantime, the mill stood still. "
 _MENU = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/a>About us</a></li></ul>"
 
+#: What stands around or holds the main text on pages of many kinds: an element with its class, id or role.
+HOLDERS = ["div class=post-body", "div id=main-content", "section class='story text'", "div class='entry content'", "td class=content", "div class='markdown body'", "div role=main", "div class='page content'", "div id=article", "div class=prose", "main class=wrapper", "div class='news text body'", "div id=bodytext", "div class='blog entry'"]
+AROUND = [
+    "div class='nav menu'", "div class='breadcrumb'", "div class='pagination pager'", "div class='share social'", "div class='related posts'", "div class='recommended more'", "div class='promo banner'", "div class='advert ads'", "div class='sponsor'", "div class='cookie consent'",
+    "div class='newsletter signup'", "div class='login form'", "form class='search'", "div id=comments", "div class='comment reply'", "div class='footer copyright legal'", "div class='sidebar widget'", "div class='archive list'", "div class='popup modal'", "div class='toolbar skip'",
+    "ul class='tags'", "div role=navigation", "div role=banner", "div role=contentinfo", "div role=complementary", "section class='responses discussion'", "div class='alert notice'", "td class='menu'",
+]
+
+
+def _element(told: str, inside: str, y: int) -> str:
+    return f"<{told} y={y}>{inside}</{told.split()[0]}>"
+
+
+def layouts() -> list[str]:
+    """Labelled pages by rule: each holder with four of what stands around it,
+    two of them long texts; in every third page they stand inside the holder."""
+    out = []
+    for k, holder in enumerate(HOLDERS):
+        around = [AROUND[(2 * k + 7 * j) % len(AROUND)] for j in range(4)]
+        parts = [_element(a, [_MENU, f"<p>{_MORE}</p>", "<p>Sign in now</p>", f"<h3>More</h3><p>{_LONG}</p>"][j], 0) for j, a in enumerate(around)]
+        text = f"<h1>The mill</h1><p>{_LONG}</p>" + [f"<p>{_MORE}</p><p>Yes.</p>", f"<ul><li>{_MORE}</li><li>New pumps</li></ul>", f"<div><p>{_LONG * 3}</p></div><h2>Costs</h2><p>{_MORE}</p>", f"<p>{_MORE}</p><pre>x = 1</pre><blockquote>{_LONG}</blockquote>"][k % 4]
+        inner = _element(holder, text + parts[1] if k % 3 == 0 else text, 1)
+        rest = [parts[0], inner, *([] if k % 3 == 0 else [parts[1]]), *parts[2:]]
+        body = f"<table><tr>{''.join(x if x.startswith('<td') else f'<td>{x}</td>' for x in rest)}</tr></table>" if holder.startswith("td") else f"<div class=wrapper>{''.join(rest)}</div>"
+        out.append(f"<html><body>{body}</body></html>")
+    return out
+
+
 #: Pages written to train on. y=1 is content, y=0 is not; what is inside an element takes its label.
 LABELLED = [
     f"<html><body><nav>{_MENU}</nav><div class=ad>Buy two, get one free today.</div><article y=1><h1>The flood</h1><p>{_LONG}</p><p>{_MORE}</p><p>So it was.</p></article><footer>&copy; Example &middot; All rights reserved.</footer></body></html>",
@@ -241,4 +270,5 @@ LABELLED = [
     f"<html><body><nav>{_MENU}</nav><div class=ad>{_MORE}</div><article y=1><h1>Note</h1><p>Short note</p></article><footer>&copy; example.net &middot; Home</footer></body></html>",
     f"<html><body><header>{_MENU}</header><article y=1><h1>The mill and the wall</h1><p>mill mill mill mill</p><p>wall | wall | mill</p></article><aside><p>{_MORE}</p></aside><footer><p>{_MORE}</p></footer></body></html>",
     f"<html><body><nav>{_MENU}</nav><main y=1><p>{_MORE}</p></main><div class=ad><p>Shoes</p></div><footer>Example</footer></body></html>",
+    *layouts(),
 ]

@@ -99,6 +99,35 @@ def test_layouts_that_were_not_trained_on():
     assert get(f"<article><p>{STORY}</p><p>cut &am") == f"{STORY}\ncut &am"
 
 
+#: Layouts of other kinds than those trained on, their main text between square brackets.
+FOREIGN = [
+    f"<body><div id=masthead>{MENU}</div><div class=blogpost>[<h2>Bridge</h2><p>{STORY}</p><p>{STORY}</p>]</div><div id=disqus_thread><h4>Leave a reply</h4><p>I like it a lot.</p></div><div class=site-info>&copy; 2021</div></body>",
+    f"<body><table><tr><td id=leftnav>{MENU}</td><td class=maincell>[<h1>Bridge</h1><p>{STORY}</p><p>Short one.</p>]</td><td class=rightads>Buy now! Shoes and more shoes</td></tr></table></body>",
+    f"<body><header role=banner><a href=/>Site</a></header><div class='documentation page'>[<h1>Install</h1><p>{STORY}</p><pre>make all</pre><ol><li>First, open the box.</li><li>Then close it again.</li></ol>]</div><nav class=toc>{MENU}</nav></body>",
+    f"<body><div class=topbar>{MENU}</div><article class=hentry>[<h1>News</h1><p>{STORY}</p>]<div class='sharing buttons'><a href=#>Tweet</a> <a href=#>Mail</a></div></article><section id=more-stories><h3>More stories</h3>{MENU}</section><footer>Terms</footer></body>",
+    f"<body><div class='gdpr notice'><p>{STORY}</p><button>OK</button></div><main>[<p>{STORY}</p><dl><dt>Length</dt><dd>Ninety metres in all.</dd></dl>]</main><aside><p>{STORY}</p></aside></body>",
+    f"<body><div id=wrap><div id=hd>{MENU}</div><div id=bd>[<h1>On bridges</h1><p>{STORY}</p><p>{STORY} {STORY}</p><figure><figcaption>The old bridge.</figcaption></figure>]</div><div id=ft><p>Imprint, privacy</p></div></div></body>",
+]
+
+
+def test_precision_and_recall_on_foreign_layouts():
+    model = html_text.fit(html_text.LABELLED)
+    hit = told = true = 0
+    for page in FOREIGN:
+        before, inside, after = page.replace("]", "[").split("[")
+        nodes, blocks = html_text.tree(before + "<x-y></x-y>" + inside + after)
+        content, _ = html_text.marginals(nodes, *model.potentials(nodes, html_text.features(nodes, blocks)))
+        own = {t for _, t in html_text.tree(inside)[1]}
+        elsewhere = [t for part in (before, after) for _, t in html_text.tree(part)[1]]
+        size = lambda ts: sum(map(len, ts))
+        got = [t for k, t in blocks if content[k] >= html_text.LIMIT]
+        good = [t for t in got if t in own]
+        extra = size(t for t in set(elsewhere) & own if got.count(t) > 1)
+        hit, told, true = hit + size(good) - extra, told + size(got), true + size(t for _, t in blocks if t in own and t not in elsewhere) + size(t for t in own if t in elsewhere)
+    print(f"precision {hit / told:.3f}, recall {hit / true:.3f}")
+    assert hit / told > 0.9 and hit / true > 0.9, (hit / told, hit / true)
+
+
 def test_held_out_pages_of_the_training_set():
     right = total = 0
     for k in range(len(html_text.LABELLED)):
