@@ -4,7 +4,6 @@ begin with ``__gm_`` are the operators' own."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.session import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 #: Maps A-Z to a-z and leaves every other byte.
@@ -22,28 +25,10 @@ ALNUM = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else ALNUM[c] for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session
-    names it in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) a local folder is taken."""
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-"))
-    return named or jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage at files in the shared folder,
-    which outlive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def landed(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """As ``cut``, as a Parquet table: columnar, so later readers of a few
-    columns read only those."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/gristmill-{tag}-{uuid.uuid4().hex}"
+    """Computes ``df`` once, as ``cut`` does, as a Parquet table in the shared
+    folder: columnar, so later readers of a few columns read only those."""
+    path = f"{shared_dir(df.sparkSession)}/gristmill-{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
