@@ -63,3 +63,10 @@ def territory_codes(asked: DataFrame, territories: DataFrame, label: str = "labe
     same = lambda c: F.translate(F.upper(c), "Î", "I")
     known = territories.groupBy(same(label).alias("_label")).agg(F.min("code").alias("code"))
     return asked.withColumn("_label", same(label)).join(known, "_label", "left").drop("_label")
+
+
+def best_occupations(said: DataFrame, title: str = "title", code: str = "code", score: str = "score") -> DataFrame:
+    """(title, occupations): each occupation code that was said of a title once, with its best score, best first."""
+    best = said.groupBy(title, code).agg(F.max(score).alias(score))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(code).alias("code"), F.col(score).alias("score"))))
+    return best.groupBy(title).agg(ordered.alias("_o")).select(title, F.transform("_o", lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score"))).alias("occupations"))

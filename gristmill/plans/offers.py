@@ -555,7 +555,7 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("day"))
 
 
-@query()
+@query(f"WITH {OFFERS} SELECT DISTINCT sha256(title || '. ' || description) AS hash, 'hashing-64' AS model, 64 AS size FROM offers")
 def encode_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all texts: those of the even documents are cached, the others are made."""
     rows = offers(spark, sf_dir).withColumn("t", models.to_encode("title", "description"))

@@ -69,6 +69,20 @@ def label_rows(rows: DataFrame, json: str = "json") -> DataFrame:
     return rows.select(r.alias("_r")).select(F.col("_r.cle").alias("key"), F.col("_r.pertinent").alias("relevant"), text("etiquete_le").alias("labelled"), text("title").alias("title"), text("company").alias("company"), text("url").alias("url"), F.coalesce("_r.provenance", F.lit(DEFAULT_PROVENANCE)).alias("provenance"))
 
 
+#: An offer of a cached ranking.
+RANKED = "title string, company string, location string, description string, url string, source string, posted_at string, salary string, tags array<string>, familles array<string>, duree_mois int, date_debut string, nouvelle boolean, cos_score double, ia_rang int, ia_score double"
+
+
+def ranking_rows(rows: DataFrame, json: str = "json") -> DataFrame:
+    """Offers of a cached ranking from landed JSON, an offer a row, beside the
+    other columns: texts are blank and the score is 0 where they are missing, ranks and scores of a verdict null."""
+    more = [c for c in rows.columns if c != json]
+    r = rows.select(*more, F.from_json(F.col(json), RANKED).alias("_r"))
+    text = [F.coalesce(F.col(f"_r.{c}"), F.lit("")).alias(c) for c in ("title", "company", "location", "description", "url", "source", "posted_at", "salary")]
+    lists = [F.coalesce(F.col(f"_r.{c}"), F.array().cast("array<string>")).alias(n) for c, n in (("tags", "tags"), ("familles", "families"))]
+    return r.select(*more, *text, *lists, F.col("_r.duree_mois").alias("months"), F.coalesce("_r.date_debut", F.lit("")).alias("start"), F.col("_r.nouvelle").alias("new"), F.coalesce("_r.cos_score", F.lit(0.0)).alias("score"), F.col("_r.ia_rang").alias("ia_rank"), F.col("_r.ia_score").alias("ia_score"))
+
+
 def overlaid(base: dict, local: dict) -> dict:
     """A configuration with a local one laid over it: blocks key by key one level deep, all else as a whole."""
     return base | {k: base[k] | v if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in local.items()}
