@@ -263,6 +263,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns:
-    these pass through the search as its keys, so nothing is joined."""
-    found = decontaminate(docs, benchmark, text=text, keys=tuple(docs.columns))
-    return found.where("NOT contaminated").select(*docs.columns)
+    these pass through the search as its keys, so nothing is joined, and under
+    names of their own, so none clashes. Null, empty and very long texts,
+    repeated rows and empty tables: see ``occurrences``."""
+    names = {c: f"__gm_{k}" for k, c in enumerate(docs.columns)}
+    found = decontaminate(docs.withColumnsRenamed(names), benchmark, text=names[text], keys=tuple(names.values()))
+    return found.where("NOT contaminated").select(*(F.col(n).alias(c) for c, n in names.items()))
