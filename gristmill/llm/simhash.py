@@ -25,8 +25,8 @@ shingles have a Jaccard similarity of ``SIMILARITY`` or more are linked. Three
 bits of 64 would miss most of these, so its fingerprints are longer: ``BLOCKS``
 blocks of 31 bits over the different words of a text. A pair meets where some
 block differs in at most one bit, by the same anchors; a text has 16 a block.
-64 further bits sort out chance meetings, and every link is verified on the
-texts' whole shingle sets. What the blocks miss is measured in the README.
+64 bits over the shingles sort out texts of the same words in another order,
+and every link is verified on the texts' whole shingle sets. What the blocks miss is measured in the README.
 """
 
 from __future__ import annotations
@@ -56,11 +56,18 @@ def simhash(text: bytes | None) -> int:
     """The fingerprint of a text as an unsigned integer. Without a word (also
     for a null text) it is 0."""
     words = (text or b"").translate(FOLD_CASE).split()
-    if not words:
-        return 0
-    grams = zip(*(words[i:] for i in range(SHINGLE))) if len(words) > SHINGLE else iter([words])
-    n, counts = 0, np.zeros(64, np.int64)
-    hashes = map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED))
+    return _majority(words, SHINGLE) if words else 0
+
+
+def _hashes(words: list[bytes], size: int, seed: int = SEED) -> Iterator[int]:
+    """XXH64 of the shingles of ``size`` words; of fewer words, of all together."""
+    grams = zip(*(words[i:] for i in range(size))) if len(words) > size else iter([words])
+    return map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(seed))
+
+
+def _majority(words: list[bytes], size: int) -> int:
+    """64 bits, each set where over half of the shingles' hashes have it set."""
+    n, counts, hashes = 0, np.zeros(64, np.int64), _hashes(words, size)
     while len(h := np.fromiter(islice(hashes, 1 << 14), np.uint64)):
         n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -131,7 +138,26 @@ def forest(fp: np.ndarray, node: np.ndarray, most: int = THRESHOLD) -> tuple[np.
     return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
-def _links(batches: Iterable[pa.RecordBatch], most: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
+def nearest(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``forest``, with the shortest links: every node joins the nearest one
+    that is in already. A link that is verified afterwards, and may fail, should
+    be the likeliest there is."""
+    a, b, left, of = [], [], fp[1:], node[1:]
+    apart, to = np.bitwise_count(left ^ fp[0]), np.full(len(left), node[0])
+    while len(left):
+        k = int(apart.argmin())
+        x, n = left[k], of[k]
+        if apart[k] <= most:
+            a.append(to[k])
+            b.append(n)
+        left, of, apart, to = (np.delete(c, k) for c in (left, of, apart, to))
+        new = np.bitwise_count(left ^ x)
+        closer = new < apart
+        apart, to = np.where(closer, new, apart), np.where(closer, n, to)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links(batches: Iterable[pa.RecordBatch], most: int = THRESHOLD, spanning=forest) -> Iterator[pa.RecordBatch]:
     """Links within each run of equal keys in (key, fp) or (key, fp, node); rows
     come sorted by key, and without a node the fingerprint is one. A run that
     reaches over batches is carried on as numbers, 16 bytes a row."""
@@ -152,7 +178,7 @@ def _links(batches: Iterable[pa.RecordBatch], most: int = THRESHOLD) -> Iterator
             pairs.append((node[:-step][same][near], node[step:][same][near]))
         for s, n in zip(start[size > SMALL], size[size > SMALL]):
             every, first = np.unique(node[s : s + n], return_index=True)
-            pairs.append(forest(fp[s : s + n][first], every, most))
+            pairs.append(spanning(fp[s : s + n][first], every, most))
         return pairs
 
     held: list[tuple[np.ndarray, ...]] = []
@@ -243,33 +269,32 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: bytes | None) -> tuple[bytes, np.ndarray, int]:
-    """Of a text's lower-cased words: 128 bits that name their sequence; 320
-    bits of SimHash over the different words; and the least of their hashes
-    under two orders, 32 bits each. Two texts share such a least one as likely
-    as their words are alike."""
+def sketch(text: bytes | None) -> tuple[bytes, np.ndarray, int, int]:
+    """Of a text's lower-cased words: 128 bits that name their sequence; 256
+    bits of SimHash over the different words; 64 over their shingles; and the
+    least of the words' hashes under two orders, 31 bits each. Two texts share
+    such a least one as likely as their words are alike."""
     words = (text or b"").translate(FOLD_CASE).split()
     different = sorted({*words})
-    counts, least, n = np.zeros(320, np.int64), [0xFFFFFFFF, 0xFFFFFFFF], len(different)
+    counts, least, n = np.zeros(256, np.int64), [0xFFFFFFFF, 0xFFFFFFFF], len(different)
     for at in range(0, n, 1 << 14):
         h = np.fromiter(map(xxhash.xxh64_intdigest, different[at : at + (1 << 14)]), np.uint64)
-        bits = np.stack([_mixed(h, k) for k in range(5)], axis=1).view(np.uint8)
+        bits = np.stack([_mixed(h, k) for k in range(4)], axis=1).view(np.uint8)
         counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        least = [min(x, int((_mixed(h, 5 + k) >> np.uint64(32)).min())) for k, x in enumerate(least)]
-    return xxhash.xxh3_128_digest(b" ".join(words)), 2 * counts > n, least[0] << 31 | least[1] >> 1
+        least = [min(x, int((_mixed(h, 4 + k) >> np.uint64(32)).min())) for k, x in enumerate(least)]
+    return xxhash.xxh3_128_digest(b" ".join(words)), 2 * counts > n, _majority(words, WORDS) if words else 0, least[0] >> 1 << 31 | least[1] >> 1
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text key; the words' name, blocks of 31 bits as four bytes each, 64 further bits, and least hashes."""
+    """id, text key; the words' name, blocks of 31 bits as four bytes each, the shingles' bits, and least hashes."""
     for b in pieces(batches):
         if not b.num_rows:
             continue
-        name, bits, least = zip(*map(sketch, utf8(b.column(2))))
+        name, bits, check, least = zip(*map(sketch, utf8(b.column(2))))
         bits = np.stack(bits)
         padded = np.concatenate([bits[:, : 31 * BLOCKS].reshape(-1, BLOCKS, 31), np.zeros((len(bits), BLOCKS, 1), bool)], axis=2)
         blocks = np.packbits(padded.reshape(len(bits), -1), axis=1, bitorder="little")
-        check = np.packbits(bits[:, 256:], axis=1, bitorder="little").view(np.int64)[:, 0]
-        arrays = [pa.array(name, pa.binary()), pa.array([x.tobytes() for x in blocks], pa.binary()), pa.array(check), pa.array(least, pa.int64())]
+        arrays = [pa.array(name, pa.binary()), pa.array([x.tobytes() for x in blocks], pa.binary()), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(least, pa.int64())]
         yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], names=["id", "of", "name", "blocks", "check", "least"])
 
 
@@ -285,13 +310,14 @@ def _replicate_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b): nodes that some anchor brings together and whose 64 further bits
-    differ in at most APART. Where an anchor has very many, they are divided
+    """(a, b): nodes that some anchor brings together and whose shingles' bits
+    differ in at most APART, so many that they connect as all such pairs would,
+    and each node with the nearest one. Where an anchor has very many, they are divided
     again by either of their two least hashes, which near copies mostly share."""
     marked = _hot(distinct.select("node", "blocks", "check", "least").mapInArrow(_replicate_blocks, "anchor long, check long, node long, least long"), distinct.count() * BLOCKS // 2)
     parts = F.explode(F.array(F.xxhash64("anchor", F.shiftright("least", 31)), F.xxhash64("anchor", F.col("least").bitwiseAND(F.lit(HALF)), F.lit(1))))
     keyed = marked.where(F.col("is_hot").isNull()).select(F.xxhash64("anchor").alias("key"), "check", "node").unionAll(marked.where("is_hot").select(parts.alias("key"), "check", "node"))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _links(batches, APART), "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _links(batches, APART, nearest), "a long, b long").distinct()
 
 
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +325,7 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sets = []
         for raw in utf8(b.column(1)):
             words = (raw or b"").translate(FOLD_CASE).split()
-            grams = zip(*(words[i:] for i in range(WORDS))) if len(words) > WORDS else iter([words])
-            sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams)), np.uint64)).view(np.int64))
+            sets.append(np.unique(np.fromiter(_hashes(words, WORDS), np.uint64)).view(np.int64))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
