@@ -14,7 +14,7 @@ from gristmill.operators import dedup, evaluate, filters, geo, models, observe,
 from gristmill.plans.registry import query
 from gristmill.session import cut
 from gristmill.sources import sinks
-from gristmill.sources.adapters import keyed_offers, offers, table
+from gristmill.sources.adapters import keyed_offers, offers, table, with_vectors
 from gristmill.sources.normalize import normalised
 
 TODAY = "2024-03-10"
@@ -67,8 +67,10 @@ def _similar(spark: SparkSession, sf_dir: str, how: str = "max") -> DataFrame:
     return rank.profile_similarity(offers(spark, sf_dir, vectors=True), _profiles(spark, sf_dir), how)
 
 
-def _boosted(spark: SparkSession, sf_dir: str, how: str = "max") -> DataFrame:
-    return rank.boosts(_similar(spark, sf_dir, how), FIRST, SECOND)
+def _boosted(spark: SparkSession, sf_dir: str, how: str = "max", keep: tuple[str, ...] = ("title",)) -> DataFrame:
+    """Boosts and similarity of every offer. Boosts come first, where the texts are read; only ``keep`` goes on into the join."""
+    rows = rank.boosts(offers(spark, sf_dir), FIRST, SECOND).select("ord", *keep, "boost", "tags", "combo")
+    return rank.profile_similarity(with_vectors(rows, spark, sf_dir), _profiles(spark, sf_dir), how)
 
 
 def _mode_sql(score: str, tier: str = "0", norm: str = "0") -> str:
@@ -299,7 +301,7 @@ def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DECODED = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<\s*(br|/p|/div|/li)\s*/?\s*>', ' ', 'g'), '<[^>]+>', '', 'g')"
 for _name, _sign in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("nbsp", "chr(160)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "'&'")):
-    DECODED = f"replace({DECODED}, '&{_name};', {_sign})"
+    DECODED = f"replace(replace({DECODED}, '&{_name};', {_sign}), '&{_name}', {_sign})"
 
 
 @query(rf"SELECT page_id, regexp_replace(regexp_replace({DECODED}, '[ \t\x{{A0}}]+', ' ', 'g'), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') AS text FROM pages")
@@ -341,7 +343,7 @@ JUDGED = f"""{SIMS.format(MAX_SIM)}, judged AS (SELECT s.ord, s.sims AS score, l
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rank.profile_similarity(offers(spark, sf_dir, vectors=True, labels=True), _profiles(spark, sf_dir))
-    return rank.ranked(rows.select("ord", F.col("sims").alias("score"), F.col("quality").alias("relevant"), "toxic", "company", F.col("description").alias("text")), F.desc("score"), F.asc("ord"))
+    return rank.ranked(rows.select("ord", F.col("sims").alias("score"), F.col("quality").alias("relevant"), "toxic", "company"), F.desc("score"), F.asc("ord"))
 
 
 @query(f"""WITH {JUDGED}, m AS (SELECT count(*) AS n, sum(relevant) AS pos, sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) AS hits, sum(CASE WHEN rank <= 10 AND relevant > 0 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,
@@ -389,11 +391,15 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT doc_id AS ord, length(text) > 600 AS long FROM documents), s AS (SELECT ord, long, row_number() OVER (PARTITION BY long ORDER BY ord) AS r, count(*) OVER (PARTITION BY long) AS n FROM o)
-    SELECT ord FROM s WHERE r IN (SELECT CAST(round_even(i * (n - 1) / 9.0, 0) AS BIGINT) + 1 FROM range(10) x(i)) UNION SELECT doc_id FROM labels JOIN documents USING (doc_id)""")
+    SELECT ord FROM s WHERE r IN (SELECT CAST(round_even(i * (n - 1) / 9.0, 0) AS BIGINT) + 1 FROM range(10) x(i)) UNION SELECT doc_id FROM labels JOIN documents USING (doc_id)
+    UNION SELECT doc_id FROM documents WHERE doc_id % 60 = (SELECT max(doc_id % 60) FROM documents)""")
 def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir).select("ord", (F.length("description") > 600).alias("long"))
     picks = [rank.spread_sample(rows.where(F.col("long") == long), 10, F.asc("ord")).select("ord") for long in (True, False)]
-    return picks[0].union(picks[1]).union(offers(spark, sf_dir, labels=True).select("ord")).distinct()
+    # Those of the last run: posted on the last day.
+    posted = offers(spark, sf_dir).select("ord", "posted_at")
+    last = posted.join(F.broadcast(posted.agg(F.max("posted_at").alias("_d"))), F.col("posted_at") == F.col("_d")).select("ord")
+    return picks[0].union(picks[1]).union(offers(spark, sf_dir, labels=True).select("ord")).union(last).distinct()
 
 
 @query("SELECT doc_id AS ord, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR) || ':7'), doc_id) AS place FROM documents")
@@ -415,7 +421,7 @@ def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.struct(F.col("quality").cast("double").alias("score"), (F.col("quality") == 1).alias("relevant"), F.when(F.col("toxic") == 1, "senior").otherwise("stage").alias("level"), (F.col("toxic") == 1).alias("apprenticeship"),
                        F.when(F.col("toxic") == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.lit(None).cast("string").alias("reason"))
     told = labels.select(F.col("doc_id").alias("ord"), verdict.alias("verdict"))
-    rows = _boosted(spark, sf_dir).withColumn("score", F.col("sims")).withColumn("new", F.col("ord") % 4 == 0).join(told, "ord", "left")
+    rows = _boosted(spark, sf_dir, keep=("title", "company", "location", "salary", "posted_at", "description")).withColumn("score", F.col("sims")).withColumn("new", F.col("ord") % 4 == 0).join(told, "ord", "left")
     return sinks.csv_rows(rows).drop("score", "score_llm")
 
 
@@ -592,5 +598,6 @@ def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {JUDGED} SELECT rank, '' || (CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 137)) || '…' ELSE text END) || ' [a, b, c]' AS line FROM judged JOIN documents ON doc_id = ord WHERE rank <= 40""")
 def cli_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir).where("rank <= 40").withColumns({"reason": F.col("text"), "flags": F.array(*map(F.lit, "abcd")), "title": F.lit("")})
+    first = _judged(spark, sf_dir).where("rank <= 40").select("ord", "rank")
+    rows = offers(spark, sf_dir).select("ord", "description").join(F.broadcast(first), "ord").withColumns({"reason": F.col("description"), "flags": F.array(*map(F.lit, "abcd")), "title": F.lit("")})
     return report.listing(rows).select("rank", "line")

@@ -356,7 +356,7 @@ def last_seen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS s FROM events), f AS (SELECT event_type, min(event_id) AS first_id FROM c GROUP BY event_type)
-    SELECT event_type, round(max(CASE WHEN event_id = first_id THEN s END), 6) AS first, round(avg(CASE WHEN event_id <> first_id THEN s END), 1) AS mean_rest, count(*) FILTER (s IS NULL) AS failures FROM c JOIN f USING (event_type) GROUP BY event_type""")
+    SELECT event_type, round(max(CASE WHEN event_id = first_id THEN s END), 6) AS first, round(round(avg(CASE WHEN event_id <> first_id THEN s END), 2), 1) AS mean_rest, count(*) FILTER (s IS NULL) AS failures FROM c JOIN f USING (event_type) GROUP BY event_type""")
 def call_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select("event_type", "event_id", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("s"))
     return report.timings(calls, "event_type", "event_id", "s").select("event_type", F.round("first", 6).alias("first"), F.round("mean_rest", 1).alias("mean_rest"), "failures")

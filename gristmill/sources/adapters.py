@@ -20,12 +20,17 @@ def offers(spark: SparkSession, sf_dir: str, vectors: bool = False, labels: bool
         F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int")).alias("posted_at"), F.lit("").alias("salary"),
     )
     if vectors:
-        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").alias("topic")), "ord", "left")
+        rows = with_vectors(rows, spark, sf_dir)
     if labels:
         rows = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic"), "ord")
     return rows
 
 
+def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with the vector of their ``ord``, or null; what goes through this join should be slim."""
+    return rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", F.col("label").alias("topic")), "ord", "left")
+
+
 def keyed_offers(spark: SparkSession, sf_dir: str, **parts: bool) -> DataFrame:
     return offers(spark, sf_dir, **parts).withColumn("key", identity_key()).withColumn("richness", richness())
 
