@@ -48,6 +48,8 @@ HALF = (1 << 31) - 1
 CELLS, MOST_CELLS, HOT = 1 << 14, 1 << 20, 20_000
 #: Of near copies: shingle size, least similarity, blocks of a fingerprint, most differing bits of the 64 that are compared, fetched texts that are broadcast.
 WORDS, SIMILARITY, BLOCKS, APART, FETCHED = 5, 0.8, 8, 18, 200_000
+#: Nodes with over HUB edges (more where there are over HUB * HUBS edges) are broadcast: twice HUBS at most.
+HUB, HUBS = 100, 100_000
 #: Groups up to this size compare by shifted arrays, larger ones by a search that leaves a spanning forest.
 SMALL = 8
 
@@ -225,20 +227,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least
     node that it reaches. Alternates large and small stars until the edges no
     longer change; the work of a round is a shuffle of the edges, and the
-    number of rounds grows with the logarithm of a component's diameter."""
+    number of rounds grows with the logarithm of a component's diameter. Nodes
+    with very many edges, at most 2 * HUBS, are broadcast, so that no task holds a hub's edges."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, many = None, max(HUB, now.count() // HUBS)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        hubs = low.where(F.col("n") > many).select("u", F.col("m").alias("h"))
+        up = both.where("v > u").join(F.broadcast(hubs), "u", "left")
+        met = up.where("h IS NULL").join(low.where(F.col("n") <= many), "u").select("v", "m").unionAll(up.where("h IS NOT NULL").select("v", "h"))
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+        mark, many = seen, max(HUB, seen[0] // HUBS)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -91,8 +91,9 @@ def test_links_reach_every_pair_within_three_bits(spark, monkeypatch):
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
     df = spark.createDataFrame(signed, "fp long")
     want = linked(values)
-    for hot in (20_000, 5):
+    for hot, hub in ((20_000, 100), (5, 3)):
         monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "HUB", hub)
         roots = {r["node"] % (1 << 64): r["root"] for r in simhash.components(simhash.links(df)).collect()}
         groups, got = defaultdict(set), defaultdict(set)
         for v in values:
