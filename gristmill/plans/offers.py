@@ -43,7 +43,8 @@ def any_word(column: str, words: list[str]) -> str:
 
 
 BOOSTED = f"""boosted AS (
-    SELECT *, {any_word('title', FIRST)} AS t1, {any_word('title', SECOND)} AS t2, {any_word('description', FIRST)} AS d1, {any_word('description', SECOND)} AS d2 FROM offers
+    SELECT *, {any_word('title', FIRST)} AS t1, {any_word('title', SECOND)} AS t2, {any_word('description', FIRST)} AS d1, {any_word('description', SECOND)} AS d2
+        FROM offers
 ), scored AS (
     SELECT *, (t1 OR d1) AND (t2 OR d2) AND (t1 OR t2) AS combo,
            (CASE WHEN t1 THEN 0.05 WHEN d1 THEN 0.02 ELSE 0 END) + (CASE WHEN t2 THEN 0.05 WHEN d2 THEN 0.02 ELSE 0 END)
@@ -128,7 +129,8 @@ def rank_profiles_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, "mean").select("ord", F.round("sims", 6).alias("sims"))
 
 
-@query(f"""WITH {OFFERS}, {BOOSTED} SELECT ord, round(boost, 4) AS boost, concat_ws('|', CASE WHEN t1 OR d1 THEN 'A' END, CASE WHEN t2 OR d2 THEN 'B' END, CASE WHEN combo THEN 'A+B' END) AS tags FROM scored""")
+@query(f"""WITH {OFFERS}, {BOOSTED} SELECT ord, round(boost, 4) AS boost, concat_ws('|', CASE WHEN t1 OR d1 THEN 'A' END, CASE WHEN t2 OR d2 THEN 'B' END, CASE WHEN combo THEN 'A+B' END) AS tags
+        FROM scored""")
 def keyword_boost_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.boosts(offers(spark, sf_dir), FIRST, SECOND).select("ord", F.round("boost", 4).alias("boost"), F.array_join("tags", "|").alias("tags"))
 
@@ -166,7 +168,8 @@ def intra_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT event_id AS key, user_id AS new_key, CAST(ts AS DATE) AS seen, event_id % 7 AS views FROM events)
-    SELECT new_key, arg_max(key, (seen, key)) AS survivor, min(seen) AS first_seen, max(seen) AS last_seen, max(views) AS views, count(*) AS merged, max(CASE WHEN key <> new_key THEN 1 ELSE 0 END) AS moved FROM s GROUP BY new_key""")
+    SELECT new_key, arg_max(key, (seen, key)) AS survivor, min(seen) AS first_seen, max(seen) AS last_seen, max(views) AS views, count(*) AS merged, max(CASE WHEN key <> new_key THEN 1 ELSE 0 END) AS moved
+        FROM s GROUP BY new_key""")
 def key_migration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("new_key"), F.to_date("ts").alias("seen"), F.pmod("event_id", F.lit(7)).alias("views"))
     return dedup.migrate_keys(rows, "key", "new_key", "seen", "seen", "views")
@@ -194,16 +197,19 @@ def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.funnel(tagged).withColumn("rejects", F.aggregate("rejects", F.lit(0).cast("long"), lambda s, r: s + r["n"])).withColumnRenamed("rejects", "rejected")
 
 
-@query(f"""WITH {OFFERS}, t AS (SELECT company AS source, {REASON} AS reason FROM offers), c AS (SELECT source, count(*) AS raw, count(*) FILTER (reason IS NULL) AS survivors FROM t GROUP BY source),
+@query(f"""WITH {OFFERS}, t AS (SELECT company AS source, {REASON} AS reason
+        FROM offers), c AS (SELECT source, count(*) AS raw, count(*) FILTER (reason IS NULL) AS survivors FROM t GROUP BY source),
     s AS (SELECT 'src' || i AS source FROM range(25) x(i))
-    SELECT source, coalesce(raw, 0) AS raw, coalesce(survivors, 0) AS survivors, CASE WHEN raw IS NULL THEN 'silent' WHEN raw >= 10 AND survivors = 0 THEN 'sterile' ELSE 'healthy' END AS health FROM s LEFT JOIN c USING (source)""")
+    SELECT source, coalesce(raw, 0) AS raw, coalesce(survivors, 0) AS survivors, CASE WHEN raw IS NULL THEN 'silent' WHEN raw >= 10 AND survivors = 0 THEN 'sterile' ELSE 'healthy' END AS health
+        FROM s LEFT JOIN c USING (source)""")
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = _filtered(spark, sf_dir).select(F.col("company").alias("source"), F.lit(True).alias("normalised"), "reason", F.lit(False).alias("merged"))
     expected = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))
     return observe.health(observe.funnel(tagged, expected)).select("source", "raw", "survivors", "health")
 
 
-@query(f"WITH {OFFERS} SELECT ord, sha256(lower(trim(title)) || '|' || lower(trim(company)) || '|' || lower(trim(location)) || '|' || lower(trim(description))) AS hash FROM offers")
+@query(f"""WITH {OFFERS} SELECT ord, sha256(lower(trim(title)) || '|' || lower(trim(company)) || '|' || lower(trim(location)) || '|' || lower(trim(description))) AS hash
+        FROM offers""")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("ord", tx.content_hash("title", "company", "location", "description").alias("hash"))
 
@@ -266,12 +272,14 @@ def word_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("ord", tx.word_form("title").alias("form"))
 
 
-@query(f"WITH {OFFERS} SELECT ord, concat_ws(',', {', '.join(f'CASE WHEN {any_word("description", w)} THEN {n!r} END' for n, w in FAMILIES.items())}) AS families FROM offers")
+@query(f"""WITH {OFFERS} SELECT ord, concat_ws(',', {', '.join(f'CASE WHEN {any_word("description", w)} THEN {n!r} END' for n, w in FAMILIES.items())}) AS families
+        FROM offers""")
 def term_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("ord", F.array_join(tx.families("description", FAMILIES), ",").alias("families"))
 
 
-@query(f"""WITH {OFFERS}, e AS (SELECT company, unnest(list_filter([{', '.join(f'CASE WHEN {any_word("description", w)} THEN {n!r} END' for n, w in FAMILIES.items())}], lambda x: x IS NOT NULL)) AS family, {REASON} IS NULL AS survivor FROM offers)
+@query(f"""WITH {OFFERS}, e AS (SELECT company, unnest(list_filter([{', '.join(f'CASE WHEN {any_word("description", w)} THEN {n!r} END' for n, w in FAMILIES.items())}], lambda x: x IS NOT NULL)) AS family, {REASON} IS NULL AS survivor
+        FROM offers)
     SELECT family, count(*) AS raw, count(*) FILTER (survivor) AS survivors FROM e GROUP BY family""")
 def family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _filtered(spark, sf_dir).select(tx.families("description", FAMILIES).alias("families"), F.col("reason").isNull().alias("survivor"))
@@ -281,7 +289,8 @@ def family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT p_partkey AS k, p_size % 30 AS n, p_partkey % 12 + 1 AS m FROM part)
     SELECT k AS p_partkey, CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN n BETWEEN 1 AND 24 THEN n END WHEN 2 THEN CASE WHEN n > 0 THEN greatest(1, CAST(round_even(n / 4.33, 0) AS INTEGER)) END
             WHEN 3 THEN CASE WHEN n BETWEEN 1 AND 24 THEN greatest(n, 4) ELSE 4 END WHEN 4 THEN CASE WHEN n BETWEEN 1 AND 24 THEN n END WHEN 5 THEN 6 ELSE 12 END AS months,
-        CASE k % 7 WHEN 1 THEN printf('2027-%02d', CAST(m AS INTEGER)) WHEN 2 THEN '2026-09' WHEN 3 THEN printf('2027-%02d', CAST(m AS INTEGER)) WHEN 4 THEN printf('2028-%02d', CAST(m AS INTEGER)) WHEN 5 THEN '2026-09' WHEN 6 THEN '2027-02' END AS start FROM t""")
+        CASE k % 7 WHEN 1 THEN printf('2027-%02d', CAST(m AS INTEGER)) WHEN 2 THEN '2026-09' WHEN 3 THEN printf('2027-%02d', CAST(m AS INTEGER)) WHEN 4 THEN printf('2028-%02d', CAST(m AS INTEGER)) WHEN 5 THEN '2026-09' WHEN 6 THEN '2027-02' END AS start
+        FROM t""")
 def duration_and_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Durations and starts in seven wordings."""
     n, month = (F.col("p_size") % 30).cast("string"), (F.pmod("p_partkey", F.lit(12)) + 1).cast("string")
@@ -317,28 +326,34 @@ APPENDED = ["?b=2&a=1", "?utm_source=x&q=a+b%20c", "?V=1&Se=2", "?a=&b", "/#top"
 
 @query(rf"""WITH p AS (SELECT page_id, regexp_replace(trim(url || {{APPENDED}}), '#.*$', '') AS u FROM pages),
     q AS (SELECT page_id, split_part(u, '?', 1) AS base, CASE WHEN contains(u, '?') THEN regexp_extract(u, '\?(.*)$', 1) ELSE '' END AS qs FROM p),
-    n AS (SELECT page_id, base, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1) AS host, list_filter(string_split(qs, '&'), lambda x: x <> '') AS parts FROM q),
+    n AS (SELECT page_id, base, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1) AS host, list_filter(string_split(qs, '&'), lambda x: x <> '') AS parts
+        FROM q),
     k AS (SELECT page_id, base, host, list_sort(list_filter(list_transform(parts, lambda x: {{{{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '=(.*)$', 1), '+', ' '))}}}}),
         lambda x: NOT starts_with(lower(x.k), 'utm_') AND lower(x.k) NOT IN {TRACKERS})) AS kept FROM n)
-    SELECT page_id, lower(host) || regexp_replace(substr(base, length(host) + 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') ELSE '' END AS url FROM k""".replace("{APPENDED}", _pick_sql(APPENDED, "page_id", "''")).replace("{{", "{").replace("}}", "}"))
+    SELECT page_id, lower(host) || regexp_replace(substr(base, length(host) + 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') ELSE '' END AS url
+        FROM k""".replace("{APPENDED}", _pick_sql(APPENDED, "page_id", "''")).replace("{{", "{").replace("}}", "}"))
 def normalise_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", normal_url(F.concat("url", _pick(APPENDED, "page_id", F.lit("")))).alias("url"))
 
 
-@query("SELECT vec_id, round(list_inner_product(v, v), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)")
+@query("""SELECT vec_id, round(list_inner_product(v, v), 6) AS norm, round(v[1], 6) AS first
+        FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
+        FROM embeddings)""")
 def vec_l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", unit("embedding").alias("v"))
     return v.select("vec_id", F.round(dot("v", "v"), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-@query(f"""WITH n AS (SELECT a.vec_id AS query, e.vec_id, round({DOT}, 9) AS similarity FROM embeddings a, embeddings e WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM n)
+@query(f"""WITH n AS (SELECT a.vec_id AS query, e.vec_id, round({DOT}, 9) AS similarity FROM embeddings a, embeddings e
+        WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM n)
     SELECT query, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rank.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), 10).withColumn("similarity", F.round("similarity", 6))
 
 
-JUDGED = f"""{SIMS.format(MAX_SIM)}, judged AS (SELECT s.ord, s.sims AS score, l.quality AS relevant, row_number() OVER (ORDER BY s.sims DESC NULLS LAST, s.ord) AS rank FROM sims s JOIN labels l ON l.doc_id = s.ord)"""
+JUDGED = f"""{SIMS.format(MAX_SIM)}, judged AS (SELECT s.ord, s.sims AS score, l.quality AS relevant, row_number() OVER (ORDER BY s.sims DESC NULLS LAST, s.ord) AS rank
+        FROM sims s JOIN labels l ON l.doc_id = s.ord)"""
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,29 +370,35 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(F.round(c, 6).alias(c) for c in ("precision_at_k", "dcg", "ndcg_at_k")), "median_rank", "negatives_in_top")
 
 
-@query("""WITH c AS (SELECT d.source, CASE WHEN length(d.text) > 600 THEN 'long' ELSE 'short' END AS bucket, length(d.text) AS n, l.quality AS relevant FROM documents d JOIN labels l USING (doc_id))
-    SELECT source, bucket, count(*) FILTER (relevant = 1) AS yes, count(*) FILTER (relevant = 0) AS no, CAST(floor(quantile_cont(n, 0.5)) AS INTEGER) AS median_length FROM c GROUP BY GROUPING SETS ((source), (bucket), ())""")
+@query("""WITH c AS (SELECT d.source, CASE WHEN length(d.text) > 600 THEN 'long' ELSE 'short' END AS bucket, length(d.text) AS n, l.quality AS relevant
+        FROM documents d JOIN labels l USING (doc_id))
+    SELECT source, bucket, count(*) FILTER (relevant = 1) AS yes, count(*) FILTER (relevant = 0) AS no, CAST(floor(quantile_cont(n, 0.5)) AS INTEGER) AS median_length
+        FROM c GROUP BY GROUPING SETS ((source), (bucket), ())""")
 def corpus_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir, labels=True).select(F.col("company").alias("source"), F.col("description").alias("text"), F.col("quality").alias("relevant"))
     return evaluate.breakdown(rows)
 
 
-@query("SELECT count(*) AS n, least(sum(quality), count(*) - sum(quality)) AS minority, count(*) >= 30 AND least(sum(quality), count(*) - sum(quality)) >= 8 AS usable FROM labels JOIN documents USING (doc_id)")
+@query("""SELECT count(*) AS n, least(sum(quality), count(*) - sum(quality)) AS minority, count(*) >= 30 AND least(sum(quality), count(*) - sum(quality)) >= 8 AS usable
+        FROM labels JOIN documents USING (doc_id)""")
 def corpus_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.usable(offers(spark, sf_dir, labels=True).select(F.col("quality").alias("relevant")))
 
 
-BLEND = f"""{JUDGED}, b AS (SELECT j.ord, j.score, l.toxic, j.rank AS rank_first, 0.5 * j.score + 0.5 * (1 - l.toxic) AS final FROM judged j JOIN labels l ON l.doc_id = j.ord)"""
+BLEND = f"""{JUDGED}, b AS (SELECT j.ord, j.score, l.toxic, j.rank AS rank_first, 0.5 * j.score + 0.5 * (1 - l.toxic) AS final FROM judged j
+        JOIN labels l ON l.doc_id = j.ord)"""
 
 
-@query(f"WITH {BLEND} SELECT ord, round(CASE WHEN toxic = 1 AND final > 0.2 THEN 0.2 ELSE final END, 6) AS final, CASE WHEN final >= 0.7 THEN 'high' WHEN final >= 0.4 THEN 'middle' ELSE 'low' END AS level FROM b")
+@query(f"""WITH {BLEND} SELECT ord, round(CASE WHEN toxic = 1 AND final > 0.2 THEN 0.2 ELSE final END, 6) AS final, CASE WHEN final >= 0.7 THEN 'high' WHEN final >= 0.4 THEN 'middle' ELSE 'low' END AS level
+        FROM b""")
 def verdict_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rank.blend(_judged(spark, sf_dir).withColumn("verdict_score", (1 - F.col("toxic")).cast("double")))
     return rows.select("ord", F.round(rank.capped("final", F.col("toxic") == 1, F.lit(False)), 6).alias("final"), rank.score_level("final").alias("level"))
 
 
 @query(f"""WITH {BLEND}, r AS (SELECT *, row_number() OVER (ORDER BY final DESC NULLS LAST, ord) AS rank_second FROM b)
-    SELECT ord, rank_first, rank_second, rank_first - rank_second AS delta, CASE WHEN rank_first > rank_second THEN 'up' WHEN rank_first < rank_second THEN 'down' ELSE 'equal' END AS move FROM r""")
+    SELECT ord, rank_first, rank_second, rank_first - rank_second AS delta, CASE WHEN rank_first > rank_second THEN 'up' WHEN rank_first < rank_second THEN 'down' ELSE 'equal' END AS move
+        FROM r""")
 def rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rank.blend(_judged(spark, sf_dir).drop("rank").withColumn("verdict_score", (1 - F.col("toxic")).cast("double")))
     return evaluate.rank_delta(rows, "score", "final").select("ord", "rank_first", "rank_second", "delta", "move")
@@ -390,8 +411,10 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.spread_sample(rows, 20, F.asc("n"), F.asc("ord")).select("ord")
 
 
-@query("""WITH o AS (SELECT doc_id AS ord, length(text) > 600 AS long FROM documents), s AS (SELECT ord, long, row_number() OVER (PARTITION BY long ORDER BY ord) AS r, count(*) OVER (PARTITION BY long) AS n FROM o)
-    SELECT ord FROM s WHERE r IN (SELECT CAST(round_even(i * (n - 1) / 9.0, 0) AS BIGINT) + 1 FROM range(10) x(i)) UNION SELECT doc_id FROM labels JOIN documents USING (doc_id)
+@query("""WITH o AS (SELECT doc_id AS ord, length(text) > 600 AS long FROM documents), s AS (SELECT ord, long, row_number() OVER (PARTITION BY long
+        ORDER BY ord) AS r, count(*) OVER (PARTITION BY long) AS n FROM o)
+    SELECT ord FROM s WHERE r IN (SELECT CAST(round_even(i * (n - 1) / 9.0, 0) AS BIGINT) + 1 FROM range(10) x(i)) UNION SELECT doc_id FROM labels
+        JOIN documents USING (doc_id)
     UNION SELECT doc_id FROM documents WHERE doc_id % 60 = (SELECT max(doc_id % 60) FROM documents)""")
 def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir).select("ord", (F.length("description") > 600).alias("long"))
@@ -430,8 +453,10 @@ SIGNS = [("", True), ("  ", True), ("Paris, TX", False), ("Beauvais, Hauts-de-Fr
          ("Orly, Val-de-Marne - Paris", True), ("La Défense", True), ("Quelque part, CVL, FR", False), ("Canada", False)]
 
 
-@query(f"""WITH c AS (SELECT c_custkey, c_custkey % {len(SIGNS) + 2} AS k, 'le town' || (c_custkey % 25) AS name FROM customer), t AS (SELECT DISTINCT 'le town' || (s_suppkey % 20) AS name FROM supplier)
-    SELECT c_custkey, CASE {' '.join(f'WHEN k = {k} THEN {str(v).lower()}' for k, (_, v) in enumerate(SIGNS))} ELSE name IN (SELECT name FROM t) AND k = {len(SIGNS)} END AS inside FROM c""")
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % {len(SIGNS) + 2} AS k, 'le town' || (c_custkey % 25) AS name
+        FROM customer), t AS (SELECT DISTINCT 'le town' || (s_suppkey % 20) AS name FROM supplier)
+    SELECT c_custkey, CASE {' '.join(f'WHEN k = {k} THEN {str(v).lower()}' for k, (_, v) in enumerate(SIGNS))} ELSE name IN (SELECT name
+        FROM t) AND k = {len(SIGNS)} END AS inside FROM c""")
 def region_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals of the region; in the last kind the title names another country."""
     town = lambda key, n: F.concat(F.lit("town"), F.pmod(key, F.lit(n)).cast("string"))
@@ -453,8 +478,10 @@ def paris_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.resolve_commune(table(spark, sf_dir, "customer").select("c_custkey", location.alias("location")), communes, "c_custkey").select("c_custkey", "code")
 
 
-@query(r"""WITH c AS (SELECT c_custkey, [c_mktsegment, '  ', CASE c_custkey % 4 WHEN 0 THEN ' Lyon, France ' WHEN 1 THEN 'Idf' WHEN 2 THEN 'Berlin' END, 'Paris'] AS l FROM customer),
-    k AS (SELECT c_custkey, list_filter(list_transform(list_filter(CASE WHEN c_custkey % 9 = 0 THEN [] WHEN c_custkey % 9 = 1 THEN l[:1] ELSE l END, lambda x: x IS NOT NULL), lambda x: trim(x)), lambda x: x <> '') AS l FROM c)
+@query(r"""WITH c AS (SELECT c_custkey, [c_mktsegment, '  ', CASE c_custkey % 4 WHEN 0 THEN ' Lyon, France ' WHEN 1 THEN 'Idf' WHEN 2 THEN 'Berlin' END, 'Paris'] AS l
+        FROM customer),
+    k AS (SELECT c_custkey, list_filter(list_transform(list_filter(CASE WHEN c_custkey % 9 = 0 THEN [] WHEN c_custkey % 9 = 1 THEN l[:1] ELSE l END, lambda x: x IS NOT NULL), lambda x: trim(x)), lambda x: x <> '') AS l
+        FROM c)
     SELECT c_custkey, coalesce(list_filter(l, lambda x: regexp_matches(x, '(?i)paris|france|île-de-france|ile-de-france|\bidf\b'))[1], l[1], '') AS location FROM k""")
 def preferred_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -468,14 +495,16 @@ def window_snapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", allowed_window("p_size").alias("days"))
 
 
-@query("""WITH t AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || '  ' || p_name, ' ') AS l FROM part), k AS (SELECT p_partkey, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> '') AS l FROM t)
+@query("""WITH t AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || '  ' || p_name, ' ') AS l
+        FROM part), k AS (SELECT p_partkey, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> '') AS l FROM t)
     SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM k""")
 def tags_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.split(F.concat_ws(" ", "p_name", "p_type", F.lit(""), "p_name"), " ")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.ordered_tags(given), "|").alias("tags"))
 
 
-@query(f"""WITH {OFFERS}, f AS (SELECT ord, concat_ws(',', {', '.join(f'CASE WHEN {any_word("title", w)} THEN {n!r} END' for n, w in FAMILIES.items())}) AS f FROM offers) SELECT ord, CASE WHEN f = '' THEN 'terme_non_retrouve' ELSE f END AS families FROM f""")
+@query(f"""WITH {OFFERS}, f AS (SELECT ord, concat_ws(',', {', '.join(f'CASE WHEN {any_word("title", w)} THEN {n!r} END' for n, w in FAMILIES.items())}) AS f
+        FROM offers) SELECT ord, CASE WHEN f = '' THEN 'terme_non_retrouve' ELSE f END AS families FROM f""")
 def tagged_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("ord", F.array_join(tx.families_or("title", FAMILIES), ",").alias("families"))
 
@@ -536,15 +565,19 @@ def source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(_landed(spark, sf_dir)).where("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {OFFERS}, old AS (SELECT ord, title FROM offers WHERE ord % 3 <> 0), new AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN title || '!' ELSE title END AS title FROM offers WHERE ord % 4 <> 0)
-    SELECT ord, change FROM (SELECT coalesce(o.ord, n.ord) AS ord, CASE WHEN o.ord IS NULL THEN 'added' WHEN n.ord IS NULL THEN 'removed' WHEN o.title IS DISTINCT FROM n.title THEN 'changed' END AS change FROM old o FULL JOIN new n ON o.ord = n.ord) WHERE change IS NOT NULL""")
+@query(f"""WITH {OFFERS}, old AS (SELECT ord, title FROM offers
+        WHERE ord % 3 <> 0), new AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN title || '!' ELSE title END AS title FROM offers WHERE ord % 4 <> 0)
+    SELECT ord, change
+        FROM (SELECT coalesce(o.ord, n.ord) AS ord, CASE WHEN o.ord IS NULL THEN 'added' WHEN n.ord IS NULL THEN 'removed' WHEN o.title IS DISTINCT
+        FROM n.title THEN 'changed' END AS change FROM old o FULL JOIN new n ON o.ord = n.ord) WHERE change IS NOT NULL""")
 def label_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir).select("ord", "title")
     new = rows.where(F.col("ord") % 4 != 0).withColumn("title", F.when(F.col("ord") % 5 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
     return store.table_diff(rows.where(F.col("ord") % 3 != 0), new, "ord", "title")
 
 
-@query(f"""WITH {KEYED}, l AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' || doc_id ELSE key END AS key FROM labels JOIN keyed ON ord = doc_id), o AS (SELECT key, CASE WHEN min(ord) % 7 = 0 THEN 'x' ELSE key END AS derived FROM keyed GROUP BY key)
+@query(f"""WITH {KEYED}, l AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' || doc_id ELSE key END AS key FROM labels
+        JOIN keyed ON ord = doc_id), o AS (SELECT key, CASE WHEN min(ord) % 7 = 0 THEN 'x' ELSE key END AS derived FROM keyed GROUP BY key)
     SELECT doc_id, CASE WHEN derived IS NULL THEN 'missing' WHEN derived <> key THEN 'incoherent' ELSE 'ok' END AS status FROM l LEFT JOIN o USING (key)""")
 def match_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = keyed_offers(spark, sf_dir)
@@ -584,19 +617,22 @@ def verdict_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.judge_missing(rows, memo, _rule_judge).select("ord", "verdict.score", "verdict.domain_match", "verdict.level").withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {JUDGED}, f AS (SELECT j.ord, j.rank, CASE WHEN j.rank <= 30 THEN 0.5 * j.score + 0.5 * (1 - l.toxic) ELSE j.score END AS final FROM judged j JOIN labels l ON l.doc_id = j.ord)
+@query(f"""WITH {JUDGED}, f AS (SELECT j.ord, j.rank, CASE WHEN j.rank <= 30 THEN 0.5 * j.score + 0.5 * (1 - l.toxic) ELSE j.score END AS final
+        FROM judged j JOIN labels l ON l.doc_id = j.ord)
     SELECT ord, rank, round(final, 6) AS final, row_number() OVER (ORDER BY final DESC NULLS LAST, ord) AS new_rank FROM f""")
 def verify_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _judged(spark, sf_dir).withColumn("verdict_score", (1 - F.col("toxic")).cast("double"))
     return report.verify_shortlist(rows, 30).select("ord", "rank", F.round("final", 6).alias("final"), "new_rank")
 
 
-@query(f"WITH {OFFERS}, {BOOSTED}, {SIMS.format(MAX_SIM)} SELECT count(*) AS total, count(*) FILTER (sims >= 0.2) AS verified, count(*) FILTER (ord % 4 = 0) AS new, count(*) FILTER (combo) AS combo FROM sims JOIN scored USING (ord)")
+@query(f"""WITH {OFFERS}, {BOOSTED}, {SIMS.format(MAX_SIM)} SELECT count(*) AS total, count(*) FILTER (sims >= 0.2) AS verified, count(*) FILTER (ord % 4 = 0) AS new, count(*) FILTER (combo) AS combo
+        FROM sims JOIN scored USING (ord)""")
 def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counters(_boosted(spark, sf_dir), F.col("sims") >= 0.2, F.col("ord") % 4 == 0, F.col("combo"))
 
 
-@query(f"""WITH {JUDGED} SELECT rank, '' || (CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 137)) || '…' ELSE text END) || ' [a, b, c]' AS line FROM judged JOIN documents ON doc_id = ord WHERE rank <= 40""")
+@query(f"""WITH {JUDGED} SELECT rank, '' || (CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 137)) || '…' ELSE text END) || ' [a, b, c]' AS line
+        FROM judged JOIN documents ON doc_id = ord WHERE rank <= 40""")
 def cli_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _judged(spark, sf_dir).where("rank <= 40").select("ord", "rank")
     rows = offers(spark, sf_dir).select("ord", "description").join(F.broadcast(first), "ord").withColumns({"reason": F.col("description"), "flags": F.array(*map(F.lit, "abcd")), "title": F.lit("")})
