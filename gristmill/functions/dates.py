@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
 
-#: Formats tried after ISO, in this order.
-FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy/M/d"]
+#: Formats tried after ISO, in this order; of numbers the month comes first where it can.
+FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy", "d/M/yyyy", "M.d.yyyy", "d.M.yyyy", "yyyy/M/d"]
+#: What reads like a date inside other text.
+INSIDE = r"\d{4}-\d{2}-\d{2}|\d{1,2} [A-Za-z]{3,9} \d{4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}|\d{1,2}[/.]\d{1,2}[/.]\d{4}|\d{4}/\d{1,2}/\d{1,2}"
 
 
 def parse_date(text: Column | str) -> Column:
-    """The day of a date in ISO form, RFC 1123 (with or without its weekday),
-    or one of FORMATS; null if none fits. Days come first in d/M/yyyy."""
+    """The day of a date in ISO form, RFC 1123 (with or without its weekday), or
+    one of FORMATS, alone or inside other text; null if there is none."""
     s = F.trim(col(text))
     bare = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s*", "")
-    return F.coalesce(F.try_to_timestamp(s), *(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS)).cast("date")
+    found = F.regexp_extract(s, INSIDE, 0)
+    whole = [F.try_to_timestamp(s), *(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS)]
+    return F.coalesce(*whole, F.try_to_timestamp(found), *(F.try_to_timestamp(found, F.lit(f)) for f in FORMATS[2:])).cast("date")
 
 
 #: The ages in days that a source accepts.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
-from gristmill.functions.text import duration_months, start_month
+from gristmill.functions.text import EDGE, duration_months, start_month
 from gristmill.operators.queue import latest, positions
 from gristmill.operators.rank import blend, ranked
 
@@ -29,11 +29,30 @@ def verify_shortlist(rows: DataFrame, n: int, verdict: str = "verdict_score", we
 
 
 def listing(rows: DataFrame, most: int = 140, flags: int = 3) -> DataFrame:
-    """(rank, title, line): the verdict's reason, cut to ``most`` characters, and the first flags."""
-    reason = F.coalesce("reason", F.lit(""))
-    short = F.when(F.length(reason) > most, F.concat(F.rtrim(F.substr(reason, F.lit(1), F.lit(most - 3))), F.lit("…"))).otherwise(reason)
-    shown = F.array_join(F.slice(F.coalesce("flags", F.array().cast("array<string>")), 1, flags), ", ")
-    return rows.select("rank", "title", F.concat(short, F.when(shown != "", F.concat(F.lit(" ["), shown, F.lit("]"))).otherwise("")).alias("line"))
+    """(rank, head, place, verdict, reason, url): the lines that a terminal shows
+    of each offer. The head has rank, score, tags, a mark for a new one, title, duration
+    and start; the verdict its score and what speaks against the offer, with the
+    first flags; its reason is cut to ``most`` characters. Without a verdict these are null.
+    ``rows``: rank, score, tags, new, title, months, start, company, location,
+    source and a struct ``verdict`` (score, apprenticeship, level, flags, reason); ``url`` is optional."""
+    part = lambda when, text: F.when(F.coalesce(when, F.lit(False)), text).otherwise("")
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—"))
+    details = F.concat_ws(", ", F.when(F.col("months") > 0, F.concat(F.col("months").cast("string"), F.lit(" mois"))), F.when(F.col("start") != "", F.concat(F.lit("début "), "start")))
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")
+    head = F.concat(
+        F.format_string("#%-3d [%.3f]", F.col("rank").cast("int"), "score"), part(tags != "", F.concat(F.lit("  "), tags)), F.lit("  "), part(F.col("new"), F.lit("🆕 ")), "title", part(details != "", F.concat(F.lit("  ("), details, F.lit(")"))),
+    )
+    v = F.col("verdict")
+    told = F.concat_ws(
+        "  ", F.format_string("LLM %.2f", v["score"]), F.when(v["apprenticeship"], "⚠ alternance"), F.when(~v["level"].isin("", "stage", "inconnu"), F.concat(F.lit("niveau="), v["level"])),
+        F.when(F.size(v["flags"]) > 0, F.concat(F.lit("🚩 "), F.array_join(F.slice(v["flags"], 1, flags), " ; "))),
+    )
+    reason = F.replace(F.regexp_replace(v["reason"], EDGE, ""), F.lit("\n"), F.lit(" "))
+    short = F.when(F.length(reason) > most, F.concat(F.substr(reason, F.lit(1), F.lit(most - 3)), F.lit("…"))).otherwise(reason)
+    return rows.select(
+        "rank", head.alias("head"), F.concat_ws("  |  ", named("company"), named("location"), named("source")).alias("place"), F.when(v.isNotNull(), told).alias("verdict"), F.when(reason != "", F.concat(F.lit("« "), short, F.lit(" »"))).alias("reason"),
+        *(["url"] if "url" in rows.columns else []),
+    )
 
 
 def counters(rows: DataFrame, verified: Column, new: Column, combo: Column) -> DataFrame:

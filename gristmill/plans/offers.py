@@ -303,9 +303,16 @@ def duration_and_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.duration_months(said).alias("months"), tx.start_month(said).alias("start"))
 
 
-@query(f"WITH {OFFERS} SELECT ord, substr(description, CASE WHEN contains(description, 'onon') THEN strpos(description, 'onon') ELSE 1 END, 600) AS excerpt FROM offers")
+#: Openings by the part's key, each after some other text.
+OPENED = ["Nous. Vos principales missions sont", "Acme! MISSION : coder", "About us. What you'll do here", "Votre rôle", "Le poste est rattaché à", "The rope. Responsibilities include", "rien de tel"]
+
+
+@query(rf"""SELECT p_partkey, substr(t, CASE WHEN m = '' THEN 1 ELSE strpos(t, m) END, 40) AS excerpt FROM (
+        SELECT p_partkey, t, regexp_extract(t, '{tx.MISSIONS.replace("'", "''")}', 0) AS m FROM (SELECT p_partkey, p_name || '. ' || {_pick_sql(OPENED, 'p_partkey', 'p_type')} || p_type AS t FROM part))""")
 def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).select("ord", tx.window_from("description", "onon").alias("excerpt"))
+    """Excerpts from where an advert says what the work is."""
+    text = F.concat("p_name", F.lit(". "), _pick(OPENED, "p_partkey", F.col("p_type")), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.mission_excerpt(text, 40).alias("excerpt"))
 
 
 DECODED = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<\s*(br|/p|/div|/li)\s*/?\s*>', ' ', 'g'), '<[^>]+>', '', 'g')"
@@ -588,7 +595,7 @@ def match_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss '+0000'", "d/M/yyyy", "d MMMM yyyy", "MMM d, yyyy"]
+    kinds = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss '+0000'", "M/d/yyyy", "d MMMM yyyy", "MMM d, yyyy", "'Posted on' d MMM yyyy 'at noon'", "'Since' yyyy-MM-dd', 3 replies'"]
     at = F.col("o_orderdate").cast("timestamp")
     text = F.coalesce(*(F.when(F.col("o_orderkey") % len(kinds) == k, F.date_format(at, f)) for k, f in enumerate(kinds)))
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("day"))
@@ -631,9 +638,18 @@ def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counters(_boosted(spark, sf_dir), F.col("sims") >= 0.2, F.col("ord") % 4 == 0, F.col("combo"))
 
 
-@query(f"""WITH {JUDGED} SELECT rank, '' || (CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 137)) || '…' ELSE text END) || ' [a, b, c]' AS line
-        FROM judged JOIN documents ON doc_id = ord WHERE rank <= 40""")
+@query(f"""WITH {OFFERS}, {BOOSTED}, {JUDGED} SELECT j.rank, printf('#%-3d [%.3f]', CAST(j.rank AS INTEGER), j.score) || CASE WHEN tags <> '' THEN '  ' || tags ELSE '' END || '  ' || CASE WHEN j.ord % 2 = 0 THEN '🆕 ' ELSE '' END || 'offer ' || j.ord || CASE j.ord % 3 WHEN 0 THEN '  (6 mois, début 2027-01)' WHEN 1 THEN '  (6 mois)' ELSE '' END AS head,
+        company || '  |  ' || location || '  |  —' AS place,
+        CASE WHEN j.ord % 5 <> 0 THEN printf('LLM %.2f', j.relevant * 0.5) || CASE WHEN toxic = 1 THEN '  ⚠ alternance  niveau=senior' ELSE '' END || '  🚩 a ; b ; c' END AS verdict,
+        CASE WHEN j.ord % 5 <> 0 THEN '« ' || CASE WHEN length(d) > 140 THEN substr(d, 1, 137) || '…' ELSE d END || ' »' END AS reason
+    FROM judged j JOIN (SELECT *, concat_ws(' ', CASE WHEN t1 OR d1 THEN 'A' END, CASE WHEN t2 OR d2 THEN 'B' END, CASE WHEN combo THEN 'A+B' END) AS tags, replace(trim(description, ' ' || chr(10) || chr(9)), chr(10), ' ') AS d FROM scored) s ON s.ord = j.ord JOIN labels l ON l.doc_id = j.ord
+    WHERE j.rank <= 40 AND j.score IS NOT NULL""")
 def cli_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _judged(spark, sf_dir).where("rank <= 40").select("ord", "rank")
-    rows = offers(spark, sf_dir).select("ord", "description").join(F.broadcast(first), "ord").withColumns({"reason": F.col("description"), "flags": F.array(*map(F.lit, "abcd")), "title": F.lit("")})
-    return report.listing(rows).select("rank", "line")
+    """The first 40 of the judged offers as lines for a terminal."""
+    first = _judged(spark, sf_dir).where("rank <= 40 AND score IS NOT NULL").select("ord", "rank", "score", "relevant", "toxic")
+    k = F.col("ord")
+    texts = rank.boosts(offers(spark, sf_dir), FIRST, SECOND).join(F.broadcast(first), "ord")
+    flags = F.array(*map(F.lit, "abcd"))
+    verdict = F.struct((F.col("relevant") * 0.5).alias("score"), (F.col("toxic") == 1).alias("apprenticeship"), F.when(F.col("toxic") == 1, "senior").otherwise("stage").alias("level"), flags.alias("flags"), F.col("description").alias("reason"))
+    made = {"new": k % 2 == 0, "title": F.concat(F.lit("offer "), k.cast("string")), "months": F.when(k % 3 < 2, 6), "start": F.when(k % 3 == 0, "2027-01").otherwise(""), "source": F.lit(""), "verdict": F.when(k % 5 != 0, verdict)}
+    return report.listing(texts.withColumns(made)).select("rank", "head", "place", "verdict", "reason")

@@ -318,9 +318,10 @@ def test_run_report(spark):
 def test_dates(spark):
     from gristmill.functions.dates import parse_date
 
-    raw = ["2024-03-05T10:00:00.000Z", "Tue, 05 Mar 2024 10:00:00 +0000", "Tue, 05 Mar 2024 10:00:00 GMT", "5/3/2024", "March 5, 2024", "5 Mar 2024", "soon", None]
+    raw = ["2024-03-05T10:00:00.000Z", "Tue, 05 Mar 2024 10:00:00 +0000", "Tue, 05 Mar 2024 10:00:00 GMT", "3/5/2024", "March 5, 2024", "5 Mar 2024", "posted 5 March 2024 by us", "le 2024-03-05 (maj)", "soon", None]
     found = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(parse_date("x").cast("string")).collect()]
-    assert found == ["2024-03-05"] * 6 + [None, None]
+    assert found == ["2024-03-05"] * 8 + [None, None]
+    assert str(one(spark, parse_date("x"), "13/3/2024")) == "2024-03-13"
 
 
 def test_models_are_asked_once_for_each_content(spark):
@@ -343,8 +344,13 @@ def test_report_views(spark):
     assert rows.select(report.in_family("b"), report.in_family("b", wide=True)).first()[:] == (False, True)
     assert report.config_fingerprint({"a": 1, "b": 2}) == report.config_fingerprint({"b": 2, "a": 1})
     assert one(spark, sinks.short_value("x"), "y" * 60) == "y" * 57 + "…"
-    shown = spark.createDataFrame([(1, "t", "r" * 150, list("abcd")), (2, "t", None, None)], "rank int, title string, reason string, flags array<string>")
-    assert [len(r["line"]) for r in report.listing(shown).orderBy("rank").collect()] == [138 + len(" [a, b, c]"), 0]
+    shown = [(1, 0.5, ["A", "B"], True, "t", 6, "2027-01", "c", "", None, (0.9, True, "senior", list("abcd"), "r" * 150)), (12, 0.25, None, None, "u", None, "", "", "l", "s", None), (13, 0.0, [], False, "w", 0, None, "c", "l", "s", (0.1, False, "stage", [], " x\ny "))]
+    rows = spark.createDataFrame(shown, "rank int, score double, tags array<string>, new boolean, title string, months int, start string, company string, location string, source string, verdict struct<score: double, apprenticeship: boolean, level: string, flags: array<string>, reason: string>")
+    found = report.listing(rows).orderBy("rank").collect()
+    assert [r["head"] for r in found] == ["#1   [0.500]  A B  🆕 t  (6 mois, début 2027-01)", "#12  [0.250]  u", "#13  [0.000]  w"]
+    assert [r["place"] for r in found] == ["c  |  —  |  —", "—  |  l  |  s", "c  |  l  |  s"]
+    assert [r["verdict"] for r in found] == ["LLM 0.90  ⚠ alternance  niveau=senior  🚩 a ; b ; c", None, "LLM 0.10"]
+    assert [r["reason"] for r in found] == ["« " + "r" * 137 + "… »", None, "« x y »"]
     assert [r[0] for r in spark.createDataFrame([(6, "2027-01"), (3, "2027-05"), (None, None)], "m int, s string").select(rank.soft_signals("m", "s", "2027-01")).collect()] == pytest.approx([0.05, -0.02, 0.0])
 
 
