@@ -33,6 +33,12 @@ def landed(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of what has been written
+    and isn't referenced any more; it acts when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Removes the table that ``landed`` wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, cut, pieces, utf8
+from gristmill.llm.common import FOLD_CASE, cut, pieces, release, utf8
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 HALF = (1 << 31) - 1
@@ -346,6 +346,7 @@ def _classes(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFr
     distinct = prints.groupBy("name").agg(F.first("blocks").alias("blocks"), F.first("check").alias("check"), F.first("least").alias("least"), rep)
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     pairs = cut(candidates(distinct))
+    release(docs.sparkSession)
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("rep.id").alias("_id"), F.col("rep.of").alias("_of")), "node")
     met = cut(met)
     small = met.count() <= FETCHED
@@ -353,7 +354,10 @@ def _classes(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFr
     sets = cut(texts.dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    roots = components(both.where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")).select("node", "root")
+    links_found = cut(both.where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    release(docs.sparkSession)
+    roots = components(links_found).select("node", "root")
+    release(docs.sparkSession)
     return prints.select("id", "of", "name"), distinct.join(roots, "node", "left").select("name", "rep", F.coalesce("root", "node").alias("root"))
 
 
