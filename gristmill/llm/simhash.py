@@ -50,6 +50,8 @@ CELLS, MOST_CELLS, HOT = 1 << 14, 1 << 20, 20_000
 WORDS, SIMILARITY, BLOCKS, APART, FETCHED = 5, 0.8, 8, 18, 200_000
 #: Nodes with over HUB edges (more where there are over HUB * HUBS edges) are broadcast: twice HUBS at most.
 HUB, HUBS = 100, 100_000
+#: Most nodes whose nearest links are looked for together.
+PART = 4096
 #: Groups up to this size compare by shifted arrays, larger ones by a search that leaves a spanning forest.
 SMALL = 8
 
@@ -143,7 +145,12 @@ def forest(fp: np.ndarray, node: np.ndarray, most: int = THRESHOLD) -> tuple[np.
 def nearest(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``forest``, with the shortest links: every node joins the nearest one
     that is in already. A link that is verified afterwards, and may fail, should
-    be the likeliest there is."""
+    be the likeliest there is. That takes quadratic time, so of over PART nodes
+    each joins the nearest of PART that follow each other by fingerprint, and ``forest`` connects all."""
+    if len(fp) > PART:
+        order = np.argsort(fp, kind="stable")
+        some = [nearest(fp[o], node[o], most) for o in (order[k : k + PART] for k in range(0, len(order), PART))]
+        return tuple(np.concatenate(x) for x in zip(forest(fp, node, most), *some))
     a, b, left, of = [], [], fp[1:], node[1:]
     apart, to = np.bitwise_count(left ^ fp[0]), np.full(len(left), node[0])
     while len(left):

@@ -102,6 +102,34 @@ def test_links_reach_every_pair_within_three_bits(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("part", [4096, 7])
+def test_nearest_links_connect_what_all_links_connect(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rnd = random.Random(22)
+    values = set()
+    for _ in range(8):
+        base = rnd.getrandbits(64)
+        for _ in range(rnd.randint(1, 12)):
+            base ^= 1 << rnd.randrange(64)
+            values.add(base)
+    fp = np.array(sorted(values, key=str), np.uint64)
+    a, b = simhash.nearest(fp, np.arange(len(fp)), 3)
+    assert all((int(fp[x]) ^ int(fp[y])).bit_count() <= 3 for x, y in zip(a, b))
+    parent = list(range(len(fp)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        parent[find(x)] = find(y)
+    root = linked(map(int, fp))
+    assert len({find(x) for x in parent}) == len(set(root.values())) and all((find(x) == find(y)) == (root[int(fp[x])] == root[int(fp[y])]) for x in range(len(fp)) for y in range(len(fp)))
+    if part > len(fp):
+        assert len(a) == len(fp) - len(set(root.values()))
+
+
 def test_anchors_are_all_code_words_in_reach():
     rnd = np.random.default_rng(0)
     half = np.concatenate([[0], rnd.integers(0, 1 << 31, 50)]).astype(np.uint32)
