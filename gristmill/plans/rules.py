@@ -12,10 +12,11 @@ from gristmill.functions import text as tx
 from gristmill.functions.columns import json_or_null
 from gristmill.operators import dedup, filters, geo, market, models, observe, queue, rank, report, store
 from gristmill.plans.offers import FAMILIES, OFFERS, _pick, _pick_sql, any_word
+from gristmill.plans.records import _stream
 from gristmill.plans.registry import query
 from gristmill.session import shared_dir
 from gristmill.sources import sinks
-from gristmill.sources.adapters import offers, places, ranking_rows, table
+from gristmill.sources.adapters import jobs, offers, places, ranking_rows, table
 from gristmill.streaming import state
 
 TODAY = "2024-03-10"
@@ -267,8 +268,6 @@ def cache_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'done' ELSE 'done' END AS status FROM orders")
 def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending jobs start and running ones end; a move that isn't allowed would be an error."""
-    from gristmill.sources.adapters import jobs
-
     rows = jobs(spark, sf_dir)
     moves = rows.where("status <> 'done'").select("id", F.when(F.col("status") == "pending", "running").otherwise("done").alias("to"))
     return queue.moved(rows, moves).select("id", "status")
@@ -318,8 +317,6 @@ def ranking_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, link, min(day) AS first FROM (SELECT event_type AS source, 'l' || (event_id % 700) AS link, CAST(ts AS DATE) AS day FROM events) GROUP BY ALL")
 def links_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a stream, each where it came first within the watermark; all days lie within it."""
-    from gristmill.plans.records import _stream
-
     links = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("l"), (F.col("event_id") % 700).cast("string")).alias("link"), F.col("ts").cast("timestamp").alias("at"), F.to_date("ts").alias("first"))
     folder = f"{shared_dir(spark)}/gristmill-stream-{uuid.uuid4().hex}"
     running = state.first_seen(links, "at", "60 days", "source", "link").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
@@ -333,8 +330,6 @@ def links_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS key, max(event_type) AS title, min(CAST(ts AS DATE)) AS first_seen FROM events GROUP BY user_id")
 def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that are merged by micro-batch; here one batch, on the day of its latest event, so first sights are checked by a join."""
-    from gristmill.plans.records import _stream
-
     stream = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("title"), F.to_date("ts").cast("string").alias("day"))
     folder = f"{shared_dir(spark)}/gristmill-runs-{uuid.uuid4().hex}"
     running = stream.writeStream.foreachBatch(state.upsert_runs(spark, f"{folder}/out", "key", ("title",))).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
