@@ -38,7 +38,7 @@ from gristmill.llm.common import ALNUM, held_out, landed, pieces, utf8
 #: Most words that are numbered, most pairs of them that are counted apart; these bound what is broadcast, not what counts.
 VOCABULARY, BIGRAMS = 1 << 17, 1 << 18
 #: Target ids are broadcast up to so many; tokens a task takes together, messages of a bucket, and every how manieth row is in the sample.
-MARKS, CHUNK, BUCKET, SAMPLE = 1 << 20, 1 << 19, 1 << 20, 16
+MARKS, CHUNK, BUCKET, SAMPLE = 1 << 20, 1 << 18, 1 << 19, 16
 #: Weight of the pair's own estimate against the word's; what is added to each word's count.
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 UNKNOWN, START = 0, 1
