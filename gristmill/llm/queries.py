@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, decontaminate, html_text, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity, warc
+from gristmill.llm import alignment, bpe, decontaminate, html_text, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity, warc
 from gristmill.llm.common import held_out, table
 
 
@@ -61,9 +61,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load())
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.statistics(table(spark, sf_dir, "documents"), alignment.load())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe)
+    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe, op13_alignment)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
