@@ -3,12 +3,13 @@ production parameters, to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import alignment, bpe, decontaminate, html_text, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity, warc
+from gristmill.llm import alignment, bpe, conversations, decontaminate, html_text, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity, warc
 from gristmill.llm.common import held_out, table
 
 
@@ -61,13 +62,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.audit(conversations.damage(rows)).withColumnRenamed("conv_id", "_conv")
+    names, texts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    both = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return both.select("conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names), *(F.coalesce(n, F.lit(v)).alias(n) for n, v in texts.items()))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.statistics(table(spark, sf_dir, "documents"), alignment.load())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe, op13_alignment)
+    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe, op11_conversation_repair, op13_alignment)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -119,4 +128,50 @@ ORACLE: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE fates AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda s: [ord(s), -1, -1, -1, -1, -1, -1, -1, -1]) AS bits
+            FROM conversations
+        ), crc AS (
+            SELECT * EXCLUDE (bits), xor(4294967295, list_reduce(flatten(bits), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295::BIGINT)) % 20 AS fate FROM fates
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+            FROM crc, range(0, 2) r(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM damaged
+        ), m AS (
+            SELECT conv_id, turn, role, text, i, left(role, 1) AS c, CASE WHEN bare = '' THEN 1 WHEN again > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed
+        ), inserts(q, p, edits, lines) AS (
+            VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 2, 'I', chr(10) || 'user:'),
+                   (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 'I', chr(10) || 'assistant:'), (3, 2, 'I', chr(10) || 'user:')
+        ), moves(edit, p, q, initial, made) AS (
+            VALUES ('D', 0, 0, NULL, NULL), ('D', 1, 1, NULL, NULL), ('D', 2, 2, NULL, NULL), ('D', 3, 3, NULL, NULL), ('K', 0, 1, 's', NULL), ('K', 0, 2, 'u', NULL), ('K', 1, 2, 'u', NULL), ('K', 3, 2, 'u', NULL),
+                   ('K', 2, 3, 'a', NULL), ('R', 0, 2, NULL, 'user'), ('R', 1, 2, NULL, 'user'), ('R', 2, 3, NULL, 'assistant'), ('R', 3, 2, NULL, 'user')
+        ), best AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS b FROM conversations
+            UNION ALL
+            SELECT conv_id, i, q, min(b) FROM (
+                SELECT m.conv_id, m.i, v.q, {
+                    'cost': b.cost + 2 * length(edits) + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 3 THEN 1 ELSE 0 END,
+                    'audit': b.audit || edits || edit,
+                    'lines': b.lines || x.lines || CASE WHEN edit = 'D' THEN '' ELSE chr(10) || coalesce(made, role) || ':' || text END} AS b
+                FROM best JOIN inserts x ON x.q = best.q JOIN m ON m.conv_id IS NOT DISTINCT FROM best.conv_id AND m.i = best.i + 1
+                JOIN moves v ON v.p = x.p AND (initial IS NULL OR initial = c) AND (edit = 'D' OR fault IN (0, 3))
+            ) GROUP BY conv_id, i, q
+        ), sizes AS (
+            SELECT c.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated
+            FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+        ), neighbours AS (
+            SELECT conv_id, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, c, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM m) GROUP BY conv_id
+        ), ended AS (
+            SELECT s.conv_id, min({'cost': b.cost + 2 * length(edits), 'audit': b.audit || edits, 'lines': b.lines || x.lines}) AS b
+            FROM sizes s JOIN best ON best.conv_id IS NOT DISTINCT FROM s.conv_id AND best.i = s.n JOIN inserts x ON x.q = best.q AND x.p IN (0, 3) GROUP BY s.conv_id
+        )
+        SELECT s.conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit, sha256(substr(b.lines, 2)) AS repaired_sha256
+        FROM sizes s JOIN ended e ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN neighbours k ON k.conv_id IS NOT DISTINCT FROM s.conv_id
+    """,
 }
