@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import alignment, bpe, conversations, decontaminate, html_text, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity, warc
+from gristmill.llm import alignment, bpe, conversations, decontaminate, html_text, license_scan, lm_score, minhash, quality_crf, quality_rules, simhash, toxicity, warc
 from gristmill.llm.common import held_out, table
 
 
@@ -70,13 +70,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names), *(F.coalesce(n, F.lit(v)).alias(n) for n, v in texts.items()))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.statistics(table(spark, sf_dir, "documents"), alignment.load())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe, op11_conversation_repair, op13_alignment)
+    for f in (op1_simhash, op2_warc, op3_quality_rules, op4_toxicity, op5_html_text, op6_quality_crf, op7_license_scan, op8_lm_score, op9_decontaminate, op10_bpe, op11_conversation_repair, op12_minhash, op13_alignment)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -174,4 +179,22 @@ ORACLE: dict[str, str] = {
         SELECT s.conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit, sha256(substr(b.lines, 2)) AS repaired_sha256
         FROM sizes s JOIN ended e ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN neighbours k ON k.conv_id IS NOT DISTINCT FROM s.conv_id
     """,
+    "op12_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, unnest(range(1, greatest(1, len(w) - 3) + 1)) r(i) WHERE len(w) > 0
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), links AS (
+            SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+            JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+        ), c AS (
+            SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+        )
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
 }
