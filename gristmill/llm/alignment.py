@@ -39,13 +39,13 @@ from gristmill.llm.bpe import load as load_bpe
 from gristmill.llm.common import cut, landed, pieces, utf8
 
 #: Tokens of A in a lane; places tried for a division; bytes of text that are merged together.
-LANE, TRIED, BATCH = 512, 64, 1 << 23
+LANE, TRIED, BATCH = 512, 64, 1 << 21
 #: Most pairs that are broadcast (12 bytes each), and pairs that a task holds before it passes their counts on.
 HEAD, HELD = 1 << 21, 1 << 22
 
 SPACE_MARK = "▁"
 #: Most segments of text whose pieces a task keeps.
-KEPT = 250_000
+KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -211,16 +211,6 @@ def _digests(tokens: Tokens, m: Merged) -> list[str]:
     return [hashlib.sha256(b"".join(parts[s:e])[1:]).hexdigest() if e > s else "" for s, e in zip(at, at[1:])]
 
 
-def _encoded(tokens: Tokens, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
-    """The rows and ids of texts of about BATCH bytes together; texts are encoded in smaller parts."""
-    for b in pieces(batches, BATCH):
-        coded: list[tuple[np.ndarray, np.ndarray]] = []
-        for part in pieces([b]):
-            coded += tokens.encode(utf8(part.column(part.num_columns - 1)))
-        if coded:
-            yield b, coded
-
-
 _tokens: dict[str, Tokens] = {}
 
 
@@ -234,8 +224,10 @@ def _run(docs: DataFrame, text: str, keys: tuple[str, ...], vocabularies: Vocabu
         if name not in _tokens:  # a Python worker keeps them for its later tasks
             _tokens.clear()
             _tokens[name] = Tokens(sent.value)
-        for b, coded in _encoded(_tokens[name], batches):
-            made = work(_tokens[name], merge(_tokens[name], coded))
+        for b in pieces(batches, BATCH):
+            if not b.num_rows:
+                continue
+            made = work(_tokens[name], merge(_tokens[name], _tokens[name].encode(utf8(b.column(b.num_columns - 1)))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(v if isinstance(v, pa.Array) else pa.array(v, t) for v, (_, t) in zip(made, fields.values()))], names=[*keys, *fields])
 
     return slim.mapInArrow(run, schema)
