@@ -50,9 +50,9 @@ def novelty(batch_links: DataFrame, known_links: DataFrame, known_keys: DataFram
 
 
 def keep_filled(old: DataFrame, batch: DataFrame, key: str, text: str, at: str) -> DataFrame:
-    """Last write wins, but an empty text never overwrites one."""
+    """Last write wins (of equal times the greater text), but an empty text never overwrites one."""
     both = old.select(key, text, at).unionByName(batch.where(F.coalesce(F.trim(text), F.lit("")) != "").select(key, text, at))
-    return both.groupBy(key).agg(F.max_by(F.struct(text, at), F.col(at)).alias("_last")).select(key, F.col(f"_last.{text}").alias(text), F.col(f"_last.{at}").alias(at))
+    return both.groupBy(key).agg(F.max(F.struct(at, text)).alias("_last")).select(key, F.col(f"_last.{text}").alias(text), F.col(f"_last.{at}").alias(at))
 
 
 def last_write(old: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from gristmill.plans import offers, records, rules  # noqa: F401
+from gristmill.plans import offers, records, rules, stored  # noqa: F401
 from gristmill.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -12,12 +12,10 @@ from gristmill.functions import text as tx
 from gristmill.functions.columns import json_or_null
 from gristmill.operators import dedup, filters, geo, market, models, observe, queue, rank, report, store
 from gristmill.plans.offers import FAMILIES, OFFERS, _pick, _pick_sql, any_word
-from gristmill.plans.records import _stream
 from gristmill.plans.registry import query
 from gristmill.session import shared_dir
 from gristmill.sources import sinks
 from gristmill.sources.adapters import jobs, offers, places, ranking_rows, table
-from gristmill.streaming import state
 
 TODAY = "2024-03-10"
 KEPT, FRESH = ["src1", "src2"], f"DATE '{TODAY}' - posted_at BETWEEN -1 AND 20"
@@ -312,27 +310,3 @@ def ranking_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     said = F.to_json(F.struct(F.concat(F.lit("doc "), k.cast("string")).alias("title"), F.col("source").alias("company"), (k % 90 + 1).alias("ia_rang"), F.when(k % 2 == 0, 0.5).alias("cos_score")))
     return ranking_rows(table(spark, sf_dir, "documents").select(k.alias("key"), said.alias("json"))).select("key", "ia_rank", "title", "company", "salary", "score")
-
-
-@query("SELECT source, link, min(day) AS first FROM (SELECT event_type AS source, 'l' || (event_id % 700) AS link, CAST(ts AS DATE) AS day FROM events) GROUP BY ALL")
-def links_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of a stream, each where it came first within the watermark; all days lie within it."""
-    links = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("l"), (F.col("event_id") % 700).cast("string")).alias("link"), F.col("ts").cast("timestamp").alias("at"), F.to_date("ts").alias("first"))
-    folder = f"{shared_dir(spark)}/gristmill-stream-{uuid.uuid4().hex}"
-    running = state.first_seen(links, "at", "60 days", "source", "link").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    seen = spark.read.schema("source string, link string, at timestamp, first date").parquet(f"{folder}/out")
-    # Which of a link's rows in one micro-batch comes first isn't fixed, its being there once is.
-    days = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("l"), (F.col("event_id") % 700).cast("string")).alias("link"), F.to_date("ts").alias("first"))
-    return seen.select("source", "link").join(days.groupBy("source", "link").agg(F.min("first").alias("first")), ["source", "link"])
-
-
-@query("SELECT user_id AS key, max(event_type) AS title, min(CAST(ts AS DATE)) AS first_seen FROM events GROUP BY user_id")
-def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs that are merged by micro-batch; here one batch, on the day of its latest event, so first sights are checked by a join."""
-    stream = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("title"), F.to_date("ts").cast("string").alias("day"))
-    folder = f"{shared_dir(spark)}/gristmill-runs-{uuid.uuid4().hex}"
-    running = stream.writeStream.foreachBatch(state.upsert_runs(spark, f"{folder}/out", "key", ("title",))).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    running.awaitTermination()
-    first = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.min(F.to_date("ts")).alias("first_seen"))
-    return state.newest(spark, f"{folder}/out").select("key", "title").join(first, "key")

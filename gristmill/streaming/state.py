@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.operators.store import upsert_seen
+from gristmill.operators.store import last_write
+from gristmill.sources.buckets import Buckets
 
 
 def feedback_state(events: DataFrame, by: str = "offer_id", order: str = "id") -> DataFrame:
@@ -44,36 +49,60 @@ def run_to_table(stream: DataFrame, folder: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "gm_batch").alias("_last")).select(*keys, "_last.*")
 
 
-def upsert_runs(spark: SparkSession, folder: str, key: str, fields: tuple[str, ...], day: str = "day"):
-    """A function for ``foreachBatch``: each micro-batch is a run that is merged
-    into the newest version of the table under ``folder``. A batch that comes
-    again writes its version again, so a restart does no harm."""
+def seen_state(runs: DataFrame, key: str, fields: tuple[str, ...], day: str = "day", run: str = "run", order: str | None = None) -> DataFrame:
+    """(key, fields, first_seen, last_seen, days_seen, first_run, last_run) of every
+    key that a micro-batch brings (update mode), as the runs merged one after another
+    would leave them: ``fields`` of the last run (of its last row by ``order``), and
+    as many days as there were, however they are spread over micro-batches and in
+    whatever order they come. The state of a key is its days and one row."""
+    last = F.max(F.struct(F.col(run), F.col(order) if order else F.lit(0), *(F.col(f) for f in fields))).alias("_last")
+    found = runs.groupBy(key).agg(F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.size(F.collect_set(day)).alias("days_seen"), F.min(run).alias("first_run"), F.max(run).alias("last_run"), last)
+    return found.select(key, *(F.col(f"_last.{f}").alias(f) for f in fields), "first_seen", "last_seen", "days_seen", "first_run", "last_run")
+
+
+def run_to_buckets(stream: DataFrame, into: Buckets, progress: str) -> None:
+    """Runs a stream in update mode over all that is there; the rows of each
+    micro-batch replace those of equal key in a bucketed table. A batch that comes
+    again after a failure writes its version again."""
 
     def step(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        path = f"{folder}/version={number:012d}"
-        versions = _versions(spark, folder)
-        before = [v for v in versions if v < number]
-        today = str(batch.agg(F.max(day)).first()[0])
-        latest = batch.groupBy(key).agg(*(F.max(f).alias(f) for f in fields))
-        schema = batch.select(key, *fields)
-        old = spark.read.parquet(f"{folder}/version={max(before):012d}") if before else spark.createDataFrame([], schema.schema).select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("first_seen", "date"), ("last_seen", "date"), ("days_seen", "int"), ("first_run", "int"), ("last_run", "int"))))
-        upsert_seen(old, latest, today, number, key, fields).write.mode("overwrite").parquet(path)
-
-    return step
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Version numbers under a folder, through Hadoop's file system, so on any store."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(path)]
-    return [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-
-
-def newest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={max(_versions(spark, folder)):012d}")
+        held = batch.persist()
+        try:
+            into.merge(held, lambda old, new: last_write(old, new, *into.key), number + 1)
+        finally:
+            held.unpersist()
+
+    stream.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def earliest_sight(links: DataFrame, keys: tuple[str, ...], at: str, delay_s: int, ttl_s: int) -> DataFrame:
+    """(keys, first): of every link the earliest time that it was seen, told once
+    (append mode), as soon as no earlier row can come.
+
+    A link waits until the watermark is ``delay_s`` seconds behind its first sight;
+    rows that come out of order until then set it back, those beyond the watermark
+    are dropped. Afterwards it is remembered, and not told again, until it
+    wasn't seen for ``ttl_s`` seconds."""
+    late = links.select(*keys, F.col(at).cast("timestamp").alias("at")).withWatermark("at", f"{delay_s} seconds")
+    kinds = ", ".join(f"`{k}` {late.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(link: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, told = state.get if state.exists else (None, None, False)
+        if state.hasTimedOut:
+            if told:
+                state.remove()
+                return
+            due = True
+        else:
+            for b in batches:
+                micros = b["at"].astype("datetime64[us]").astype("int64")
+                first = int(micros.min()) if first is None else min(first, int(micros.min()))
+                last = int(micros.max()) if last is None else max(last, int(micros.max()))
+            due = not told and first // 1000 + 1000 * delay_s <= state.getCurrentWatermarkMs()
+        if due:
+            told = True
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, link)}, "first": [pd.Timestamp(first, unit="us", tz="UTC")]})
+        state.update((first, last, told))
+        state.setTimeoutTimestamp(max(last // 1000 + 1000 * ttl_s if told else first // 1000 + 1000 * delay_s, state.getCurrentWatermarkMs() + 1))
+
+    return late.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, first timestamp", "first long, last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
