@@ -45,7 +45,7 @@ HEAD, HELD = 1 << 21, 1 << 22
 
 SPACE_MARK = "▁"
 #: Most segments of text whose pieces a task keeps.
-KEPT = 100_000
+KEPT = 250_000
 
 
 @dataclass(frozen=True)
@@ -85,8 +85,10 @@ class Pieces(dict):
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= KEPT:
             self.clear()
-        # The model adds the first space itself.
-        out = self[segment] = np.array(self.model.encode(segment[1:]) if len(segment) > 1 else self.lone(), "<u4").tobytes()
+        # The model adds the first space itself. Pieces of other bytes than the segment's count as none, so that the text's length tells.
+        ids = self.model.encode(segment[1:]) if len(segment) > 1 else self.lone()
+        same = b"".join([self.bytes[k] for k in ids]) == segment.encode()
+        out = self[segment] = np.array(ids if same else [], "<u4").tobytes()
         return out
 
     def lone(self) -> list[int]:
@@ -96,7 +98,8 @@ class Pieces(dict):
     def encode(self, text: str) -> bytes:
         """Ids of space + text."""
         if self.whole:
-            return np.array(self.model.encode(text), "<u4").tobytes()
+            ids = self.model.encode(text)
+            return np.array(ids if b"".join([self.bytes[k] for k in ids]) == b" " + text.encode() else [], "<u4").tobytes()
         return b"".join(map(self.__getitem__, self.split(" " + text)))
 
 
@@ -105,19 +108,20 @@ class Tokens:
 
     def __init__(self, vocabularies: Vocabularies) -> None:
         self.a, self.b = Encoder(vocabularies.a), Pieces(vocabularies.b)
-        self.bytes_a, self.bytes_b = self.a.table, np.array(self.b.bytes, object)
-        self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
-        both = max(len(self.bytes_a), len(self.bytes_b))
+        self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.a.table, self.b.bytes))
+        both = max(len(self.size_a), len(self.size_b))
         #: Ids as text after each separator of the digest.
         self.shown = np.array([[f"{s}{k}".encode() for k in range(both)] for s in ",|;"], object)
 
     def encode(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids by A and by B of every text; none of a text that is null or empty or whose tokens' bytes aren't space + text."""
+        """Ids by A and by B of every text; none of a text that is null or empty or whose
+        tokens' bytes aren't space + text. Words and segments are parts of the text in order, and
+        their tokens have their bytes, so tokens of the text's length are the whole text."""
         none, out = np.empty(0, np.uint32), []
         for raw in texts:
-            text, want = (raw or b"").decode("utf-8", "replace"), b" " + (raw or b"")
-            a, b = (np.frombuffer(x, "<u4") if raw else none for x in (self.a.encode(" " + text), self.b.encode(text)))
-            same = raw and b"".join(self.bytes_a[a].tolist()) == want and b"".join(self.bytes_b[b].tolist()) == want
+            text, n = (raw or b"").decode("utf-8", "replace"), len(raw or b"") + 1
+            a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode(" " + text), self.b.encode(text))) if raw else (none, none)
+            same = raw and self.size_a[a].sum() == n and self.size_b[b].sum() == n and ("\ufffd" not in text or text.encode() == raw)
             out.append((a, b) if same else (none, none))
         return out
 
