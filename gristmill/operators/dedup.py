@@ -26,14 +26,19 @@ def richness(description="description", salary="salary", posted="posted_at") ->
     return F.length(F.coalesce(col(description), F.lit(""))) + F.when(filled(salary), 100).otherwise(0) + F.when(filled(posted), 30).otherwise(0)
 
 
-#: Fixed value: a number before an h that isn't part of a time of day or of a decimal.
-HOURS = r"(?<![\d,.])(\d{1,2})\s?[hH](?:\b|/|\s|$)(?!\d{2}\b)"
-
-
 def hours_in_title(title="title") -> Column:
-    """Weekly hours named in a title, 1 to 40, as a sorted set."""
-    found = F.regexp_extract_all(F.coalesce(col(title), F.lit("")), F.lit(HOURS), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("int")), lambda h: h.between(1, 40))))
+    """Weekly hours named in a title, 1 to 40, as a sorted set: a number of one or
+    two digits and an h, which is the end of its word or a word of its own. Times of
+    day (8h30) and decimals are words of another form."""
+    words = F.transform(F.split(F.lower(F.coalesce(col(title), F.lit(""))), r"[^\p{L}\p{N},.]+"), lambda w: F.rtrim(w, F.lit(".,")))
+
+    def found(ws: Column) -> Column:
+        following = lambda i: F.coalesce(F.get(ws, i + 1), F.lit(""))
+        tail = F.transform(ws, lambda w, i: F.when(F.endswith(w, F.lit("h")), F.substr(w, F.lit(1), F.length(w) - 1)).when(following(i) == "h", w))
+        bare = F.transform(tail, lambda w: F.regexp_replace(w, r"^\p{L}+", ""))
+        return F.transform(F.filter(bare, lambda w: w.isNotNull() & (w != "") & (F.ltrim(w, F.lit("0123456789")) == "") & (F.length(w) <= 2)), lambda w: w.cast("int"))
+
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.array(words), found)[0], lambda h: h.between(1, 40))))
 
 
 def mergeable_identity(title="title", company="company", location="location", commune: Column | str | None = None) -> Column:

@@ -30,7 +30,9 @@ OFFERS = """offers AS (
     FROM documents)"""
 FORM = "' ' || trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g')) || ' '"
 #: The rules for titles and cities as SQL.
-TITLE = f"trim(regexp_replace(regexp_replace(lower(strip_accents({{0}})), '{tx.GENDER}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_RUNS = f"regexp_extract_all(lower(strip_accents({{0}})), '{tx.LETTERS}')"
+_UNMARKED = f"list_reduce({_RUNS}, lambda t, r: CASE WHEN list_contains({tx.MARKERS}, regexp_replace(r, '[^a-z]', '', 'g')) THEN replace(t, r, ' ') ELSE t END, lower(strip_accents({{0}})))"
+TITLE = f"trim(regexp_replace({_UNMARKED}, '[^a-z0-9]+', ' ', 'g'))"
 CITY = r"trim(regexp_replace(regexp_replace(lower(strip_accents(split_part({0}, ',', 1))), '[^a-z0-9]+', ' ', 'g'), '\bparis\b.*', 'paris'))"
 KEYED = OFFERS + r""", keyed AS (
     SELECT *, sha1(concat_ws('|',
@@ -307,8 +309,8 @@ def duration_and_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPENED = ["Nous. Vos principales missions sont", "Acme! MISSION : coder", "About us. What you'll do here", "Votre rôle", "Le poste est rattaché à", "The rope. Responsibilities include", "rien de tel"]
 
 
-@query(rf"""SELECT p_partkey, substr(t, CASE WHEN m = '' THEN 1 ELSE strpos(t, m) END, 40) AS excerpt FROM (
-        SELECT p_partkey, t, regexp_extract(t, '{tx.MISSIONS.replace("'", "''")}', 0) AS m FROM (SELECT p_partkey, p_name || '. ' || {_pick_sql(OPENED, 'p_partkey', 'p_type')} || p_type AS t FROM part))""")
+@query(f"""SELECT p_partkey, substr(t, coalesce(list_min(list_filter(list_transform({tx.OPENINGS!r}, lambda p: strpos(lower(strip_accents(t)), p)), lambda k: k > 0)), 1), 40) AS excerpt FROM (
+        SELECT p_partkey, p_name || '. ' || {_pick_sql(OPENED, 'p_partkey', 'p_type')} || p_type AS t FROM part)""".replace('"what you\'ll do"', "'what you''ll do'").replace('"au sein de l\'equipe"', "'au sein de l''equipe'"))
 def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts from where an advert says what the work is."""
     text = F.concat("p_name", F.lit(". "), _pick(OPENED, "p_partkey", F.col("p_type")), "p_type")
