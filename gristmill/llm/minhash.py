@@ -28,7 +28,6 @@ it, and no task holds more than some blocks of numbers.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -37,13 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, cut, pieces, release, utf8
+from gristmill.llm.common import FOLD_CASE, cut, discard, landed, pieces, release, utf8
 from gristmill.llm.simhash import components
 
 SEED, WORDS, LEAST = 42, 4, 80
 BANDS, ROWS = 32, 4
 #: Largest bucket whose pairs are all verified, nodes of a block, and partners of a node that are verified in a first round.
-SMALL, PART, PARTNERS = 8, 4096, 8
+SMALL, PART, PARTNERS = 8, 4096, 64
 #: A sketch has 512 bits up to this size of a set, and twice as many each time the size doubles.
 SHORT = 256
 #: Nodes that are sent to all tasks rather than shuffled with the texts.
@@ -285,28 +284,30 @@ def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select("run", *[c for c in rows.columns if c != "run"]).repartition("run").sortWithinPartitions("run")
 
 
-def _links(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect the nodes of ``distinct`` as all links would."""
+def _roots(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, root): the class of every node of ``distinct`` that has a link, the root itself apart."""
     spark = distinct.sparkSession
     banded = distinct.select(F.explode("keys").alias("key"), "node")
-    shared = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    members = cut(banded.join(shared, "key").join(distinct.select("node", "size", "sketch"), "node").select("key", "n", "hub", "node", "size", "sketch"))
+    shared = landed(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
+    members = landed(banded.join(shared, "key"), "members")
+    sketches = distinct.select("node", "size", "sketch")
     release(spark)
     # A bucket of over PART nodes is dealt to several tasks; its least node stands in each and connects them.
     parts = F.ceil(F.col("n") / PART).cast("int")
     split = members.withColumn("part", F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))))
-    runs = _dealt(split.select("key", F.explode("part").alias("part"), "node", "size", "sketch"), ["key", "part"])
+    runs = _dealt(split.select("key", F.explode("part").alias("part"), "node").join(sketches, "node"), ["key", "part"])
     pairs = cut(runs.mapInArrow(_first_pairs, "a long, b long").distinct())
-    links, large, first, last = [_verified(pairs, distinct, keyed)], members.where(F.col("n") > SMALL), 0, PARTNERS
+    roots = cut(components(_verified(pairs, distinct, keyed)).select("node", "root"))
+    discard(shared)
     release(spark)
+    large, first, last = members.where(F.col("n") > SMALL).select("key", "n", "node"), 0, PARTNERS
     while True:
-        roots = components(reduce(DataFrame.unionAll, links))
-        rooted = large.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "n", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+        rooted = large.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
         by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("many"))
-        open_keys = by_root.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-        open_rows = cut(rooted.join(open_keys, "key"))
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionAll, links)
+        open_keys = cut(by_root.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
+        if open_keys.isEmpty():
+            break
+        open_rows = cut(rooted.join(open_keys, "key").join(sketches, "node"))
         blocks = F.ceil(F.col("n") / PART).cast("int")
         ask_blocks = F.ceil((F.col("n") - F.col("main.many")) / PART).cast("int")
         own = lambda b: F.pmod(F.xxhash64("node"), b).cast("int")
@@ -316,11 +317,26 @@ def _links(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
         more = not found.where("more").isEmpty()
         fresh = cut(found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not fresh.isEmpty():
-            links.append(_verified(fresh, distinct, keyed))
+            roots = _joined(roots, _verified(fresh, distinct, keyed))
         if not more:
-            return reduce(DataFrame.unionAll, links)
-        first, last = last, last * 8
+            break
+        first, last = last, last * 64
         release(spark)
+    discard(members)
+    return roots
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: these connect classes, so only their roots are gone through again."""
+    own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    for end in ("a", "b"):
+        links = links.join(own, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_r", end)).drop("_n", "_r")
+    links = cut(links.where("a <> b").distinct())
+    if links.isEmpty():
+        return roots
+    moved = cut(components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r")))
+    old = roots.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return cut(old.unionAll(moved))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -337,7 +353,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("rep")
     distinct = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), rep)
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(_links(distinct, keyed)).withColumnRenamed("node", "_node")
+    roots = _roots(distinct, keyed).withColumnRenamed("node", "_node")
     rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("digest", F.col("rep.id").alias("id"), F.coalesce("root", "node").alias("root"))
     least = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
     named = cut(rooted.join(least, "root").select(F.col("digest").alias("_digest"), "component_id"))
