@@ -23,6 +23,38 @@ def parse_date(text: Column | str) -> Column:
     return F.coalesce(*whole, F.try_to_timestamp(found), *(F.try_to_timestamp(found, F.lit(f)) for f in FORMATS[2:])).cast("date")
 
 
+#: Beginnings of the months' and weekdays' names.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+_NAMES = {m: f"{m}|{full}|{full[:4]}" for m, full in zip((*MONTHS, *WEEKDAYS), "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())}
+#: Clock times with their zones, and what stands behind a day's number.
+CLOCK, ORDINAL = r"t?\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([ap]m\b)?\s*(z\b|[+-]\d{2}:?\d{2}\b)?", r"^(\d{1,2})(st|nd|rd|th)$"
+
+
+def fuzzy_date(text: Column | str, reference: Column) -> Column:
+    """The day that a free text names, in any order of its parts: a whole date
+    as ``parse_date`` reads it; else a month by name, a year of four digits, a day
+    of one or two (also 3rd, 21st), whichever are there, the others from
+    ``reference`` (a day that the month lacks becomes its last); else the first weekday named, on
+    ``reference`` or after it. Clock times don't count. Null where nothing is named."""
+    low = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), CLOCK, " ")
+    tokens = F.regexp_extract_all(low, F.lit("[0-9]+[a-z]*|[a-z]+"), F.lit(0))
+
+    def told(t: Column) -> Column:
+        first = lambda f: F.get(F.array_compact(F.transform(t, f)), F.lit(0))
+        named = lambda names: first(lambda w: F.coalesce(*(F.when(w.rlike(f"^({_NAMES[m]})$"), k + 1) for k, m in enumerate(names))))
+        month, weekday = named(MONTHS), named(WEEKDAYS)
+        year = first(lambda w: F.when(w.rlike("^[12][0-9]{3}$"), w.cast("int")))
+        number = lambda w: F.when(w.rlike("^[0-9]{1,2}$"), w.cast("int")).when(w.rlike(ORDINAL), F.regexp_extract(w, ORDINAL, 1).cast("int"))
+        day = first(lambda w: F.when(number(w).between(1, 31), number(w)))
+        start = F.make_date(F.coalesce(year, F.year(reference)), F.coalesce(month, F.month(reference)), F.lit(1))
+        filled = F.date_add(start, F.least(F.coalesce(day, F.dayofmonth(reference)), F.dayofmonth(F.last_day(start))) - 1)
+        ahead = F.date_add(reference, F.pmod(weekday - 1 - F.weekday(reference), F.lit(7)))
+        return F.when(F.coalesce(month, year, day).isNotNull(), filled).otherwise(ahead)
+
+    return F.coalesce(parse_date(text), F.transform(F.array(tokens), told)[0])
+
+
 #: The ages in days that a source accepts.
 WINDOWS = [1, 3, 7, 14, 31]
 

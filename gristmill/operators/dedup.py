@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.columns import col
 from gristmill.functions.geo import segments
 from gristmill.functions.text import city_key, normal_title, unaccent
+from gristmill.functions.text import families as text_families
 from gristmill.session import cut
 
 #: Vectors in a block of the pairwise search; a task holds two blocks.
@@ -69,6 +70,35 @@ def keep_richest(offers: DataFrame, key: str = "key", rich: str = "richness", or
     return offers.select(order, *rest, rich).join(best.select(key, place, "copies", *gather), order).select(key, order, *rest, rich, "copies", *gather)
 
 
+def absorb(offers: DataFrame, terms: dict[str, list[str]], key: str = "key", rich: str = "richness", order: str = "ord", title: str = "title", families: str = "families", links: str = "links") -> DataFrame:
+    """One row for each key: its richest offer (the earliest on a tie) with the
+    ``families`` and ``links`` (structs of source, key and more) of all, and
+    ``title_families``, those of its families that ``terms`` find in its title.
+
+    Offers come in order and the richer of two absorbs the other: what it has stays
+    in front, and what the other adds comes behind, each family and each (source, key) once.
+    So those that were richer than all before them come first, the last of
+    them in front, then all others in order. Such offers are found on the least place of each
+    different richness, so a key with very many rows is a few rows of numbers."""
+    places = offers.groupBy(key, rich).agg(F.min(order).alias("_first"))
+    richer = Window.partitionBy(key).orderBy(F.desc(rich)).rowsBetween(Window.unboundedPreceding, -1)
+    leaders = places.withColumn("_before", F.min("_first").over(richer)).where("_before IS NULL OR _first < _before").select(key, F.col("_first").alias(order), F.lit(True).alias("_leads"))
+    winners = leaders.groupBy(key).agg(F.max(order).alias(order))
+    placed = offers.select(key, order, families, links).join(leaders, [key, order], "left")
+    at = F.struct(F.col("_leads").isNull().alias("r"), F.when(F.col("_leads"), -F.col(order)).otherwise(F.col(order)).alias("o"), "_pos")
+
+    def united(column: str, identity: list[Column]) -> DataFrame:
+        each = placed.select(key, order, "_leads", F.posexplode(column).alias("_pos", "_x"))
+        once = each.groupBy(key, *(c.alias(f"_k{n}") for n, c in enumerate(identity))).agg(F.min(F.struct(at.alias("at"), F.col("_x").alias("x"))).alias("_m"))
+        return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_m")), lambda m: m["x"]).alias(column))
+
+    both = united(families, [F.col("_x")]).join(united(links, [F.col("_x.source"), F.col("_x.key")]), key, "full_outer")
+    row = offers.drop(families, links).join(winners, [key, order]).join(both, key, "left")
+    none = lambda c: F.coalesce(c, F.array().cast(offers.schema[c].dataType))
+    found = text_families(title, terms)
+    return row.withColumn(families, none(families)).withColumn(links, none(links)).withColumn("title_families", F.filter(families, lambda f: F.array_contains(found, f)))
+
+
 def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(guard, a, b, similarity): pairs a < b of rows with equal guard and a dot
     product of unit vectors of at least ``least``.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.rank import ranked
@@ -36,10 +36,21 @@ def middle(rows: DataFrame, value: str, to: str) -> DataFrame:
 
 
 def breakdown(corpus: DataFrame, limit: int = 600) -> DataFrame:
-    """Labels by source and by length of text, and in all: grouping sets, one shuffle."""
+    """Labels by source and by length of text, and in all. Medians (the floor of
+    the middle) are found by counting: rows become a count for each different
+    length, these are added up in order, and the length at the middle is taken, so no
+    task holds the lengths of all rows."""
     corpus = corpus.withColumn("bucket", F.when(F.length("text") > limit, "long").otherwise("short")).withColumn("_n", F.length("text"))
-    sets = corpus.groupingSets([[F.col("source")], [F.col("bucket")], []], F.col("source"), F.col("bucket"))
-    return sets.agg(F.count_if(F.col("relevant") == 1).alias("yes"), F.count_if(F.col("relevant") == 0).alias("no"), F.median("_n").cast("int").alias("median_length"))
+    lengths = corpus.groupBy("source", "bucket", "_n").agg(F.count_if(F.col("relevant") == 1).alias("yes"), F.count_if(F.col("relevant") == 0).alias("no"), F.count("*").alias("rows"))
+    sums = [F.sum(c).alias(c) for c in ("yes", "no", "rows")]
+    sets = lengths.groupingSets([[F.col("source"), F.col("_n")], [F.col("bucket"), F.col("_n")], [F.col("_n")]], F.col("source"), F.col("bucket"), F.col("_n")).agg(*sums, F.grouping_id().alias("_set"))
+    same = ("_set", "source", "bucket")
+    upto = sets.where("_n IS NOT NULL").withColumn("_upto", F.sum("rows").over(Window.partitionBy(*same).orderBy("_n"))).withColumn("_all", F.sum("rows").over(Window.partitionBy(*same)))
+    half = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_n")))
+    middle = upto.groupBy(*same).agg((half(F.ceil(F.col("_all") / 2)) + half(F.floor(F.col("_all") / 2) + 1)).alias("_two"))
+    counts = sets.groupBy(*same).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    both = counts.join(middle.select(*(F.col(c).alias(f"_m{c}") for c in same), "_two"), F.expr(" AND ".join(f"{c} <=> _m{c}" for c in same)), "left")
+    return both.select("source", "bucket", "yes", "no", F.floor(F.col("_two") / 2).cast("int").alias("median_length"))
 
 
 def usable(corpus: DataFrame, least: int = 30, minority: int = 8) -> DataFrame:

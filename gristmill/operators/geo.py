@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.geo import ILE_DE_FRANCE, Region, cited_departments, haversine, in_region, in_traffic, plain, refined_code, segments, travel_minutes, variants, without_article
+from gristmill.functions.geo import ILE_DE_FRANCE, Region, cited_departments, haversine, in_region, in_traffic, out_of_zone, plain, refined_code, segments, travel_minutes, variants, without_article
 from gristmill.functions.columns import col
 from gristmill.functions.text import has_word
 
@@ -18,19 +18,44 @@ def named_communes(communes: DataFrame, *more: str) -> DataFrame:
     return communes.select(F.explode(F.array_distinct(F.array(name, without_article(name)))).alias("name"), "code", *more)
 
 
-def resolve_commune(offers: DataFrame, communes: DataFrame, key: str = "ord", location: str = "location", centre: tuple[float, float] | None = None, departments: dict[str, str] | None = None) -> DataFrame:
-    """(key, code) of each offer: the first segment of its location, in its truest
+def resolve_commune(offers: DataFrame, communes: DataFrame, key: str = "ord", location: str = "location", centre: tuple[float, float] | None = None, departments: dict[str, str] | None = None, named: DataFrame | None = None, barrier: bool = False) -> DataFrame:
+    """(key, code) of each offer. With ``barrier``, a location with a sign from
+    elsewhere has none. A place of ``named`` (name, code) that stands anywhere in the location comes
+    first, the longest name before shorter ones. Else it is the first segment of its location, in its truest
     form, that names a commune. Of communes with one name, those in a cited
     department come first, then the nearest to the centre, then the least code;
     Paris gives its district where that is named; null if none matches."""
-    named = named_communes(communes, "department", *(["lon", "lat"] if centre else []))
+    communed = named_communes(communes, "department", *(["lon", "lat"] if centre else []))
+    rows = offers.select(key, location)
+    inside = rows.where(~out_of_zone(location)) if barrier else rows
     forms = F.flatten(F.transform(segments(location), variants))
-    parts = offers.select(key, location, cited_departments(location, departments).alias("_cited"), F.posexplode(forms).alias("_pos", "name"))
+    parts = inside.select(key, location, cited_departments(location, departments).alias("_cited"), F.posexplode(forms).alias("_pos", "name"))
     away = haversine("lon", "lat", F.lit(centre[0]), F.lit(centre[1])) if centre else F.lit(0.0)
-    found = parts.join(named, "name").withColumn("_far", away)
+    found = parts.join(communed, "name").withColumn("_far", away)
     best = F.min(F.struct("_pos", (~F.array_contains("_cited", F.col("department"))).alias("_other"), "_far", "code"))
     codes = found.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.code").alias("code"))
-    return offers.select(key, location).join(codes, key, "left").select(key, refined_code(F.col("code").cast("string"), location).alias("code") if communes.schema["code"].dataType.simpleString() == "string" else F.col("code"))
+    own = refined_code(F.col("code").cast("string"), location) if communes.schema["code"].dataType.simpleString() == "string" else F.col("code")
+    found = rows.join(codes, key, "left").select(key, own.alias("code"))
+    if named is None:
+        return found
+    places = named_places(inside, named, key, location).withColumnRenamed("code", "_named")
+    return found.join(places, key, "left").select(key, F.coalesce("_named", "code").alias("code"))
+
+
+def named_places(offers: DataFrame, names: DataFrame, key: str = "ord", location: str = "location") -> DataFrame:
+    """(key, code): of the places of ``names`` (name, code) whose words stand
+    together in a location, the one with the most words, then the first to
+    stand there, then the least code. Runs of words meet the names in a join;
+    a run has no more words than the longest name."""
+    phrases = names.select(plain("name").alias("_phrase"), "code").where("_phrase <> ''").distinct()
+    longest = phrases.agg(F.coalesce(F.max(F.size(F.split("_phrase", " "))), F.lit(0))).first()[0]
+    words = offers.select(key, F.split(plain(location), " ").alias("_w"))
+    starts = words.select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_at"))
+    runs = starts.select(key, "_at", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.when(F.col("_at") + n - 1 <= F.size("_w"), F.array_join(F.slice("_w", F.col("_at"), F.lit(n)), " ")).alias("s")) for n in range(1, longest + 1)))).alias("_run")) if longest else None
+    if runs is None:
+        return offers.select(key, F.lit(None).cast(names.schema["code"].dataType).alias("code")).limit(0)
+    met = runs.select(key, "_at", F.col("_run.n").alias("_n"), F.col("_run.s").alias("_phrase")).join(phrases, "_phrase")
+    return met.groupBy(key).agg(F.min(F.struct(-F.col("_n"), "_at", "code")).alias("_b")).select(key, F.col("_b.code").alias("code"))
 
 
 def canonical_city(offers: DataFrame, codes: DataFrame, key: str = "ord", location: str = "location") -> DataFrame:

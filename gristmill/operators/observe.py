@@ -45,6 +45,13 @@ def seeded_counts(rows: DataFrame, dimension: DataFrame, name: str) -> DataFrame
     return dimension.select(name).distinct().join(rows.groupBy(name).agg(F.count("*").alias("n")), name, "left").select(name, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def all_counts(rows: DataFrame, dimension: DataFrame, name: str) -> DataFrame:
+    """(name, n, expected): as ``seeded_counts``, and also members that were observed but aren't in the dimension."""
+    counted = rows.groupBy(name).agg(F.count("*").alias("n"))
+    both = dimension.select(name, F.lit(True).alias("expected")).distinct().join(counted, name, "full_outer")
+    return both.select(name, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("expected", F.lit(False)).alias("expected"))
+
+
 def family_counts(rows: DataFrame, families: str, survivor: str) -> DataFrame:
     """Raw and surviving rows of each family; a row counts once in each of its families."""
     return rows.select(F.explode(F.array_distinct(families)).alias("family"), survivor).groupBy("family").agg(F.count("*").alias("raw"), F.count_if(survivor).alias("survivors"))
