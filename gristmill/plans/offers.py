@@ -11,6 +11,7 @@ from gristmill.functions.geo import preferred_location
 from gristmill.functions.url import normal_url
 from gristmill.functions.vector import dot, unit
 from gristmill.operators import dedup, evaluate, filters, geo, models, observe, rank, report, store
+from gristmill.plans.merging import greedy_sql
 from gristmill.plans.registry import query
 from gristmill.session import cut
 from gristmill.sources import sinks
@@ -157,7 +158,10 @@ def fuzzy_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(_guarded(spark, sf_dir).where("guard IS NOT NULL AND embedding IS NOT NULL"), SIMILAR).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(greedy_sql(
+    rf"""SELECT doc_id AS ord, CASE WHEN c <> '' AND lang <> '' THEN c || '|' || lang || '|' || CAST(hours AS VARCHAR) END AS g, length(text) + 30 AS rich, embedding FROM (
+        SELECT *, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS c, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(split_part(text, chr(10), 1), '(^|[^0-9,.])([0-9]{{1,2}}) ?[hH]([^a-zA-Z0-9_]|$)', 2), lambda x: CAST(x AS INTEGER)), lambda h: h BETWEEN 1 AND 40))) AS hours
+        FROM documents) LEFT JOIN embeddings ON vec_id = doc_id""", DOT, SIMILAR))
 def fuzzy_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.fuzzy_survivors(_guarded(spark, sf_dir), SIMILAR)
 

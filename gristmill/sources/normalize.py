@@ -7,6 +7,7 @@ title or a URL, isn't fatal: it stays, with its ``reason``."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,23 +108,28 @@ def normalised(raw: DataFrame, source: str = "source", json: str = "json") -> Da
     more = [c for c in raw.columns if c not in (source, json, *OFFER_FIELDS)]
     of = F.col("_of")
     rows = raw.select(*more, F.col(source).alias("_of"), F.col(json).alias("_json"))
-    parse = lambda n, s: F.when(of == n, F.from_json("_json", f"{s}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    rows = rows.withColumns({f"_p_{n}": parse(n, s) for n, s in SCHEMAS.items()})
     names = ["title", "company", "location", "description", "url", "posted_at", "salary", "_native"]
-    made = {n: p(lambda path, n=n: F.col(f"_p_{n}.{path}")) for n, p in PROJECTIONS.items()}
-
-    def case(k: int) -> Column:
-        out = F.lit(None).cast("string")
-        for n, columns in made.items():
-            out = F.when(of == n, columns[k].cast("string")).otherwise(out)
-        return out
-
-    corrupt = F.coalesce(*(F.col(f"_p_{n}._corrupt") for n in SCHEMAS))
-    site = F.coalesce(_filled(F.col("_p_jobspy.site")), F.lit(NO_BOARD))
-    rows = rows.select(
-        *more, "_of", "_json", corrupt.alias("_corrupt"), *(clean(case(k)).alias(f"_{n}") for k, n in enumerate(names)),
-        F.when(of == "jobspy", F.concat(F.lit("jobspy:"), site)).otherwise(of).alias("source"), F.col("_p_careerjet.site").alias("_site"), (~F.coalesce("_p_ashby.isListed", F.lit(True))).alias("_hidden"),
-    )
+
+    def made(n: str) -> Column:
+        """What a source's record gives, parsed once: a lambda's element isn't computed again for each field."""
+        parsed = F.from_json("_json", f"{SCHEMAS[n]}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+
+        def fields(record: Column) -> Column:
+            get = lambda path: reduce(lambda c, part: c[part], path.split("."), record)
+            told = {f"_{name}": clean(c.cast("string")) for name, c in zip(names, PROJECTIONS[n](get))}
+            origin = F.concat(F.lit("jobspy:"), F.coalesce(_filled(get("site")), F.lit(NO_BOARD))) if n == "jobspy" else F.lit(n)
+            told |= {"_corrupt": get("_corrupt"), "source": origin, "_site": get("site") if n == "careerjet" else F.lit(None).cast("string"), "_hidden": ~F.coalesce(get("isListed"), F.lit(True)) if n == "ashby" else F.lit(False)}
+            return F.struct(*(c.alias(name) for name, c in told.items()))
+
+        return F.transform(F.array(parsed), fields)[0]
+
+    case = F.lit(None)
+    for n in reversed(SCHEMAS):
+        case = F.when(of == n, made(n)).otherwise(case)
+    fields = [*(f"_{n}" for n in names), "_corrupt", "_site", "_hidden"]
+    # All fields leave the record's struct at one place.
+    rows = rows.select(*more, "_of", "_json", F.inline_outer(F.array(case))).withColumn("source", F.coalesce("source", "_of"))
+    rows = rows.withColumns({f"_{n}": F.coalesce(f"_{n}", F.lit("")) for n in names}).select(*more, "_of", "_json", "source", *fields)
     # Python decodes references, one call for each column, of the sources that have them.
     rows = rows.withColumns({f"_{c}": F.coalesce(unescape(F.when(of.isin(*ESCAPED[c]), F.col(f"_{c}"))), F.col(f"_{c}")) for c in ESCAPED if ESCAPED[c]})
     rows = rows.withColumns({f"_{c}": F.when(of.isin(*HTML[c]), bare_html(f"_{c}")).otherwise(F.col(f"_{c}")) for c in HTML})
