@@ -38,6 +38,8 @@ from gristmill.llm.toxicity import logistic
 
 #: On labelled documents that are bad throughout, held-out errors at 0, 0.1, 0.3 and 1 were 34, 17, 11 and 7 of 825.
 HOLD = 0.3
+#: Most lines of a document that is fitted on.
+MOST_LINES = 1000
 SAMPLE, LINES, ROUNDS, RATE, SHRINK, PIECE, BATCH = 6_000, 200_000, 160, 0.1, 1e-3, 100, 256
 
 FUNCTION_WORDS = frozenset(w.encode() for words in COMMON.values() for w in words)
@@ -182,12 +184,15 @@ def train(features: list[np.ndarray], labels: list[int], hold: float = HOLD) ->
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, hold: float = HOLD) -> Model:
     """A model from at most ``sample`` labelled documents; a blank one, which
     scores by the curve's default, if they lack one of the two classes. At most
-    LINES rows of features reach the driver."""
-    part, lines = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("part"), F.size(F.split("text", "\n")).alias("lines")
+    LINES rows of features reach the driver: documents of over MOST_LINES lines
+    (blank ones don't count) aren't fitted on, and of the others as many, in the order of
+    their ids' hashes, as have LINES together, so at least LINES / MOST_LINES if there are so many."""
+    lines = F.size(F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(" \t\r\x0b\x0c")) != "")).alias("lines")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("part")
     rows = landed(labelled_sample(docs, labels, "quality", sample).select("*", part, lines), "quality")
     # A window over at most ``sample`` rows of two numbers.
     so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.where("part > 0").select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= LINES).select("doc_id")
+    picked = rows.where((F.col("part") > 0) & (F.col("lines") <= MOST_LINES)).select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= LINES).select("doc_id")
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
