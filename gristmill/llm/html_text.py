@@ -60,6 +60,7 @@ class Node:
 def tree(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order, and the blocks of text as (node, text)."""
     nodes, stack, blocks, run = [Node("", -1, [])], [0], [], []
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag, where its open elements stand in the stack
     at, in_link = 0, False
 
     def flush() -> None:
@@ -73,14 +74,18 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if in_link:
                 nodes[stack[-1]].linked += len(piece)
 
+    def pop() -> None:
+        places[nodes[stack.pop()].tag].pop()
+
+    def innermost(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
     def close(names: set[str], barrier: set[str]) -> None:
         """Ends the innermost open element of these names, unless a barrier is nearer."""
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in names:
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in barrier:
-                return
+        k = innermost(names)
+        if k and k >= innermost(barrier):
+            while len(stack) > k:
+                pop()
 
     for m in iter(lambda: TOKEN.search(page, at), None):
         text(page[at : m.start()])
@@ -99,7 +104,7 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close({name}, set())
             else:
                 if nodes[stack[-1]].tag == "p":
-                    stack.pop()
+                    pop()
                 if name in CLOSES:
                     close(CLOSES[name], SCOPE[name])
                 attrs = m[3] or ""
@@ -108,6 +113,7 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 above = nodes[stack[-1]].label
                 nodes.append(Node(name, stack[-1], words, int(given[1]) if given else above))
                 if name not in VOID:
+                    places[name].append(len(stack))
                     stack.append(len(nodes) - 1)
     text(page[at:])
     flush()
