@@ -140,7 +140,8 @@ class Range:
 
     def records(self) -> Iterator[tuple[int, bytes | None]]:
         """(offset, record) of every member that starts in the range and opens a
-        WARC header; no record where the archive ends before the member does."""
+        WARC header; no record where the archive ends before the member does,
+        or where the member can't be decoded."""
         at = 0
         while (at := self.data.find(MAGIC, at)) >= 0 and self.base + at < self.end:
             found = self.decode(at)
@@ -165,7 +166,8 @@ class Range:
                 if len(got) == 1 and got[0] and not b"WARC/1.".startswith(got[0][:7]):
                     return None
         except zlib.error:
-            return None
+            # A member that opens a WARC header and then can't be decoded; the next one may begin anywhere behind.
+            return (None, 1) if b"".join(got).startswith(b"WARC/1.") else None
         whole = b"".join(got)
         return (whole, used - len(z.unused_data)) if whole.startswith(b"WARC/1.") else None
 
@@ -174,25 +176,40 @@ DAMAGED = "damaged"
 FIELD = re.compile(rb"^([\w-]+):[ \t]*(.*?)\r?$", re.M)
 
 
+def _digest(told: str | None) -> str | None:
+    """The hex form of a SHA-1 in base 32 or hex; digests of other kinds as they are."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() != "sha1":
+        return told
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except ValueError:
+            return told
+    return value.lower() if len(value) == 40 else told
+
+
 def parse(raw: bytes) -> tuple | None:
     """page_id, url, type, payload size and digest, refers_to and payload of a
     response or revisit; a revisit takes size and digest from its headers. None
-    for other kinds of records. A response whose payload doesn't have the digest
-    its header gives is ``DAMAGED``: size and digest are those found."""
+    for other kinds of records. A response whose payload doesn't have the SHA-1
+    its header gives is ``DAMAGED``: size and digest are those found. Headers of
+    other writers may lack digest, sizes and page ids, or have digests of another kind, which aren't checked."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     get = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(head)}
     kind = get.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(get["content-length"])]
+    number = lambda k: int(get[k]) if get.get(k, "").strip().isdecimal() else None
+    block = rest[: number("content-length")]
     http, _, payload = block.partition(b"\r\n\r\n")
-    told = base64.b32decode(get["warc-payload-digest"].partition(":")[2]).hex()
+    told = _digest(get.get("warc-payload-digest"))
     if kind == "response":
         size, found = len(payload), hashlib.sha1(payload).hexdigest()
-        kind, told = (kind if found == told else DAMAGED), found
+        kind, told = (DAMAGED if told and len(told) == len(found) and told != found else kind), found
     else:
-        size, payload = int(next(v for k, v in FIELD.findall(http) if k.lower() == b"content-length")), None
-    number = lambda k: int(get[k]) if k in get else None
+        sizes = [int(v) for k, v in FIELD.findall(http) if k.lower() == b"content-length" and v.strip().isdigit()]
+        size, payload = (sizes[0] if sizes else None), None
     url = unquote(get["x-target-uri"].partition("''")[2]) if "x-target-uri" in get else get.get("warc-target-uri")
     return number("x-page-id"), url, kind, size, told, number("x-refers-to-page-id"), payload
 
@@ -201,8 +218,8 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool
     """The records of the archives in (archive, bytes): page_id, url,
     record_type, payload_bytes, payload_digest, refers_to, payload (null for
     revisits), archive and offset. Nothing is dropped in silence: a record with
-    a wrong digest, or one that the archive's end cuts off (then without page_id
-    and payload), comes as ``DAMAGED``."""
+    a wrong digest, or one that can't be decoded or that the archive's end cuts off
+    (these without page_id and payload), comes as ``DAMAGED``."""
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     n = archives.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
     ranges = archives.select("archive", "bytes", start.alias("start")).repartition(min(int(n), MOST_TASKS))
