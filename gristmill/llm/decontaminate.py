@@ -206,51 +206,50 @@ def occurrences(
     are ignored. Item ids must be integers."""
     row = "n_words long, spans array<struct<start: long, end: long>>, items array<long>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    found, texts = docs.select(*keys, F.col(text).cast("string").alias("__gm_text")), "__gm_text string, "
-    schema = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys)
-
-    def search(before: DataFrame, phrases: Phrases, first: bool, last: bool) -> DataFrame:
-        """``before`` with what the phrases hit added; the text stays for the next block, and goes after the last."""
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        n_keys = len(keys)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, kinds, held = Shard(sent.value), None, []
-
-            def close() -> pa.RecordBatch:
+    slim = docs.select(*keys, F.col(text).cast("string").alias("__gm_text"))
+    schema = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
+    blocks = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _blocks(benchmark, item, item_text, block_words)]
+    n_keys = len(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def close(shards: list[tuple[tuple, bytes | None]], first: Shard) -> pa.RecordBatch:
+            """What all blocks of phrases hit in the rows of a shard: one block is in memory at a time."""
+            keyed, n_words, spans, items = [], [], [], []
+            for k, sent in enumerate(blocks):
+                shard = first
+                if k:
+                    shard = Shard(sent.value)
+                    for key, body in shards:
+                        shard.add(key, body)
                 columns = list(zip(*shard.results()))
-                spans, items = columns[-2], columns[-1]
-                if not first:
-                    spans = [merged([*s, *((x["start"], x["end"]) for x in old[1])]) for s, old in zip(spans, held)]
-                    items = [sorted({*i, *old[2]}) for i, old in zip(items, held)]
-                nested = [[{"start": a, "end": b} for a, b in s] for s in spans]
-                body = [] if last else [pa.array([old[0] for old in held], pa.binary()).cast(kinds[n_keys])]
-                arrays = [*(pa.array(c, t) for c, t in zip(columns[:n_keys], kinds)), *body, pa.array(columns[-3], pa.int64()), pa.array(nested, span), pa.array(items, pa.list_(pa.int64()))]
-                return pa.RecordBatch.from_arrays(arrays, names=[*keys, *([] if last else ["__gm_text"]), "n_words", "spans", "items"])
-
-            for b in pieces(batches):
-                kinds = [f.type for f in b.schema]
-                bodies = utf8(b.column(n_keys))
-                old = zip(bodies, *((b.column("spans").to_pylist(), b.column("items").to_pylist()) if not first else ()))
-                for *key, body, past in zip(*(c.to_pylist() for c in b.columns[:n_keys]), bodies, old):
-                    shard.add(tuple(key), body)
-                    if not (first and last):
-                        held.append(past)
-                    if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES or len(shard.rows) >= 20_000:
-                        yield close()
-                        shard, held = Shard(sent.value), []
-            if shard.rows:
-                yield close()
-
-        return before.mapInArrow(run, f"{schema}, {'' if last else texts}{row}")
-
-    blocks = iter(_blocks(benchmark, item, item_text, block_words))
-    phrases, first = next(blocks), True
-    while phrases is not None:
-        more = next(blocks, None)
-        found = search(found, phrases, first, more is None)
-        phrases, first = more, False
-    return found
+                if k:
+                    spans = [merged([*s, *old]) for s, old in zip(columns[-2], spans)]
+                    items = [sorted({*i, *old}) for i, old in zip(columns[-1], items)]
+                else:
+                    keyed, n_words, spans, items = columns[:n_keys], columns[-3], columns[-2], columns[-1]
+                if len(blocks) > 1:
+                    vars(sent).pop("_value", None)  # read from the executor's copy again when its turn comes
+            nested = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            arrays = [*(pa.array(c, t) for c, t in zip(keyed, kinds)), pa.array(n_words, pa.int64()), pa.array(nested, span), pa.array(items, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_words", "spans", "items"])
+
+        held, shard = [], None
+        for b in pieces(batches):
+            kinds[:] = [f.type for f in b.schema]
+            for *key, body in zip(*(c.to_pylist() for c in b.columns[:n_keys]), utf8(b.column(n_keys))):
+                shard = shard or Shard(blocks[0].value)
+                shard.add(tuple(key), body)
+                if len(blocks) > 1:
+                    held.append((tuple(key), body))
+                if shard.size >= SHARD_WORDS or shard.bytes >= SHARD_BYTES or len(shard.rows) >= 20_000:
+                    yield close(held, shard)
+                    held, shard = [], None
+        if shard:
+            yield close(held, shard)
+
+    return slim.mapInArrow(run, f"{schema}, {row}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
