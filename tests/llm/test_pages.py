@@ -8,6 +8,7 @@ import hashlib
 import io
 import itertools
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -72,6 +73,40 @@ def test_archives_are_read_by_many_tasks_and_damage_is_reported(spark, tmp_path)
     assert [r["record_type"] for r in found].count(warc.DAMAGED) == 1 and len(found) == one["records"]
 
 
+def test_damage_in_the_middle_of_an_archive_is_a_row():
+    rnd = random.Random(3)
+    bodies = [bytes(rnd.randrange(256) for _ in range(4000)) for _ in range(5)]
+    members = [warc.member(warc.record(k, "u", b, hashlib.sha1(b).hexdigest(), None)) for k, b in enumerate(bodies)]
+    broken = bytearray(members[2])
+    broken[3000] ^= 0x10
+    data = b"".join([*members[:2], bytes(broken), *members[3:]])
+    for split in (777, len(data)):
+        found = [(o, raw is not None) for s in range(0, len(data), split) for o, raw in warc.Range(io.BytesIO(data), s, s + split, len(data)).records()]
+        starts = [sum(map(len, members[:k])) for k in range(5)]
+        assert found == [(o, k != 2) for k, o in enumerate(starts)]
+
+
+def test_records_of_other_writers():
+    def record(*headers, body=b"HTTP/1.1 200 OK\r\n\r\nabc"):
+        return b"WARC/1.0\r\n" + b"".join(h + b"\r\n" for h in headers) + b"\r\n" + body + b"\r\n\r\n"
+
+    sha = hashlib.sha1(b"abc").hexdigest()
+    base = (b"WARC-Type: response", b"WARC-Target-URI: http://x/", b"Content-Length: 22")
+    assert warc.parse(record(*base)) == (None, "http://x/", "response", 3, sha, None, b"abc")
+    assert warc.parse(record(*base, b"WARC-Payload-Digest: sha1:" + sha.upper().encode()))[2:5] == ("response", 3, sha)
+    assert warc.parse(record(*base, b"WARC-Payload-Digest: sha256:00ff"))[2:5] == ("response", 3, sha)
+    assert warc.parse(record(*base, b"WARC-Payload-Digest: sha1:" + hashlib.sha1(b"x").hexdigest().encode()))[2] == warc.DAMAGED
+    assert warc.parse(record(b"WARC-Type: revisit", b"WARC-Payload-Digest: md5:77", b"X-Page-Id: none", body=b""))[:6] == (None, None, "revisit", None, "md5:77", None)
+    assert warc.parse(record(b"WARC-Type: metadata")) is None
+
+
+def test_trees_are_built_in_linear_time():
+    for page in ("<div>" * 100_000 + "</p>" * 100_000, "<td>" + "<table>" * 50_000 + "<div>" * 50_000 + "</td>" * 100_000, "<ul><li>" + "<div>" * 60_000 + "<li>" * 60_000):
+        began = time.process_time()
+        nodes, _ = html_text.tree(page + "end")
+        assert len(nodes) > 50_000 and time.process_time() - began < 20
+
+
 def test_marginals_match_enumeration():
     rnd = np.random.default_rng(2)
     parents = [-1, 0, 0, 1, 1, 2]

@@ -366,6 +366,10 @@ def test_quality_field_learns_lines(spark):
     assert len(odd) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in odd)
     assert quality_crf.score(frame(spark, []).limit(0), model).count() == 0
     assert quality_crf.fit(docs, labels.limit(0)).emission.tolist() == [0.0] * quality_crf.WIDTH
+    # One labelled text of very many lines, first in the order of hashes or not, leaves the fit as it is.
+    long = [(k, "\n" * 200_000 + "x" + "\ny" * 5000) for k in range(1000, 1004)]
+    more = quality_crf.fit(docs.unionByName(frame(spark, long)), labels.unionByName(spark.createDataFrame([(k, 1, 0) for k, _ in long], "doc_id long, quality int, toxic int")))
+    assert np.allclose(more.emission, model.emission) and np.allclose(more.move, model.move)
 
 
 def test_line_marginals_and_gradient_match_enumeration():
@@ -563,6 +567,13 @@ def test_removal_keeps_repeated_rows_with_several_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()), key=str) == [1, 1, None, None]
 
 
+def test_many_blocks_are_one_pass(spark):
+    items = spark.createDataFrame([(k, prose(random.Random(k), 14)) for k in range(40)], "item_id long, text string")
+    found = decontaminate.decontaminate(frame(spark, [(1, prose(random.Random(7), 14))]), items, block_words=10)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.first()["items"] == [7]
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "a b"), (1, "a b")])
