@@ -36,7 +36,7 @@ def fuzzy_date(text: Column | str, reference: Column) -> Column:
     as ``parse_date`` reads it; else a month by name, a year of four digits, a day
     of one or two (also 3rd, 21st), whichever are there, the others from
     ``reference`` (a day that the month lacks becomes its last); else the first weekday named, on
-    ``reference`` or after it. Clock times don't count. Null where nothing is named."""
+    ``reference`` or after it; else, where there is a clock time, ``reference``. Null where nothing is named."""
     low = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), CLOCK, " ")
     tokens = F.regexp_extract_all(low, F.lit("[0-9]+[a-z]*|[a-z]+"), F.lit(0))
 
@@ -52,7 +52,8 @@ def fuzzy_date(text: Column | str, reference: Column) -> Column:
         ahead = F.date_add(reference, F.pmod(weekday - 1 - F.weekday(reference), F.lit(7)))
         return F.when(F.coalesce(month, year, day).isNotNull(), filled).otherwise(ahead)
 
-    return F.coalesce(parse_date(text), F.transform(F.array(tokens), told)[0])
+    whole = F.when(F.trim(low) != "", parse_date(text))
+    return F.coalesce(whole, F.transform(F.array(tokens), told)[0], F.when(F.lower(col(text)).rlike(CLOCK), reference))
 
 
 #: The ages in days that a source accepts.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.rank import ranked
 from gristmill.operators.store import fingerprint
+from gristmill.sources.landing import export
 
 #: The export's columns in order, and those that come from a verdict.
 CSV_COLUMNS = ["rang", "score", "match", "nouvelle", "title", "company", "location", "source", "posted_at", "duree_mois", "date_debut", "salary", "score_llm", "pertinent", "niveau", "est_alternance", "drapeaux_rouges", "justification", "url", "description"]
@@ -34,12 +35,13 @@ def csv_rows(offers: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def write_csv(offers: DataFrame, path: str, order: str = "ord") -> None:
-    csv_rows(offers, order).write.mode("overwrite").option("header", True).csv(path)
+    """The export in order of rank over the files, each with the UTF-8 mark and a header; there whole or not at all."""
+    export(csv_rows(offers, order).orderBy("rang"), path, bom=True)
 
 
 def write_stable_json(rows: DataFrame, path: str, key: str) -> None:
-    """JSON lines ordered by key over the files, fields in name order."""
-    rows.select(*sorted(rows.columns)).orderBy(key).write.mode("overwrite").json(path)
+    """JSON lines ordered by key over the files, fields in name order; there whole or not at all."""
+    export(rows.orderBy(key), path, "json")
 
 
 def freeze(rows: DataFrame, path: str) -> DataFrame:
@@ -50,7 +52,20 @@ def freeze(rows: DataFrame, path: str) -> DataFrame:
     return manifest
 
 
-def short_value(value: str) -> Column:
-    """Long text cut to 58 characters."""
-    v = F.col(value).cast("string")
-    return F.when(F.length(v) > 58, F.concat(F.substr(v, F.lit(1), F.lit(57)), F.lit("…"))).otherwise(v)
+#: Longest text that is shown whole, and how much is shown of a longer one.
+WHOLE, CUT = 58, 55
+
+
+def short_value(value: str, kind: str = "string") -> Column:
+    """A value for reading side by side: a long text cut, an array or map (of
+    ``kind``) as its size and the beginning of the SHA-256 of its JSON, keys sorted."""
+    v = F.col(value)
+    json = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    if kind == "array":
+        text = F.concat(F.lit("["), F.array_join(F.transform(v, json), ", "), F.lit("]"))
+    elif kind == "map":
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(v)), lambda k: F.concat(json(k), F.lit(": "), json(F.element_at(v, k)))), ", "), F.lit("}"))
+    else:
+        v = v.cast("string")
+        return F.when(F.length(v) > WHOLE, F.concat(F.substr(v, F.lit(1), F.lit(CUT)), F.lit("…"))).otherwise(v)
+    return F.concat(F.size(v).cast("string"), F.lit(" élément(s)  ["), F.substr(F.sha2(text, 256), F.lit(1), F.lit(8)), F.lit("]"))

@@ -343,7 +343,7 @@ def test_report_views(spark):
     assert report.snapshot(rows, "ord", "score", "title").first()["json"] == '{"ord":1,"score":0.123,"title":null}'
     assert rows.select(report.in_family("b"), report.in_family("b", wide=True)).first()[:] == (False, True)
     assert report.config_fingerprint({"a": 1, "b": 2}) == report.config_fingerprint({"b": 2, "a": 1})
-    assert one(spark, sinks.short_value("x"), "y" * 60) == "y" * 57 + "…"
+    assert one(spark, sinks.short_value("x"), "y" * 60) == "y" * 55 + "…"
     shown = [(1, 0.5, ["A", "B"], True, "t", 6, "2027-01", "c", "", None, (0.9, True, "senior", list("abcd"), "r" * 150)), (12, 0.25, None, None, "u", None, "", "", "l", "s", None), (13, 0.0, [], False, "w", 0, None, "c", "l", "s", (0.1, False, "stage", [], " x\ny "))]
     rows = spark.createDataFrame(shown, "rank int, score double, tags array<string>, new boolean, title string, months int, start string, company string, location string, source string, verdict struct<score: double, apprenticeship: boolean, level: string, flags: array<string>, reason: string>")
     found = report.listing(rows).orderBy("rank").collect()
