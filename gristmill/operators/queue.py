@@ -36,9 +36,11 @@ def recover(jobs: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
 
 
 def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests whose content has no active job, once each; failed ones may come again."""
+    """Requests whose content has no active job, once each (the least by its other columns); failed ones may come again."""
+    rest = [c for c in requests.columns if c != "offer_hash"]
+    once = requests.groupBy("offer_hash").agg(F.min(F.struct(*rest)).alias("_r")).select(*(F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in requests.columns)) if rest else requests.distinct()
     active = jobs.where(F.col("status").isin(*ACTIVE)).select("offer_hash").distinct()
-    return requests.dropDuplicates(["offer_hash"]).join(active, "offer_hash", "left_anti")
+    return once.join(active, "offer_hash", "left_anti")
 
 
 def validate(requests: DataFrame, offers: DataFrame, texts: DataFrame, master: bool | Column = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import filters
-from gristmill.plans.offers import _landed
+from gristmill.plans.offers import landed_sources
 from gristmill.plans.registry import query
 from gristmill.plans.stored import folder
 from gristmill.sources import sinks
@@ -22,7 +22,7 @@ def landed_pages(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Orders as records of their sources, found by the term of their status, SIZE to a
     page; some pages are envelopes. Of source jooble a page behind a short one lies there, too."""
     keys = table(spark, sf_dir, "orders").select("o_orderkey", F.lower("o_orderstatus").alias("term"))
-    rows = _landed(spark, sf_dir, keep=("o_orderkey",)).join(keys, "o_orderkey").where("source <> 'other'")
+    rows = landed_sources(spark, sf_dir, keep=("o_orderkey",)).join(keys, "o_orderkey").where("source <> 'other'")
     place = F.row_number().over(Window.partitionBy("source", "term").orderBy("o_orderkey")) - 1
     paged = rows.withColumn("page", F.floor(place / SIZE).cast("int")).withColumn("page", F.when((F.col("source") == "jooble") & (F.col("page") == 1) & (place % SIZE == SIZE - 1), 2).otherwise(F.col("page")))
     body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "json"))), lambda x: x["json"]), ","), F.lit("]"))

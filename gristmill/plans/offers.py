@@ -224,28 +224,28 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WRITTEN = ["Grand Paris Sud, France", "Parisot, 82", "Évry-Courcouronnes, 91", "PARIS 12e Arrondissement", "Saint Denis", "Saint-Denis, IDF", " L'Haÿ-les-Roses ", "Le Petit-Paris / Nord, x"]
 
 
-def _pick(texts: list[str], key: str, otherwise: Column) -> Column:
+def pick(texts: list[str], key: str, otherwise: Column) -> Column:
     """One of the texts by the key, or for the keys in between the other column."""
     at = F.pmod(key, F.lit(len(texts) + 1)).cast("int")
     return F.coalesce(F.get(F.array(*map(F.lit, texts)), at), otherwise)
 
 
-def _pick_sql(texts: list[str], key: str, otherwise: str) -> str:
+def pick_sql(texts: list[str], key: str, otherwise: str) -> str:
     cases = " ".join("WHEN {} THEN '{}'".format(k, t.replace("'", "''")) for k, t in enumerate(texts))
     return f"CASE {key} % {len(texts) + 1} {cases} ELSE {otherwise} END"
 
 
-@query(f"SELECT c_custkey, {CITY.replace('{0}', _pick_sql(WRITTEN, 'c_custkey', 'c_name'))} AS city FROM customer")
+@query(f"SELECT c_custkey, {CITY.replace('{0}', pick_sql(WRITTEN, 'c_custkey', 'c_name'))} AS city FROM customer")
 def city_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", tx.city_key(_pick(WRITTEN, "c_custkey", F.col("c_name"))).alias("city"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.city_key(pick(WRITTEN, "c_custkey", F.col("c_name"))).alias("city"))
 
 
 MARKED = [" (H/F)", " H-F", " m/w/d", " (x/f/m)", " - F / H", " RH F/H", " Freshfields", " [M / W]", " (h - f) à Évry", " f/h/f"]
 
 
-@query(f"SELECT p_partkey, {TITLE.replace('{0}', 'p_name || ' + _pick_sql(MARKED, 'p_partkey', repr('')))} AS title FROM part")
+@query(f"SELECT p_partkey, {TITLE.replace('{0}', 'p_name || ' + pick_sql(MARKED, 'p_partkey', repr('')))} AS title FROM part")
 def normal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.normal_title(F.concat("p_name", _pick(MARKED, "p_partkey", F.lit("")))).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.normal_title(F.concat("p_name", pick(MARKED, "p_partkey", F.lit("")))).alias("title"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN CAST(p_size AS VARCHAR)
@@ -263,9 +263,9 @@ STUDIED = ["Sénior", "profil confirmé", "Expert(e)", "JUNIOR", "Jeune diplôm
 
 @query(f"""SELECT p_partkey, CASE WHEN t IN ('senior', 'junior', 'stage', 'inconnu') THEN t WHEN t SIMILAR TO '.*(senior|confirme|expert).*' THEN 'senior' WHEN t SIMILAR TO '.*(junior|debutant|jeune diplome).*' THEN 'junior'
         WHEN t SIMILAR TO '.*(stag|etudiant|intern|student).*' THEN 'stage' ELSE 'inconnu' END AS level
-    FROM (SELECT p_partkey, trim(lower(strip_accents({_pick_sql(STUDIED, 'p_partkey', 'p_type')}))) AS t FROM part)""")
+    FROM (SELECT p_partkey, trim(lower(strip_accents({pick_sql(STUDIED, 'p_partkey', 'p_type')}))) AS t FROM part)""")
 def level_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.level(_pick(STUDIED, "p_partkey", F.col("p_type"))).alias("level"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.level(pick(STUDIED, "p_partkey", F.col("p_type"))).alias("level"))
 
 
 @query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(strip_accents(p_name)), '[a-z0-9]+'), '_') AS slug FROM part")
@@ -314,10 +314,10 @@ OPENED = ["Nous. Vos principales missions sont", "Acme! MISSION : coder", "About
 
 
 @query(f"""SELECT p_partkey, substr(t, coalesce(list_min(list_filter(list_transform({tx.OPENINGS!r}, lambda p: strpos(lower(strip_accents(t)), p)), lambda k: k > 0)), 1), 40) AS excerpt FROM (
-        SELECT p_partkey, p_name || '. ' || {_pick_sql(OPENED, 'p_partkey', 'p_type')} || p_type AS t FROM part)""".replace('"what you\'ll do"', "'what you''ll do'").replace('"au sein de l\'equipe"', "'au sein de l''equipe'"))
+        SELECT p_partkey, p_name || '. ' || {pick_sql(OPENED, 'p_partkey', 'p_type')} || p_type AS t FROM part)""".replace('"what you\'ll do"', "'what you''ll do'").replace('"au sein de l\'equipe"', "'au sein de l''equipe'"))
 def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts from where an advert says what the work is."""
-    text = F.concat("p_name", F.lit(". "), _pick(OPENED, "p_partkey", F.col("p_type")), "p_type")
+    text = F.concat("p_name", F.lit(". "), pick(OPENED, "p_partkey", F.col("p_type")), "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", tx.mission_excerpt(text, 40).alias("excerpt"))
 
 
@@ -344,9 +344,9 @@ APPENDED = ["?b=2&a=1", "?utm_source=x&q=a+b%20c", "?V=1&Se=2", "?a=&b", "/#top"
     k AS (SELECT page_id, base, host, list_sort(list_filter(list_transform(parts, lambda x: {{{{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '=(.*)$', 1), '+', ' '))}}}}),
         lambda x: NOT starts_with(lower(x.k), 'utm_') AND lower(x.k) NOT IN {TRACKERS})) AS kept FROM n)
     SELECT page_id, lower(host) || regexp_replace(substr(base, length(host) + 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') ELSE '' END AS url
-        FROM k""".replace("{APPENDED}", _pick_sql(APPENDED, "page_id", "''")).replace("{{", "{").replace("}}", "}"))
+        FROM k""".replace("{APPENDED}", pick_sql(APPENDED, "page_id", "''")).replace("{{", "{").replace("}}", "}"))
 def normalise_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", normal_url(F.concat("url", _pick(APPENDED, "page_id", F.lit("")))).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", normal_url(F.concat("url", pick(APPENDED, "page_id", F.lit("")))).alias("url"))
 
 
 @query("""SELECT vec_id, round(list_inner_product(v, v), 6) AS norm, round(v[1], 6) AS first
@@ -537,7 +537,7 @@ SOURCES_SQL = {
 }
 
 
-def _landed(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def landed_sources(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(source, json): orders as records of the nine sources, and of one that isn't known."""
     n, price = F.col("o_orderkey").cast("string"), F.floor("o_totalprice").cast("double")
     title, url, who = F.concat(F.lit("Order "), n), F.concat(F.lit("https://x.example/"), n), F.col("o_orderpriority")
@@ -570,12 +570,12 @@ def _sources_sql() -> str:
 @query(f"SELECT source, title, company, location, url, salary, native_key, reason FROM ({_sources_sql()}) WHERE reason IS NULL")
 def normalise_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of all nine sources, in one pass."""
-    return normalised(_landed(spark, sf_dir)).where("reason IS NULL").select("source", "title", "company", "location", "url", "salary", "native_key", "reason")
+    return normalised(landed_sources(spark, sf_dir)).where("reason IS NULL").select("source", "title", "company", "location", "url", "salary", "native_key", "reason")
 
 
 @query(f"SELECT source, reason, count(*) AS n FROM ({_sources_sql()}) WHERE reason IS NOT NULL GROUP BY ALL")
 def source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised(_landed(spark, sf_dir)).where("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return normalised(landed_sources(spark, sf_dir)).where("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {OFFERS}, old AS (SELECT ord, title FROM offers
@@ -654,7 +654,7 @@ def cli_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 of the judged offers as lines for a terminal."""
     first = _judged(spark, sf_dir).where("rank <= 40 AND score IS NOT NULL").select("ord", "rank", "score", "relevant", "toxic")
     k = F.col("ord")
-    texts = rank.boosts(offers(spark, sf_dir), FIRST, SECOND).join(F.broadcast(first), "ord")
+    texts = rank.boosts(offers(spark, sf_dir).join(F.broadcast(first), "ord"), FIRST, SECOND)
     flags = F.array(*map(F.lit, "abcd"))
     verdict = F.struct((F.col("relevant") * 0.5).alias("score"), (F.col("toxic") == 1).alias("apprenticeship"), F.when(F.col("toxic") == 1, "senior").otherwise("stage").alias("level"), flags.alias("flags"), F.col("description").alias("reason"))
     made = {"new": k % 2 == 0, "title": F.concat(F.lit("offer "), k.cast("string")), "months": F.when(k % 3 < 2, 6), "start": F.when(k % 3 == 0, "2027-01").otherwise(""), "source": F.lit(""), "verdict": F.when(k % 5 != 0, verdict)}

@@ -11,7 +11,7 @@ from gristmill.functions import geo as gf
 from gristmill.functions import text as tx
 from gristmill.functions.columns import json_or_null
 from gristmill.operators import dedup, filters, geo, market, models, observe, queue, rank, report, store
-from gristmill.plans.offers import FAMILIES, OFFERS, _pick, _pick_sql, any_word
+from gristmill.plans.offers import FAMILIES, OFFERS, pick, pick_sql, any_word
 from gristmill.plans.registry import query
 from gristmill.session import shared_dir
 from gristmill.sources import sinks
@@ -57,9 +57,9 @@ TITLES = ["Legal intern", "Data marketing", "RH & cyber", "Ingénieur", "Chargé
 
 
 @query(f"""SELECT p_partkey, {any_word('t', SUPPORT)} AND NOT {any_word('t', CORE)} AS support
-        FROM (SELECT p_partkey, {_pick_sql(TITLES, 'p_partkey', 'p_name')} AS t FROM part)""")
+        FROM (SELECT p_partkey, {pick_sql(TITLES, 'p_partkey', 'p_name')} AS t FROM part)""")
 def support_occupations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", filters.support_only(_pick(TITLES, "p_partkey", F.col("p_name")), SUPPORT, CORE).alias("support"))
+    return table(spark, sf_dir, "part").select("p_partkey", filters.support_only(pick(TITLES, "p_partkey", F.col("p_name")), SUPPORT, CORE).alias("support"))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')")
@@ -94,24 +94,24 @@ BROKEN = ["Hu002FF u00e9t", "u00", "no code", "cafu00e9 u00E9", "u00zz u0041", "
 
 
 @query(f"""SELECT p_partkey, replace(replace(replace(replace(replace(t, 'u002F', '/'), 'u00e9', 'é'), 'u00E9', 'é'), 'u0041', 'A'), 'u0009', chr(9)) AS text
-        FROM (SELECT p_partkey, {_pick_sql(BROKEN, 'p_partkey', 'p_name')} AS t FROM part)""")
+        FROM (SELECT p_partkey, {pick_sql(BROKEN, 'p_partkey', 'p_name')} AS t FROM part)""")
 def repaired_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.repair_escapes(_pick(BROKEN, "p_partkey", F.col("p_name"))).alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.repair_escapes(pick(BROKEN, "p_partkey", F.col("p_name"))).alias("text"))
 
 
 @query(f"""SELECT p_partkey, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html
-        FROM (SELECT p_partkey, {_pick_sql(BROKEN, 'p_partkey', 'p_name')} AS t FROM part)""")
+        FROM (SELECT p_partkey, {pick_sql(BROKEN, 'p_partkey', 'p_name')} AS t FROM part)""")
 def escaped_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.escape_html(_pick(BROKEN, "p_partkey", F.col("p_name"))).alias("html"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.escape_html(pick(BROKEN, "p_partkey", F.col("p_name"))).alias("html"))
 
 
 SECRETS = ["GET /x?api_key=abc&q=1", "client_secret=s3 app_id=77", "Authorization: Bearer ab.c-d", "token=", "nothing", "monkey=1"]
 
 
 @query(rf"""SELECT p_partkey, regexp_replace(regexp_replace(t, '(?i)\b((?:(?:api|app|client)?[_-]?)(?:key|secret|token|id)=)[^&\s]+', '\1***', 'g'), '(?i)(bearer\s+)\S+', '\1***', 'g') AS line
-        FROM (SELECT p_partkey, {_pick_sql(SECRETS, 'p_partkey', 'p_name')} AS t FROM part)""")
+        FROM (SELECT p_partkey, {pick_sql(SECRETS, 'p_partkey', 'p_name')} AS t FROM part)""")
 def masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.mask_secrets(_pick(SECRETS, "p_partkey", F.col("p_name"))).alias("line"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.mask_secrets(pick(SECRETS, "p_partkey", F.col("p_name"))).alias("line"))
 
 
 @query("""SELECT event_id, CASE WHEN e THEN CASE WHEN b THEN 'blocked' WHEN contains(m, 'timed out') THEN 'timeout' ELSE 'refused' END END AS category, CASE WHEN e THEN b END AS blocking
@@ -140,7 +140,7 @@ SHOWN = ["Stage data (H/F) - 6 mois", "(H/F)", "Ingénieur - M/W/D", "Stage 12 m
 @query(f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Stage data' WHEN 1 THEN '(H/F)' WHEN 2 THEN 'Ingénieur' WHEN 3 THEN 'Stage , réseau' ELSE p_name END AS title
         FROM part""")
 def presentable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", tx.presentable_title(_pick(SHOWN, "p_partkey", F.col("p_name"))).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.presentable_title(pick(SHOWN, "p_partkey", F.col("p_name"))).alias("title"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size >= 6 THEN 0.03 WHEN p_size < 4 THEN -0.03 ELSE 0 END + CASE p_partkey % 4 WHEN 0 THEN 0.02 WHEN 1 THEN 0.01 ELSE 0 END AS signal
@@ -174,7 +174,7 @@ WHERE = ["92 - ST-CLOUD 92210", "Orly, Val-de-Marne - Paris", "Paris 8e / La Dé
         FROM (SELECT c_custkey, regexp_replace(c_name, '[0-9]{5}', '', 'g') AS c_name FROM customer)""")
 def location_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.regexp_replace("c_name", "[0-9]{5}", "")
-    parts = gf.segments(_pick(WHERE, "c_custkey", name))
+    parts = gf.segments(pick(WHERE, "c_custkey", name))
     forms = F.when(F.col("c_custkey") % 6 == 4, F.array_join(gf.variants(F.get(parts, F.lit(0))), "|")).when(F.col("c_custkey") % 6 == 0, F.get(gf.variants(F.lit("st cloud")), F.lit(1)))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(parts, "|").alias("parts"), forms.alias("forms"))
 

@@ -18,12 +18,14 @@ SETTINGS = {
 
 
 def session(name: str = "gristmill", **settings: str) -> SparkSession:
-    """The running session, or a new one. Sizes (memory, shuffle partitions,
+    """The running session, or a new one, with this package sent to its executors. Sizes (memory, shuffle partitions,
     master) are the cluster's to set; give them in ``settings`` for tests."""
     builder = SparkSession.builder.appName(name)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
