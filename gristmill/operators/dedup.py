@@ -15,6 +15,8 @@ from gristmill.session import cut
 
 #: Vectors in a block of the pairwise search; a task holds two blocks.
 BLOCK = 2048
+#: Pivots of a guard with more rows than a block; twice as many at most.
+PIVOTS = 128
 
 
 def identity_key(title="title", company="company", location="location") -> Column:
@@ -99,15 +101,55 @@ def absorb(offers: DataFrame, terms: dict[str, list[str]], key: str = "key", ric
     return row.withColumn(families, none(families)).withColumn(links, none(links)).withColumn("title_families", F.filter(families, lambda f: F.array_contains(found, f)))
 
 
+def _norm2(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
+def cells(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(guard, cell, key, vector, home): where rows have to be compared so that no
+    pair of a dot product of ``least`` is lost. A guard of up to ``block`` rows is one cell.
+
+    A larger one has pivots, some PIVOTS of its rows by hash. A row is at home with the
+    nearest of them. Two rows within an angle t have a row y and a pivot p, the home
+    of the other, with angle(y, p) <= angle(y, home of y) + 2 t, by the triangle
+    inequality on the sphere; so a row visits the cells of such pivots, and of
+    each two cells only the one with the smaller number is visited. Pivots only change costs."""
+    sizes = rows.groupBy(guard).agg(F.count("*").alias("_n"), F.max(_norm2(vector)).alias("_m"))
+    sized = rows.select(guard, key, vector).join(sizes, guard)
+    small = sized.where(F.col("_n") <= block).select(guard, F.lit(0).alias("cell"), key, vector, F.lit(True).alias("home"))
+    large = sized.where(F.col("_n") > block)
+    parts = F.ceil(F.col("_n") / block).cast("int")
+    picked = F.pmod(F.xxhash64(key, F.lit(7)), F.greatest(F.ceil(F.col("_n") / PIVOTS), F.lit(1))) == 0
+    pivots = large.where(picked).groupBy(guard, "_n", "_m").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v")))), 1, 2 * PIVOTS).alias("_p"))
+    pivots = pivots.select(F.col(guard).alias("_g"), "_m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_of"), F.transform("_p", lambda x: x["v"]).alias("_p"))
+    dealt = large.select(guard, key, vector, F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"))
+
+    def assign(group: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.stack(group[vector]).astype(float)
+        some = np.stack(given["_p"].iloc[0]).astype(float) if len(given) else x[:1]
+        wide = np.arccos(min(1.0, max(-1.0, least / given["_m"].iloc[0]))) if len(given) else np.pi
+        angle = np.arccos(np.clip(unit(x) @ unit(some).T, -1, 1))
+        at = angle.argmin(axis=1)
+        near = angle <= angle[np.arange(len(x)), at][:, None] + 2 * wide + 1e-6
+        row, cell = np.nonzero(near & (np.arange(angle.shape[1])[None, :] <= at[:, None]))
+        return pd.DataFrame({guard: group[guard].iloc[0], "cell": cell, key: group[key].to_numpy()[row], vector: group[vector].to_numpy()[row], "home": cell == at[row]}) if len(x) else pd.DataFrame()
+
+    types = dict(rows.dtypes)
+    spread = dealt.groupBy(guard, "_part").cogroup(pivots.groupBy("_g", "_of")).applyInPandas(assign, f"`{guard}` {types[guard]}, cell int, `{key}` {types[key]}, `{vector}` {types[vector]}, home boolean")
+    return small.unionByName(spread)
+
+
 def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(guard, a, b, similarity): pairs a < b of rows with equal guard and a dot
-    product of unit vectors of at least ``least``.
-
-    A guard's rows are dealt to blocks by hash, and each pair of blocks is one
-    group, so a guard with very many rows is spread and a task holds two blocks
-    at most. Only pairs that match leave a task."""
-    sizes = rows.groupBy(guard).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = rows.join(sizes, guard).select(guard, key, vector, "_n", F.pmod(F.xxhash64(key), F.col("_n")).cast("int").alias("_k"))
+    product of at least ``least``; none is lost.
+
+    Rows are compared within ``cells``. A cell's rows are dealt to blocks by hash, and
+    each pair of blocks is one group, so a cell with very many rows is spread and a
+    task holds two blocks at most. Only pairs that match leave a task."""
+    placed = cut(cells(rows, least, key, guard, vector, block))
+    sizes = placed.groupBy(guard, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = placed.join(sizes, [guard, "cell"]).select(guard, "cell", key, vector, "home", "_n", F.pmod(F.xxhash64(key), F.col("_n")).cast("int").alias("_k"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     spread = dealt.withColumn("_o", other).withColumn("_i", F.least("_k", "_o")).withColumn("_j", F.greatest("_k", "_o"))
 
@@ -117,7 +159,8 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str =
         if left.empty or right.empty:
             return pd.DataFrame({"guard": [], "a": [], "b": [], "similarity": []})
         near = np.stack(left[vector]).astype(float) @ np.stack(right[vector]).astype(float).T
-        a, b = np.nonzero(near >= least)
+        either = left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None, :]
+        a, b = np.nonzero((near >= least) & either)
         out = pd.DataFrame({"guard": group[guard].iloc[0], "a": left[key].to_numpy()[a], "b": right[key].to_numpy()[b], "similarity": near[a, b]})
         if i == j:
             return out[out["a"] < out["b"]]
@@ -125,7 +168,7 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", guard: str =
         return out
 
     types = dict(rows.dtypes)
-    return spread.groupBy(guard, "_i", "_j").applyInPandas(match, f"guard {types[guard]}, a {types[key]}, b {types[key]}, similarity double")
+    return spread.groupBy(guard, "cell", "_i", "_j").applyInPandas(match, f"guard {types[guard]}, a {types[key]}, b {types[key]}, similarity double")
 
 
 def clusters(edges: DataFrame) -> DataFrame:

@@ -120,3 +120,21 @@ def test_medians_by_counting(spark):
     found = {(r["source"], r["bucket"], r["yes"], r["no"]): r["median_length"] for r in evaluate.breakdown(corpus).collect()}
     assert found == {("a", None, 2, 3): 5, ("b", None, 1, 1): 5, (None, None, 1, 0): 1, (None, "short", 3, 4): 5, (None, "long", 1, 0): 700, (None, None, 4, 4): 5}
     assert "percentile" not in evaluate.breakdown(corpus)._jdf.queryExecution().toString().lower()
+
+
+def test_similar_pairs_of_one_large_identity(spark):
+    """As all pairs give, though few are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 1500)] + 0.06 * np.sqrt(32) * rng.normal(size=(1500, 32)) * rng.uniform(0.2, 1.6, (1500, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, "g" if k % 50 else f"s{k}", v.tolist()) for k, v in enumerate(x)], "ord long, guard string, embedding array<double>")
+    near = x @ x.T
+    want = {(a, b) for a in range(1500) for b in range(a + 1, 1500) if a % 50 and b % 50 and near[a, b] >= 0.9}
+    found = [(r["a"], r["b"]) for r in dedup.similar_pairs(df, 0.9, block=100).collect()]
+    assert len(want) > 1000 and sorted(found) == sorted(want)
+    placed = dedup.cells(df, 0.9, block=100).where("guard = 'g'").groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).collect()
+    compared = sum(r["h"] * (r["h"] - 1) // 2 + r["h"] * r["v"] for r in placed)
+    assert sum(r["h"] for r in placed) == 1470 and compared < 0.3 * 1470 * 1469 / 2
