@@ -17,6 +17,8 @@ from gristmill.session import cut
 BLOCK = 2048
 #: Pivots of a guard with more rows than a block; twice as many at most.
 PIVOTS = 128
+#: Most rows of a cluster that is resolved as one group.
+LARGEST = 20_000
 
 
 def identity_key(title="title", company="company", location="location") -> Column:
@@ -187,18 +189,67 @@ def clusters(edges: DataFrame) -> DataFrame:
         now = then.select("node", "root")
 
 
-def fuzzy_survivors(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", rich: str = "richness", vector: str = "embedding") -> DataFrame:
+def ordered_merge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, representative) by the ordered merge, in rounds over shuffled tables
+    ``nodes`` (node, rich) and ``edges`` (a, b), a < b of rows that resemble each other.
+
+    A slot is named by its founder and has an occupant at a time, until a richer row
+    takes its place. In a round, of the rows that are undecided:
+    one without an earlier undecided neighbour, and without an occupant that it
+    resembles, founds a slot. One that resembles occupants joins the first of
+    their slots if no chain of earlier undecided neighbours could offer it an earlier
+    slot (``low`` is the earliest that such a chain could), and if no richer undecided row comes before
+    it that could take the occupant's place; the first such row takes it. So a group of copies
+    takes as many rounds as its richness has records, and each round decides the first undecided row of every cluster at least."""
+    edges = cut(edges.select("a", "b"))
+    none = lambda t: F.lit(None).cast(t)
+    kind = nodes.schema["node"].dataType
+    now = cut(nodes.select("node", "rich", none(kind).alias("slot"), F.lit(False).alias("holds"), none(kind).alias("gone")))
+    while True:
+        left = now.where("slot IS NULL").select("node", "rich")
+        holders = now.where("holds").select(F.col("node").alias("a"), F.col("slot").alias("s"), "gone", F.col("rich").alias("_ra"))
+        met = edges.join(holders, "a").join(left.select(F.col("node").alias("b"), F.col("rich").alias("_rb")), "b").where("gone IS NULL OR gone > b")
+        takers = met.where("_rb > _ra").groupBy("a").agg(F.min("b").alias("taker"))
+        best = met.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("s", "a")).alias("_m")).select("node", F.col("_m.s").alias("s"), F.col("_m.a").alias("a"))
+        between = cut(edges.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi"))
+        low = cut(left.join(best, "node", "left").join(takers, "a", "left").select("node", "s", "a", "taker", F.coalesce("s", "node").alias("low")))
+        while True:
+            offered = between.join(low.select(F.col("node").alias("a"), F.col("low").alias("_l")), "a").groupBy(F.col("b").alias("node")).agg(F.min("_l").alias("_l"))
+            then = cut(low.join(offered, "node", "left").select("node", "s", "a", "taker", F.least("low", F.coalesce("_l", "low")).alias("low"), (F.col("_l") < F.col("low")).alias("_moved"), F.col("_l").isNotNull().alias("waits")))
+            low = then.select("node", "s", "a", "taker", "low")
+            if then.where("_moved").isEmpty():
+                break
+        joins = (F.col("s") == F.col("low")) & (F.col("taker").isNull() | (F.col("node") <= F.col("taker")))
+        slot = F.when(F.col("s").isNull() & ~F.col("waits"), F.col("node")).when(joins, F.col("s"))
+        made = cut(then.select("node", slot.alias("_slot"), (F.col("s").isNull() | (F.col("node") == F.coalesce("taker", F.lit(-1)))).alias("_holds"), F.col("a").alias("_from")).where("_slot IS NOT NULL"))
+        taken = made.where("_holds AND _from IS NOT NULL").select(F.col("_from").alias("node"), F.col("node").alias("_by"))
+        step = now.join(made.drop("_from"), "node", "left").join(taken, "node", "left")
+        now = cut(step.select("node", "rich", F.coalesce("slot", "_slot").alias("slot"), F.coalesce("_holds", "holds").alias("holds"), F.coalesce("gone", "_by").alias("gone")))
+        if now.where("slot IS NULL").isEmpty():
+            break
+    last = now.where("holds AND gone IS NULL").select("slot", F.col("node").alias("representative"))
+    return now.select("node", "slot").join(last, "slot").select("node", "representative")
+
+
+def fuzzy_survivors(rows: DataFrame, least: float, key: str = "ord", guard: str = "guard", rich: str = "richness", vector: str = "embedding", largest: int = LARGEST) -> DataFrame:
     """(key, representative) of every row. In order of ``key``, a row joins the
     first kept row of equal guard that it resembles; if it is richer, it takes
     that row's place. Rows without a guard or vector stand alone.
 
     Similarities come from ``similar_pairs``. The rule is sequential, but only
-    among rows that resemble each other over any number of steps: each such
-    cluster is one group, and a guard is as many groups as it has clusters. A
-    group holds keys and numbers, no vector or text."""
+    among rows that resemble each other over any number of steps. Such a cluster of
+    up to ``largest`` rows is one group, of keys and numbers; larger ones are
+    resolved together in rounds (``ordered_merge``)."""
     with_vector = rows.where(F.col(guard).isNotNull() & F.col(vector).isNotNull())
     pairs = cut(similar_pairs(with_vector, least, key, guard, vector).select("a", "b"))
-    roots = clusters(pairs)
+    roots = cut(clusters(pairs))
+    huge = cut(roots.groupBy("root").count().where(F.col("count") > largest).select("root"))
+    rounds = None
+    if not huge.isEmpty():
+        big = cut(roots.join(huge, "root", "left_semi").select("node"))
+        wealth = big.join(rows.select(F.col(key).alias("node"), F.col(rich).alias("rich")), "node")
+        rounds = ordered_merge(wealth, pairs.join(big.withColumnRenamed("node", "a"), "a", "left_semi"))
+        roots = roots.join(huge, "root", "left_anti")
     slim = roots.join(rows.select(F.col(key).alias("node"), F.col(rich).alias("_rich")), "node")
     edges = pairs.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("_near"))
     joined = slim.join(edges, "node", "left")
@@ -224,6 +275,8 @@ def fuzzy_survivors(rows: DataFrame, least: float, key: str = "ord", guard: str
 
     kind = dict(rows.dtypes)[key]
     found = joined.groupBy("root").applyInPandas(resolve, f"{key} {kind}, representative {kind}")
+    if rounds is not None:
+        found = found.unionAll(rounds.select(F.col("node").alias(key), "representative"))
     return rows.select(key).join(found, key, "left").withColumn("representative", F.coalesce("representative", key))
 
 

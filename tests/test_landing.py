@@ -138,3 +138,47 @@ def test_similar_pairs_of_one_large_identity(spark):
     placed = dedup.cells(df, 0.9, block=100).where("guard = 'g'").groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).collect()
     compared = sum(r["h"] * (r["h"] - 1) // 2 + r["h"] * r["v"] for r in placed)
     assert sum(r["h"] for r in placed) == 1470 and compared < 0.3 * 1470 * 1469 / 2
+
+
+def ordered_pass(n, rich, near):
+    """The merge row by row: representative of each."""
+    kept, slot = [], {}
+    for i in range(n):
+        at = next((p for p, j in enumerate(kept) if (j, i) in near), None)
+        if at is None:
+            at = len(kept)
+            kept.append(i)
+        elif rich[i] > rich[kept[at]]:
+            kept[at] = i
+        slot[i] = at
+    return {i: kept[p] for i, p in slot.items()}
+
+
+def test_rounds_of_the_ordered_merge(spark):
+    import random
+
+    rnd, nodes, edges, want, base = random.Random(3), [], [], {}, 0
+    for n, share in [(14, 0.15), (14, 0.3), (14, 0.5), (20, 1.0), (12, 0.8), (9, 0.2), (16, 0.25), (25, 0.12), (10, 0.4)]:
+        near = {(i, j) for j in range(n) for i in range(j) if rnd.random() < share}
+        rich = [rnd.randrange(6) for _ in range(n)]
+        nodes += [(base + i, r) for i, r in enumerate(rich)]
+        edges += [(base + i, base + j) for i, j in near]
+        want |= {base + i: base + r for i, r in ordered_pass(n, rich, near).items()}
+        base += n
+    got = dedup.ordered_merge(spark.createDataFrame(nodes, "node long, rich int"), spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["representative"] for r in got.collect()} == want
+
+
+def test_survivors_are_the_same_with_groups_and_rounds(spark):
+    import random
+
+    rnd = random.Random(4)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        v = [c + rnd.gauss(0, 0.55) for c in rnd.choice(centres)]
+        norm = sum(x * x for x in v) ** 0.5
+        rows.append((k, rnd.choice("gh") if k % 9 else None, rnd.randrange(30), [x / norm for x in v]))
+    df = spark.createDataFrame(rows, "ord long, guard string, richness int, embedding array<double>")
+    one, two = (sorted(map(tuple, dedup.fuzzy_survivors(df, 0.8, largest=n).collect())) for n in (1000, 3))
+    assert one == two and any(a != b for a, b in one)
