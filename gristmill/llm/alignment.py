@@ -67,11 +67,9 @@ def load(a: str | None = None, b: str | None = None) -> Vocabularies:
         return Vocabularies(bpe, f.read())
 
 
-class Pieces(dict):
-    """B's ids of segments of text met so far, as bytes. A segment is spaces and
-    what follows up to the next space. No piece holds a space behind another
-    character, so no merge crosses segments; where a vocabulary has such pieces, ``whole``
-    is true and texts are encoded in one."""
+class Pieces:
+    """B's encoder, and the bytes of its pieces. Where no piece holds a space behind
+    another character, no merge crosses a word's first space; where a vocabulary has such pieces, ``whole`` is true."""
 
     def __init__(self, model: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -80,27 +78,37 @@ class Pieces(dict):
         shown = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.whole = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in shown)
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(shown)]
-        self.split = re.compile(" +[^ ]*").findall
 
-    def __missing__(self, segment: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """Ids of space + text; none if their bytes are others, so that the length tells."""
+        # The model adds the first space itself, but to an empty text.
+        ids = self.model.encode(text) if text else [self.model.piece_to_id(SPACE_MARK)]
+        return np.array(ids if b"".join([self.bytes[k] for k in ids]) == b" " + text.encode() else [], "<u4").tobytes()
+
+
+class Segments(dict):
+    """A's and B's ids, as bytes, of segments of text met so far, each without its
+    first space. Segments begin at a space behind another character than white space, where
+    neither tokenizer has a token across: A's words hold a space only at their beginning
+    or within white space, for B see ``Pieces``."""
+
+    def __init__(self, a: Encoder, b: Pieces) -> None:
+        self.a, self.b = a, b
+        self.mixed, self.split = re.compile(r"\s |\s$").search, re.compile(r"(?<=\S)(?= )").split
+
+    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
         if len(self) >= KEPT:
             self.clear()
-        # The model adds the first space itself. Pieces of other bytes than the segment's count as none, so that the text's length tells.
-        ids = self.model.encode(segment[1:]) if len(segment) > 1 else self.lone()
-        same = b"".join([self.bytes[k] for k in ids]) == segment.encode()
-        out = self[segment] = np.array(ids if same else [], "<u4").tobytes()
+        out = self[segment] = self.a.encode(" " + segment), self.b.encode(segment)
         return out
 
-    def lone(self) -> list[int]:
-        """A space alone: the model adds none to an empty text."""
-        return [self.model.piece_to_id(SPACE_MARK)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids of space + text."""
-        if self.whole:
-            ids = self.model.encode(text)
-            return np.array(ids if b"".join([self.bytes[k] for k in ids]) == b" " + text.encode() else [], "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.split(" " + text)))
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of space + text by A and by B."""
+        if self.b.whole:
+            return self.a.encode(" " + text), self.b.encode(text)
+        some = [x[1:] for x in self.split(" " + text)] if self.mixed(" " + text) else text.split(" ")
+        found = list(map(self.__getitem__, some))
+        return b"".join([a for a, _ in found]), b"".join([b for _, b in found])
 
 
 class Tokens:
@@ -108,6 +116,7 @@ class Tokens:
 
     def __init__(self, vocabularies: Vocabularies) -> None:
         self.a, self.b = Encoder(vocabularies.a), Pieces(vocabularies.b)
+        self.segments = Segments(self.a, self.b)
         self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.a.table, self.b.bytes))
         both = max(len(self.size_a), len(self.size_b))
         #: Ids as text after each separator of the digest.
@@ -120,7 +129,7 @@ class Tokens:
         none, out = np.empty(0, np.uint32), []
         for raw in texts:
             text, n = (raw or b"").decode("utf-8", "replace"), len(raw or b"") + 1
-            a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode(" " + text), self.b.encode(text))) if raw else (none, none)
+            a, b = (np.frombuffer(x, "<u4") for x in self.segments.encode(text)) if raw else (none, none)
             same = raw and self.size_a[a].sum() == n and self.size_b[b].sum() == n and ("\ufffd" not in text or text.encode() == raw)
             out.append((a, b) if same else (none, none))
         return out
