@@ -173,9 +173,9 @@ def test_survivors_are_the_same_with_groups_and_rounds(spark):
     import random
 
     rnd = random.Random(4)
-    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(3)]
     rows = []
-    for k in range(90):
+    for k in range(18):
         v = [c + rnd.gauss(0, 0.55) for c in rnd.choice(centres)]
         norm = sum(x * x for x in v) ** 0.5
         rows.append((k, rnd.choice("gh") if k % 9 else None, rnd.randrange(30), [x / norm for x in v]))
