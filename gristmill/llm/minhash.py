@@ -75,11 +75,11 @@ def _permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint64)
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS coordinates of a set."""
-    first, least = _permuted(members, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93), np.full(len(_SHIFTS), (1 << 64) - 1, np.uint64)
+def signature(members: np.ndarray, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
+    """The coordinates of a set, one for each shift: BANDS * ROWS unless told otherwise."""
+    first, least = _permuted(members, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93), np.full(len(shifts), (1 << 64) - 1, np.uint64)
     for at in range(0, len(first), 1024):
-        least = np.minimum(least, _permuted(first[at : at + 1024, None] + _SHIFTS, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53).min(axis=0))
+        least = np.minimum(least, _permuted(first[at : at + 1024, None] + shifts, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53).min(axis=0))
     return least
 
 
@@ -262,17 +262,20 @@ def _more_pairs(first: int, last: int):
     return work
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        sets = [shingles(t).view(np.int64) for t in utf8(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
+def _sets(words: int):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sets = [shingles(t, words).view(np.int64) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
+
+    return work
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
     """The (a, b) whose whole sets are alike enough. Only texts of nodes that met are read into sets."""
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("rep.id").alias("_id"), F.col("rep.of").alias("_of")), "node"))
     texts = keyed.join(F.broadcast(met) if met.count() <= FETCHED else met, F.expr("of = _of AND id <=> _id")).select("node", "text")
-    sets = cut(texts.mapInArrow(_sets, "node long, members array<long>").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(_sets(words), "node long, members array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return cut(both.where(100 * shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b"))
@@ -284,8 +287,11 @@ def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select("run", *[c for c in rows.columns if c != "run"]).repartition("run").sortWithinPartitions("run")
 
 
-def _roots(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(node, root): the class of every node of ``distinct`` that has a link, the root itself apart."""
+def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, root): the class of every node of ``distinct`` that has a link, the root itself apart.
+    ``distinct`` has a row a set: its ``node``, ``size``, ``sketch``, the ``keys`` of its buckets and
+    the (id, of) of a text in ``rep``, whose shingles of ``words`` words it holds; ``keyed`` has the texts.
+    Every link of two sets that share a key is found."""
     spark = distinct.sparkSession
     banded = distinct.select(F.explode("keys").alias("key"), "node")
     shared = landed(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
@@ -297,7 +303,7 @@ def _roots(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
     split = members.withColumn("part", F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))))
     runs = _dealt(split.select("key", F.explode("part").alias("part"), "node").join(sketches, "node"), ["key", "part"])
     pairs = cut(runs.mapInArrow(_first_pairs, "a long, b long").distinct())
-    roots = cut(components(_verified(pairs, distinct, keyed)).select("node", "root"))
+    roots = cut(components(_verified(pairs, distinct, keyed, words)).select("node", "root"))
     discard(shared)
     release(spark)
     large, first, last = members.where(F.col("n") > SMALL).select("key", "n", "node"), 0, PARTNERS
@@ -317,7 +323,7 @@ def _roots(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
         more = not found.where("more").isEmpty()
         fresh = cut(found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not fresh.isEmpty():
-            roots = _joined(roots, _verified(fresh, distinct, keyed))
+            roots = _joined(roots, _verified(fresh, distinct, keyed, words))
         if not more:
             break
         first, last = last, last * 64
@@ -353,7 +359,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("rep")
     distinct = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), rep)
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    roots = _roots(distinct, keyed).withColumnRenamed("node", "_node")
+    roots = linked_roots(distinct, keyed).withColumnRenamed("node", "_node")
     rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("digest", F.col("rep.id").alias("id"), F.coalesce("root", "node").alias("root"))
     least = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
     named = cut(rooted.join(least, "root").select(F.col("digest").alias("_digest"), "component_id"))

@@ -60,7 +60,7 @@ def simhash(text: bytes | None) -> int:
     """The fingerprint of a text as an unsigned integer. Without a word (also
     for a null text) it is 0."""
     words = (text or b"").translate(FOLD_CASE).split()
-    return _majority(words, SHINGLE) if words else 0
+    return majority(_chunks(words, SHINGLE)) if words else 0
 
 
 def _hashes(words: list[bytes], size: int, seed: int = SEED) -> Iterator[int]:
@@ -69,10 +69,16 @@ def _hashes(words: list[bytes], size: int, seed: int = SEED) -> Iterator[int]:
     return map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(seed))
 
 
-def _majority(words: list[bytes], size: int) -> int:
-    """64 bits, each set where over half of the shingles' hashes have it set."""
-    n, counts, hashes = 0, np.zeros(64, np.int64), _hashes(words, size)
+def _chunks(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    hashes = _hashes(words, size)
     while len(h := np.fromiter(islice(hashes, 1 << 14), np.uint64)):
+        yield h
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """64 bits, each set where over half of the 64-bit hashes have it set."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in chunks:
         n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
@@ -100,19 +106,30 @@ def _syndromes() -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.where(bits, place[8 * k : 8 * k + 8], 0), axis=1) for k in range(4)])
 
 
+#: The bit of each place from 1 on; place 0 stands for no bit.
+_BIT = np.concatenate([[0], 1 << np.arange(31)]).astype(np.uint32)
+
+
+def _syndrome(half: np.ndarray) -> np.ndarray:
+    table, s = _syndromes(), np.zeros(len(half), np.uint32)
+    for k in range(4):
+        s ^= table[k][(half >> np.uint32(8 * k)) & np.uint32(255)].astype(np.uint32)
+    return s
+
+
+def nearest_anchor(half: np.ndarray) -> np.ndarray:
+    """Of each 31-bit half, the one word of the Hamming code within distance 1."""
+    return half ^ _BIT[_syndrome(half)]
+
+
 def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each 31-bit half, every word of the Hamming code within distance 2:
     (row of the half, anchor). With syndrome s, flipping places i and i^s gives
     a code word (place 0 stands for no flip)."""
-    table = _syndromes()
-    s = np.zeros(len(half), np.uint32)
-    for k in range(4):
-        s ^= table[k][(half >> np.uint32(8 * k)) & np.uint32(255)].astype(np.uint32)
-    i = np.arange(32, dtype=np.uint32)[None, :]
+    s, i = _syndrome(half), np.arange(32, dtype=np.uint32)[None, :]
     j = i ^ s[:, None]
-    bit = np.concatenate([[0], 1 << np.arange(31)]).astype(np.uint32)
     row, col = np.nonzero((i < j) | ((s[:, None] == 0) & (i == 0)))
-    return row, half[row] ^ bit[col] ^ bit[j[row, col]]
+    return row, half[row] ^ _BIT[col] ^ _BIT[j[row, col]]
 
 
 def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +312,7 @@ def sketch(text: bytes | None) -> tuple[bytes, np.ndarray, int, int]:
         bits = np.stack([_mixed(h, k) for k in range(4)], axis=1).view(np.uint8)
         counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         least = [min(x, int((_mixed(h, 4 + k) >> np.uint64(32)).min())) for k, x in enumerate(least)]
-    return xxhash.xxh3_128_digest(b" ".join(words)), 2 * counts > n, _majority(words, WORDS) if words else 0, least[0] >> 1 << 31 | least[1] >> 1
+    return xxhash.xxh3_128_digest(b" ".join(words)), 2 * counts > n, majority(_chunks(words, WORDS)) if words else 0, least[0] >> 1 << 31 | least[1] >> 1
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

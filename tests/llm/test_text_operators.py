@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, decontaminate, license_scan, lm_score, quality_crf, quality_rules, simhash, toxicity
+from gristmill.llm import bpe, decontaminate, license_scan, lm_score, minhash, near_copies, quality_crf, quality_rules, simhash, toxicity
 
 WORDS = "the of and river mill wall pump field night morning council water bridge stone road wheel grain sack flour miller".split()
 EXTRA = ["_text", "_k1", "_t", "fp", "key", "anchor", "score", "text2"]
@@ -172,6 +172,54 @@ def brute_classes(rows):
     return [min((x for x in least[find(w)] if x is not None), default=None) for w in words], links
 
 
+@pytest.mark.parametrize("sizes", [(8, 4096, 64), (2, 5, 1)])
+def test_classes_of_near_copies(spark, monkeypatch, sizes):
+    """Edits, passages and ends around the limit, a large cluster, and chains whose links fail beside links that hold."""
+    for name, value in zip(("SMALL", "PART", "PARTNERS"), sizes):
+        monkeypatch.setattr(minhash, name, value)
+    rnd = random.Random(21)
+    rows = odd_rows() + [(None, "only here"), (None, "Only  here")]
+    bases = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(60, 300))) for _ in range(25)]
+    for k, base in enumerate(bases):
+        n, words = len(base.split()), base.split()
+        rows += [(1000 + 20 * k + j, edited(rnd, base, round(j * n / 110))) for j in range(6)]
+        rows += [(1010 + 20 * k + j, " ".join(words + [f"new{k}x{j}x{i}" for i in range(round(n * share))])) for j, share in enumerate((0.1, 0.22, 0.24, 0.3))]
+        rows += [(1015 + 20 * k, " ".join(words[: round(0.83 * n)])), (1016 + 20 * k, base + " spam" * 3 * n)]
+    crowd = " ".join(f"w{rnd.randrange(4000)}" for _ in range(300))
+    rows += [(5000 + k, edited(rnd, crowd, 1 + k % 5)) for k in range(120)]
+    classes, links = brute_classes(rows)
+    assert links > 2_000
+    found = sorted(((r["doc_id"], r["class_id"]) for r in near_copies.near_copies(frame(spark, rows)).collect()), key=str)
+    assert found == sorted(((i, c) for (i, _), c in zip(rows, classes)), key=str)
+    kept = near_copies.one_of_each(frame(spark, rows))
+    assert set(kept.columns) == {"doc_id", "text", "lang", "source", *EXTRA}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(classes) == {*ids} and len(ids) == len({*ids})
+    assert near_copies.one_of_each(frame(spark, []).limit(0)).count() == 0
+    texts = frame(spark, rows[:14]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert near_copies.one_of_each(texts).count() == len({*classes[:14]})
+
+
+def test_near_copies_meet_however_they_differ():
+    """At a similarity of just over 0.8, whatever the change, two texts share an anchor."""
+    rnd = random.Random(22)
+    for n in (30, 200, 1500):
+        for change in ("edits", "known passage", "unseen passage", "end cut off", "one word repeated"):
+            for _ in range(20):
+                words = [f"w{rnd.randrange(300)}" for _ in range(n)]
+                other = {
+                    "edits": [f"e{k}" if k % 60 == 30 else w for k, w in enumerate(words)],
+                    "known passage": words + [f"w{rnd.randrange(300)}" for _ in range(round(0.23 * n))],
+                    "unseen passage": words + [f"u{rnd.random()}" for _ in range(round(0.23 * n))],
+                    "end cut off": words[: round(0.83 * n)],
+                    "one word repeated": words + ["spam"] * (5 * n),
+                }[change]
+                a, b = (minhash.shingles(" ".join(x).encode(), near_copies.WORDS) for x in (words, other))
+                if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                    x, y = near_copies.anchor_keys([a, b])
+                    assert {*x.tolist()} & {*y.tolist()}, (n, change)
+
+
 def test_one_of_each_class_stays(spark, monkeypatch):
     rnd = random.Random(21)
     rows = odd_rows() + [(None, "only here"), (None, "Only  here")]
