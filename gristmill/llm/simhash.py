@@ -19,14 +19,6 @@ that a third of the rows share is one row here. An anchor with many different
 fingerprints is divided again by four pieces of the bits the anchor leaves
 open: a linked pair agrees on one of them. Inside an anchor a spanning forest
 stands for all pairs. Components come from alternating minimum stars.
-
-``one_of_each`` cleans a corpus of near copies: texts whose sets of five-word
-shingles have a Jaccard similarity of ``SIMILARITY`` or more are linked. Three
-bits of 64 would miss most of these, so its fingerprints are longer: ``BLOCKS``
-blocks of 31 bits over the different words of a text. A pair meets where some
-block differs in at most one bit, by the same anchors; a text has 16 a block.
-64 bits over the shingles sort out texts of the same words in another order,
-and every link is verified on the texts' whole shingle sets. What the blocks miss is measured in the README.
 """
 
 from __future__ import annotations
@@ -37,21 +29,17 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, cut, pieces, release, utf8
+from gristmill.llm.common import FOLD_CASE, cut, pieces, utf8
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 HALF = (1 << 31) - 1
 #: Anchors are counted in so many cells at least and at most (one for 256 fingerprints between); cells above HOT rows are divided again.
 CELLS, MOST_CELLS, HOT = 1 << 14, 1 << 20, 20_000
-#: Of near copies: shingle size, least similarity, blocks of a fingerprint, most differing bits of the 64 that are compared, fetched texts that are broadcast.
-WORDS, SIMILARITY, BLOCKS, APART, FETCHED = 5, 0.8, 8, 18, 200_000
 #: Nodes with over HUB edges (more where there are over HUB * HUBS edges) are broadcast: twice HUBS at most.
 HUB, HUBS = 100, 100_000
-#: Most nodes whose nearest links are looked for together.
-PART = 4096
 #: Groups up to this size compare by shifted arrays, larger ones by a search that leaves a spanning forest.
 SMALL = 8
 
@@ -143,88 +131,60 @@ def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64))], names=["anchor", "fp"])
 
 
-def forest(fp: np.ndarray, node: np.ndarray, most: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a spanning forest of the links among fingerprints; the first node of a cluster is its hub."""
-    a, b, left, of = [], [], fp, node
+def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among different fingerprints; the first one of a cluster is its hub."""
+    a, b, left = [], [], fp
     while len(left):
-        stack, left, of = [(left[0], of[0])], left[1:], of[1:]
+        stack, left = [left[0]], left[1:]
         while stack and len(left):
-            x, n = stack.pop()
-            near = np.bitwise_count(left ^ x) <= most
+            x = stack.pop()
+            near = np.bitwise_count(left ^ x) <= THRESHOLD
             if near.any():
-                found, met, left, of = left[near], of[near], left[~near], of[~near]
-                a.append(np.full(len(met), n))
-                b.append(met)
-                stack.extend(zip(found, met))
-    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
-
-
-def nearest(fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``forest``, with the shortest links: every node joins the nearest one
-    that is in already. A link that is verified afterwards, and may fail, should
-    be the likeliest there is. That takes quadratic time, so of over PART nodes
-    each joins the nearest of PART that follow each other by fingerprint, and ``forest`` connects all."""
-    if len(fp) > PART:
-        order = np.argsort(fp, kind="stable")
-        some = [nearest(fp[o], node[o], most) for o in (order[k : k + PART] for k in range(0, len(order), PART))]
-        return tuple(np.concatenate(x) for x in zip(forest(fp, node, most), *some))
-    a, b, left, of = [], [], fp[1:], node[1:]
-    apart, to = np.bitwise_count(left ^ fp[0]), np.full(len(left), node[0])
-    while len(left):
-        k = int(apart.argmin())
-        x, n = left[k], of[k]
-        if apart[k] <= most:
-            a.append(to[k])
-            b.append(n)
-        left, of, apart, to = (np.delete(c, k) for c in (left, of, apart, to))
-        new = np.bitwise_count(left ^ x)
-        closer = new < apart
-        apart, to = np.where(closer, new, apart), np.where(closer, n, to)
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def _links(batches: Iterable[pa.RecordBatch], most: int = THRESHOLD, spanning=forest) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal keys in (key, fp) or (key, fp, node); rows
-    come sorted by key, and without a node the fingerprint is one. A run that
-    reaches over batches is carried on as numbers, 16 bytes a row."""
+                found, left = left[near], left[~near]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                stack.extend(found)
+    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+
+
+def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal keys in (key, fp); rows come sorted by key.
+    A run that reaches over batches is carried on as numbers, 16 bytes a row."""
 
     def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*pairs) if pairs else ([], [])))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.empty((0, 2), np.int64)
+        a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (zip(*pairs) if pairs else ([], [])))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], names=["a", "b"])
 
-    def compare(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def compare(key: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         pairs, small = [], np.repeat(size <= SMALL, size)
         for step in range(1, SMALL):
             same = (key[step:] == key[:-step]) & small[step:]
-            near = (np.bitwise_count(fp[:-step][same] ^ fp[step:][same]) <= most) & (node[:-step][same] != node[step:][same])
-            pairs.append((node[:-step][same][near], node[step:][same][near]))
+            one, other = fp[:-step][same], fp[step:][same]
+            near = (np.bitwise_count(one ^ other) <= THRESHOLD) & (one != other)
+            pairs.append((one[near], other[near]))
         for s, n in zip(start[size > SMALL], size[size > SMALL]):
-            every, first = np.unique(node[s : s + n], return_index=True)
-            pairs.append(spanning(fp[s : s + n][first], every, most))
+            pairs.append(forest(np.unique(fp[s : s + n])))
         return pairs
 
     held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         columns = tuple(np.asarray(c) for c in b.columns)
-        if len(columns) == 2:
-            columns = (*columns, columns[1])
         if not len(columns[0]):
             continue
         if held and columns[0][-1] == held[0][0][0]:
             held.append(columns)
             continue
-        key, fp, node = (np.concatenate(x) for x in zip(*held, columns))
+        key, fp = (np.concatenate(x) for x in zip(*held, columns))
         last = np.searchsorted(key, key[-1])
-        held = [(key[last:].copy(), fp[last:].copy(), node[last:].copy())]
+        held = [(key[last:].copy(), fp[last:].copy())]
         if last:
-            yield out(compare(key[:last], fp[:last].view(np.uint64), node[:last]))
+            yield out(compare(key[:last], fp[:last].view(np.uint64)))
     if held:
-        key, fp, node = (np.concatenate(x) for x in zip(*held))
-        yield out(compare(key, fp.view(np.uint64), node))
+        key, fp = (np.concatenate(x) for x in zip(*held))
+        yield out(compare(key, fp.view(np.uint64)))
 
 
 def _hot(spread: DataFrame, rows: int) -> DataFrame:
@@ -289,122 +249,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     classes = rooted.select("fp", "_root").join(named, "_root").drop("_root")
     # A fingerprint that very many rows share makes this join skewed; adaptive execution splits its partition.
     return prints.join(classes, "fp").select(id_col, *[k for k in keys if k != id_col], "fp", "component_id", "group_rows")
-
-
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of hashes, for each k."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sketch(text: bytes | None) -> tuple[bytes, np.ndarray, int, int]:
-    """Of a text's lower-cased words: 128 bits that name their sequence; 256
-    bits of SimHash over the different words; 64 over their shingles; and the
-    least of the words' hashes under two orders, 31 bits each. Two texts share
-    such a least one as likely as their words are alike."""
-    words = (text or b"").translate(FOLD_CASE).split()
-    different = sorted({*words})
-    counts, least, n = np.zeros(256, np.int64), [0xFFFFFFFF, 0xFFFFFFFF], len(different)
-    for at in range(0, n, 1 << 14):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, different[at : at + (1 << 14)]), np.uint64)
-        bits = np.stack([_mixed(h, k) for k in range(4)], axis=1).view(np.uint8)
-        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        least = [min(x, int((_mixed(h, 4 + k) >> np.uint64(32)).min())) for k, x in enumerate(least)]
-    return xxhash.xxh3_128_digest(b" ".join(words)), 2 * counts > n, majority(_chunks(words, WORDS)) if words else 0, least[0] >> 1 << 31 | least[1] >> 1
-
-
-def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text key; the words' name, blocks of 31 bits as four bytes each, the shingles' bits, and least hashes."""
-    for b in pieces(batches):
-        if not b.num_rows:
-            continue
-        name, bits, check, least = zip(*map(sketch, utf8(b.column(2))))
-        bits = np.stack(bits)
-        padded = np.concatenate([bits[:, : 31 * BLOCKS].reshape(-1, BLOCKS, 31), np.zeros((len(bits), BLOCKS, 1), bool)], axis=2)
-        blocks = np.packbits(padded.reshape(len(bits), -1), axis=1, bitorder="little")
-        arrays = [pa.array(name, pa.binary()), pa.array([x.tobytes() for x in blocks], pa.binary()), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(least, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], names=["id", "of", "name", "blocks", "check", "least"])
-
-
-def _replicate_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            node, blocks, check, least = b.slice(at, 4096).columns
-            half = np.frombuffer(b"".join(blocks.to_pylist()), "<u4").reshape(-1, BLOCKS)
-            for k in range(BLOCKS):
-                row, anchor = anchors(half[:, k].copy())
-                key = anchor.astype(np.int64) * BLOCKS + k
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.asarray(c)[row]) for c in (check, node, least))], names=["anchor", "check", "node", "least"])
-
-
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b): nodes that some anchor brings together and whose shingles' bits
-    differ in at most APART, so many that they connect as all such pairs would,
-    and each node with the nearest one. Where an anchor has very many, they are divided
-    again by either of their two least hashes, which near copies mostly share."""
-    marked = _hot(distinct.select("node", "blocks", "check", "least").mapInArrow(_replicate_blocks, "anchor long, check long, node long, least long"), distinct.count() * BLOCKS // 2)
-    parts = F.explode(F.array(F.xxhash64("anchor", F.shiftright("least", 31)), F.xxhash64("anchor", F.col("least").bitwiseAND(F.lit(HALF)), F.lit(1))))
-    keyed = marked.where(F.col("is_hot").isNull()).select(F.xxhash64("anchor").alias("key"), "check", "node").unionAll(marked.where("is_hot").select(parts.alias("key"), "check", "node"))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _links(batches, APART, nearest), "a long, b long").distinct()
-
-
-def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        sets = []
-        for raw in utf8(b.column(1)):
-            words = (raw or b"").translate(FOLD_CASE).split()
-            sets.append(np.unique(np.fromiter(_hashes(words, WORDS), np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-
-def _classes(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, of, name) of every row: its id, its text's XXH64 and its words' name;
-    and (name, rep, root) of every different name: its first row (none, id, of), and the least node of its class."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("of"), F.col(text).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    prints = cut(keyed.mapInArrow(_sketches, f"id {kind}, of long, name binary, blocks binary, check long, least long"))
-    # Copies word for word are one node. Its number is written, so it stays the same.
-    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("rep")
-    distinct = prints.groupBy("name").agg(F.first("blocks").alias("blocks"), F.first("check").alias("check"), F.first("least").alias("least"), rep)
-    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    pairs = cut(candidates(distinct))
-    release(docs.sparkSession)
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("rep.id").alias("_id"), F.col("rep.of").alias("_of")), "node")
-    met = cut(met)
-    small = met.count() <= FETCHED
-    texts = keyed.join(F.broadcast(met) if small else met, F.expr("of = _of AND id <=> _id")).select("node", "text").mapInArrow(_shingle_sets, "node long, shingles array<long>")
-    sets = cut(texts.dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links_found = cut(both.where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    release(docs.sparkSession)
-    roots = components(links_found).select("node", "root")
-    release(docs.sparkSession)
-    return prints.select("id", "of", "name"), distinct.join(roots, "node", "left").select("name", "rep", F.coalesce("root", "node").alias("root"))
-
-
-def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col`` and ``class_id`` of every row: the least id in its class of near
-    copies, the row's own included; see ``one_of_each`` for what is linked. A
-    class in which no row has an id has none."""
-    prints, names = _classes(docs, text, id_col)
-    least = cut(names.groupBy("root").agg(F.min("rep").alias("rep")).select("root", F.col("rep.id").alias("class_id")))
-    named = cut(names.select("name", "root").join(least, "root").select("name", "class_id"))
-    return prints.join(named, "name").select(F.col("id").alias(id_col), "class_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row left of each class of near copies: that with the
-    least id (a row without an id only if none of them has one; of rows that
-    repeat the id, one). Links hold between texts whose lower-cased words are
-    the same, and between those whose shingle sets are alike to SIMILARITY;
-    a text of fewer words than a shingle is one shingle. Null and word-free
-    texts are copies of each other. Very long texts are compared whole; an empty
-    table gives an empty one; other columns stay as they are."""
-    best = _classes(docs, text, id_col)[1].groupBy("root").agg(F.min("rep").alias("b")).select(F.col("b.id").alias("__gm_id"), F.col("b.of").alias("__gm_of"))
-    keyed = docs.withColumn("__gm_k", F.xxhash64(F.col(text).cast("string")))
-    kept = keyed.join(best, (F.col("__gm_k") == F.col("__gm_of")) & F.col(id_col).eqNullSafe(F.col("__gm_id")))
-    first = F.row_number().over(Window.partitionBy("__gm_k", "__gm_id").orderBy("__gm_k"))
-    return kept.withColumn("__gm_n", first).where("__gm_n = 1").select(*docs.columns)

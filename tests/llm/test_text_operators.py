@@ -102,34 +102,6 @@ def test_links_reach_every_pair_within_three_bits(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-@pytest.mark.parametrize("part", [4096, 7])
-def test_nearest_links_connect_what_all_links_connect(monkeypatch, part):
-    monkeypatch.setattr(simhash, "PART", part)
-    rnd = random.Random(22)
-    values = set()
-    for _ in range(8):
-        base = rnd.getrandbits(64)
-        for _ in range(rnd.randint(1, 12)):
-            base ^= 1 << rnd.randrange(64)
-            values.add(base)
-    fp = np.array(sorted(values, key=str), np.uint64)
-    a, b = simhash.nearest(fp, np.arange(len(fp)), 3)
-    assert all((int(fp[x]) ^ int(fp[y])).bit_count() <= 3 for x, y in zip(a, b))
-    parent = list(range(len(fp)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        parent[find(x)] = find(y)
-    root = linked(map(int, fp))
-    assert len({find(x) for x in parent}) == len(set(root.values())) and all((find(x) == find(y)) == (root[int(fp[x])] == root[int(fp[y])]) for x in range(len(fp)) for y in range(len(fp)))
-    if part > len(fp):
-        assert len(a) == len(fp) - len(set(root.values()))
-
-
 def test_anchors_are_all_code_words_in_reach():
     rnd = np.random.default_rng(0)
     half = np.concatenate([[0], rnd.integers(0, 1 << 31, 50)]).astype(np.uint32)
@@ -138,6 +110,8 @@ def test_anchors_are_all_code_words_in_reach():
     assert (np.bitwise_count(half[row] ^ anchor) <= 2).all()
     again, _ = simhash.anchors(anchor)
     assert len(again) == len(anchor)  # each is a code word: its only anchor is itself
+    nearest = simhash.nearest_anchor(half)
+    assert (np.bitwise_count(half ^ nearest) <= 1).all() and (simhash.nearest_anchor(nearest) == nearest).all()
 
 
 def edited(rnd, text, n):
@@ -220,29 +194,6 @@ def test_near_copies_meet_however_they_differ():
                     assert {*x.tolist()} & {*y.tolist()}, (n, change)
 
 
-def test_one_of_each_class_stays(spark, monkeypatch):
-    rnd = random.Random(21)
-    rows = odd_rows() + [(None, "only here"), (None, "Only  here")]
-    bases = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(60, 300))) for _ in range(25)]
-    for k, base in enumerate(bases):
-        rows += [(1000 + 10 * k + j, edited(rnd, base, round(j * len(base.split()) / 110))) for j in range(6)]
-    # A cluster of many near copies, and pairs just beyond the limit.
-    rows += [(5000 + k, edited(rnd, bases[0], 1)) for k in range(120)]
-    classes, links = brute_classes(rows)
-    assert links > 6_000
-    found = sorted(((r["doc_id"], r["class_id"]) for r in simhash.near_copies(frame(spark, rows)).collect()), key=str)
-    want = sorted(((i, c) for (i, _), c in zip(rows, classes)), key=str)
-    assert sum(a == b for a, b in zip(found, want)) >= 0.98 * len(want)
-    monkeypatch.setattr(simhash, "HOT", 3)
-    kept = simhash.one_of_each(frame(spark, rows))
-    assert set(kept.columns) == {"doc_id", "text", "lang", "source", *EXTRA}
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) <= 1.02 * len({*classes}) and set(classes) <= {*ids} | {None} and len(ids) == len({*ids})
-    assert simhash.one_of_each(frame(spark, []).limit(0)).count() == 0
-    texts = frame(spark, rows[:14]).withColumn("doc_id", F.col("doc_id").cast("string"))
-    assert simhash.one_of_each(texts).count() == len({*classes[:14]})
-
-
 # Quality rules
 
 
