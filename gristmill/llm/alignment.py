@@ -24,6 +24,7 @@ changes costs, not results.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -34,8 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.bpe import ByteBPE, Encoder
-from gristmill.llm.bpe import load as load_bpe
 from gristmill.llm.common import cut, landed, pieces, utf8
 
 #: Tokens of A in a lane; places tried for a division; bytes of text that are merged together.
@@ -44,16 +43,16 @@ LANE, TRIED, BATCH = 512, 64, 1 << 21
 HEAD, HELD = 1 << 21, 1 << 22
 
 SPACE_MARK = "▁"
-#: Most segments of text whose pieces a task keeps.
-KEPT = 250_000
+#: Most segments of text whose tokens a task keeps, and characters of new ones that are encoded together.
+KEPT, JOINED = 250_000, 1 << 14
 
 
 @dataclass(frozen=True)
 class Vocabularies:
-    """Both public vocabularies as they are sent to the tasks: A's without
+    """Both public vocabularies as they are sent to the tasks: A's file without
     special tokens, as their strings in a text are plain text; B's file as bytes."""
 
-    a: ByteBPE
+    a: str
     b: bytes
 
 
@@ -61,10 +60,25 @@ def load(a: str | None = None, b: str | None = None) -> Vocabularies:
     """The files at ``a`` (byte-level BPE, JSON) and ``b`` (pieces); by default the public ones."""
     import public_tokenizers
 
-    bpe = load_bpe(a)
-    bpe.special = {}
+    with open(a or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f) | {"added_tokens": [], "truncation": None, "padding": None, "post_processor": None}
     with open(b or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        return Vocabularies(bpe, f.read())
+        return Vocabularies(json.dumps(spec), f.read())
+
+
+class ByteLevel:
+    """A's encoder, and how many bytes each token has: one for each letter of its entry."""
+
+    def __init__(self, spec: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(spec)
+        vocabulary = self.model.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class Pieces:
@@ -78,58 +92,93 @@ class Pieces:
         shown = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.whole = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in shown)
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(shown)]
+        self.size = np.array(list(map(len, self.bytes)), np.int64)
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of space + text; none if their bytes are others, so that the length tells."""
         # The model adds the first space itself, but to an empty text.
         ids = self.model.encode(text) if text else [self.model.piece_to_id(SPACE_MARK)]
-        return np.array(ids if b"".join([self.bytes[k] for k in ids]) == b" " + text.encode() else [], "<u4").tobytes()
+        return np.array(ids if b"".join([self.bytes[k] for k in ids]) == b" " + text.encode() else [], "<u4")
 
 
 class Segments(dict):
     """A's and B's ids, as bytes, of segments of text met so far, each without its
     first space. Segments begin at a space behind another character than white space, where
     neither tokenizer has a token across: A's words hold a space only at their beginning
-    or within white space, for B see ``Pieces``."""
+    or within white space, for B see ``Pieces``. So new segments are encoded joined, and
+    the ids divided where the segments end."""
 
-    def __init__(self, a: Encoder, b: Pieces) -> None:
+    def __init__(self, a: ByteLevel, b: Pieces) -> None:
         self.a, self.b = a, b
         self.mixed, self.split = re.compile(r"\s |\s$").search, re.compile(r"(?<=\S)(?= )").split
 
-    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
-        if len(self) >= KEPT:
-            self.clear()
-        out = self[segment] = self.a.encode(" " + segment), self.b.encode(segment)
-        return out
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of space + text by A and by B."""
+    def parts(self, text: str) -> list[str]:
         if self.b.whole:
-            return self.a.encode(" " + text), self.b.encode(text)
-        some = [x[1:] for x in self.split(" " + text)] if self.mixed(" " + text) else text.split(" ")
-        found = list(map(self.__getitem__, some))
-        return b"".join([a for a, _ in found]), b"".join([b for _, b in found])
+            return [text]
+        return [x[1:] for x in self.split(" " + text)] if self.mixed(" " + text) else text.split(" ")
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes what is new in ``texts``, lists of segments; forgets all others first if there are too many."""
+        new = {s for some in texts for s in some if s not in self}
+        if len(self) + len(new) > KEPT:
+            self.clear()
+            new = {s for some in texts for s in some}
+        held, size = [], 0
+        for s in new:
+            if self.b.whole or not s or s[-1].isspace():  # the next segment's space would stand behind white space
+                self._add([s])
+                continue
+            held.append(s)
+            size += len(s) + 1
+            if size >= JOINED:
+                self._add(held)
+                held, size = [], 0
+        if held:
+            self._add(held)
+
+    def _add(self, some: list[str]) -> None:
+        text = " " + " ".join(some)
+        a, b = self.a.encode(text), self.b.encode(text[1:])
+        if len(some) == 1:
+            self[some[0]] = a.tobytes(), b.tobytes()
+            return
+        ends = np.cumsum(np.fromiter(map(len, some if text.isascii() else [s.encode() for s in some]), np.int64, len(some)) + 1)
+        at = []
+        for ids, size in ((a, self.a.size), (b, self.b.size)):
+            upto = np.cumsum(size[ids])
+            place = np.searchsorted(upto, ends)
+            if not len(ids) or upto[-1] != ends[-1] or (upto[place] != ends).any():
+                # One of them holds what B changes: halves find it.
+                self._add(some[: len(some) // 2])
+                self._add(some[len(some) // 2 :])
+                return
+            at.append([0, *((place + 1) * 4).tolist()])
+        (p, q), a, b = at, a.tobytes(), b.tobytes()
+        self.update((s, (a[i:j], b[k:m])) for s, i, j, k, m in zip(some, p, p[1:], q, q[1:]))
 
 
 class Tokens:
     """Both encoders, and the bytes of every token, within one task."""
 
     def __init__(self, vocabularies: Vocabularies) -> None:
-        self.a, self.b = Encoder(vocabularies.a), Pieces(vocabularies.b)
+        self.a, self.b = ByteLevel(vocabularies.a), Pieces(vocabularies.b)
         self.segments = Segments(self.a, self.b)
-        self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.a.table, self.b.bytes))
+        self.size_a, self.size_b = self.a.size, self.b.size
         both = max(len(self.size_a), len(self.size_b))
         #: Ids as text after each separator of the digest.
         self.shown = np.array([[f"{s}{k}".encode() for k in range(both)] for s in ",|;"], object)
 
     def encode(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by A and by B of every text; none of a text that is null or empty or whose
-        tokens' bytes aren't space + text. Words and segments are parts of the text in order, and
+        tokens' bytes aren't space + text. Segments are parts of the text in order, and
         their tokens have their bytes, so tokens of the text's length are the whole text."""
         none, out = np.empty(0, np.uint32), []
-        for raw in texts:
-            text, n = (raw or b"").decode("utf-8", "replace"), len(raw or b"") + 1
-            a, b = (np.frombuffer(x, "<u4") for x in self.segments.encode(text)) if raw else (none, none)
+        shown = [(raw or b"").decode("utf-8", "replace") for raw in texts]
+        parts = [self.segments.parts(t) if t else [] for t in shown]
+        self.segments.learn(parts)
+        for raw, text, some in zip(texts, shown, parts):
+            n, found = len(raw or b"") + 1, list(map(self.segments.__getitem__, some))
+            a, b = (np.frombuffer(b"".join([f[k] for f in found]), "<u4") for k in (0, 1))
             same = raw and self.size_a[a].sum() == n and self.size_b[b].sum() == n and ("\ufffd" not in text or text.encode() == raw)
             out.append((a, b) if same else (none, none))
         return out

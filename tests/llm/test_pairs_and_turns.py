@@ -92,6 +92,18 @@ def test_alignment_of_odd_texts(spark, library, monkeypatch):
             assert [r["a"], r["b"]] == ([[i for i, _ in c] for c in coded] if coded else [[], []])
 
 
+@pytest.mark.parametrize("joined, kept", [(1 << 14, 250_000), (40, 250_000), (1 << 14, 3)])
+def test_segments_are_encoded_joined_as_they_are_alone(library, monkeypatch, joined, kept):
+    """Beside texts that B changes, too, and where kept segments are forgotten all the time."""
+    monkeypatch.setattr(alignment, "JOINED", joined)
+    monkeypatch.setattr(alignment, "KEPT", kept)
+    tokens, texts = alignment.Tokens(alignment.load()), odd_texts() + ["a ", " b", "c\n d", "\nfoo \n bar", "x\u2581y z", "\ufb01 fi", "a\x1c b\x00c", "\u3000a b\xa0 c"]
+    for _ in range(2):
+        for text, (a, b) in zip(texts, tokens.encode([None if t is None else t.encode() for t in texts])):
+            coded = library(text)
+            assert [a.tolist(), b.tolist()] == ([[i for i, _ in c] for c in coded] if coded else [[], []]), text
+
+
 def test_lanes_are_short_and_lose_nothing():
     rnd = random.Random(2)
     ends = [np.array(sorted({*rnd.sample(range(1, 40_000), 9000), 40_000})) for _ in range(2)]
