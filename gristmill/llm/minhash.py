@@ -294,7 +294,10 @@ def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> D
     Every link of two sets that share a key is found."""
     spark = distinct.sparkSession
     banded = distinct.select(F.explode("keys").alias("key"), "node")
-    shared = landed(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
+    # Buckets of the same nodes, as their hashes' two sums tell, bring the same pairs: one stands for all.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), *same).where("n > 1")
+    shared = landed(buckets.groupBy("n", "hub", "same0", "same1").agg(F.min("key").alias("key")).select("key", "n", "hub"), "buckets")
     members = landed(banded.join(shared, "key"), "members")
     sketches = distinct.select("node", "size", "sketch")
     release(spark)
@@ -306,9 +309,12 @@ def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> D
     roots = cut(components(_verified(pairs, distinct, keyed, words)).select("node", "root"))
     discard(shared)
     release(spark)
-    large, first, last = members.where(F.col("n") > SMALL).select("key", "n", "node"), 0, PARTNERS
+    # A node's large buckets, at most as many as it has keys, stand in one row: each round joins nodes, not memberships.
+    large = landed(members.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("within")), "large")
+    discard(members)
+    first, last = 0, PARTNERS
     while True:
-        rooted = large.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+        rooted = large.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.inline("within"), "node", F.coalesce("root", "node").alias("root"))
         by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("many"))
         open_keys = cut(by_root.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
         if open_keys.isEmpty():
@@ -328,7 +334,7 @@ def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> D
             break
         first, last = last, last * 64
         release(spark)
-    discard(members)
+    discard(large)
     return roots
 
 
