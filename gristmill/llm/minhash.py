@@ -310,11 +310,13 @@ def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> D
     discard(shared)
     release(spark)
     # A node's large buckets, at most as many as it has keys, stand in one row: each round joins nodes, not memberships.
-    large = landed(members.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("within")), "large")
+    packed = lambda rows: landed(rows.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("within")), "large")
+    large = packed(members.where(F.col("n") > SMALL))
     discard(members)
     first, last = 0, PARTNERS
     while True:
         rooted = large.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.inline("within"), "node", F.coalesce("root", "node").alias("root"))
+        rooted = cut(rooted)
         by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("many"))
         open_keys = cut(by_root.groupBy("key").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"))
         if open_keys.isEmpty():
@@ -333,6 +335,9 @@ def linked_roots(distinct: DataFrame, keyed: DataFrame, words: int = WORDS) -> D
         if not more:
             break
         first, last = last, last * 64
+        # A bucket within one class stays so, and isn't looked at again.
+        done, large = large, packed(open_rows)
+        discard(done)
         release(spark)
     discard(large)
     return roots
