@@ -55,8 +55,8 @@ def test_text(spark, f, raw, want):
 
 
 def test_plain_letters_cost_little(spark):
-    """Two million characters, few of them accented: a look-up a character took some 4 microseconds each."""
-    text = "Été au café, ﬁn 1½ e\u0301 " + "plain words of a long text " * 75_000
+    """Seven million characters, few of them accented: a look-up a character took some 4 microseconds each."""
+    text = "Été au café, ﬁn 1½ e\u0301 " + "plain words of a long text " * 250_000
     one(spark, F.length(tx.word_form("x")), "warm é")
     began = time.monotonic()
     assert one(spark, F.substr(tx.word_form("x"), F.lit(1), F.lit(27)), text) == " ete au cafe fin 1 e plain "
@@ -156,6 +156,26 @@ def test_fuzzy_duplicates_match_the_ordered_pass(spark, seed):
     assert dedup.similar_pairs(df.where("guard is not null"), 0.7, block=4).count() == dedup.similar_pairs(df.where("guard is not null"), 0.7).count()
 
 
+@pytest.mark.parametrize("largest", [1000, 2])
+def test_copies_of_a_vector_make_no_pairs(spark, monkeypatch, largest):
+    """Rows of a few vectors, in guards of many and few: pairs are of different vectors at most."""
+    rnd, seen, whole = np.random.default_rng(5), [], dedup.similar_pairs
+    some = [(v / np.linalg.norm(v)).tolist() for v in rnd.normal(size=(7, 3))]
+    rows = [(k, "ab"[k % 10 == 0], int(rnd.integers(0, 50)), some[int(rnd.integers(0, 7))]) for k in range(400)]
+    df = spark.createDataFrame(rows, "ord long, guard string, richness int, embedding array<double>")
+    monkeypatch.setattr(dedup, "similar_pairs", lambda found, *more: seen.append(found.count()) or whole(found, *more))
+    assert {r["ord"]: r["representative"] for r in dedup.fuzzy_survivors(df, 0.6, largest=largest).collect()} == greedy(rows, 0.6)
+    assert sum(seen) <= 14
+
+
+def test_pairs_leave_a_task_in_pieces():
+    import pandas as pd
+
+    group = pd.DataFrame({"_i": 0, "_j": 0, "_k": 0, "ord": range(500), "guard": "g", "home": True, "embedding": [np.ones(2)] * 500})
+    found = list(dedup.strips(group, 0.5, "ord", "guard", "embedding"))
+    assert sum(map(len, found)) == 500 * 499 // 2 and max(map(len, found)) <= 64 * 500
+
+
 def test_hours_and_identity(spark):
     assert one(spark, dedup.hours_in_title("x"), "Serveur 35h ou 20 h, 99h, 12hp") == [20, 35]
     rows = spark.createDataFrame([("t", None, "paris"), ("t", "Acme", "")], "title string, company string, location string")
