@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.geo import ILE_DE_FRANCE, Region, cited_departments, haversine, in_region, in_traffic, out_of_zone, plain, refined_code, segments, travel_minutes, variants, without_article
 from gristmill.functions.columns import col
 from gristmill.functions.text import has_word
+from gristmill.session import cut
 
 ORIGINS = 1000
 
@@ -25,21 +26,28 @@ def resolve_commune(offers: DataFrame, communes: DataFrame, key: str = "ord", lo
     form, that names a commune. Of communes with one name, those in a cited
     department come first, then the nearest to the centre, then the least code;
     Paris gives its district where that is named; null if none matches."""
-    communed = named_communes(communes, "department", *(["lon", "lat"] if centre else []))
-    rows = offers.select(key, location)
-    inside = rows.where(~out_of_zone(location)) if barrier else rows
-    forms = F.flatten(F.transform(segments(location), variants))
-    parts = inside.select(key, location, cited_departments(location, departments).alias("_cited"), F.posexplode(forms).alias("_pos", "name"))
+    text = F.col("_location")
+    # A code follows from the location alone, so each different one is looked up once.
+    rows = offers.select(key, F.col(location).alias("_location"))
+    places = cut(rows.select("_location").where("_location IS NOT NULL").distinct())
+    inside = places.where(~out_of_zone(text)) if barrier else places
+    forms = F.flatten(F.transform(segments(text), variants))
+    parts = inside.select("_location", cited_departments(text, departments).alias("_cited"), F.posexplode(forms).alias("_pos", "name"))
     away = haversine("lon", "lat", F.lit(centre[0]), F.lit(centre[1])) if centre else F.lit(0.0)
-    found = parts.join(communed, "name").withColumn("_far", away)
-    best = F.min(F.struct("_pos", (~F.array_contains("_cited", F.col("department"))).alias("_other"), "_far", "code"))
-    codes = found.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.code").alias("code"))
-    own = refined_code(F.col("code").cast("string"), location) if communes.schema["code"].dataType.simpleString() == "string" else F.col("code")
-    found = rows.join(codes, key, "left").select(key, own.alias("code"))
-    if named is None:
-        return found
-    places = named_places(inside, named, key, location).withColumnRenamed("code", "_named")
-    return found.join(places, key, "left").select(key, F.coalesce("_named", "code").alias("code"))
+    first = F.min(F.struct(away.alias("_far"), F.col("code").alias("code"))).alias("_c")
+    # Of the communes of a name only the best of all and the best of each department can be chosen.
+    communed = cut(named_communes(communes, "department", *(["lon", "lat"] if centre else [])).groupBy("name", "department").agg(first))
+    any_of = communed.groupBy("name").agg(F.min("_c").alias("_any"))
+    cited = parts.select("_location", "_pos", "name", F.explode(F.array_distinct("_cited")).alias("department")).join(communed, ["name", "department"])
+    own = cited.groupBy("_location", "_pos").agg(F.min("_c").alias("_own"))
+    found = parts.join(any_of, "name").select("_location", "_pos", "_any").join(own, ["_location", "_pos"], "left")
+    best = F.min(F.struct("_pos", F.coalesce("_own", "_any").alias("c"))).alias("_b")
+    codes = found.groupBy("_location").agg(best).select("_location", F.col("_b.c.code").alias("code"))
+    if named is not None:
+        codes = codes.join(named_places(inside, named, "_location", "_location").withColumnRenamed("code", "_named"), "_location", "full_outer")
+    own = refined_code(F.col("code").cast("string"), text) if communes.schema["code"].dataType.simpleString() == "string" else F.col("code")
+    codes = codes.select("_location", (F.coalesce("_named", own) if named is not None else own).alias("code"))
+    return rows.join(codes, "_location", "left").select(key, "code")
 
 
 def named_places(offers: DataFrame, names: DataFrame, key: str = "ord", location: str = "location") -> DataFrame:
@@ -67,17 +75,23 @@ def region_decision(offers: DataFrame, communes: DataFrame, key: str = "ord", lo
     """``offers`` with ``inside``. A foreign word in the title or a foreign
     substring in the location decides first; then ``in_region``, for which the
     parts of all locations meet the communes' names in one semi join."""
+    # What a location tells follows from it alone, so each different one is looked at once.
+    places = cut(offers.select(F.col(location).alias("_location")).distinct())
     named = named_communes(communes).select("name").distinct()
-    parts = offers.select(key, F.explode(segments(location)).alias("name"))
-    known = parts.join(named, "name", "left_semi").select(key).distinct().withColumn("_commune", F.lit(True))
-    low = F.lower(F.coalesce(col(location), F.lit("")))
+    parts = places.select("_location", F.explode(segments("_location")).alias("name"))
+    known = parts.join(named, "name", "left_semi").select(F.col("_location").alias("_known")).distinct().withColumn("_commune", F.lit(True))
+    low = F.lower(F.coalesce("_location", F.lit("")))
     outside = F.lit(False)
     for word in foreign:
         outside = outside | low.contains(word)
-    if title and foreign_titles:
-        outside = outside | has_word(title, list(foreign_titles))
-    inside = F.when(outside, False).otherwise(in_region(location, F.col("_commune"), region))
-    return offers.join(known, key, "left").withColumn("inside", inside).drop("_commune")
+    inside = F.when(outside, False).otherwise(in_region("_location", F.col("_commune"), region))
+    told = places.join(known, F.col("_location") == F.col("_known"), "left").select("_location", inside.alias("_inside"))
+    # No null meets itself in an equality, so a flag stands for it: rows are joined by hash.
+    at = lambda c: [F.coalesce(c, F.lit("")), c.isNull()]
+    keyed = told.select(F.struct(*at(F.col("_location"))).alias("_at"), "_inside")
+    both = offers.withColumn("_at", F.struct(*at(col(location)))).join(keyed, "_at", "left").drop("_at")
+    elsewhere = has_word(title, list(foreign_titles)) if title and foreign_titles else F.lit(False)
+    return both.withColumn("inside", F.when(elsewhere, False).otherwise(F.col("_inside"))).drop("_inside")
 
 
 def travel(places: DataFrame, origins: DataFrame, measured: DataFrame | None = None, key: str = "place") -> DataFrame:

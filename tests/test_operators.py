@@ -176,6 +176,36 @@ def test_pairs_leave_a_task_in_pieces():
     assert sum(map(len, found)) == 500 * 499 // 2 and max(map(len, found)) <= 64 * 500
 
 
+def counted(spark, f):
+    """``f`` as a function of one column, and how many rows it has been asked for."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def work(x):
+        asked.add(1)
+        return f(x)
+
+    return work, asked
+
+
+def test_places_are_looked_up_once(spark, monkeypatch):
+    """Six hundred offers of three locations; fifty communes of one name, one of them of no known department."""
+    cut, asked = counted(spark, lambda x: [x.split(" - ")[-1].lower()] if x else [])
+    once = F.udf(cut, "array<string>")
+    away, met = counted(spark, float)
+    far = F.udf(away, "double")
+    monkeypatch.setattr(geo, "segments", lambda c: once(c))
+    monkeypatch.setattr(geo, "haversine", lambda lon, *more: far(lon))
+    rows = spark.createDataFrame([(k, ["01 - Town", "99 - Town", None][k % 3]) for k in range(600)], "ord long, location string")
+    places = [("Town", f"C{k:02d}", "01" if k in (30, 31) else None if k == 9 else "02", float(k), 0.0) for k in range(50)]
+    communes = spark.createDataFrame(places, "name string, code string, department string, lon double, lat double")
+    found = {r["ord"]: r["code"] for r in geo.resolve_commune(rows, communes, centre=(0.0, 0.0)).collect()}
+    assert found == {k: ["C30", "C00", None][k % 3] for k in range(600)}
+    assert 0 < asked.value < 100 and 0 < met.value <= 200
+    before = asked.value
+    inside = {r["ord"]: r["inside"] for r in geo.region_decision(rows, communes).collect()}
+    assert inside == {k: True for k in range(600)} and asked.value - before < 100
+
+
 def test_hours_and_identity(spark):
     assert one(spark, dedup.hours_in_title("x"), "Serveur 35h ou 20 h, 99h, 12hp") == [20, 35]
     rows = spark.createDataFrame([("t", None, "paris"), ("t", "Acme", "")], "title string, company string, location string")
