@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import store
 from gristmill.plans.registry import query
-from gristmill.session import shared_dir
+from gristmill.session import cut, shared_dir
 from gristmill.sources.adapters import table
 from gristmill.sources.buckets import Buckets
 from gristmill.streaming import state
@@ -23,7 +23,10 @@ def _arriving(spark: SparkSession, sf_dir: str, files: int = 6, at_once: int = 2
     """The events as a stream of files in order of time, two to a micro-batch."""
     path = folder(spark, "arriving")
     rows = table(spark, sf_dir, "events")
-    rows.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
+    ranges = cut(rows.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("_range", F.spark_partition_id()))
+    for k in range(files):
+        # A stream takes files as they were last written: in one job that is the order in which its tasks end.
+        ranges.where(F.col("_range") == k).drop("_range").coalesce(1).sortWithinPartitions("ts", "event_id").write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 

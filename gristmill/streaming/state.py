@@ -98,7 +98,7 @@ def earliest_sight(links: DataFrame, keys: tuple[str, ...], at: str, delay_s: in
                 micros = b["at"].astype("datetime64[us]").astype("int64")
                 first = int(micros.min()) if first is None else min(first, int(micros.min()))
                 last = int(micros.max()) if last is None else max(last, int(micros.max()))
-            due = not told and first // 1000 + 1000 * delay_s <= state.getCurrentWatermarkMs()
+            due = not told and first // 1000 + 1000 * delay_s < state.getCurrentWatermarkMs()  # as a timeout is
         if due:
             told = True
             yield pd.DataFrame({**{k: [v] for k, v in zip(keys, link)}, "first": [pd.Timestamp(first, unit="us", tz="UTC")]})

@@ -8,6 +8,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.plans import stored
 from gristmill.operators.queue import replay
 from gristmill.operators.store import last_write
 from gristmill.sources.buckets import Buckets
@@ -109,3 +110,14 @@ def test_a_crash_before_the_commit_leaves_the_old_version(spark, tmp_path, monke
     into.merge(two, put, 2)
     into.merge(two, put, 2)  # the same run again
     assert numbers(into) == [(k, "new") for k in range(50)]
+
+
+def test_files_arrive_in_order_of_time(spark, tmp_path, monkeypatch):
+    """A stream takes files as they were last written, so none of an earlier time may be written later."""
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.hash("id") % 100000).alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stored, "folder", lambda *_: str(tmp_path / "arriving"))
+    stored._arriving(spark, str(tmp_path), files=24)
+    files = sorted((tmp_path / "arriving").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(f)).agg(F.min("ts"), F.max("ts")).first() for f in files]
+    assert len(spans) == 24 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
