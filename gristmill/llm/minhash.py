@@ -275,10 +275,15 @@ def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, words: in
     """The (a, b) whose whole sets are alike enough. Only texts of nodes that met are read into sets."""
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", F.col("rep.id").alias("_id"), F.col("rep.of").alias("_of")), "node"))
     texts = keyed.join(F.broadcast(met) if met.count() <= FETCHED else met, F.expr("of = _of AND id <=> _id")).select("node", "text")
-    sets = cut(texts.mapInArrow(_sets(words), "node long, members array<long>").dropDuplicates(["node"]))
+    sets = landed(texts.mapInArrow(_sets(words), "node long, members array<long>").dropDuplicates(["node"]), "sets")
+    release(pairs.sparkSession)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(100 * shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    links = cut(both.where(100 * shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    # Whole sets are about as large as their texts, so they don't stay until the application ends.
+    discard(sets)
+    release(pairs.sparkSession)
+    return links
 
 
 def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
