@@ -22,9 +22,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies: five-word shingles, similarity 0.8.
+    """One row of each class of near copies. SimHash's links, as in ``op1``: fingerprints met by
+    anchor-point covering and compared whole, three bits or less; and those it misses by design, between
+    texts whose five-word shingles have a similarity of 0.8. Classes are closed over both.
     Texts without a word are copies of each other; of repeated rows one stays."""
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(docs, fingerprints=True)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

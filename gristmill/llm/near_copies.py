@@ -23,11 +23,17 @@ At similarity 0.8 a pair meets at none of 24 anchors of 3 drawn shingles with a
 What meets is compared by ``minhash.linked_roots``: parity sketches that never part a
 link, whole sets, and rounds within large anchors until nothing is left that could
 connect. So no link of texts that meet is lost, and none is made up.
+
+``one_of_each`` can close the classes over SimHash's own links as well: ``op1``'s fingerprints,
+three-word shingles with repeats, its search by anchors of the whole halves, and all 64 bits
+compared, linked at ``simhash.THRESHOLD`` or less. Texts whose weight lies in the
+same passages meet there, though their sets differ by more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, pieces, release, utf8
 from gristmill.llm.minhash import linked_roots, shingles, signature, sketch
-from gristmill.llm.simhash import HALF, anchors, majority, nearest_anchor
+from gristmill.llm.simhash import HALF, anchors, components, links, majority, nearest_anchor, simhash
 
 #: Words of a shingle, fingerprints over drawn shingles, and shingles of each.
 WORDS, BLOCKS, DRAWN = 5, 24, 3
@@ -75,24 +81,41 @@ def anchor_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(key[order], np.cumsum(np.bincount(row, minlength=len(sets)))[:-1])
 
 
-def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, of; the set's name, size, sketch and keys (none without a word)."""
+def _prints(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """id, of; the set's name, size, sketch and keys (none without a word); with ``whole``, the text's fingerprint."""
     for b in pieces(batches):
-        sets = [shingles(t, WORDS) for t in utf8(b.column(2))]
+        texts = utf8(b.column(2))
+        sets = [shingles(t, WORDS) for t in texts]
         some = [s for s in sets if len(s)]
         keys = iter(anchor_keys(some) if some else [])
         made = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), *((sketch(s), next(keys)) if len(s) else (None, None))) for s in sets]
         name, size, bits, key = zip(*made) if made else ([],) * 4
         arrays = [pa.array(name, pa.binary()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(key, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], names=["id", "of", "name", "size", "sketch", "keys"])
-
-
-def _classes(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+        fp = pa.array(np.fromiter(map(simhash, texts), np.uint64, len(texts)).view(np.int64)) if whole else pa.nulls(len(texts), pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays, fp], names=["id", "of", "name", "size", "sketch", "keys", "fp"])
+
+
+def _joined_by_fingerprints(prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``rooted`` (name, rep, root) with one root for all classes that links of fingerprints connect."""
+    # A set has a fingerprint for each order and number of its shingles.
+    held = cut(prints.select("name", "fp").distinct())
+    every = cut(held.select("fp").distinct())
+    found = components(links(every))
+    classes = held.join(found, held["fp"] == found["node"], "left").select("name", F.coalesce("root", "fp").alias("print"))
+    met = cut(classes.join(rooted.select("name", "root"), "name").select("print", "root").distinct())
+    # The classes that one class of fingerprints meets are joined to the least of them.
+    least = cut(met.groupBy("print").agg(F.min("root").alias("hub"), F.count("*").alias("n")).where("n > 1").select("print", "hub"))
+    joined = components(met.join(least, "print").select(F.col("root").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "_root")
+    release(prints.sparkSession)
+    return rooted.join(joined, F.col("root") == F.col("node"), "left").select("name", "rep", F.coalesce("_root", "root").alias("root"))
+
+
+def _classes(docs: DataFrame, text: str, id_col: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, of, name) of every row: its id, its text's XXH64 and its set's name; and
     (name, rep, root) of every different set: its first row (none, id, of), and the least node of its class."""
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("of"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = cut(keyed.mapInArrow(_prints, f"id {kind}, of long, name binary, size long, sketch binary, keys array<long>"))
+    prints = cut(keyed.mapInArrow(partial(_prints, whole=whole), f"id {kind}, of long, name binary, size long, sketch binary, keys array<long>, fp long"))
     # Equal sets are one node. Its number is written, so it stays the same.
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("rep")
     distinct = prints.groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), rep)
@@ -100,6 +123,8 @@ def _classes(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFr
     roots = linked_roots(distinct, keyed, WORDS).withColumnRenamed("node", "_node")
     release(docs.sparkSession)
     rooted = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("name", "rep", F.coalesce("root", "node").alias("root"))
+    if whole:
+        rooted = _joined_by_fingerprints(prints, cut(rooted))
     return prints.select("id", "of", "name"), rooted
 
 
@@ -113,15 +138,15 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return prints.join(named, "name").select(F.col("id").alias(id_col), "class_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", fingerprints: bool = False) -> DataFrame:
     """``docs`` with one row left of each class of near copies: that with the
     least id (a row without an id only if none of them has one; of rows that
     repeat the id, one). Links hold between texts whose sets of lower-cased
-    shingles are alike to 0.8; a text of fewer words than a shingle is one
-    shingle. Null and word-free texts are copies of each other. Very long texts
+    shingles are alike to 0.8, with ``fingerprints`` also between those at
+    ``simhash.THRESHOLD`` bits or less; a text of fewer words than a shingle is one shingle. Null and word-free texts are copies of each other. Very long texts
     are compared whole; an empty table gives an empty one; other columns stay
     as they are."""
-    best = _classes(docs, text, id_col)[1].groupBy("root").agg(F.min("rep").alias("b")).select(F.col("b.id").alias("__gm_id"), F.col("b.of").alias("__gm_of"))
+    best = _classes(docs, text, id_col, fingerprints)[1].groupBy("root").agg(F.min("rep").alias("b")).select(F.col("b.id").alias("__gm_id"), F.col("b.of").alias("__gm_of"))
     keyed = docs.withColumn("__gm_k", F.xxhash64(F.col(text).cast("string")))
     kept = keyed.join(best, (F.col("__gm_k") == F.col("__gm_of")) & F.col(id_col).eqNullSafe(F.col("__gm_id")))
     first = F.row_number().over(Window.partitionBy("__gm_k", "__gm_id").orderBy("__gm_k"))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gristmill.llm import simhash
 from gristmill.llm.queries import ORACLE, QUERIES
 
 WORDS = "the of and to in is that for river mill wall pump field night morning council water bridge stone road".split()
@@ -76,3 +77,22 @@ def test_every_stage_on_odd_rows(spark, tmp_path):
 def test_each_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_near_dedup_links_fingerprints_too(spark, tmp_path):
+    """A class joins what three bits of SimHash link and what similarity 0.8 of the sets links, and steps of both kinds."""
+    rnd = random.Random(5)
+    row, ends = prose(rnd, 11) + "\n", [prose(rnd, 25) for _ in range(3)]
+    heavy = [(1, row * 60 + ends[0]), (2, row * 60 + ends[1])]
+    base = prose(rnd, 200)
+    other = (6, prose(rnd, 200))
+    # 3 is a near copy of 2 by its set alone: the row fewer times, far from 2 by its bits.
+    few = (3, row * 2 + ends[1])
+    docs = [*heavy, few, (4, base), (5, base + " and more"), other]
+    prints = {k: simhash.simhash(t.encode()) for k, t in docs}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in docs}
+    bits = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert bits(1, 2) <= 3 and alike(1, 2) < 0.8 and bits(2, 3) > 3 and alike(2, 3) >= 0.8 and bits(1, 3) > 3 and alike(1, 3) < 0.8
+    found = corpus_pipeline.distinct(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 4, 6]
