@@ -2,7 +2,10 @@
 
 ``gristmill_pages`` reads a folder of landed answers, ``source=S/day=D/term=T/page=N``,
 each page a list of records or an envelope around one. A partition is the pages of one
-source, day and term in their order, which end with the first short page. Filters on source,
+source, day and term in their order, which end with the first short page. Of very many pages a
+file each costs more than what is in them; files right in ``term=T`` hold a page a line,
+as ``{"page": N, "body": "..."}``, in any order and number of files. There a partition is a file,
+and ``read_pages`` finds where pages end. Filters on source,
 term and day are taken over by the source, so that other folders aren't listed as partitions.
 
 ``gristmill_export`` writes files of CSV or JSON lines aside and puts them into
@@ -21,6 +24,7 @@ from urllib.parse import unquote
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
@@ -41,23 +45,28 @@ class Pages(InputPartition):
     source: str
     day: date
     term: str
-    files: list[tuple[int, str]]
+    files: list[tuple[int | None, str]]
 
 
 def records(text: str) -> list[str]:
     """The records of a page as JSON: of a list, of an envelope, or the one there is; of what can't be parsed, the text."""
+    return [r if isinstance(r, str) else json.dumps(r["record"], ensure_ascii=False) for r in _parsed(text)]
+
+
+def _parsed(text: str) -> list[str | dict]:
+    """As ``records``, not written as JSON yet."""
     try:
         found = json.loads(text)
     except ValueError:
         return [text]
     if isinstance(found, dict):
         found = next((found[n] for n in ENVELOPES if isinstance(found.get(n), list)), [found])
-    return [json.dumps(r, ensure_ascii=False) for r in found] if isinstance(found, list) else [text]
+    return [{"record": r} for r in found] if isinstance(found, list) else [text]
 
 
 class PagesReader(DataSourceReader):
-    def __init__(self, path: str, size: int) -> None:
-        self.path, self.size, self.filters = path, size, []
+    def __init__(self, path: str, size: int, packed: bool, ends: bool) -> None:
+        self.path, self.size, self.packed, self.ends, self.filters = path, size, packed, ends, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -74,14 +83,33 @@ class PagesReader(DataSourceReader):
         for info in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             parts = dict(p.split("=", 1) for p in info.path.split("/") if "=" in p)
             name = info.path.rsplit("/", 1)[-1]
-            if info.type != fs.FileType.File or name[0] in "._" or not {*KEYS, "page"} <= parts.keys():
+            if info.type != fs.FileType.File or name[0] in "._" or not {*KEYS} <= parts.keys() or ("page" in parts) == self.packed:
                 continue
             key = {"source": unquote(parts["source"]), "day": date.fromisoformat(parts["day"]), "term": unquote(parts["term"])}
             if all(test(key[k], value) for k, test, value in self.filters):
-                found.setdefault(tuple(key.values()), []).append((int(parts["page"]), info.path))
+                found.setdefault(tuple(key.values()), []).append((None if self.packed else int(parts["page"]), info.path))
+        if self.packed:
+            return [Pages(*key, [file]) for key, files in sorted(found.items()) for file in sorted(files)]
         return [Pages(*key, sorted(files)) for key, files in sorted(found.items())]
 
+    def _lines(self, partition: Pages) -> Iterator[tuple]:
+        """The pages of a file, read as a stream: their records, or, for ``ends``, the short ones without a record."""
+        store, _ = _open(self.path)
+        key = partition.source, partition.day, partition.term
+        with store.open_input_stream(partition.files[0][1]) as f, io.TextIOWrapper(f, encoding="utf-8", newline="\n") as lines:
+            for line in lines:
+                told = json.loads(line)
+                if self.ends:
+                    if len(_parsed(told["body"])) < self.size:
+                        yield *key, told["page"], None, None
+                else:
+                    for place, record in enumerate(records(told["body"])):
+                        yield *key, told["page"], place, record
+
     def read(self, partition: Pages) -> Iterator[tuple]:
+        if self.packed:
+            yield from self._lines(partition)
+            return
         store, _ = _open(self.path)
         for page, path in partition.files:
             with store.open_input_stream(path) as f:
@@ -101,14 +129,21 @@ class PagesSource(DataSource):
         return "source string, day date, term string, page int, place int, json string"
 
     def reader(self, schema: StructType) -> PagesReader:
-        return PagesReader(self.options["path"], int(self.options.get("pageSize", 1)))
+        yes = lambda name: self.options.get(name, "false").lower() == "true"
+        return PagesReader(self.options["path"], int(self.options.get("pageSize", 1)), yes("packed"), yes("ends"))
 
 
-def read_pages(spark: SparkSession, path: str, page_size: int = 1) -> DataFrame:
-    """(source, day, term, page, place, json) of landed pages; a page of fewer than ``page_size`` records is a source's last."""
+def read_pages(spark: SparkSession, path: str, page_size: int = 1, packed: bool = False) -> DataFrame:
+    """(source, day, term, page, place, json) of landed pages; a page of fewer than ``page_size`` records is a source's
+    last. With ``packed``, those of files that hold a page a line; their last pages, one for each
+    source, day and term at most, are found by a pass before and broadcast."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagesSource)
-    return spark.read.format(PagesSource.name()).option("pageSize", page_size).load(path)
+    pages = spark.read.format(PagesSource.name()).option("pageSize", page_size).option("packed", packed)
+    if not packed:
+        return pages.load(path)
+    last = pages.option("ends", True).load(path).groupBy(*KEYS).agg(F.min("page").alias("_last"))
+    return pages.option("ends", False).load(path).join(F.broadcast(last), list(KEYS), "left").where("_last IS NULL OR page <= _last").drop("_last")
 
 
 @dataclass

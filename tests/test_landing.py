@@ -41,6 +41,45 @@ def test_landed_pages(spark, tmp_path):
     assert "Filter" not in some._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_packed_pages(spark, tmp_path):
+    """A page a line, over several files of a source, day and term: pages behind the first short one, of none too, don't count."""
+    two = json.dumps([{"id": 1}, {"id": "é"}], ensure_ascii=False)
+
+    def pack(source, day, term, name, **pages):
+        at = tmp_path / f"source={source}" / f"day={day}" / f"term={term}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / name).write_text("".join(json.dumps({"page": int(n[1:]), "body": body}) + "\n" for n, body in pages.items()), encoding="utf-8")
+
+    pack("a", "2024-01-01", "data%20x", "part-0.txt", p3=two, p1='{"jobs": [{"id": 3}, {"id": 4}]}')
+    pack("a", "2024-01-01", "data%20x", "part-1.txt", p4=two, p2='[{"id": 5}]', p0=two)
+    pack("a", "2024-01-02", "cyber", "part-0.txt", p0=two, p1="[]")
+    pack("a", "2024-01-02", "cyber", "part-1.txt", p2=two)
+    pack("b", "2024-01-02", "cyber", "part-0.txt", p0=two, p1=two)
+    put(tmp_path, "c", "2024-01-02", "cyber", 0, two)  # of the other layout
+    found = landing.read_pages(spark, str(tmp_path), 2, packed=True)
+    told = sorted((r["source"], str(r["day"]), r["term"], r["page"], r["place"], r["json"]) for r in found.collect())
+    both = lambda *key: [(*key, 0, '{"id": 1}'), (*key, 1, '{"id": "é"}')]
+    x = ("a", "2024-01-01", "data x")
+    assert told == [*both(*x, 0), (*x, 1, 0, '{"id": 3}'), (*x, 1, 1, '{"id": 4}'), (*x, 2, 0, '{"id": 5}'), *both("a", "2024-01-02", "cyber", 0), *both("b", "2024-01-02", "cyber", 0), *both("b", "2024-01-02", "cyber", 1)]
+    some = found.where(F.col("source") == "b")
+    assert some.rdd.getNumPartitions() == 1 and some.count() == 4
+    assert landing.read_pages(spark, str(tmp_path), 2).count() == 2
+
+
+def test_landed_pages_lie_together(spark, tmp_path):
+    """Pages of a source and term fill files: few files, however many pages."""
+    from gristmill.plans.landing import SIZE, landed_pages
+
+    keys = spark.range(20_000).selectExpr("id AS o_orderkey", "CASE WHEN id % 7 = 0 THEN 'P' WHEN id % 2 = 0 THEN 'O' ELSE 'F' END AS o_orderstatus", "id * 1.5D AS o_totalprice", "'1-URGENT' AS o_orderpriority")
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    landed_pages(spark, str(tmp_path), str(tmp_path / "pages"))
+    files = list((tmp_path / "pages").rglob("part-*"))
+    assert len(files) == len({f.parent for f in files}) == 18
+    pages = landing.read_pages(spark, str(tmp_path / "pages"), SIZE, packed=True).groupBy("source", "term", "page").count()
+    full = [r["count"] for r in pages.collect()]
+    assert len(full) > 300 and full.count(SIZE) > len(full) - 40
+
+
 def test_a_failing_export_leaves_the_old_one(spark, tmp_path):
     path = tmp_path / "out"
     sinks.write_stable_json(spark.createDataFrame([(2, "é"), (1, None)], "key int, b string"), str(path), "key")
