@@ -221,3 +221,11 @@ def test_survivors_are_the_same_with_groups_and_rounds(spark):
     df = spark.createDataFrame(rows, "ord long, guard string, richness int, embedding array<double>")
     one, two = (sorted(map(tuple, dedup.fuzzy_survivors(df, 0.8, largest=n).collect())) for n in (1000, 3))
     assert one == two and any(a != b for a, b in one)
+
+
+def test_small_rows_are_dealt_to_all_cores(spark, tmp_path):
+    from gristmill.plans.offers import duration_and_start
+
+    spark.range(70).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size", "'x' AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = duration_and_start(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 70
