@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill import plans
 from gristmill.functions import geo as gf
 from gristmill.functions import text as tx
 from gristmill.functions.columns import json_inside, json_or_null, share
@@ -489,3 +490,13 @@ def test_sinks(spark, tmp_path):
     assert len(back[0]) == 20 and back[0]["score"] == "0.5" and back[1]["score"] == "0.1235" and back[1]["match"] == "a b"
     sinks.freeze(rows, str(tmp_path / "frozen"))
     assert spark.read.json(str(tmp_path / "frozen/manifest")).first()["rows"] == 2
+
+
+def test_match_labels_reads_the_documents_once(spark, tmp_path):
+    """Both sides of the match take keys that are computed once; labels find the offer by the key, markers and first lines aside."""
+    texts = {1: "Chef (H/F)\nlong text", 2: "chef\nother", 7: "Ingénieur\n", 11: "Chef F/H", 12: "M/W Ingénieur\nb", 13: None, 14: "-"}
+    spark.createDataFrame([(k, t, "site", "fr") for k, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k,) for k in [*texts, 99]], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    found = plans.QUERIES["match_labels"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["status"] for r in found.collect()} == {1: "ok", 2: "ok", 7: "incoherent", 11: "missing", 12: "incoherent", 13: "ok", 14: "ok"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("text#") == 0
