@@ -4,6 +4,7 @@ begin with ``__gm_`` are the operators' own."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -35,7 +36,8 @@ def landed(df: DataFrame, tag: str, **options: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of what has been written
-    and isn't referenced any more; it acts when the driver collects garbage."""
+    and isn't referenced any more; it acts when the driver collects garbage, Python's first."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FOLD_CASE, cut, pieces, utf8
+from gristmill.llm.common import FOLD_CASE, cut, pieces, release, utf8
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
 HALF = (1 << 31) - 1
@@ -207,24 +207,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
+def _stars(now: DataFrame, many: int) -> DataFrame:
+    """The edges (u, v) after a large and a small star; nodes with over ``many`` edges are broadcast."""
+    both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = low.where(F.col("n") > many).select("u", F.col("m").alias("h"))
+    up = both.where("v > u").join(F.broadcast(hubs), "u", "left")
+    met = up.where("h IS NULL").join(low.where(F.col("n") <= many), "u").select("v", "m").unionAll(up.where("h IS NOT NULL").select("v", "h"))
+    large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least
     node that it reaches. Alternates large and small stars until the edges no
     longer change; the work of a round is a shuffle of the edges, and the
-    number of rounds grows with the logarithm of a component's diameter. Nodes
-    with very many edges, at most 2 * HUBS, are broadcast, so that no task holds a hub's edges."""
+    number of rounds grows with the logarithm of a component's diameter. A round's
+    shuffle files go once its edges are written: small as the edges may be, they are some for each pair of
+    partitions. Nodes with very many edges, at most 2 * HUBS, are broadcast, so that no task holds a hub's edges."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark, many = None, max(HUB, now.count() // HUBS)
     while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        hubs = low.where(F.col("n") > many).select("u", F.col("m").alias("h"))
-        up = both.where("v > u").join(F.broadcast(hubs), "u", "left")
-        met = up.where("h IS NULL").join(low.where(F.col("n") <= many), "u").select("v", "m").unionAll(up.where("h IS NOT NULL").select("v", "h"))
-        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        now = _stars(now, many)
+        release(now.sparkSession)
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

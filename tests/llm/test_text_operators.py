@@ -6,7 +6,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -619,3 +621,24 @@ def test_long_words_merge_as_short_ones(vocabulary):
     for _ in range(200):
         word = bytes(rnd.choice(b"abcabcthe ") for _ in range(rnd.randint(2, 60)))
         assert vocabulary._merge_long([vocabulary.single[b] for b in word]) == vocabulary.merge(word)
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark, monkeypatch):
+    """However many rounds a chain takes, a round's shuffle files go once its edges are written."""
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in folders for f in Path(top).rglob("shuffle_*")}
+    before, left, release = files(), [], simhash.release
+
+    def counted(session):
+        release(session)
+        for _ in range(20):  # the cleaner runs beside the driver
+            if len(files() - before) <= 60:
+                break
+            time.sleep(0.1)
+        left.append(len(files() - before))
+
+    monkeypatch.setattr(simhash, "release", counted)
+    chain = spark.range(300).select((F.col("id") * 79 % 301).alias("a"), ((F.col("id") + 1) * 79 % 301).alias("b"))
+    found = simhash.components(chain).collect()
+    assert len(found) == 300 and {r["root"] for r in found} == {0}
+    assert len(left) > 3 and max(left) <= 60, left
